@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,9 +41,13 @@ def dropped(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound what one Arrow batch of whole texts takes."""
+def for_python(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Bound what one Arrow batch of whole texts takes, and let Python workers find this package as the driver does."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if root not in [*known.split(os.pathsep), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]:
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

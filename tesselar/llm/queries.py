@@ -9,7 +9,17 @@ from pyspark.sql import functions as F
 
 from .exact import exact_dedup
 from .lines import drop_repeated_lines
+from .packing import Limits, pack
+from .pieces import encode_pieces
 from .pii import KINDS, find_pii
+from .topk import top_k
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file; the same on every machine that has the library."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +31,22 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), Limits(tokens=1024, segments=256, loss_tokens=1024), cut=True, end_id=0)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
+
+
+def op6_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_pieces(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_k(rows.filter(F.col("vec_id") % 50 == 0), rows, k=5)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(documents(spark, sf_dir).select("doc_id", "text"))
     base = [k.name for k in KINDS if k.always]
@@ -34,8 +60,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_vector_packing": op2_vector_packing,
     "op5_line_dedup": op5_line_dedup,
+    "op6_piece_encoding": op6_piece_encoding,
     "op8_pii": op8_pii,
+    "op9_block_topk": op9_block_topk,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -50,6 +79,13 @@ WITH lines AS (
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE c.key IS NOT NULL) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
 FROM lines l LEFT JOIN common c ON l.key = c.key GROUP BY doc_id""",
+    "op9_block_topk": r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM p
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
     "op10_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS text_sha256, length(coalesce(text, '')) AS n

@@ -12,6 +12,7 @@ from .lines import drop_repeated_lines
 from .packing import Limits, pack
 from .pieces import encode_pieces
 from .pii import KINDS, find_pii
+from .suffix_tree import fit_and_score
 from .topk import top_k
 
 
@@ -26,6 +27,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fit_and_score(documents(spark, sf_dir))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_repeated_lines(documents(spark, sf_dir), min_docs=10, min_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -61,6 +66,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_vector_packing": op2_vector_packing,
+    "op4_suffix_tree": op4_suffix_tree,
     "op5_line_dedup": op5_line_dedup,
     "op6_piece_encoding": op6_piece_encoding,
     "op8_pii": op8_pii,

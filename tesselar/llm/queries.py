@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .exact import exact_dedup
 from .lines import drop_repeated_lines
+from .neardup import near_duplicates
 from .packing import Limits, pack
 from .pieces import encode_pieces
 from .pii import KINDS, find_pii
@@ -27,6 +28,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_hamming_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), size=3, percent=85)
+
+
 def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_and_score(documents(spark, sf_dir))
 
@@ -66,6 +71,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_vector_packing": op2_vector_packing,
+    "op3_hamming_neardup": op3_hamming_neardup,
     "op4_suffix_tree": op4_suffix_tree,
     "op5_line_dedup": op5_line_dedup,
     "op6_piece_encoding": op6_piece_encoding,

@@ -16,6 +16,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Texts handed to a Python worker at once; whole texts are long, so batches are short.
 ARROW_ROWS = 400
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Used only where the session names no shared folder, as in local tests.
 LOCAL_SHARED = "/tmp/checkpoints"
 
@@ -27,9 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage is cut, lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/tesselar/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tesselar/{what}-{uuid.uuid4().hex}"
+    was = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")  # the table replaces what was shuffled to make it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(spark: SparkSession, *frames: DataFrame) -> None:

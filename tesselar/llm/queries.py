@@ -13,6 +13,7 @@ from .neardup import near_duplicates
 from .packing import Limits, pack
 from .pieces import encode_pieces
 from .pii import KINDS, find_pii
+from .suffix_array import remove_repeats
 from .suffix_tree import fit_and_score
 from .topk import top_k
 
@@ -57,6 +58,11 @@ def op9_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows.filter(F.col("vec_id") % 50 == 0), rows, k=5)
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(documents(spark, sf_dir), length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(documents(spark, sf_dir).select("doc_id", "text"))
     base = [k.name for k in KINDS if k.always]
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_tree": op4_suffix_tree,
     "op5_line_dedup": op5_line_dedup,
     "op6_piece_encoding": op6_piece_encoding,
+    "op7_suffix_array": op7_suffix_array,
     "op8_pii": op8_pii,
     "op9_block_topk": op9_block_topk,
     "op10_exact_dedup": op10_exact_dedup,

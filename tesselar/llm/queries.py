@@ -13,6 +13,7 @@ from .neardup import near_duplicates
 from .packing import Limits, pack
 from .pieces import encode_pieces
 from .pii import KINDS, find_pii
+from .quality import fit_quality, score_quality
 from .suffix_array import remove_repeats
 from .suffix_tree import fit_and_score
 from .topk import top_k
@@ -42,6 +43,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(docs, model, "q").select("doc_id", F.col("q.content").alias("content_score"), F.col("q.metadata").alias("metadata_score"), F.col("q.score").alias("score"), F.col("q.keep").alias("keep"))
+
+
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), Limits(tokens=1024, segments=256, loss_tokens=1024), cut=True, end_id=0)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
@@ -76,6 +83,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cotraining": op1_cotraining,
     "op2_vector_packing": op2_vector_packing,
     "op3_hamming_neardup": op3_hamming_neardup,
     "op4_suffix_tree": op4_suffix_tree,

@@ -7,8 +7,8 @@ the radius meet under some key. Pairs that meet are compared by signature, and t
 the full shingle sets.
 
 A large group of alike texts is not expanded into all its pairs. Equal sets are one class from the start. Under a key, a
-class whose signature is very near to an earlier one follows it and is compared with it alone; pairs of followers are
-compared only if their components still differ after the first links are known. Nothing is dropped: whatever pair within
+class within the radius of an earlier one follows it and is compared with it alone, so a key gives no more candidates than
+it has members; pairs of followers are compared only if their components still differ after the first links are known. Nothing is dropped: whatever pair within
 the radius is left uncompared lies within one component.
 """
 
@@ -30,8 +30,6 @@ CHUNKS, WIDTH, ERRORS = 6, 4, 1
 SYMBOLS = CHUNKS * WIDTH
 #: Differing symbols up to which all pairs are found.
 RADIUS = CHUNKS * (ERRORS + 1) - 1
-#: Differing symbols up to which a class follows an earlier one.
-NEAR = 2
 #: The choices of symbols of a chunk that a key leaves out.
 LEFT_OUT = list(combinations(range(WIDTH), ERRORS))
 #: Distinct words whose hashes a worker holds.
@@ -180,9 +178,8 @@ def _led(percent: int) -> Callable:
                 if len(new):
                     rows.append((np.full(len(new), ids[lead]), ids[new], False))
                     size += len(new)
-                follow = near & (apart <= NEAR)
-                led |= bool(follow.any())
-                rest = rest[~follow]
+                led |= bool(near.any())
+                rest = rest[~near]
             if led and len(ids) > 2:
                 rows.append((np.full(len(ids), key), ids, True))
                 size += len(ids)

@@ -333,11 +333,16 @@ def _compared(length: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[tuple[int, int, bytes]] = []
         group: list[tuple[int, int, bytes]] = []
+        seen: dict[bytes, tuple[int, int]] = {}  # parts of the group: equal ones are settled without sorting
+        sure: list[tuple[int, int, int]] = []
         key, size = None, 0
 
         def out() -> pa.RecordBatch:
-            spans = repeated(ready, length)
+            spans = repeated(ready, length) if ready else (np.zeros(0, np.int64),) * 3
+            if sure:
+                spans = merged(*(np.concatenate([x, y]) for x, y in zip(spans, np.array(sure, np.int64).T, strict=True)))
             ready.clear()
+            sure.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in spans], names=["doc_id", "a", "b"])
 
         for b in batches:
@@ -350,10 +355,18 @@ def _compared(length: int) -> Callable:
                             yield out()
                             size = 0
                     key, group = k, []
-                group.append((doc, a, part))
+                    seen.clear()
+                first = seen.setdefault(part, (doc, a))  # rows come by document and place
+                if first != (doc, a):
+                    sure.append((doc, a, a + len(part)))
+                elif not group or group[-1][:2] != (doc, a):
+                    group.append((doc, a, part))
+            if len(sure) > 50_000:
+                yield out()
+                size = 0
         if len(group) > 1:
             ready += group
-        if ready:
+        if ready or sure:
             yield out()
 
     return run

@@ -41,3 +41,9 @@ def write_knowledge_base(means: DataFrame, path: str) -> None:
     """One JSON line for each data set, so that the writers are as many as the data need."""
     by = means.groupBy("dataset").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("config", "score")))).alias("performance"))
     by.write.mode("errorifexists").json(path)
+
+
+def read_knowledge_base_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``dataset, config, score`` from what ``write_knowledge_base`` wrote."""
+    rows = spark.read.schema("dataset string, performance map<string,double>").json(path)
+    return rows.select("dataset", F.explode("performance").alias("config", "score"))

@@ -37,25 +37,34 @@ def first_of(group: np.ndarray) -> np.ndarray:
     return np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, bool)
 
 
+def _packed(data: bytes, depth: int) -> np.ndarray:
+    """The eight bytes from each place on as one big-endian number, with zeros behind the end."""
+    n = len(data)
+    text = np.zeros(n + depth + 16, np.uint64)
+    text[:n] = np.frombuffer(data, np.uint8)
+    out = text[: n + depth + 8].copy()
+    for i in range(1, 8):
+        out = (out << np.uint64(8)) | text[i : i + len(out)]
+    return out
+
+
 def suffix_array(data: bytes, depth: int) -> np.ndarray:
     """All suffixes of ``data`` in order of their first ``depth`` bytes; a shorter suffix precedes those it begins."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
-    # Bytes count from 1, so that the padding is less than any of them.
-    text = np.zeros(n + depth + 16, np.uint16)
-    text[:n] = np.frombuffer(data, np.uint8).astype(np.uint16) + 1
-    step = np.sign(text[1 : n + 1].astype(np.int32) - text[:n].astype(np.int32))
+    text = np.frombuffer(data, np.uint8)
+    step = np.full(n, -1, np.int8)  # the last suffix is greater than the empty one behind it
+    step[:-1] = (text[1:] > text[:-1]).astype(np.int8) - (text[1:] < text[:-1])
     # Where a byte equals the next, the suffix is as its successor is.
-    at = np.where(step != 0, np.arange(n), n)
-    nearest = np.minimum.accumulate(at[::-1])[::-1]
-    smaller = step[np.minimum(nearest, n - 1)] > 0
-    direct = _sorted_wide(text, np.flatnonzero(smaller), depth)
+    nearest = np.minimum.accumulate(np.where(step != 0, np.arange(n), n)[::-1])[::-1]
+    smaller = step[nearest] > 0
+    direct = _sorted_direct(_packed(data, depth), n, np.flatnonzero(smaller), depth)
     heads = text[direct]
     out: list[np.ndarray] = []
-    waiting: list[list[np.ndarray]] = [[] for _ in range(257)]
-    waiting[text[n - 1]].append(np.array([n - 1]))  # the last suffix precedes the empty one's successor
-    for c in range(1, 257):
+    waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
+    waiting[text[n - 1]].append(np.array([n - 1]))  # induced by the empty suffix, which comes first
+    for c in range(256):
         bucket = []
         if waiting[c]:
             part = np.concatenate(waiting[c])
@@ -76,28 +85,29 @@ def suffix_array(data: bytes, depth: int) -> np.ndarray:
         if len(before):
             head = text[before]
             by = np.argsort(head, kind="stable")
-            cuts = np.flatnonzero(np.diff(head[by])) + 1
-            for p in np.split(before[by], cuts):
+            for p in np.split(before[by], np.flatnonzero(np.diff(head[by])) + 1):
                 waiting[text[p[0]]].append(p)
     return np.concatenate(out)
 
 
-def _sorted_wide(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted directly by their first ``depth`` symbols, four 16-bit symbols at a time, only ties being read on."""
+def _sorted_direct(packed: np.ndarray, n: int, at: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes sorted by their first ``depth`` bytes, eight at a time, only ties being read on; then by length."""
     order = at.copy()
     group = np.zeros(len(at), np.int64)  # first place of each suffix's group of ties
     open_ = np.arange(len(at))
-    for k in range(-(-depth // 4)):
+    rounds = -(-depth // 8)
+    for k in range(rounds + 1):
         if not len(open_):
             break
-        word = np.zeros(len(open_), np.uint64)
-        for i in range(4):
-            word = (word << np.uint64(16)) | text[order[open_] + (4 * k + i)].astype(np.uint64)
+        if k == rounds:
+            word = np.minimum(n - order[open_], depth).astype(np.uint64)
+        else:
+            word = packed[order[open_] + 8 * k]
+            if 8 * k + 8 > depth:
+                word = word >> np.uint64(8 * (8 * k + 8 - depth))
         by = np.lexsort((word, group[open_]))
         order[open_], word = order[open_][by], word[by]
-        g = group[open_]
-        new = first_of(g) | first_of(word)
-        starts = np.flatnonzero(new)
+        starts = np.flatnonzero(first_of(group[open_]) | first_of(word))
         size = np.diff(np.concatenate([starts, [len(open_)]]))
         group[open_] = np.repeat(open_[starts], size)
         open_ = open_[np.repeat(size, size) > 1]
@@ -106,17 +116,19 @@ def _sorted_wide(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
 
 def common_prefixes(data: bytes, order: np.ndarray, most: int) -> np.ndarray:
     """Length, ``most`` at most, of the prefix each suffix in ``order`` has in common with the one before (0 for the first)."""
-    n = len(data)
-    text = np.zeros(n + most + 8, np.uint16)
-    text[:n] = np.frombuffer(data, np.uint8).astype(np.uint16) + 1
-    out = np.zeros(len(order), np.int64)
+    packed, out = _packed(data, most), np.zeros(len(order), np.int64)
     todo = np.arange(1, len(order))
-    for i in range(most):
-        same = (text[order[todo] + i] == text[order[todo - 1] + i]) & (text[order[todo] + i] > 0)
-        todo = todo[same]
+    for k in range(-(-most // 8)):
+        apart = packed[order[todo] + 8 * k] ^ packed[order[todo - 1] + 8 * k]
+        same = np.full(len(todo), 8)
+        for i in range(1, 9):
+            same -= (apart >> np.uint64(64 - 8 * i)) != 0
+        out[todo] += same
+        todo = todo[apart == 0]
         if not len(todo):
             break
-        out[todo] = i + 1
+    room = len(data) - np.maximum(order[1:], order[:-1]) if len(order) else order
+    out[1:] = np.minimum(out[1:], np.minimum(room, most))
     return out
 
 

@@ -46,7 +46,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, model, "q").select("doc_id", F.col("q.content").alias("content_score"), F.col("q.metadata").alias("metadata_score"), F.col("q.score").alias("score"), F.col("q.keep").alias("keep"))
+    return score_quality(docs, model, "q").select("doc_id", F.col("q.content").alias("content_score"), F.col("q.metadata").alias("metadata_score"), F.col("q.score").alias("score"), F.col("q.keep").alias("kept"))
 
 
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

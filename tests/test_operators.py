@@ -143,3 +143,18 @@ def test_evidence_stream_is_idempotent(spark, tmp_path):
     run()
     assert sorted(r.node for r in spark.read.parquet(f"{tmp_path}/store").collect()) == [1, 2, 3]
     assert events.current_consensus(spark, f"{tmp_path}/store").first().status == "verified"
+
+
+def test_catalogue_and_report(spark):
+    from tesselar.plans import report
+    from tesselar.sources import catalog
+
+    cat = catalog.catalogue(spark, [("a", "Domains", "visium", "brain", True, 100, "p"), ("b", "svg", "xenium", "liver", False, 10, "q")])
+    assert [r.name for r in catalog.list_datasets(cat, task="domains", has_truth=True, max_obs=100).collect()] == ["a"]
+    assert catalog.summary(cat).count() == 2
+    with pytest.raises(KeyError):
+        catalog.get_dataset(spark, cat, "c")
+    pts = spark.createDataFrame([(1, 0.0, 0.0, "<x>"), (2, 1.0, 1.0, None)], "i int, x double, y double, label string")
+    html = report.report("T<", {"points": report.scatter(pts, "label"), "rows": report.table(pts)}, [])
+    assert html.count("<circle") == 2 and "&lt;x&gt;" in html and "T&lt;" in html
+    assert "circle" not in report.scatter(pts.limit(0), "label")

@@ -228,8 +228,8 @@ def _confirmed(size: int, percent: int) -> Callable:
     return run
 
 
-def near_links(docs: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
-    """Confirmed links ``(a, b)`` between classes, whose ids are the least ids of their documents."""
+def linked_classes(docs: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
+    """``(id, component)`` of all classes with a confirmed link; a class's id is the least id of its documents."""
     spark = docs.sparkSession
     classes = signed.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("id"))
     heads = stored(signed.join(classes, (signed["digest"] == classes["digest"]) & (signed["doc_id"] == classes["id"])).select("id", "n", "sig").dropDuplicates(["id"]), "classes")
@@ -250,10 +250,13 @@ def near_links(docs: DataFrame, signed: DataFrame, size: int, percent: int) -> D
     parts = stored(components(links), "parts")
     seen = met.filter("again").select(F.col("a").alias("key"), F.col("b").alias("id"))
     seen = stored(seen.join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "second_look")
-    mixed = seen.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    mixed = stored(seen.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key"), "mixed")
+    if mixed.isEmpty():
+        return parts
     left = seen.join(mixed, "key", "left_semi").join(heads, "id").select("key", "id", "n", "sig", "component")
     more = left.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_crossed(percent), made)
-    return links.unionByName(confirm(more))
+    extra = confirm(more)
+    return parts if extra.isEmpty() else components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(extra))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -269,8 +272,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text_col:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(docs.mapInArrow(_signed(size), "doc_id long, n long, digest binary, sig binary"), "signatures")
     for_python(docs.sparkSession, 4000)
-    links = near_links(docs, signed, size, percent)
-    parts = components(links)
+    parts = linked_classes(docs, signed, size, percent)
     classes = signed.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("id"))
     found = classes.join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     # A class of copies may hold a third of all rows: the join's skew is left to adaptive splitting.

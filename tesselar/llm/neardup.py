@@ -8,7 +8,8 @@ the full shingle sets.
 
 A large group of alike texts is not expanded into all its pairs. Equal sets are one class from the start. Under a key, a
 class within the radius of an earlier one follows it and is compared with it alone, so a key gives no more candidates than
-it has members; pairs of followers are compared only if their components still differ after the first links are known. Nothing is dropped: whatever pair within
+it has members; pairs of followers are compared only if their components still differ after the first links are known, and then where the
+members of a key lie together. Nothing is dropped: whatever pair within
 the radius is left uncompared lies within one component.
 """
 
@@ -126,8 +127,8 @@ def _first_met(sig: np.ndarray, other: np.ndarray, key: int) -> np.ndarray:
     return chunk * len(LEFT_OUT) + choice == (key >> (16 * (WIDTH - ERRORS)))
 
 
-def _groups(batches: Iterable[pa.RecordBatch], extra: str | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
-    """Keys with two members or more, from rows sorted by key: key, ids, sizes, signatures and another column."""
+def _groups(batches: Iterable[pa.RecordBatch], *extra: str) -> Iterator[tuple]:
+    """Keys with two members or more, from rows sorted by key: key, ids, sizes, signatures and other columns."""
     held: list[tuple] = []
 
     def whole(parts: list[tuple]) -> tuple:
@@ -146,7 +147,7 @@ def _groups(batches: Iterable[pa.RecordBatch], extra: str | None = None) -> Iter
         if not b.num_rows:
             continue
         sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-        names = ["key", "id", "n"] + ([extra] if extra else [])
+        names = ["key", "id", "n", *extra]
         cols = [b.column(x).to_numpy(zero_copy_only=False) for x in names]
         held.append((*cols[:3], sig, *cols[3:]))
         if held[0][0][0] != cols[0][-1]:
@@ -192,20 +193,35 @@ def _led(percent: int) -> Callable:
     return run
 
 
-def _crossed(percent: int) -> Callable:
-    """Candidates of each key whose components differ."""
+def _joined(size: int, percent: int) -> Callable:
+    """Confirmed links of each key between components, until its members are of one component or all pairs are compared.
+
+    Sets are compared where the members lie, so a key gives fewer links than it has members, and no candidates.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, ids, n, sig, part in _groups(batches, "component"):
-            rows = []
+        for key, ids, n, sig, part, text in _groups(batches, "component", "text"):
+            root, sets, a, b = part.copy(), [None] * len(ids), [], []
+
+            def held(i: int) -> np.ndarray:
+                if sets[i] is None:
+                    sets[i] = shingle_set(text[i], size)  # noqa: B023
+                return sets[i]  # noqa: B023
+
             for i in range(len(ids) - 1):
-                rest = np.flatnonzero((part[i + 1 :] != part[i]) & _sized(n[i + 1 :], n[i], percent)) + i + 1
+                rest = np.flatnonzero((root[i + 1 :] != root[i]) & _sized(n[i + 1 :], n[i], percent)) + i + 1
                 rest = rest[(sig[rest] != sig[i]).sum(1) <= RADIUS]
-                if len(rest):
-                    rest = rest[_first_met(sig[rest], sig[i], key)]
-                    rows.append((np.full(len(rest), ids[i]), ids[rest], False))
-            if rows:
-                yield _pairs(rows)
+                rest = rest[_first_met(sig[rest], sig[i], key)] if len(rest) else rest
+                for j in rest:
+                    if root[j] == root[i]:
+                        continue
+                    both = len(np.intersect1d(held(i), held(j), assume_unique=True))
+                    if 100 * both >= percent * (n[i] + n[j] - both):
+                        a.append(ids[i])
+                        b.append(ids[j])
+                        root[root == root[j]] = root[i]
+            if a:
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -253,9 +269,10 @@ def linked_classes(docs: DataFrame, signed: DataFrame, size: int, percent: int)
     mixed = stored(seen.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key"), "mixed")
     if mixed.isEmpty():
         return parts
-    left = seen.join(mixed, "key", "left_semi").join(heads, "id").select("key", "id", "n", "sig", "component")
-    more = left.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_crossed(percent), made)
-    extra = confirm(more)
+    left = stored(seen.join(mixed, "key", "left_semi"), "mixed_members")
+    texts = docs.join(left.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).toDF("id", "text")
+    left = left.join(heads, "id").join(texts, "id").select("key", "id", "n", "sig", "component", "text")
+    extra = stored(left.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_joined(size, percent), "a long, b long"), "more_links")
     return parts if extra.isEmpty() else components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(extra))
 
 

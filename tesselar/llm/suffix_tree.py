@@ -1,10 +1,11 @@
 """A probabilistic suffix tree over words: built from counts of the whole corpus, used to score whole texts.
 
 Symbols are the words with at least ``p_symbol`` of all training tokens and one class for all others, whose members share
-the class's probability by their counts. A context (a run of symbols) is a candidate when it makes up ``p_context`` of the
-tokens; it is retained when what follows it diverges enough from what follows its longest retained proper suffix. Counts
-come from the whole corpus by distributed passes; the tree has at most depth / p_context contexts and as many transitions,
-however large the corpus, so the driver and every worker can hold it. Counts of rare words are not bounded, and are joined.
+the class's probability by their counts. Every run of symbols seen ``MIN_COUNT`` times is a transition, and every context
+with a transition is a candidate: the tree grows with the corpus. A context is retained when what follows it diverges
+enough from what follows its longest retained proper suffix; its distribution is then its own discounted counts and, for
+what the discount frees, its suffix's. The tree is never held in one place: levels are tables, joined by context, and
+texts meet them by the runs they hold. ``SuffixTree`` is the same tree in memory, for small alphabets and for tests.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import for_python, stored, words
+from .common import dropped, for_python, stored, words
 
 #: Taken from the count of every seen transition; what it frees is spread by the suffix's distribution.
 DISCOUNT = 0.5
@@ -29,6 +30,13 @@ ADDED = 0.1
 END = b""
 #: Longest word that can be a symbol, in bytes; longer words are members of the class of rare words.
 SYMBOL_BYTES = 64
+#: Transitions seen less often say nothing of their own.
+MIN_COUNT = 2
+#: Bits of a symbol in a packed run; the last three symbols are in ``lo``, up to three older ones in ``hi``.
+BITS = 21
+MASK = (1 << BITS) - 1
+#: Stands before the start of a text; no context holds it.
+PAD = MASK
 #: Distinct counts that a task holds before it hands them on.
 HELD = 600_000
 
@@ -113,13 +121,13 @@ class SuffixTree:
         new = Level(count >= 0, count, suffix, codes, counts)
         k = len(self.levels) + 1
         ctx, symbol = codes // self.n, codes % self.n
-        new.prob = np.maximum(counts - DISCOUNT, 0) / np.maximum(count[ctx], 1)
+        own = np.maximum(counts - DISCOUNT, 0) / np.maximum(count[ctx], 1)
         lower = self._prob(k - 1, suffix[ctx], symbol)
         add = lambda x: np.bincount(ctx, x, len(count))
-        seen, mass, mass_below = add(counts), add(new.prob), add(lower)
-        rest, rest_below = np.maximum(1 - mass, 1e-12), np.maximum(1 - mass_below, 1e-12)
-        gain = add(counts * np.log(np.maximum(new.prob, 1e-12) / lower)) + (count - seen) * np.log(rest / rest_below)
-        new.retained, new.spread = gain >= min_gain, rest / rest_below
+        seen, new.spread = add(counts), 1 - add(own)
+        new.prob = own + new.spread[ctx] * lower
+        gain = add(counts * np.log(new.prob / lower)) + (count - seen) * np.log(np.maximum(new.spread, 1e-12))
+        new.retained = gain >= min_gain
         self.levels.append(new)
 
     def _prob(self, k: int, ctx: np.ndarray, symbol: np.ndarray) -> np.ndarray:
@@ -183,42 +191,110 @@ def _counted(source: DataFrame) -> DataFrame:
     return source.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _gram_counts(source: DataFrame, tree: object) -> DataFrame:
-    """(code, n) of the tree's next level over all texts."""
+def _packed(ids: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the run of ``depth`` symbols before it and its own, as (hi, lo); short of symbols it begins with PAD."""
+    at = np.arange(len(ids))
+    offset = at - np.repeat(starts, np.diff([*starts, len(ids)]))
+    hi, lo = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+    for back in range(depth + 1):
+        each = np.where(offset >= back, ids[np.maximum(at - back, 0)], PAD)
+        if back < 3:
+            lo |= each << (BITS * back)
+        else:
+            hi |= each << (BITS * (back - 3))
+    return hi, lo
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts, size = [], [], 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            each, at = np.unique(np.concatenate(codes), return_inverse=True)
-            return each, np.bincount(at, np.concatenate(counts), len(each)).astype(np.int64)
+def _added(n: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, and ``n`` added up for each."""
+    order = np.lexsort(keys)
+    keys = tuple(k[order] for k in keys)
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    first = np.flatnonzero(new)
+    return (np.add.reduceat(n[order], first) if len(first) else n[order], *(k[first] for k in keys))
 
-        def out() -> pa.RecordBatch:
-            made = merged()
-            return pa.RecordBatch.from_pydict({"code": pa.array(made[0], pa.int64()), "n": pa.array(made[1], pa.int64())})
 
+def _gram_counts(source: DataFrame, tree: object, depth: int) -> DataFrame:
+    """(hi, lo, n) of every run of ``depth`` + 1 symbols in ``source``; n counts those in texts that are learnt from."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        merged = lambda: _added(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        out = lambda x: pa.RecordBatch.from_pydict({"hi": pa.array(x[1]), "lo": pa.array(x[2]), "n": pa.array(x[0])})
         for b in batches:
-            each, n = np.unique(tree.value.grams(_texts(b)), return_counts=True)
-            codes.append(each)
-            counts.append(n)
-            size += len(each)
-            if size > 4 * HELD:
-                each, n = merged()
-                codes, counts, size = [each], [n], len(each)
-                if size > 2 * HELD:
-                    yield out()
-                    codes, counts, size = [], [], 0
+            if not b.num_rows:
+                continue
+            ids, starts = tree.value.read(_texts(b))
+            hi, lo = _packed(ids, starts, depth)
+            learnt = np.repeat(np.array(b.column("train").to_pylist(), np.int64), np.diff([*starts, len(ids)]))
+            held.append(_added(learnt, hi, lo))
+            size += len(held[-1][0])
+            if size > 2 * HELD:
+                held = [merged()]
+                size = len(held[0][0])
+                if size > HELD:
+                    yield out(held[0])
+                    held, size = [], 0
         if size:
-            yield out()
-
-    return source.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def fit_and_score(docs: DataFrame, p_symbol: float = 5e-7, p_context: float = 2e-5, depth: int = 2, min_gain: float = 6.0, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+            yield out(merged())
+
+    return source.select("text", (~held_out("doc_id")).alias("train")).mapInArrow(run, "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
+
+
+def _cut(k: int) -> tuple[Column, Column]:
+    """Of a packed run its last k symbols."""
+    low = lambda c, n: F.col(c).bitwiseAND((1 << (BITS * n)) - 1) if n > 0 else F.lit(0).cast("long")
+    return low("hi", min(k - 3, 3)), low("lo", min(k, 3))
+
+
+def _context() -> tuple[Column, Column]:
+    """Of a packed run all but its last symbol."""
+    return F.shiftright("hi", BITS), F.shiftright("lo", BITS).bitwiseOR(F.shiftleft(F.col("hi").bitwiseAND(MASK), 2 * BITS))
+
+
+def _oldest(k: int) -> Column:
+    """The first of the k symbols of a packed run."""
+    return F.shiftright("lo", BITS * (k - 1)) if k <= 3 else F.shiftright("hi", BITS * (k - 4))
+
+
+def _levels(grams: DataFrame, tree: SuffixTree, depth: int, least: float, min_gain: float) -> tuple[DataFrame, int]:
+    """(hi, lo, p, root) for every run of ``grams``: its last symbol's probability after the others and without them, and
+    the number of retained contexts. Level k takes the suffix's probability from level k - 1 and needs no other."""
+    add = F.when(F.col("lo") == 0, ADDED * (tree.distinct - len(tree.symbols) + 1)).otherwise(ADDED)
+    pick = lambda k: grams.select(*(c.alias(x) for c, x in zip(_cut(k + 1), ("hi", "lo"), strict=True)), "n").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
+    root = (F.col("n") + add) / F.lit(tree.whole)
+    below = stored(pick(0).select("hi", "lo", root.alias("p"), root.alias("root")), "tree_0")
+    retained = 0
+    for k in range(1, depth + 1):
+        runs = grams if k == depth else pick(k)
+        (hi, lo), (c_hi, c_lo) = _cut(k), _context()
+        runs = runs.select("hi", "lo", "n", hi.alias("s_hi"), lo.alias("s_lo"), c_hi.alias("c_hi"), c_lo.alias("c_lo"))
+        lower = below.select(F.col("hi").alias("s_hi"), F.col("lo").alias("s_lo"), F.col("p").alias("lower"), "root")
+        level = stored(runs.join(lower, ["s_hi", "s_lo"]).drop("s_hi", "s_lo"), f"runs_{k}")
+        seen = F.col("n") >= MIN_COUNT
+        whole = level.filter(_oldest(k + 1) != PAD)
+        spread = 1 - (F.sum(F.when(seen, F.col("n") - DISCOUNT))) / F.sum("n")
+        contexts = whole.groupBy("c_hi", "c_lo").agg(F.sum("n").alias("count"), F.sum(F.when(seen, F.col("n"))).alias("seen"), spread.alias("spread")).filter(F.col("seen").isNotNull() & (F.col("count") >= least))
+        gain = F.sum(F.col("n") * F.log((F.col("n") - DISCOUNT) / F.col("count") / F.col("lower") + F.col("spread"))) + F.first(F.col("count") - F.col("seen")) * F.log(F.first("spread"))
+        tested = whole.filter(seen).join(contexts, ["c_hi", "c_lo"]).groupBy("c_hi", "c_lo").agg(gain.alias("gain"), F.first("count").alias("count"), F.first("spread").alias("spread"))
+        kept = stored(tested.filter(F.col("gain") >= min_gain).drop("gain"), f"contexts_{k}")
+        retained += kept.count()
+        own = F.when(seen, (F.col("n") - DISCOUNT) / F.col("count")).otherwise(0.0) + F.col("spread") * F.col("lower")
+        made = level.join(kept, ["c_hi", "c_lo"], "left").select("hi", "lo", F.when(F.col("count").isNull(), F.col("lower")).otherwise(own).alias("p"), "root")
+        new = stored(made.filter(F.col("p") != F.col("root")) if k == depth else made, f"tree_{k}")
+        dropped(grams.sparkSession, below, level, kept)
+        below = new
+    return below, retained
+
+
+def fit_and_score(docs: DataFrame, p_symbol: float = 5e-7, p_context: float = 0.0, depth: int = 3, min_gain: float = 6.0, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Learn from the documents that are not held out, score all: ``doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score, n_contexts``; scores are sums of log10 probabilities over a text's words and its end.
 
-    base_score is the smoothed word-frequency model's. Null text counts as empty: its end alone is scored. Rows that
+    Contexts have up to ``depth`` words, five at most; with ``p_context`` only those that make up that share of the tokens
+    are candidates. base_score is the smoothed word-frequency model's. Null text counts as empty: its end alone is scored. Rows that
     repeat count as often as they come and are scored each. A null id is not held out. Without any document to learn
     from, all words are unknown and share one probability. An empty table gives an empty result; other columns are not
     read.
@@ -236,16 +312,16 @@ def fit_and_score(docs: DataFrame, p_symbol: float = 5e-7, p_context: float = 2e
     each = np.array(listed.column("n").to_pylist(), np.int64)
     symbols = {bytes(w): i + 1 for i, w in enumerate(listed.column("word").to_pylist())}
     each = np.concatenate([[total - each.sum()], each]).astype(np.int64)
+    if len(symbols) >= PAD or not 1 <= depth <= 5:
+        raise ValueError(f"{len(symbols)} symbols of depth {depth} do not fit a packed run")
     tree = SuffixTree(symbols, each, total, distinct, each >= max(1, p_context * total))
-    for _ in range(depth):
-        sent = spark.sparkContext.broadcast(tree)
-        grams = _gram_counts(train, sent).filter(F.col("n") >= max(2, p_context * total)).toArrow()  # at most 1 / p_context
-        sent.destroy()
-        tree.grow(np.array(grams.column("code").to_pylist(), np.int64), np.array(grams.column("n").to_pylist(), np.int64), min_gain)
     sent = spark.sparkContext.broadcast(tree)
+    grams = stored(_gram_counts(source, sent, depth), "grams")
+    ratios, retained = _levels(grams, tree, depth, p_context * total, min_gain)
+    dropped(spark, grams)
 
     scored = T.StructType([source.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("n_rare", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("word", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("doc", scored)])
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("word", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("doc", scored)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -261,11 +337,15 @@ def fit_and_score(docs: DataFrame, p_symbol: float = 5e-7, p_context: float = 2e
             by_text = lambda x: np.add.reduceat(x, starts)
             rare = ids == 0
             n_rare = by_text(rare.astype(np.int64))
-            score = by_text(model.log10(ids, starts)) - n_rare * np.log10(model.rare_whole)
+            score = by_text(np.log10(model.root)[ids]) - n_rare * np.log10(model.rare_whole)
             docs_of = {"doc_id": b.column("doc_id"), "n_tokens": [len(ws) + 1 for ws in texts], "n_rare": n_rare, "base": by_text(base_log[ids]) - n_rare * np.log10(model.whole), "score": score}
             one = pa.StructArray.from_arrays([pa.array(docs_of[f.name]) if not isinstance(docs_of[f.name], pa.Array) else docs_of[f.name] for f in scored], fields=list(arrow.field("doc").type))
             # A text's own row gets a key that is no word, so that these rows are dealt evenly too.
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([b" %d" % x for x in rows], pa.binary()), pa.nulls(len(rows), pa.int32()), one], schema=arrow)
+            none = pa.array(np.full(len(rows), -1))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), none, none, pa.array([b" %d" % x for x in rows], pa.binary()), pa.nulls(len(rows), pa.int32()), one], schema=arrow)
+            text = np.repeat(np.arange(len(rows)), np.diff([*starts, len(ids)]))
+            m, text, hi, lo = _added(np.ones(len(ids), np.int64), text, *_packed(ids, starts, depth))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(rows, np.int64)[text]), pa.array(hi), pa.array(lo), pa.array([b""] * len(m), pa.binary()), pa.array(m.astype(np.int32)), pa.nulls(len(m), arrow.field("doc").type)], schema=arrow)
             at, word, n = [], [], []
             for row, few, ws in zip(rows, n_rare, texts, strict=True):
                 if few:
@@ -274,18 +354,24 @@ def fit_and_score(docs: DataFrame, p_symbol: float = 5e-7, p_context: float = 2e
                     word += found
                     n += found.values()
             if at:
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(word, pa.binary()), pa.array(n, pa.int32()), pa.nulls(len(at), arrow.field("doc").type)], schema=arrow)
+                none = pa.array(np.full(len(at), -1))
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), none, none, pa.array(word, pa.binary()), pa.array(n, pa.int32()), pa.nulls(len(at), arrow.field("doc").type)], schema=arrow)
 
     found = source.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, schema)
-    rare_counts = counts.filter((F.col("n") < p_symbol * total) | (F.octet_length("word") > SYMBOL_BYTES)).select("word", F.col("n").alias("c"))
-    share = F.log10(F.coalesce(F.col("c"), F.lit(0)) + ADDED) * F.col("n")
-    joined = found.join(rare_counts, "word", "left").groupBy("row").agg(
-        F.max("doc").alias("doc"), F.sum(share).alias("share"), F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("known")
+    rare = (F.col("n") < p_symbol * total) | (F.octet_length("word") > SYMBOL_BYTES)
+    no = F.lit(-1).cast("long")
+    # A rare word's (hi, lo) is (-1, -1), a run's word is empty: one join serves both.
+    rare_counts = counts.filter(rare).select(no.alias("hi"), no.alias("lo"), "word", F.log10(F.col("n") + ADDED).alias("share"), F.lit(True).alias("word_known"))
+    better = ratios.select("hi", "lo", F.lit(END).alias("word"), F.log10(F.col("p") / F.col("root")).alias("share"), F.lit(False).alias("word_known"))
+    is_word = F.col("hi") == -1
+    share = F.coalesce("share", F.when(is_word, F.lit(float(np.log10(ADDED)))).otherwise(0.0)) * F.col("n")
+    joined = found.join(rare_counts.unionByName(better), ["lo", "hi", "word"], "left").groupBy("row").agg(
+        F.max("doc").alias("doc"), F.sum(F.when(is_word, share)).alias("share"), F.sum(F.when(~is_word, share)).alias("runs"), F.sum(F.when(F.col("word_known"), F.col("n"))).alias("known")
     )
     extra = F.coalesce(F.col("share"), F.lit(0.0))
     return joined.select(
         F.col("doc.doc_id").alias("doc_id"), held_out("doc.doc_id").alias("held_out"), F.col("doc.n_tokens").alias("n_tokens"),
         (F.col("doc.n_tokens") - F.col("doc.n_rare") + F.coalesce(F.col("known"), F.lit(0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("doc.base") + extra).alias("base_score"), (F.col("doc.score") + extra).alias("score"),
-        F.lit(sum(int(x.retained.sum()) for x in tree.levels)).cast("long").alias("n_contexts"),
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("doc.base") + extra).alias("base_score"), (F.col("doc.score") + extra + F.coalesce("runs", F.lit(0.0))).alias("score"),
+        F.lit(retained).cast("long").alias("n_contexts"),
     )

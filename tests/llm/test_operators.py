@@ -208,6 +208,31 @@ def test_suffix_tree_probabilities_sum_to_one():
             assert tree._prob(k, np.full(4, ctx), np.arange(4)).sum() == pytest.approx(1, abs=1e-9)
 
 
+def test_suffix_tree_keeps_rare_contexts(spark):
+    """The joined levels against the tree in memory, and a context too rare for a share of the corpus."""
+    random.seed(6)
+    texts = [" ".join(random.choice("a b c d e".split()) if random.random() < 0.6 else "a b" for _ in range(random.randrange(0, 40))) for _ in range(120)] + ["q r s t u"] * 12
+    rows = fit_and_score(table(spark, texts), p_symbol=0.004, min_gain=0.5).collect()
+    toks = [[x.encode() for x in WORDS.findall(t)] for t in texts]
+    train = [ws for i, ws in enumerate(toks) if zlib.crc32(str(i).encode()) % 10]
+    counts = Counter(w for ws in train for w in (*ws, b""))
+    total = sum(counts.values())
+    symbols = {w: k + 1 for k, w in enumerate(w for w, n in counts.items() if n >= 0.004 * total)}
+    each = np.array([total - sum(counts[w] for w in symbols), *(counts[w] for w in symbols)])
+    tree = SuffixTree(symbols, each, total, len(counts), each >= 1)
+    for _ in range(3):
+        codes, n = np.unique(tree.grams(train), return_counts=True)
+        tree.grow(codes[n >= 2], n[n >= 2], 0.5)
+    assert rows[0].n_contexts == sum(int(x.retained.sum()) for x in tree.levels) and tree.levels[2].retained.any()
+    for r in rows:
+        ws = toks[r.doc_id]
+        rare = sum(math.log10((counts[w] + 0.1) / tree.rare_whole) for w in ws if w not in symbols)
+        assert r.score == pytest.approx(tree.log10(*tree.read([ws])).sum() + rare, rel=1e-9)
+    filler = [" ".join(f"w{random.randrange(3000)}" for _ in range(2000)) for _ in range(150)]
+    runs = {r.doc_id: r for r in fit_and_score(table(spark, ["q r s t u"] * 6 + filler)).collect()}
+    assert runs[0].score > runs[0].base_score + 5  # 6 of 300,000 tokens are no share of the corpus
+
+
 def brute_near(texts, size, percent):
     sets = {}
     for i, t in enumerate(texts):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesselar.llm.common import stored
-from tesselar.llm.lines import drop_repeated_lines
+from tesselar.llm.lines import drop_repeated_lines, text_key
 from tesselar.llm.neardup import near_duplicates
 from tesselar.llm.packing import Limits, pack
 from tesselar.llm.pii import mask_pii
@@ -26,16 +26,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that ten documents or more hold; ``n_chars`` follows the text.
 
-    A document that would lose all its text is a copy among ten or more, not a frame around something else: it keeps its
-    text, and the next stage keeps one of the copies.
+    A text that ten documents or more hold as a whole, but for case and white space at the ends of its lines, would lose
+    all its lines to its own copies: the document of the smallest id keeps it, all others lose it.
     """
-    before = docs.withColumn("__was", F.col("text"))
+    keys = F.xxhash64(text_key(F.col("text"))).alias("__h1"), F.xxhash64(F.lit(7), text_key(F.col("text"))).alias("__h2")
+    equal = docs.select("doc_id", *keys).distinct().groupBy("__h1", "__h2").agg(F.count("*").alias("__n"), F.min("doc_id").alias("__id"))
+    keepers = stored(equal.filter("__n >= 10").drop("__n"), "line_keepers")
+    marked = docs.join(keepers, (docs["doc_id"] == F.col("__id")) & (F.xxhash64(text_key(docs["text"])) == F.col("__h1")), "left")
+    stays = F.col("__id").isNotNull() | F.col("text").isNull()
+    before = marked.select(*docs.columns, stays.alias("__stays"), F.when(stays, F.col("text")).alias("__was"))
     out = drop_repeated_lines(before, min_docs=10, min_chars=1)
-    changed = (F.col("n_dropped") > 0) & (F.trim("text") != "")
-    text = F.when(changed, F.col("text")).otherwise(F.col("__was"))
+    changed = (F.col("n_dropped") > 0) & ~F.col("__stays")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.withColumn("text", text).select(*docs.columns)
+    return out.withColumn("text", F.when(F.col("__stays"), F.col("__was")).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

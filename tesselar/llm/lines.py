@@ -29,6 +29,11 @@ def _split(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def text_key(text: Column) -> Column:
+    """The keys of all lines that are not blank, in order: texts with equal keys lose the same lines."""
+    return F.array_join(F.filter(F.transform(_split(text), line_key), lambda k: k != ""), "\n")
+
+
 class LineRuns:
     """Levelled runs in the session's warehouse or shared folder; every run is a bucketed, sorted table."""
 

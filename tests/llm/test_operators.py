@@ -74,6 +74,20 @@ def test_line_dedup(spark):
     assert drop_repeated_lines(table(spark, []), min_docs=2).count() == 0
 
 
+def test_pipeline_drops_boilerplate_pages(spark):
+    """Pages of frequent lines only lose them; of ten equal texts one stays, empty lines inside or not."""
+    import corpus_pipeline as p
+
+    lines = ["Home", "All rights reserved.", "Contact us"]
+    texts = [f"own {i}\n" + "\n".join(lines) for i in range(10)] + ["Contact us\nHome", "home \n\nAll rights reserved.", None]
+    texts += ["First paragraph.\n\nSecond paragraph."] * 12 + ["first paragraph.\n \nSecond paragraph.\t", "one of its kind\nFirst paragraph."]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int").repartition(3)
+    got = {r.doc_id: (r.text, r.n_chars) for r in p.line_dedup(spark, docs, "").collect()}
+    assert [got[i] for i in range(10)] == [(f"own {i}", 5) for i in range(10)]
+    assert got[10] == ("", 0) and got[11] == ("", 0) and got[12] == (None, 0)
+    assert got[13] == (texts[13], len(texts[13])) and all(not got[i][0].strip() for i in range(14, 26)) and got[26][0] == "one of its kind"
+
+
 def luhn(d):
     return sum(v * 2 - 9 * (v > 4) if i % 2 else v for i, v in enumerate(map(int, reversed(d)))) % 10 == 0
 

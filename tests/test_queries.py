@@ -17,6 +17,14 @@ def test_has_rows(spark, name):
     assert registry.QUERIES[name](spark, DIR).count() > 0
 
 
+def test_whole_tables(spark):
+    n = {t: spark.read.parquet(f"{DIR}/{t}.parquet").count() for t in ("events", "part")}
+    rows = {name: registry.QUERIES[f"{name}_all"](spark, DIR) for name in ("privacy_gate", "resolve_markers", "mutual_nearest_anchors", "recommend_neighbours")}
+    assert rows["privacy_gate"].count() == n["events"] and rows["resolve_markers"].select("seq").distinct().count() == n["part"]
+    assert rows["mutual_nearest_anchors"].select("a", "b").distinct().count() == 3
+    assert rows["recommend_neighbours"].select("q").distinct().count() == registry.QUERIES["landscape_means"](spark, DIR).select("dataset").distinct().count()
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -227,7 +227,7 @@ def boundary_aware(v: DataFrame, edges: DataFrame, k: int = 3, weight: float = 0
     return kmeans(saved(wide(blend), "blend"), k).join(score, "i")
 
 
-def potts_refined(emb: DataFrame, domains: DataFrame, edges: DataFrame, weight: float = 0.35, rounds: int = 3) -> DataFrame:
+def potts_refined(emb: DataFrame, domains: DataFrame, edges: DataFrame, weight: float = 0.35, rounds: int = 6) -> DataFrame:
     """Labels that trade distance from their centre against agreement with the neighbours, for some rounds."""
     x = long(emb)
     lab = domains.select("i", "domain")
@@ -243,7 +243,7 @@ def potts_refined(emb: DataFrame, domains: DataFrame, edges: DataFrame, weight:
     return lab.join(same, "i", "left")
 
 
-def uncertainty(emb: DataFrame, k: int = 3, runs: int = 3) -> DataFrame:
+def uncertainty(emb: DataFrame, k: int = 3, runs: int = 7) -> DataFrame:
     """Vote share against the chosen domain over restarts; labels are matched to the first run's by largest overlap."""
     base = saved(kmeans(emb, k, 0), "base")
     votes = base

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import choose2, ratio
+from ..plans.tables import saved
 
 
 def contingency(df: DataFrame, truth: str = "label", pred: str = "pred") -> DataFrame:
@@ -165,16 +166,27 @@ def proportions(scores: DataFrame) -> DataFrame:
     return scores.withColumn("e", e).select("i", "label", (F.col("e") / F.sum("e").over(w)).alias("p"))
 
 
-def simplex_deconv(scores: DataFrame, edges: DataFrame, strength: float = 0.5, rounds: int = 3) -> DataFrame:
+#: Change of a proportion below which a further round changes nothing.
+SETTLED = 1e-12
+
+
+def simplex_deconv(scores: DataFrame, edges: DataFrame, strength: float = 0.5, rounds: int = 100) -> DataFrame:
     """Softmax evidence drawn towards the neighbours' proportions for some rounds; every row stays on the simplex.
 
-    Each step is a convex mean of the evidence and the neighbours, so no projection is needed.
+    Each step is a convex mean of the evidence and the neighbours, so no projection is needed. A step shrinks the distance
+    to the fixed point by strength / (1 + strength) at least; rounds end early when nothing moves by more than ``SETTLED``.
     """
-    evidence = proportions(scores)
+    evidence = saved(proportions(scores), "evidence")
+    edges = saved(edges.select("i", "j"), "simplex_edges")
     p = evidence
     for _ in range(rounds):
         near = edges.join(p.select(F.col("i").alias("j"), "label", F.col("p").alias("q")), "j").groupBy("i", "label").agg(F.avg("q").alias("m"))
-        p = evidence.join(near, ["i", "label"], "left").select("i", "label", ((F.col("p") + strength * F.coalesce("m", F.col("p"))) / (1 + strength)).alias("p"))
+        step = evidence.join(near, ["i", "label"], "left").join(p.select("i", "label", F.col("p").alias("was")), ["i", "label"])
+        new = saved(step.select("i", "label", ((F.col("p") + strength * F.coalesce("m", F.col("p"))) / (1 + strength)).alias("p"), "was"), "simplex")
+        moved = new.agg(F.max(F.abs(F.col("p") - F.col("was")))).first()[0]
+        p = new.drop("was")
+        if moved is None or moved <= SETTLED:
+            break
     return p
 
 

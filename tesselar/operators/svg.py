@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import erfc
 from .evidence import step_up
 from .graph import symmetric
+from ..plans.tables import saved
 
 
 def _pairs(v: DataFrame, edges: DataFrame) -> DataFrame:
@@ -88,9 +89,9 @@ def anisotropy(v: DataFrame, edges: DataFrame, points: DataFrame) -> DataFrame:
     return by.select("gene", (F.greatest(*cols) - F.least(*cols)).alias("score"))
 
 
-def bootstrap_robust(v: DataFrame, edges_of, points: DataFrame, n_bootstraps: int = 3, fraction: float = 0.75) -> DataFrame:
+def bootstrap_robust(v: DataFrame, edges_of, points: DataFrame, n_bootstraps: int = 12, fraction: float = 0.75) -> DataFrame:
     """Association over subsamples taken by hash: mean, stability and spread in one score. ``edges_of(points)`` makes edges."""
-    z = standardized(v)
+    z = saved(standardized(v), "z")
     runs = []
     for b in range(n_bootstraps):
         some = points.filter(F.pmod(F.crc32(F.concat_ws(":", F.lit(b), "i").cast("binary")), F.lit(1000)) < int(1000 * fraction))

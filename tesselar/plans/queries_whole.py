@@ -1,4 +1,4 @@
-"""Queries whose registered form takes a part of its table, over the whole table, each with its own SQL.
+"""Queries whose registered form takes a part of its table, over the whole table, or some rounds, until they end.
 
 The partial queries stay beside them, because their SQL is fixed.
 """
@@ -8,13 +8,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evidence as E
-from ..operators import integrate, labels
+from ..operators import graph, integrate, labels
 from ..sources import longtable
 from . import adapters as A
 from . import queries_evidence, queries_matrix, queries_models, queries_studies
 from .adapters import with_
 from .queries_evidence import MEANS, features, means
-from .queries_matrix import batches, rounded
+from .queries_matrix import batches, markers, rounded
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +106,10 @@ def recommend_methods_all(s, d):
 @entry("decision_card_all", _without(queries_evidence.ORACLES["decision_card"], FEW))
 def decision_card_all(s, d):
     return rounded(E.decision(E.rank_methods(near(s, d), means(s, d))), "support", "first", "second")
+
+
+@entry("spatial_simplex_deconv_all")
+def spatial_simplex_deconv_all(s, d):
+    """The reference's 100 rounds; in the tests against a loop."""
+    sc = labels.marker_scores(A.values(s, d), markers(s))
+    return rounded(labels.simplex_deconv(sc, graph.knn(A.points(s, d), 6)), "p")

@@ -158,3 +158,31 @@ def test_catalogue_and_report(spark):
     html = report.report("T<", {"points": report.scatter(pts, "label"), "rows": report.table(pts)}, [])
     assert html.count("<circle") == 2 and "&lt;x&gt;" in html and "T&lt;" in html
     assert "circle" not in report.scatter(pts.limit(0), "label")
+
+
+def test_rounds_reach_their_end(spark):
+    import inspect
+
+    import numpy as np
+
+    from tesselar.operators import domains, svg
+
+    n = 40  # a path with a few chords: five power steps from ones do not reach its ends
+    pairs = [(i, i + 1) for i in range(n - 1)] + [(0, 2), (1, 3), (20, 24)]
+    adj = np.zeros((n, n))
+    for i, j in pairs:
+        adj[i, j] = adj[j, i] = 1
+    both = spark.createDataFrame(pairs + [(j, i) for i, j in pairs], "i long, j long").withColumns({"d2": F.lit(1.0), "r": F.lit(1)})
+    want = np.abs(np.linalg.eigh(adj)[1][:, -1])
+    got = {r.i: r.centrality for r in graph.eigenvector_centrality(both).collect()}
+    assert [got[i] for i in range(n)] == pytest.approx(list(want), abs=1e-6)
+    scores = spark.createDataFrame([(i, g, float((i * 7 + g * 3) % 5)) for i in range(n) for g in range(2)], "i long, label long, s double")
+    p = {(r.i, r.label): r.p for r in labels.simplex_deconv(scores, both).collect()}
+    e = np.exp(np.array([[(i * 7 + g * 3) % 5 for g in range(2)] for i in range(n)], float))
+    e /= e.sum(1, keepdims=True)
+    q = e.copy()
+    for _ in range(100):
+        q = (e + 0.5 * (adj @ q) / adj.sum(1, keepdims=True)) / 1.5
+    assert [p[i, g] for i in range(n) for g in range(2)] == pytest.approx(list(q.ravel()), abs=1e-9)
+    default = lambda f, name: inspect.signature(f).parameters[name].default
+    assert (default(domains.potts_refined, "rounds"), default(domains.uncertainty, "runs"), default(svg.bootstrap_robust, "n_bootstraps")) == (6, 7, 12)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -14,16 +15,27 @@ from pyspark.sql import functions as F
 #: ASCII white space of the text contracts: space and 0x09-0x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Texts handed to a Python worker at once; whole texts are long, so batches are short.
-ARROW_ROWS = 400
+#: Rows and bytes handed to a Python worker at once: whole texts are long, other rows short.
+ARROW_ROWS, ARROW_BYTES = 20_000, 1_500_000
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Used only where the session names no shared folder, as in local tests.
+#: Used only where a local session names no shared folder, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session's ``spark.checkpoint.dir`` names it."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    """The folder all executors share, as the session's ``spark.checkpoint.dir`` names it; a cluster has to name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or LOCAL_SHARED
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -48,9 +60,13 @@ def dropped(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def for_python(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound what one Arrow batch of whole texts takes, and let Python workers find this package as the driver does."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def for_python(spark: SparkSession) -> None:
+    """Bound what one Arrow batch takes, and let Python workers find this package as the driver does.
+
+    The bounds stay, as results are computed after their operator has returned; they are the same for all operators.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")
     if root not in [*known.split(os.pathsep), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]:

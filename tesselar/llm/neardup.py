@@ -288,7 +288,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text_col:
     for_python(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(docs.mapInArrow(_signed(size), "doc_id long, n long, digest binary, sig binary"), "signatures")
-    for_python(docs.sparkSession, 4000)
     parts = linked_classes(docs, signed, size, percent)
     classes = signed.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("id"))
     found = classes.join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))

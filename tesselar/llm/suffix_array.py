@@ -5,7 +5,11 @@ the buckets from the left. Adjacent common prefixes then tell which strings of `
 
 No suffix array of the whole corpus fits in one task. Strings of ``length`` bytes that are equal hold equal anchors:
 short strings whose hash is least within a window as long as that string leaves room for. Only the surroundings of anchors
-that occur again, and not all with the same surroundings, are sorted; equal surroundings are settled by their hashes.
+that occur again, and not all with the same surroundings, are sorted; equal surroundings are settled by 128-bit hashes.
+
+An anchor may have any number of different surroundings, as where one passage stands in a third of all documents. Beyond
+``MANY`` of them they are not brought together: every string of ``length`` bytes around such an anchor is settled by its
+own 128-bit hash, each task handing on the earliest of each alone, so no key gathers more rows than there are tasks.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +31,8 @@ ANCHOR = 24
 HELD = 1_000_000
 #: Bytes of text whose anchors are found, or whose suffixes are sorted, in one go (one group of surroundings at least).
 AT_ONCE = 1_500_000
+#: Different surroundings of one anchor that may be sorted together.
+MANY = 20_000
 _draw = np.random.default_rng(19900601)
 _BYTE = _draw.integers(0, 2**63, 256, dtype=np.uint64)
 _BASE = int(_draw.integers(2**62, 2**63)) | 1
@@ -209,35 +216,47 @@ def anchors(data: bytes, ends: np.ndarray, size: int, length: int) -> tuple[np.n
     return at, h[at]
 
 
-ROWS = "h long, s long, doc_id long, a long, b long"
+#: An anchor's hash, the two halves of its surroundings' hash, and where they lie.
+ROWS = "h long, s long, t long, doc_id long, a long, b long"
+NAMES = ["h", "s", "t", "doc_id", "a", "b"]
 #: The end of an anchor's surroundings and the anchor's place in them travel as one number.
 PLACE = 16
+Rows = tuple[np.ndarray, ...]
+
+
+def _arrow(cols: list[np.ndarray | None], names: list[str]) -> pa.RecordBatch:
+    """Columns of 64-bit numbers; None is a column of nulls."""
+    n = next(len(c) for c in cols if c is not None)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c.view(np.int64) if c.dtype == np.uint64 else c, pa.int64()) for c in cols], names=names)
 
 
-def _arrow(h: np.ndarray, s: np.ndarray | None, doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    cols = [h.view(np.int64) if h.dtype == np.uint64 else h, None if s is None else s.view(np.int64), doc, a, b]
-    return pa.RecordBatch.from_arrays([pa.nulls(len(doc), pa.int64()) if c is None else pa.array(c, pa.int64()) for c in cols], names=["h", "s", "doc_id", "a", "b"])
+def _hashed(data: bytes, cuts: Iterable[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of data[x:y] under a seed, as two halves."""
+    out = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[x:y], seed) for x, y, seed in cuts]), ">u8").reshape(-1, 2)
+    return out[:, 0].astype(np.uint64), out[:, 1].astype(np.uint64)
+
+
+def _handed_on(rows: list[Rows]) -> Iterator[pa.RecordBatch]:
+    """A task's rows (see ``ROWS``): the earliest of each anchor and surroundings, and, without hashes, the spans of the
+    others, which are repeats for certain."""
+    h, s, t, doc, a, b = (np.concatenate([x[i] for x in rows]) for i in range(6))
+    by = np.lexsort((a, doc, t, s, h))
+    h, s, t, doc, a, b = h[by], s[by], t[by], doc[by], a[by], b[by]  # b with the place
+    new = first_of(h) | first_of(s) | first_of(t)
+    firsts = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    later = (doc != doc[firsts]) | (a != a[firsts])
+    for i in range(0, int(new.sum()), 50_000):
+        yield _arrow([x[new][i : i + 50_000] for x in (h, s, t, doc, a, b)], NAMES)
+    doc, a, b = merged(doc[later], a[later], b[later] >> PLACE)
+    if len(doc):
+        yield _arrow([doc ^ a, None, None, doc, a, b << PLACE], NAMES)
 
 
 def _surroundings(size: int, length: int) -> Callable:
     """Anchors with the hash and place of their surroundings; rows without ``s`` are spans that are repeats for certain."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            h, s, doc, a, b = (np.concatenate([x[i] for x in held]) for i in range(5))
-            held.clear()
-            by = np.lexsort((a, doc, s, h))
-            h, s, doc, a, b = h[by], s[by], doc[by], a[by], b[by]  # b with the place
-            new = first_of(h) | first_of(s)
-            firsts = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-            later = (doc != doc[firsts]) | (a != a[firsts])
-            for i in range(0, int(new.sum()), 50_000):
-                yield _arrow(*(x[new][i : i + 50_000] for x in (h, s, doc, a, b)))
-            doc, a, b = merged(doc[later], a[later], b[later] >> PLACE)
-            if len(doc):
-                yield _arrow(doc ^ a, None, doc, a, b << PLACE)
+        held: list[Rows] = []
 
         def found(part: list[tuple[int, bytes]]) -> None:
             data, sizes = b"".join([x[1] for x in part]), np.array([len(x[1]) for x in part])
@@ -245,9 +264,9 @@ def _surroundings(size: int, length: int) -> Callable:
             at, h = anchors(data, ends, size, length)
             owner = np.searchsorted(ends, at, "right")
             lo, hi = np.maximum(at - (length - size), (ends - sizes)[owner]), np.minimum(at + length, ends[owner])
-            s = np.fromiter((xxhash.xxh3_64_intdigest(data[x:y], p - x) for x, y, p in zip(lo.tolist(), hi.tolist(), at.tolist(), strict=True)), np.uint64, len(at))
+            s, t = _hashed(data, zip(lo.tolist(), hi.tolist(), (at - lo).tolist(), strict=True))
             begin = (ends - sizes)[owner]
-            held.append((h, s, np.array([x[0] for x in part], np.int64)[owner], lo - begin, (hi - begin << PLACE) + at - lo))
+            held.append((h, s, t, np.array([x[0] for x in part], np.int64)[owner], lo - begin, (hi - begin << PLACE) + at - lo))
 
         for batch in batches:
             part, size_ = [], 0
@@ -262,50 +281,111 @@ def _surroundings(size: int, length: int) -> Callable:
             if part:
                 found(part)
             if sum(len(x[0]) for x in held) > HELD:
-                yield from out()
+                yield from _handed_on(held)
+                held.clear()
         if held:
-            yield from out()
+            yield from _handed_on(held)
 
     return run
 
 
+#: What ``_settled`` gives: spans that are repeats (0), surroundings to be sorted (1), surroundings of an anchor that has MANY (2).
+SETTLED = "kind long, doc_id long, a long, b long"
+SURE, SORT, HOT = 0, 1, 2
+
+
 def _settled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by h, s, doc_id, a: spans that are repeats (no ``h``), and the earliest of each surroundings where
-    an anchor has several (with ``h``). Holds one row."""
-    last = None  # h, s, doc, a of the first row with the surroundings met last
-    waits = None  # the first row of an anchor of which no other surroundings are known yet
+    """From rows sorted by h, s, t, doc_id, a: the spans that are repeats, and the earliest of each surroundings where an
+    anchor has several. Holds the MANY first surroundings of one anchor."""
+    names = ["kind", "doc_id", "a", "b"]
+    last = None  # h, s, t, doc, a of the first row with the surroundings met last
+    held: list[Rows] = []  # doc, a, b of the first surroundings of the anchor met last
+    many = False  # that anchor is known to have MANY
+
+    def kinds(kind: int, rows: Rows) -> pa.RecordBatch:
+        return _arrow([np.full(len(rows[0]), kind), *rows], names)
+
+    def ended() -> Iterator[pa.RecordBatch]:
+        nonlocal many
+        if sum(len(x[0]) for x in held) > 1 and not many:
+            yield kinds(SORT, tuple(np.concatenate(x) for x in zip(*held, strict=True)))
+        held.clear()
+        many = False
+
     for b in batches:
-        sure = b.filter(pa.compute.is_null(b.column("s")))
+        sure = b.filter(pc.is_null(b.column("s")))
         if sure.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.nulls(sure.num_rows, pa.int64()), *(sure.column(c) for c in ("doc_id", "a", "b"))], names=["h", "doc_id", "a", "b"])
-        b = b.filter(pa.compute.is_valid(b.column("s")))
+            yield kinds(SURE, tuple(sure.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "a", "b")))
+        b = b.filter(pc.is_valid(b.column("s")))
         n = b.num_rows
         if not n:
             continue
-        h, s, doc, a, e = (b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "s", "doc_id", "a", "b"))
+        h, s, t, doc, a, e = (b.column(c).to_numpy(zero_copy_only=False) for c in NAMES)
         new_h = first_of(h)
         new_h[0] = last is None or h[0] != last[0]
-        new_s = new_h | first_of(s)
-        new_s[0] = new_h[0] or s[0] != last[1]
+        new_s = new_h | first_of(s) | first_of(t)
+        new_s[0] = new_h[0] or s[0] != last[1] or t[0] != last[2]
         at = np.maximum.accumulate(np.where(new_s, np.arange(n), -1))
-        first_doc = np.where(at >= 0, doc[at], last[2] if last else 0)
-        first_a = np.where(at >= 0, a[at], last[3] if last else 0)
+        first_doc = np.where(at >= 0, doc[at], last[3] if last else 0)
+        first_a = np.where(at >= 0, a[at], last[4] if last else 0)
         later = ~new_s & ((doc != first_doc) | (a != first_a))
         spans = merged(doc[later], a[later], e[later] >> PLACE)
-        spans = *spans[:2], spans[2] << PLACE
+        if len(spans[0]):
+            yield kinds(SURE, (*spans[:2], spans[2] << PLACE))
         tops = np.flatnonzero(new_s)
-        keep = ~new_h[tops]
-        if len(tops):
-            if waits is not None and keep[0]:
-                yield pa.RecordBatch.from_pydict({"h": pa.array([waits[0]], pa.int64()), "doc_id": pa.array([waits[1]], pa.int64()), "a": pa.array([waits[2]], pa.int64()), "b": pa.array([waits[3]], pa.int64())})
-            keep[:-1] |= new_h[tops[:-1]] & ~new_h[tops[1:]]
-            t = tops[-1]
-            waits = (int(h[t]), int(doc[t]), int(a[t]), int(e[t])) if new_h[t] else None
-            last = (h[t], s[t], doc[t], a[t])
-        tops = tops[keep]
-        yield pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([pa.array(h[tops], pa.int64()), pa.nulls(len(spans[0]), pa.int64())]), *(pa.array(np.concatenate([x[tops], y]), pa.int64()) for x, y in zip((doc, a, e), spans, strict=True))], names=["h", "doc_id", "a", "b"]
-        )
+        if not len(tops):
+            continue
+        i = tops[-1]
+        last = (h[i], s[i], t[i], doc[i], a[i])
+        # The tops by anchor: the first part goes on with the anchor met last, the last part may go on in the next batch.
+        cuts = np.flatnonzero(new_h[tops])
+        rows = doc[tops], a[tops], e[tops]
+        bounds = np.concatenate([[0], cuts, [len(tops)]]) if not len(cuts) or cuts[0] else np.concatenate([cuts, [len(tops)]])
+        whole = np.diff(bounds) > 1  # anchors that begin and end in this batch, all handed on at once
+        whole[[0, -1]] = False
+        whole &= np.diff(bounds) <= MANY
+        inside = np.repeat(whole, np.diff(bounds))
+        if inside.any():
+            yield kinds(SORT, tuple(x[bounds[0] :][inside] for x in rows))
+        for k in sorted({0, len(bounds) - 2} | set(np.flatnonzero(np.diff(bounds) > MANY).tolist())):
+            part = tuple(x[bounds[k] : bounds[k + 1]] for x in rows)
+            if new_h[tops[bounds[k]]]:
+                yield from ended()
+            if not many:
+                held.append(part)
+                if sum(len(x[0]) for x in held) > MANY:
+                    many = True
+                    yield kinds(HOT, tuple(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held[:] = [tuple(x[:1] for x in part)]
+            else:
+                yield kinds(HOT, part)
+    yield from ended()
+
+
+def _windows(length: int) -> Callable:
+    """Every string of ``length`` bytes around anchors with many surroundings, as rows like those of ``_surroundings``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Rows] = []
+        for b in batches:
+            for doc, text, spans in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+                raw = (text or "").encode()
+                starts: set[int] = set()
+                for x in spans:
+                    a, e = x["a"], x["b"] >> PLACE
+                    p = a + x["b"] % (1 << PLACE)
+                    starts.update(range(max(a, p + ANCHOR - length), min(p, e - length) + 1))
+                if starts:
+                    at = np.array(sorted(starts), np.int64)
+                    s, t = _hashed(raw, ((i, i + length, 0) for i in at.tolist()))
+                    held.append((s, s, t, np.full(len(at), doc), at, at + length << PLACE))
+            if sum(len(x[0]) for x in held) > HELD:
+                yield from _handed_on(held)
+                held.clear()
+        if held:
+            yield from _handed_on(held)
+
+    return run
 
 
 def _cut_out(length: int) -> Callable:
@@ -419,15 +499,15 @@ def remove_repeats(docs: DataFrame, length: int = 100, text_col: str = "text", i
         raise ValueError(f"length must be between {ANCHOR} and {1 << PLACE}")
     for_python(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = docs.mapInArrow(_surroundings(ANCHOR, length), ROWS)
-    for_python(spark, 20_000)
-    found = stored(rows.repartition("h").sortWithinPartitions("h", "s", "doc_id", "a").mapInArrow(_settled, "h long, doc_id long, a long, b long"), "anchors")
-    for_python(spark)
-    wanted = found.filter("h is not null").groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    parts = docs.join(wanted, "doc_id").mapInArrow(_cut_out(length), "key long, doc_id long, a long, part binary")
-    for_python(spark, 5000)
+    of_kind = lambda rows, kind: rows.filter(F.col("kind") == kind)
+    sure = lambda rows: of_kind(rows, SURE).select("doc_id", "a", F.expr(f"shiftright(b, {PLACE})").alias("b"))
+    by_doc = lambda rows: rows.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    settled = lambda rows, what: stored(rows.repartition("h").sortWithinPartitions("h", "s", "t", "doc_id", "a").mapInArrow(_settled, SETTLED), what)
+    found = settled(docs.mapInArrow(_surroundings(ANCHOR, length), ROWS), "anchors")
+    spans = sure(found)
+    if not of_kind(found, HOT).isEmpty():
+        spans = spans.unionByName(sure(settled(docs.join(by_doc(of_kind(found, HOT)), "doc_id").mapInArrow(_windows(length), ROWS), "strings")))
+    parts = docs.join(by_doc(of_kind(found, SORT)), "doc_id").mapInArrow(_cut_out(length), "key long, doc_id long, a long, part binary")
     more = stored(parts.repartition("key").sortWithinPartitions("key", "doc_id", "a").mapInArrow(_compared(length), "doc_id long, a long, b long"), "repeats")
-    for_python(spark)
-    spans = found.filter("h is null").select("doc_id", "a", (F.expr(f"shiftright(b, {PLACE})")).alias("b")).unionByName(more)
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = by_doc(spans.unionByName(more))
     return docs.join(spans, "doc_id", "left").mapInArrow(_without, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -85,7 +85,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 5, vec_col: str = "embed
     and rows without id, take no part. Shorter vectors count as if filled with zeros. A query that repeats is answered
     once, a row that repeats takes a rank for each copy. Empty tables give an empty result. Other columns are not read.
     """
-    for_python(rows.sparkSession, SUPER)
+    for_python(rows.sparkSession)
     short = lambda df, name: df.filter(F.col(id_col).isNotNull() & usable(F.col(vec_col))).select(F.col(id_col).cast("long").alias(name), quantized(F.col(vec_col), scale).alias("vec"))
     asked, held = short(queries, "query_id").dropDuplicates(["query_id"]), short(rows, "vec_id")
     n_rows, n_asked = (x.first()[0] for x in (rows.agg(F.count("*")), queries.agg(F.count("*"))))

@@ -2,8 +2,11 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -306,6 +309,78 @@ def test_suffix_array_order():
             assert n == same_
 
 
+def brute_repeats(texts, length=100):
+    seen, out = set(), []
+    for t in texts:
+        raw = (t or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for k in range(len(raw) - length + 1):
+            if raw[k : k + length] in seen:
+                gone[k : k + length] = True
+            seen.add(raw[k : k + length])
+        spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(raw) else 0
+        out.append((len(raw), int(gone.sum()), spans, bytes(np.frombuffer(raw, np.uint8)[~gone])))
+    return out
+
+
+def test_remove_repeats_in_a_new_worker(tmp_path):
+    """Nothing that the test session has imported is there."""
+    code = """
+from pyspark.sql import SparkSession
+from tesselar.llm.suffix_array import remove_repeats
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", %r).getOrCreate()
+text = "".join(chr(97 + i * i * 7 %% 26) + str(i) for i in range(60))
+print("REMOVED", [(r.doc_id, r.n_removed) for r in remove_repeats(s.createDataFrame([(1, "x" + text), (2, "y" + text + "z"), (3, None)], "doc_id long, text string")).orderBy("doc_id").collect()])
+""" % str(tmp_path)
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__)))).stdout
+    n = sum(1 + len(str(i)) for i in range(60))
+    assert f"REMOVED [(1, 0), (2, {n}), (3, 0)]" in out
+
+
+@pytest.mark.parametrize("many", [3, 40])
+def test_remove_repeats_around_a_hot_anchor(spark, monkeypatch, many):
+    """One passage among ever different neighbours, and equal ones: by strings where it has too many surroundings to sort."""
+    random.seed(8)
+    from tesselar.llm import suffix_array as S
+
+    passage = "the passage that all of them share, be it long or short, between two others"
+    some = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+    sides = [some(60) for _ in range(7)]
+    texts = [random.choice([some(70), random.choice(sides)]) + passage + random.choice([some(70), random.choice(sides), ""]) for _ in range(150)]
+    monkeypatch.setattr(S, "MANY", many)
+    rows = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(table(spark, texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == brute_repeats(texts)
+
+
+def test_settled_by_batches_of_any_size(monkeypatch):
+    import pyarrow as pa
+    from tesselar.llm import suffix_array as S
+
+    random.seed(9)
+    monkeypatch.setattr(S, "MANY", 4)
+    rows = sorted((random.randrange(12), random.randrange(6), random.randrange(2), random.randrange(30), random.randrange(9)) for _ in range(400))
+    cols = [pa.array(c, pa.int64()) for c in (*zip(*rows), [(r[4] + 100) << S.PLACE for r in rows])]
+    whole, firsts, want = pa.RecordBatch.from_arrays(cols, names=S.NAMES), {}, set()
+    for h, s, t, doc, a in rows:
+        first = firsts.setdefault((h, s, t), (doc, a))
+        if first != (doc, a):
+            want |= {(doc, x) for x in range(a, a + 100)}
+    by_h = {}
+    for (h, _, _), (doc, a) in firsts.items():
+        by_h.setdefault(h, []).append((doc, a))
+    for size in (1, 3, 50, 400):
+        got = {S.SURE: set(), S.SORT: [], S.HOT: []}
+        for b in S._settled(whole.slice(i, min(size, 400 - i)) for i in range(0, 400, size)):
+            for kind, doc, a, e in zip(*(c.to_pylist() for c in b.columns)):
+                if kind == S.SURE:
+                    got[kind] |= {(doc, x) for x in range(a, e >> S.PLACE)}
+                else:
+                    got[kind].append((doc, a))
+        assert got[S.SURE] == want
+        assert sorted(got[S.SORT]) == sorted(x for v in by_h.values() if 1 < len(v) <= 4 for x in v)
+        assert sorted(got[S.HOT]) == sorted(x for v in by_h.values() if len(v) > 4 for x in v)
+
+
 def test_remove_repeats(spark):
     random.seed(6)
     vocab = ["".join(random.choice("abcdeé") for _ in range(random.randrange(1, 9))) for _ in range(200)]
@@ -320,17 +395,8 @@ def test_remove_repeats(spark):
         texts.append(x)
     texts += texts[20:30]
     rows = {r.doc_id: r for r in remove_repeats(table(spark, texts)).collect()}
-    seen = set()
-    for i, t in enumerate(texts):
-        raw = (t or "").encode()
-        gone = np.zeros(len(raw), bool)
-        for k in range(len(raw) - 99):
-            if raw[k : k + 100] in seen:
-                gone[k : k + 100] = True
-            seen.add(raw[k : k + 100])
-        spans = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(raw) else 0
-        kept = bytes(np.frombuffer(raw, np.uint8)[~gone])
-        assert (rows[i].n_bytes, rows[i].n_removed, rows[i].n_spans, bytes(rows[i].kept)) == (len(raw), int(gone.sum()), spans, kept)
+    rows = {i: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for i, r in rows.items()}
+    assert [rows[i] for i in range(len(texts))] == brute_repeats(texts)
     assert remove_repeats(table(spark, [])).count() == 0
 
 

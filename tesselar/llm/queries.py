@@ -13,7 +13,7 @@ from .neardup import near_duplicates
 from .packing import Limits, pack
 from .pieces import encode_pieces
 from .pii import KINDS, find_pii
-from .quality import fit_quality, score_quality
+from .quality import fit_quality, score_fitted
 from .suffix_array import remove_repeats
 from .suffix_tree import fit_and_score
 from .topk import top_k
@@ -45,8 +45,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, model, "q").select("doc_id", F.col("q.content").alias("content_score"), F.col("q.metadata").alias("metadata_score"), F.col("q.score").alias("score"), F.col("q.keep").alias("kept"))
+    trained = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if trained.model is None:
+        none = F.lit(None).cast("double")
+        return docs.select("doc_id", none.alias("content_score"), none.alias("metadata_score"), none.alias("score"), F.lit(True).alias("kept"), *[F.lit(0).cast("long").alias(c) for c in ("rounds", "labels_by_content", "labels_by_metadata")])
+    counts = {"rounds": trained.model.rounds, "labels_by_content": trained.model.handed[0], "labels_by_metadata": trained.model.handed[1]}
+    return score_fitted(trained).select("doc_id", F.col("content").alias("content_score"), F.col("metadata").alias("metadata_score"), "score", F.col("keep").alias("kept"), *[F.lit(n).cast("long").alias(c) for c, n in counts.items()])
 
 
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

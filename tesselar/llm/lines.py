@@ -14,8 +14,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, let, shared_dir, stored
+from .common import BLANKS, ascii_lower, dropped, fresh, let, shared_dir, stored
 
+#: Batches that the documents are dealt into, and runs of a level that are compacted into one of the next. With these the
+#: third batch is the first to meet settled runs, and the fourth makes a second level.
+BATCHES, FANOUT = 6, 2
+#: Share of all lines from which a frequent line is looked up by broadcast: at most 1/HEAVY lines are.
+HEAVY = 1 / 5000
 #: Lines of one span of a document, whose dropped positions are held and looked up together.
 SPAN = 512
 
@@ -44,7 +49,7 @@ class LineRuns:
         self.levels: list[list[str]] = [[]]
         self.tables: set[str] = set()
         self.settled: list[str] = []
-        self.made = 0
+        self.made = self.anti_joins = self.compactions = 0
 
     def _write(self, run: DataFrame) -> str:
         self.made += 1
@@ -68,6 +73,7 @@ class LineRuns:
         """``batch``: rows ``(doc_id, h1, h2)``; a document belongs to one batch only."""
         run = batch.select("doc_id", "h1", "h2").distinct().groupBy("h1", "h2").agg(F.count("*").alias("docs"))
         for t in self.settled:
+            self.anti_joins += 1
             run = run.join(self.spark.table(t).hint("merge"), ["h1", "h2"], "left_anti")
         self.levels[0].append(self._write(run))
         level = 0
@@ -81,6 +87,7 @@ class LineRuns:
         if len(self.levels) < level + 2:
             self.levels.append([])
         if parts:
+            self.compactions += 1
             run = self._write(self._merged(parts))
             ready = self._write(self.spark.table(run).filter(F.col("docs") >= self.min_docs))
             rest = self._write(self.spark.table(run).filter(F.col("docs") < self.min_docs))
@@ -91,12 +98,13 @@ class LineRuns:
             self.levels[x] = []
 
     def frequent(self) -> DataFrame:
-        """All keys seen in at least ``min_docs`` documents, after a full compaction."""
+        """All keys seen in at least ``min_docs`` documents, after a full compaction, with the documents counted until they
+        settled (``docs``)."""
         if any(self.levels):
             self.compact(len(self.levels) - 1, upto=True)
         if not self.settled:
-            return self.spark.createDataFrame([], "h1 long, h2 long")
-        return self._merged(self.settled).select("h1", "h2")
+            return self.spark.createDataFrame([], "h1 long, h2 long, docs long")
+        return self._merged(self.settled).select("h1", "h2", "docs")
 
     def close(self) -> None:
         """Drop all runs: a store that lasts is one that is not closed."""
@@ -118,37 +126,50 @@ def _hashes(docs: DataFrame, text_col: str, id_col: str, min_chars: int, batches
     return lines.select("doc_id", "pos", F.xxhash64("_key").alias("h1"), F.xxhash64(F.lit(7), "_key").alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"))
 
 
-def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 2, fanout: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with ``text`` replaced by the lines that stay, and ``n_lines``, ``n_dropped`` added.
+def _found(lines: DataFrame, common: DataFrame) -> DataFrame:
+    """The lines with a frequent key; the most frequent keys, which hold many lines each, are met without a shuffle."""
+    heavy = common.filter(F.col("docs") >= F.lit(max(1, int(HEAVY * lines.count())))).select("h1", "h2")  # at most 1/HEAVY rows
+    rest = common.join(F.broadcast(heavy), ["h1", "h2"], "left_anti").select("h1", "h2")
+    met = lines.join(F.broadcast(heavy), ["h1", "h2"], "left_semi")
+    return met.unionByName(lines.join(F.broadcast(heavy), ["h1", "h2"], "left_anti").join(rest, ["h1", "h2"], "left_semi"))
+
+
+def drop_repeated_lines(
+    docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = BATCHES, fanout: int = FANOUT, text_col: str = "text", id_col: str = "doc_id", counts: tuple[str, str] = ("n_lines", "n_dropped"), runs: LineRuns | None = None
+) -> DataFrame:
+    """``docs`` with ``text`` replaced by the lines that stay, and the columns ``counts`` added: lines, and lines dropped.
 
     A line goes, in every document, when its key (see ``line_key``) has at least ``min_chars`` code points and occurs in
     at least ``min_docs`` documents. Null or empty text is one empty line and comes back as ''. Repeated rows share an
-    id and so count as one document; a null id is one document too. All columns of ``docs`` stay; columns named
-    ``n_lines`` or ``n_dropped`` are replaced. An empty table gives an empty result.
+    id and so count as one document; a null id is one document too. All other columns of ``docs`` stay, whatever their
+    names; columns named as ``counts`` are replaced. An empty table gives an empty result. ``runs`` is a store to use in
+    place of a new one; it is closed.
     """
     spark = docs.sparkSession
     lines = stored(_hashes(docs, text_col, id_col, min_chars, batches), "lines")
-    runs = LineRuns(spark, min_docs, fanout)
+    runs = runs or LineRuns(spark, min_docs, fanout)
     for b in range(batches):
         runs.add(lines.filter(F.col("batch") == b))
     common = stored(runs.frequent(), "frequent_lines")
     runs.close()
-    gone = lines.join(common, ["h1", "h2"], "left_semi").select("doc_id", "pos").distinct()
+    doc, span, at, both = (fresh(x, docs) for x in ("__doc", "__span", "__at", "__both"))
+    gone = _found(lines, common).select(F.col("doc_id").alias(doc), "pos").distinct()
     # Positions are gathered by span first, so that a very long document is searched in short lists.
-    spans = gone.groupBy("doc_id", F.expr(f"pos div {SPAN}").cast("int").alias("_span")).agg(F.collect_list("pos").alias("_at"))
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("_span", "_at")).alias("_gone")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    spans = gone.groupBy(doc, F.expr(f"pos div {SPAN}").cast("int").alias(span)).agg(F.collect_list("pos").alias(at))
+    held = fresh("__gone", docs)
+    spans = stored(spans.groupBy(doc).agg(F.collect_list(F.struct(span, at)).alias(held)), "dropped_lines")
+    dropped(spark, lines, common)
+    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col(doc)), "left")
 
     none = F.array().cast("array<int>")
 
     def kept(parts: Column) -> Column:
         last = F.floor((F.size(parts) - 1) / SPAN).cast("int")
-        by_span = F.transform(F.sequence(F.lit(0), last), lambda s: F.coalesce(F.get(F.filter(F.col("_gone"), lambda g: g["_span"] == s), F.lit(0))["_at"], none))
+        by_span = F.transform(F.sequence(F.lit(0), last), lambda s: F.coalesce(F.get(F.filter(F.col(held), lambda g: g[span] == s), F.lit(0))[at], none))
         return let(by_span, lambda d: F.filter(parts, lambda _, i: ~F.array_contains(F.get(d, F.floor(i / SPAN).cast("int")), i)))
 
-    both = let(_split(F.col(text_col)), lambda p: F.struct(F.size(p).cast("long").alias("n"), F.when(F.col("_gone").isNull(), p).otherwise(kept(p)).alias("left")))
-    others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    out = joined.select(*[docs[c] for c in others], both.alias("_both"))
-    text = F.array_join("_both.left", "\n").alias(text_col)
-    names = [c for c in docs.columns if c in (*others, text_col)]
-    return out.select(*[text if c == text_col else F.col(c) for c in names], F.col("_both.n").alias("n_lines"), (F.col("_both.n") - F.size("_both.left")).cast("long").alias("n_dropped"))
+    split = let(_split(F.col(text_col)), lambda p: F.struct(F.size(p).cast("long").alias("n"), F.when(F.col(held).isNull(), p).otherwise(kept(p)).alias("left")))
+    names = [c for c in docs.columns if c not in counts or c == text_col]
+    out = joined.select(*[docs[c] for c in names if c != text_col], split.alias(both))
+    text = F.array_join(f"{both}.left", "\n").alias(text_col)
+    return out.select(*[text if c == text_col else F.col(c) for c in names], F.col(f"{both}.n").alias(counts[0]), (F.col(f"{both}.n") - F.size(f"{both}.left")).cast("long").alias(counts[1]))

@@ -1,10 +1,13 @@
 """SentencePiece encoding and decoding with a table of distinct marked words.
 
-The table is each worker's own: a table over the corpus would move every word of every text through a shuffle twice.
+A task takes the texts of its partition by windows of bounded size and goes over each window twice: first it gathers the
+distinct marked words and segments each once, then it joins their ids back by position. One table over the whole corpus
+would have to meet every text by a shuffle of all words or of all texts, or grow with the corpus in every worker.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -13,7 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import tables
-from .common import by_batch, for_python
+from .common import for_python
+
+#: Bytes of text that share a table of distinct words (one batch at least); a table takes a few times as much at most.
+WINDOW = 16 << 20
 
 
 def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -27,16 +33,28 @@ def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", id_col: s
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     schema = T.StructType([source.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())])
 
-    def made(b: pa.RecordBatch) -> dict:
-        table = tables.pieces(model)
-        out = [table.encode(x or "") for x in b.column("text").to_pylist()]
-        ends = pa.array([0, *accumulate(len(ids) // 4 for ids, _ in out)], pa.int32())
-        ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join([x[0] for x in out]), np.int32)))
-        return {"doc_id": b.column("doc_id"), "ids": ids.cast(pa.list_(pa.field("element", pa.int32(), False))), "decoded": pa.array([x[1] for x in out], pa.string())}
-
-    def run(batches):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        yield from by_batch(made, to_arrow_schema(schema))(batches)
+        pieces, arrow = tables.pieces(model), to_arrow_schema(schema)
+        window: list[pa.RecordBatch] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            texts = lambda b: (x or "" for x in b.column("text").to_pylist())
+            table = pieces.table(x for b in window for x in texts(b))
+            for b in window:
+                found = [tables.joined(x, table) for x in texts(b)]
+                ends = pa.array([0, *accumulate(len(ids) // 4 for ids, _ in found)], pa.int32())
+                ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join([x[0] for x in found]), np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids.cast(arrow.field("ids").type), pa.array([x[1] for x in found], pa.string())], schema=arrow)
+            window.clear()
+
+        for b in batches:
+            if b.num_rows:
+                window.append(b)
+            if sum(x.nbytes for x in window) > WINDOW:
+                yield from out()
+        if window:
+            yield from out()
 
     return source.mapInArrow(run, schema)

@@ -11,10 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import fresh, let
 
-#: Characters before a span in which context words count, and how many characters of text that is at most.
-NEAR = 48
+#: Characters before and behind a span in which context words count.
+NEAR, BEHIND = 48, 24
 #: Added to the score of a span with a context word nearby.
 LIFT = 0.3
 #: Score from which a span of an added kind is reported.
@@ -106,7 +106,7 @@ def spans_of(kind: Kind, text: Column) -> Column:
 
         def scored(x: Column) -> Column:
             first = F.greatest(x["start"] - NEAR, F.lit(0))
-            near = F.lower(F.substring(text, first + 1, x["start"] - first)).rlike(kind.context)
+            near = F.lower(F.concat(F.substring(text, first + 1, x["start"] - first), F.lit(" "), F.substring(text, x["end"] + 1, F.lit(BEHIND)))).rlike(kind.context)
             return F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), (F.lit(kind.score) + F.when(near, LIFT).otherwise(0.0)).alias("score"))
 
         spans = F.transform(good, scored)
@@ -129,10 +129,11 @@ def find_pii(docs: DataFrame, text_col: str = "text", spans_col: str = "pii", ki
 def mask_pii(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets, as in ``[EMAIL]``; overlapping spans become one.
 
-    A null text stays null; all other columns stay.
+    A null text stays null; all other columns stay, whatever their names.
     """
     text = F.col(text_col)
-    marked = find_pii(docs, text_col, "_pii", kinds)
+    held = fresh("__pii", docs)
+    marked = find_pii(docs, text_col, held, kinds)
     one = "array<struct<start:int,end:int,kind:string>>"
 
     def merge(done: Column, x: Column) -> Column:
@@ -141,7 +142,7 @@ def mask_pii(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] =
         longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["kind"].alias("kind"))
         return F.when(apart, F.concat(done, F.array(x))).otherwise(F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer)))
 
-    order = F.array_sort(F.transform("_pii", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    order = F.array_sort(F.transform(held, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     spans = F.aggregate(order, F.array().cast(one), merge)
 
     def rebuilt(s: Column) -> Column:
@@ -152,5 +153,5 @@ def mask_pii(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] =
         tail = F.substring(text, F.element_at(s, -1)["end"] + 1, F.char_length(text))
         return F.concat(F.array_join(F.transform(s, piece), ""), tail)
 
-    masked = F.when(text.isNull() | (F.size("_pii") == 0), text).otherwise(let(spans, rebuilt))
-    return marked.withColumn(text_col, masked).drop("_pii")
+    masked = F.when(text.isNull() | (F.size(held) == 0), text).otherwise(let(spans, rebuilt))
+    return marked.withColumn(text_col, masked).drop(held)

@@ -16,12 +16,13 @@ import pytest
 from tesselar.llm import queries as Q
 from tesselar.llm.components import components
 from tesselar.llm.exact import exact_dedup
-from tesselar.llm.lines import drop_repeated_lines
+from tesselar.llm.lines import LineRuns, drop_repeated_lines
 from tesselar.llm.neardup import near_duplicates
 from tesselar.llm.packing import Limits, Packer, Piece
 from tesselar.llm.pieces import encode_pieces
 from tesselar.llm.pii import find_pii, mask_pii
-from tesselar.llm.quality import fit_quality, score_quality
+from tesselar.llm import quality as K
+from tesselar.llm.quality import fit_quality, score_fitted, score_quality
 from tesselar.llm.suffix_array import common_prefixes, remove_repeats, suffix_array
 from tesselar.llm.suffix_tree import SuffixTree, fit_and_score
 from tesselar.llm.topk import top_k
@@ -77,6 +78,58 @@ def test_line_dedup(spark):
     assert drop_repeated_lines(table(spark, []), min_docs=2).count() == 0
 
 
+def test_line_runs_meet_settled_runs(spark):
+    """With the query's own batches later ones are anti-joined with settled runs, and levels are compacted."""
+    texts = ["\n".join([f"w{i % 7}", f"x{i % 90}", f"own {i}", "everywhere"]) for i in range(400)]
+    runs = LineRuns(spark, 10, fanout=2)
+    rows = {r.doc_id: r for r in drop_repeated_lines(table(spark, texts), min_docs=10, runs=runs).collect()}
+    assert runs.anti_joins >= 4 and runs.compactions >= 4 and len(runs.levels) >= 3 and not runs.tables
+    assert all((r.text, r.n_dropped) == (f"x{i % 90}\nown {i}", 2) for i, r in rows.items())
+
+
+CLASHES = ["_id", "_gone", "_both", "__doc", "__span", "__at", "__both", "__gone", "__was", "__stays", "__quality", "__pii", "_pii", "__scores", "n_lines", "__lines", "h1", "h2", "pos", "key", "__id", "__h1"]
+
+
+def clashing(spark, texts):
+    """Documents with columns named as those the operators use inside."""
+    rows = [(i, t, "en", "s", len(t or ""), *(f"{c} {i}" for c in CLASHES)) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)).repartition(3)
+
+
+@pytest.mark.parametrize("name", ["quality", "line_dedup", "near_dedup", "pii"])
+def test_stages_keep_columns_of_any_name(spark, name, tmp_path):
+    import corpus_pipeline as p
+
+    random.seed(12)
+    texts = [None, "", " \n ", "mail a@b.co now", "same words in here twice", "same words in here twice", "long " * 30_000] + [" ".join(f"w{random.randrange(9)}" for _ in range(9)) + "\nfoot" for _ in range(20)]
+    docs = clashing(spark, texts)
+    spark.createDataFrame([(i, i % 2, 0) for i in range(15)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stage = dict(p.STAGES)[name]
+    out = stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    rows = out.collect()
+    assert rows and len({r.doc_id for r in rows}) == len(rows)
+    for r in rows:
+        assert [r[c] for c in CLASHES] == [f"{c} {r.doc_id}" for c in CLASHES]
+    text = {r.doc_id: r.text for r in rows}
+    if name != "quality":
+        assert text[0] is None and text[1] == ""
+    if name == "line_dedup":
+        assert not any("foot" in (t or "") for t in text.values()) and text[6] == texts[6]
+    if name == "near_dedup":
+        assert 4 in text and 5 not in text
+    if name == "pii":
+        assert text[3] == "mail [EMAIL] now" and set(text) == set(range(len(texts)))
+    assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_drop_repeated_lines_and_masks_keep_columns_of_any_name(spark):
+    docs = clashing(spark, ["a\nb", "a\nc", None, "x@y.zz"])
+    for out in (drop_repeated_lines(docs, min_docs=2, counts=("lines", "gone")), mask_pii(docs)):
+        rows = out.collect()
+        assert all([r[c] for c in CLASHES] == [f"{c} {r.doc_id}" for c in CLASHES] for r in rows) and len(rows) == 4
+
+
 def test_pipeline_drops_boilerplate_pages(spark):
     """Pages of frequent lines only lose them; of ten equal texts one stays, empty lines inside or not."""
     import corpus_pipeline as p
@@ -123,7 +176,6 @@ def test_packing(spark, tmp_path):
 
     table(spark, hard_texts()).write.parquet(f"{tmp_path}/documents.parquet")
     tk = Tokenizer.from_file(Q.vocabulary("byte_bpe_50k.json"))
-    tk.encode_special_tokens = True
     for d in (str(tmp_path), DIR):
         docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
         rows, by, seqs = Q.op2_vector_packing(spark, d).collect(), {}, {}
@@ -404,22 +456,73 @@ def test_quality_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     docs = docs.join(labels, "doc_id", "left_semi")
-    model = fit_quality(docs, labels.filter("doc_id % 4 <> 0"))
-    rows = score_quality(docs.filter("doc_id % 4 = 0"), model).join(labels, "doc_id").select("quality_scores.*", "quality", "toxic").collect()
+    trained = fit_quality(docs, labels.filter("doc_id % 4 <> 0"))
+    assert min(trained.model.handed) > 0 and trained.model.rounds == 3
+    rows = score_quality(docs.filter("doc_id % 4 = 0"), trained).join(labels, "doc_id").select("quality_scores.*", "quality", "toxic").collect()
     good = [r for r in rows if r.quality == 1 and r.toxic == 0]
     bad = [r for r in rows if r.quality == 0 or r.toxic == 1]
     assert sum(r.keep for r in good) >= 0.98 * len(good)
     assert sum(not r.keep for r in bad) >= 0.9 * len(bad)
 
 
+def test_quality_views_teach_each_other(spark):
+    """The query's counts, and its scores against a plain loop over all documents."""
+    d = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in Q.op1_cotraining(spark, d).collect()}
+    one = next(iter(rows.values()))
+    assert one.rounds == 3 and one.labels_by_content > 0 and one.labels_by_metadata > 0
+    docs = spark.read.parquet(f"{d}/documents.parquet").collect()
+    labels = {r.doc_id: float(r.quality > 0 and r.toxic == 0) for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    feats = {r.doc_id: (K.content_features(r.text), K.metadata_features({"lang": r.lang, "source": r.source, "n_chars": r.n_chars})) for r in docs}
+    assert len(labels) <= K.LABELLED
+    order = sorted((i for i in labels if i in feats), key=lambda i: K.xxhash.xxh3_64_intdigest(feats[i][0].tobytes() + feats[i][1].tobytes() + np.float64(labels[i]).tobytes()))
+    y = np.array([labels[i] for i in order])
+    used = tuple(K.telling([feats[i][v] for i in order], y, K.TELLING[v]) for v in (0, 1))
+    at = {i: tuple(K.placed(used[v], f[v]) for v in (0, 1)) for i, f in feats.items()}
+
+    def taught(pool, rounds=3):
+        learner = K.Learner(used, tuple([at[i][v] for i in order] for v in (0, 1)), y)
+        given = set()
+        for _ in range(rounds):
+            model = learner.fitted()
+            ps = model.score([x[0] for x in pool], [x[1] for x in pool])
+            picked = []
+            for v in (0, 1):
+                for label in (0, 1):
+                    best = {}
+                    for x, p in zip(pool, ps[v] if label else 1 - ps[v]):
+                        key = K.xxhash.xxh3_64_intdigest(x[0].tobytes() + b"|" + x[1].tobytes()) - 2**63
+                        if p > (learner.share if label else 1 - learner.share) and (v, key) not in given:
+                            best[key] = (-p, key, x)
+                    picked += [(v, label, -p, key, x) for p, key, x in sorted(best.values(), key=lambda z: z[:2])[: learner.quota(label, K.QUOTA)]]
+            for v, label, p, key, x in picked:
+                learner.given.append(K.Handed(v, float(label), learner.weight(label, p), x))
+                given.add((v, key))
+        return learner.fitted(), learner
+
+    pool = [at[i] for i in feats if i not in labels]
+    model, learner = taught(pool)
+    assert [sum(g.view == v for g in learner.given) for v in (0, 1)] == [one.labels_by_content, one.labels_by_metadata]
+    for i, want in zip(feats, zip(*model.score([x[0] for x in at.values()], [x[1] for x in at.values()]))):
+        assert (rows[i].content_score, rows[i].metadata_score, rows[i].score) == pytest.approx(want, abs=1e-9)
+    # What one view sees of the pool changes what the other one learns.
+    random.seed(1)
+    for v in (0, 1):
+        turned = [x[v] for x in pool]
+        random.shuffle(turned)
+        other, _ = taught([(t, x[1]) if v == 0 else (x[0], t) for t, x in zip(turned, pool)])
+        assert np.abs(other.views[1 - v].weights - model.views[1 - v].weights).max() > 1e-6
+
+
 def test_quality_odd_inputs(spark):
-    docs = spark.createDataFrame([(1, None, None), (2, "", "s"), (None, "x y", "s"), (2, "", "s")], "doc_id long, text string, source string")
+    docs = spark.createDataFrame([(1, None, None), (2, "", "s"), (None, "x y", "s"), (2, "", "s"), (3, "z " * 50_000, "t")], "doc_id long, text string, source string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert fit_quality(docs, none) is None
-    assert [r.quality_scores.keep for r in score_quality(docs, None).collect()] == [True] * 4
+    assert fit_quality(docs, none).model is None
+    assert [r.quality_scores.keep for r in score_quality(docs, fit_quality(docs, none)).collect()] == [True] * 5
     some = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    model = fit_quality(docs, some)
-    assert score_quality(docs, model).count() == 4 and score_quality(docs.limit(0), model).count() == 0
+    trained = fit_quality(docs, some)
+    assert score_quality(docs, trained).count() == 5 and score_quality(docs.limit(0), trained).count() == 0 and score_fitted(trained).count() == 5
+    assert fit_quality(docs.limit(0), some).model is None
 
 
 def test_pipeline(spark):

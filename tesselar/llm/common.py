@@ -86,3 +86,16 @@ def ascii_lower(text: Column) -> Column:
 def words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, as UTF-8."""
     return (text or "").encode().lower().split()  # bytes.lower() and bytes.split() know ASCII only
+
+
+def met_by_weight(rows: DataFrame, keyed: DataFrame, on: str, weight: str, total: int, heavy: int = 2000, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row for each key and in ``weight`` how many of the ``total`` rows have it.
+
+    Keys with a share of 1/heavy of the rows or more, ``heavy`` of them at most, are broadcast; so a key that holds a third
+    of all rows is joined where its rows lie, and no other key is large.
+    """
+    limit = max(1, -(-total // heavy))
+    few = F.broadcast(keyed.filter(F.col(weight) >= limit).drop(weight))
+    many = keyed.filter(F.col(weight) < limit).drop(weight)
+    large = rows.join(few, on)
+    return large.unionByName(rows.join(few.select(on), on, "left_anti").join(many, on, how))

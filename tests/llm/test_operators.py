@@ -340,6 +340,36 @@ def test_near_duplicates(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_duplicates(odd).collect()) == [(0, 0, True), (2, 2, True), (2, 2, True), (3, 2, False)]
 
 
+@pytest.mark.parametrize("block", [3, 1500])
+def test_near_duplicates_of_a_hot_key(spark, monkeypatch, block):
+    """Chains of alike texts share keys but not all components: looked at again, by blocks of any size."""
+    from tesselar.llm import neardup as N
+
+    monkeypatch.setattr(N, "BLOCK", block)
+    random.seed(14)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(140):
+        ws = list(base)
+        for at in random.sample(range(120), random.choice([1, 2, 3, 4, 5])):
+            ws[at] = f"z{random.randrange(10_000)}"
+        texts.append(" ".join(ws))
+    want = brute_near(texts, 3, 85)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(table(spark, texts), 3, 85).collect()}
+    assert got == {i: (n, c, c == i) for i, (n, c) in want.items()} and len({c for _, c in want.values()}) > 2
+
+
+def test_signature_recall():
+    """Of pairs at a threshold: the share that meet under a key and are within the accepted distance."""
+    from tesselar.llm import neardup as N
+
+    rng = np.random.default_rng(5)
+    for share, least in ((0.85, 0.9999), (0.8, 0.9997)):
+        differ = rng.random((200_000, N.CHUNKS, N.WIDTH)) >= share
+        met = (differ.sum(2) <= N.ERRORS).any(1) & (differ.sum((1, 2)) <= N.ACCEPT)
+        assert met.mean() >= least
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (None, 3)]
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

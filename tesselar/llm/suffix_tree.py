@@ -4,19 +4,27 @@ Symbols are the words with at least ``p_symbol`` of all training tokens and one
 the class's probability by their counts. Every run of symbols seen ``MIN_COUNT`` times is a transition, and every context
 with a transition is a candidate: the tree grows with the corpus. A context is retained when what follows it diverges
 enough from what follows its longest retained proper suffix; its distribution is then its own discounted counts and, for
-what the discount frees, its suffix's. The tree is never held in one place: levels are tables, joined by context, and
-texts meet them by the runs they hold. ``SuffixTree`` is the same tree in memory, for small alphabets and for tests.
+what the discount frees, its suffix's, so it sums to one.
+
+Texts are turned into symbols once and kept as a table. Levels are counted from it one after the other, partly aggregated
+in each task, and joined by context to the level below. To be scored, tokens go to lanes by the last word of their context,
+packed many to a row, and meet there the part of the tree whose contexts end in those words; a frequent word has several
+lanes, and its longer contexts are dealt to them. No task and no worker holds the tree. ``SuffixTree`` is the same tree in
+memory, for small alphabets and for tests.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,13 +40,15 @@ END = b""
 SYMBOL_BYTES = 64
 #: Transitions seen less often say nothing of their own.
 MIN_COUNT = 2
-#: Bits of a symbol in a packed run; the last three symbols are in ``lo``, up to three older ones in ``hi``.
-BITS = 21
+#: Bits of a symbol in a packed context, of which the last symbol has the lowest bits; words of a context at most.
+BITS, DEEPEST = 21, 3
 MASK = (1 << BITS) - 1
-#: Stands before the start of a text; no context holds it.
-PAD = MASK
-#: Distinct counts that a task holds before it hands them on.
-HELD = 600_000
+#: Distinct counts, or tokens, that a task holds before it hands them on.
+HELD = 1_500_000
+#: Passes over the symbols in which contexts of the greatest length are counted, each a part of them.
+PASSES = 2
+#: Tokens of a lane, as a goal.
+LANE = 4_000_000
 
 
 @dataclass
@@ -191,187 +201,326 @@ def _counted(source: DataFrame) -> DataFrame:
     return source.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _packed(ids: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each token the run of ``depth`` symbols before it and its own, as (hi, lo); short of symbols it begins with PAD."""
-    at = np.arange(len(ids))
-    offset = at - np.repeat(starts, np.diff([*starts, len(ids)]))
-    hi, lo = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-    for back in range(depth + 1):
-        each = np.where(offset >= back, ids[np.maximum(at - back, 0)], PAD)
-        if back < 3:
-            lo |= each << (BITS * back)
-        else:
-            hi |= each << (BITS * (back - 3))
-    return hi, lo
+def _encoded(source: DataFrame, sent: Broadcast, schema: T.StructType) -> DataFrame:
+    """Every text as symbols, with its rare words and the sums of its words' own log probabilities."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow, model = to_arrow_schema(schema), sent.value
+        base_log, root_log = np.log10(model.root), np.log10(model.root)
+        base_log[0] = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            texts = _texts(b)
+            ids, starts = model.read(texts)
+            by_text = lambda x: np.add.reduceat(x, starts)
+            n_rare = by_text((ids == 0).astype(np.int64))
+            few = [Counter(w for w in (*ws, END) if w not in model.symbols) if k else {} for k, ws in zip(n_rare, texts, strict=True)]
+            cuts = np.split(ids.astype(np.uint32), starts[1:])
+            made = {
+                "row": b.column("row"), "doc_id": b.column("doc_id"), "train": b.column("train"), "n_tokens": pa.array([len(ws) + 1 for ws in texts], pa.int64()), "n_rare": pa.array(n_rare),
+                "base": pa.array(by_text(base_log[ids]) - n_rare * np.log10(model.whole)), "score": pa.array(by_text(root_log[ids]) - n_rare * np.log10(model.rare_whole)),
+                "ids": pa.array([x.tobytes() for x in cuts], pa.binary()), "rare": pa.array([[{"word": w, "n": n} for w, n in x.items()] for x in few], arrow.field("rare").type),
+            }
+            yield pa.RecordBatch.from_arrays([made[f.name] for f in arrow], schema=arrow)
+
+    return source.mapInArrow(run, schema)
+
+
+def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All symbols of a batch of texts, the text of each, and its place in it."""
+    raw = column.to_pylist()
+    sizes = np.array([len(x) // 4 for x in raw])
+    ids = np.frombuffer(b"".join(raw), np.uint32).astype(np.int64)
+    text = np.repeat(np.arange(len(raw)), sizes)
+    return ids, text, np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def _added(n: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys, and ``n`` added up for each."""
-    order = np.lexsort(keys)
-    keys = tuple(k[order] for k in keys)
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    first = np.flatnonzero(new)
-    return (np.add.reduceat(n[order], first) if len(first) else n[order], *(k[first] for k in keys))
+def _contexts(ids: np.ndarray, k: int) -> np.ndarray:
+    """The packed k symbols before each token; the first k tokens have some of those before them in the batch."""
+    out = np.zeros(len(ids), np.int64)
+    for back in range(1, k + 1):
+        out[back:] |= ids[:-back] << (BITS * (back - 1))
+    return out
 
 
-def _gram_counts(source: DataFrame, tree: object, depth: int) -> DataFrame:
-    """(hi, lo, n) of every run of ``depth`` + 1 symbols in ``source``; n counts those in texts that are learnt from."""
+def _hash(x: np.ndarray) -> np.ndarray:
+    """Spreads packed symbols; the same in every task."""
+    x = (x.astype(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(8)).astype(np.int64)
+
+
+def _added(ctx: np.ndarray, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct transitions, and ``n`` added up for each."""
+    if not len(ctx):
+        return ctx, x, n
+    order = np.lexsort((x, ctx))
+    ctx, x, n = ctx[order], x[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (x[1:] != x[:-1])]))
+    return ctx[first], x[first], np.add.reduceat(n, first)
+
+
+def _transitions(encoded: DataFrame, k: int, part: int, parts: int, least: float) -> DataFrame:
+    """(ctx, x, n, whole) of the runs of k + 1 symbols seen ``MIN_COUNT`` times in the texts that are learnt from; ``whole`` is
+    how often the context was seen. One part of the contexts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        merged = lambda: _added(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        out = lambda x: pa.RecordBatch.from_pydict({"hi": pa.array(x[1]), "lo": pa.array(x[2]), "n": pa.array(x[0])})
+        out = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1], pa.int32()), pa.array(x[2], pa.int64())], names=["ctx", "x", "n"])
+        merged = lambda: _added(*(np.concatenate(c) for c in zip(*held, strict=True)))
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, starts = tree.value.read(_texts(b))
-            hi, lo = _packed(ids, starts, depth)
-            learnt = np.repeat(np.array(b.column("train").to_pylist(), np.int64), np.diff([*starts, len(ids)]))
-            held.append(_added(learnt, hi, lo))
+            ids, _, place = _symbols(b.column("ids"))
+            ctx, ok = _contexts(ids, k), place >= k
+            if parts > 1:
+                ok &= _hash(ctx) % parts == part
+            held.append(_added(ctx[ok], ids[ok], np.ones(int(ok.sum()), np.int64)))
             size += len(held[-1][0])
-            if size > 2 * HELD:
+            if size > HELD:
                 held = [merged()]
                 size = len(held[0][0])
-                if size > HELD:
+                if 2 * size > HELD:
                     yield out(held[0])
                     held, size = [], 0
         if size:
             yield out(merged())
 
-    return source.select("text", (~held_out("doc_id")).alias("train")).mapInArrow(run, "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
+    runs = encoded.filter("train").select("ids").mapInArrow(run, "ctx long, x int, n long").repartition("ctx").groupBy("ctx", "x").agg(F.sum("n").alias("n"))
+    runs = runs.withColumn("whole", F.sum("n").over(Window.partitionBy("ctx")))  # dealt by context already
+    return runs.filter((F.col("n") >= MIN_COUNT) & (F.col("whole") >= least))
 
 
-def _cut(k: int) -> tuple[Column, Column]:
-    """Of a packed run its last k symbols."""
-    low = lambda c, n: F.col(c).bitwiseAND((1 << (BITS * n)) - 1) if n > 0 else F.lit(0).cast("long")
-    return low("hi", min(k - 3, 3)), low("lo", min(k, 3))
+def _level(runs: DataFrame, lower: DataFrame, k: int, min_gain: float) -> DataFrame:
+    """(ctx, x, p, spread, kept, first): of every transition its probability after its context, or after the context's longest
+    retained suffix where the context is not kept. ``lower``: (ctx, x, lower) of the level below."""
+    suffix = F.col("ctx").bitwiseAND((1 << (BITS * (k - 1))) - 1)
+    met = runs.withColumn("suffix", suffix).join(lower.withColumnRenamed("ctx", "suffix"), ["suffix", "x"]).select("ctx", "x", "n", "whole", "lower")
+    same = Window.partitionBy("ctx")
+    seen = met.withColumn("spread", 1 - F.sum(F.col("n") - DISCOUNT).over(same) / F.col("whole"))
+    seen = seen.withColumn("own", (F.col("n") - DISCOUNT) / F.col("whole") + F.col("spread") * F.col("lower"))
+    gain = F.sum(F.col("n") * F.log(F.col("own") / F.col("lower"))).over(same) + (F.col("whole") - F.sum("n").over(same)) * F.log("spread")
+    kept = seen.withColumn("kept", gain >= min_gain)
+    return kept.select("ctx", "x", F.when(F.col("kept"), F.col("own")).otherwise(F.col("lower")).alias("p"), "spread", "kept", (F.row_number().over(same.orderBy("x")) == 1).alias("first"))
 
 
-def _context() -> tuple[Column, Column]:
-    """Of a packed run all but its last symbol."""
-    return F.shiftright("hi", BITS), F.shiftright("lo", BITS).bitwiseOR(F.shiftleft(F.col("hi").bitwiseAND(MASK), 2 * BITS))
+@dataclass
+class Lanes:
+    """How tokens and the tree are dealt: ``n`` lanes, and of each symbol how many it has."""
 
+    n: int
+    of: np.ndarray
 
-def _oldest(k: int) -> Column:
-    """The first of the k symbols of a packed run."""
-    return F.shiftright("lo", BITS * (k - 1)) if k <= 3 else F.shiftright("hi", BITS * (k - 4))
+    @classmethod
+    def over(cls, counts: np.ndarray, least: int) -> Lanes:
+        n = max(least, int(counts.sum() // LANE) + 1)
+        return cls(n, np.minimum(np.ceil(counts * n / max(counts.sum(), 1)).astype(np.int64), n).clip(1))
 
+    def lane(self, last: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+        """Of contexts of the greatest length (shorter ones, at the start of texts, are packed with zeros)."""
+        return (_hash(last) + _hash(ctx) % self.of[last]) % self.n
 
-def _levels(grams: DataFrame, tree: SuffixTree, depth: int, least: float, min_gain: float) -> tuple[DataFrame, int]:
-    """(hi, lo, p, root) for every run of ``grams``: its last symbol's probability after the others and without them, and
-    the number of retained contexts. Level k takes the suffix's probability from level k - 1 and needs no other."""
-    add = F.when(F.col("lo") == 0, ADDED * (tree.distinct - len(tree.symbols) + 1)).otherwise(ADDED)
-    pick = lambda k: grams.select(*(c.alias(x) for c, x in zip(_cut(k + 1), ("hi", "lo"), strict=True)), "n").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
-    root = (F.col("n") + add) / F.lit(tree.whole)
-    below = stored(pick(0).select("hi", "lo", root.alias("p"), root.alias("root")), "tree_0")
-    retained = 0
-    for k in range(1, depth + 1):
-        runs = grams if k == depth else pick(k)
-        (hi, lo), (c_hi, c_lo) = _cut(k), _context()
-        runs = runs.select("hi", "lo", "n", hi.alias("s_hi"), lo.alias("s_lo"), c_hi.alias("c_hi"), c_lo.alias("c_lo"))
-        lower = below.select(F.col("hi").alias("s_hi"), F.col("lo").alias("s_lo"), F.col("p").alias("lower"), "root")
-        level = stored(runs.join(lower, ["s_hi", "s_lo"]).drop("s_hi", "s_lo"), f"runs_{k}")
-        seen = F.col("n") >= MIN_COUNT
-        whole = level.filter(_oldest(k + 1) != PAD)
-        spread = 1 - (F.sum(F.when(seen, F.col("n") - DISCOUNT))) / F.sum("n")
-        contexts = whole.groupBy("c_hi", "c_lo").agg(F.sum("n").alias("count"), F.sum(F.when(seen, F.col("n"))).alias("seen"), spread.alias("spread")).filter(F.col("seen").isNotNull() & (F.col("count") >= least))
-        gain = F.sum(F.col("n") * F.log((F.col("n") - DISCOUNT) / F.col("count") / F.col("lower") + F.col("spread"))) + F.first(F.col("count") - F.col("seen")) * F.log(F.first("spread"))
-        tested = whole.filter(seen).join(contexts, ["c_hi", "c_lo"]).groupBy("c_hi", "c_lo").agg(gain.alias("gain"), F.first("count").alias("count"), F.first("spread").alias("spread"))
-        kept = stored(tested.filter(F.col("gain") >= min_gain).drop("gain"), f"contexts_{k}")
-        retained += kept.count()
-        own = F.when(seen, (F.col("n") - DISCOUNT) / F.col("count")).otherwise(0.0) + F.col("spread") * F.col("lower")
-        made = level.join(kept, ["c_hi", "c_lo"], "left").select("hi", "lo", F.when(F.col("count").isNull(), F.col("lower")).otherwise(own).alias("p"), "root")
-        new = stored(made.filter(F.col("p") != F.col("root")) if k == depth else made, f"tree_{k}")
-        dropped(grams.sparkSession, below, level, kept)
-        below = new
-    return below, retained
-
-
-def fit_and_score(docs: DataFrame, p_symbol: float = 5e-7, p_context: float = 0.0, depth: int = 3, min_gain: float = 6.0, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    def tree_lanes(self, ctx: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where rows of the tree go: each row's number as often as it has lanes, and those lanes."""
+        last = ctx & MASK
+        if k == DEEPEST:
+            return np.arange(len(ctx)), self.lane(last, ctx)
+        many = self.of[last]
+        at = np.repeat(np.arange(len(ctx)), many)
+        return at, (_hash(last)[at] + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)) % self.n
+
+
+LANED = "lane int, kind int, level int, ctx long, x int, p double, spread double, rows binary, tokens binary"
+
+
+def _laned(columns: dict[str, pa.Array | list], n: int) -> pa.RecordBatch:
+    types = {"lane": pa.int32(), "kind": pa.int32(), "level": pa.int32(), "ctx": pa.int64(), "x": pa.int32(), "p": pa.float64(), "spread": pa.float64(), "rows": pa.binary(), "tokens": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items()], names=list(types))
+
+
+def _tree_rows(level: int, lanes: Broadcast) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ctx = b.column("ctx").to_numpy()
+            at, lane = lanes.value.tree_lanes(ctx, level)
+            take = lambda c: b.column(c).to_numpy()[at]  # noqa: B023, E731
+            yield _laned({"lane": lane, "kind": np.zeros(len(at), np.int32), "level": np.full(len(at), level), "ctx": ctx[at], "x": take("x"), "p": take("p"), "spread": take("spread")}, len(at))
+
+    return run
+
+
+def _token_rows(depth: int, lanes: Broadcast) -> Callable:
+    """A task's tokens by lane, many to a row: a token is its text's row, the packed context and the symbol, by columns; equal
+    ones of a text are one with a count."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            row, ctx, x, n, lane = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((x, ctx, lane))
+            row, ctx, x, n, lane = row[order], ctx[order], x[order], n[order], lane[order]
+            starts = np.flatnonzero(np.concatenate([[True], lane[1:] != lane[:-1]]))
+            rows, tokens = [], []
+            for i, j in zip(starts, [*starts[1:], len(lane)], strict=True):
+                own, place = np.unique(row[i:j], return_inverse=True)
+                rows.append(own.tobytes())
+                planes = [place.astype(np.uint32), x[i:j].astype(np.uint32), n[i:j].astype(np.uint32), *((ctx[i:j] >> BITS * k & MASK).astype(np.uint32) for k in range(DEEPEST))]
+                tokens.append(zlib.compress(b"".join(p.view(np.uint8).reshape(-1, 4).T.tobytes() for p in planes), 1))
+            yield _laned({"lane": lane[starts], "kind": np.ones(len(starts), np.int32), "rows": rows, "tokens": tokens}, len(starts))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, text, place = _symbols(b.column("ids"))
+            ctx = _contexts(ids, DEEPEST)
+            for k in range(DEEPEST):  # short of symbols: what lies before belongs to another text
+                early = place == k
+                ctx[early] &= (1 << (BITS * k)) - 1
+            ok = place > 0
+            ctx, ids, text, place = ctx[ok], ids[ok], text[ok], np.minimum(place[ok], DEEPEST)
+            order = np.lexsort((place, ids, ctx, text))
+            ctx, ids, text, place = ctx[order], ids[order], text[order], place[order]
+            if not len(ctx):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (ids[1:] != ids[:-1]) | (text[1:] != text[:-1]) | (place[1:] != place[:-1])]))
+            n = np.diff([*first, len(ctx)])
+            ctx, ids, text, place = ctx[first], ids[first], text[first], place[first]
+            row = b.column("row").to_numpy()[text]
+            # The count and the number of known context words share a number.
+            held.append((row, ctx, ids, n << 2 | place, lanes.value.lane(ctx & MASK, ctx)))
+            size += len(ctx)
+            if size > HELD:
+                yield from out()
+                size = 0
+        if size:
+            yield from out()
+
+    return run
+
+
+def _looked_up(depth: int, sent: Broadcast) -> Callable:
+    """(row, add): what the tree adds to the log10 probability of a text's words, from rows of ``LANED`` sorted by lane and kind."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        lane, tree, ready = None, [], None
+
+        def built() -> list[tuple[np.ndarray, ...]]:
+            """Of each level the contexts and what they spread, and their transitions as context number * symbols + symbol."""
+            cols = [np.concatenate(c) for c in zip(*tree, strict=True)] if tree else [np.zeros(0, np.int64)] * 5
+            out = []
+            for k in range(1, depth + 1):
+                ctx, x, p, spread = (c[cols[0] == k] for c in cols[1:])
+                known, first, at = np.unique(ctx, return_index=True, return_inverse=True)
+                codes = at * model.n + x
+                order = np.argsort(codes, kind="stable")
+                out.append((known, spread[first], codes[order], p[order]))
+            return out
+
+        for b in batches:
+            lanes = b.column("lane").to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], lanes[1:] != lanes[:-1]])) if b.num_rows else []
+            for i, j in zip(cuts, [*cuts[1:], b.num_rows], strict=True):
+                if lanes[i] != lane:
+                    lane, tree, ready = lanes[i], [], None
+                part = b.slice(i, j - i)
+                is_tree = part.column("kind").to_numpy() == 0
+                own = part.filter(pa.array(is_tree))
+                if own.num_rows:
+                    tree.append(tuple(own.column(c).to_numpy(zero_copy_only=False) for c in ("level", "ctx", "x", "p", "spread")))
+                rest = part.filter(pa.array(~is_tree))
+                for rows, tokens in zip(rest.column("rows").to_pylist(), rest.column("tokens").to_pylist(), strict=True):
+                    ready = ready or built()
+                    raw = np.frombuffer(zlib.decompress(tokens), np.uint8).reshape(3 + DEEPEST, 4, -1)
+                    place, x, n, *words_ = (np.ascontiguousarray(p.T).view(np.uint32).ravel().astype(np.int64) for p in raw)
+                    known, n = n & 3, n >> 2
+                    times, p = np.ones(len(x)), np.full(len(x), -1.0)
+                    todo = np.arange(len(x))
+                    for k in range(depth, 0, -1):
+                        at = todo[known[todo] >= k]
+                        ctx = np.zeros(len(at), np.int64)
+                        for w in range(k):
+                            ctx |= words_[w][at] << (BITS * w)
+                        which = _find(ready[k - 1][0], ctx)
+                        at, which = at[which >= 0], which[which >= 0]
+                        entry = _find(ready[k - 1][2], which * model.n + x[at])
+                        seen = entry >= 0
+                        p[at[seen]] = times[at[seen]] * ready[k - 1][3][entry[seen]]
+                        times[at[~seen]] *= ready[k - 1][1][which[~seen]]
+                        todo = todo[p[todo] < 0]
+                    p[todo] = times[todo] * model.root[x[todo]]
+                    add = np.bincount(place, n * np.log10(p / model.root[x]))
+                    some = np.flatnonzero(add)
+                    if len(some):
+                        yield pa.RecordBatch.from_pydict({"row": pa.array(np.frombuffer(rows, np.int64)[some]), "add": pa.array(add[some])})
+
+    return run
+
+
+def fit_and_score(docs: DataFrame, p_symbol: float = 1e-6, p_context: float = 0.0, depth: int = DEEPEST, min_gain: float = 6.0, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Learn from the documents that are not held out, score all: ``doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score, n_contexts``; scores are sums of log10 probabilities over a text's words and its end.
 
-    Contexts have up to ``depth`` words, five at most; with ``p_context`` only those that make up that share of the tokens
-    are candidates. base_score is the smoothed word-frequency model's. Null text counts as empty: its end alone is scored. Rows that
-    repeat count as often as they come and are scored each. A null id is not held out. Without any document to learn
-    from, all words are unknown and share one probability. An empty table gives an empty result; other columns are not
-    read.
+    Contexts have up to ``depth`` words, three at most; with ``p_context`` only those that make up that share of the tokens
+    are candidates. base_score is the smoothed word-frequency model's. Null text counts as empty: its end alone is scored.
+    Rows that repeat count as often as they come and are scored each. A null id is not held out. Without any document to
+    learn from, all words are unknown and share one probability. An empty table gives an empty result; other columns are
+    not read. The driver and every worker hold the symbols: 1/p_symbol words of ``SYMBOL_BYTES`` bytes at most, 72 MB in all
+    for a million.
     """
+    if not 1 <= depth <= DEEPEST:
+        raise ValueError(f"contexts have 1 to {DEEPEST} words")
     spark = docs.sparkSession
     for_python(spark)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    train = source.filter(~held_out("doc_id"))
-    counts = stored(_counted(train), "word_counts")
+    counts = stored(_counted(source.filter(~held_out("doc_id"))), "word_counts")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
     total, distinct = int(sums["total"]), int(sums["distinct"])
 
     # At most 1 / p_symbol words of at most SYMBOL_BYTES bytes.
-    listed = counts.filter((F.col("n") >= p_symbol * total) & (F.octet_length("word") <= SYMBOL_BYTES)).orderBy(F.desc("n"), "word").toArrow()
+    common = (F.col("n") >= p_symbol * total) & (F.octet_length("word") <= SYMBOL_BYTES)
+    listed = counts.filter(common).orderBy(F.desc("n"), "word").toArrow()
     each = np.array(listed.column("n").to_pylist(), np.int64)
     symbols = {bytes(w): i + 1 for i, w in enumerate(listed.column("word").to_pylist())}
     each = np.concatenate([[total - each.sum()], each]).astype(np.int64)
-    if len(symbols) >= PAD or not 1 <= depth <= 5:
-        raise ValueError(f"{len(symbols)} symbols of depth {depth} do not fit a packed run")
+    if len(symbols) >= MASK:
+        raise ValueError(f"{len(symbols)} symbols do not fit {BITS} bits")
     tree = SuffixTree(symbols, each, total, distinct, each >= max(1, p_context * total))
     sent = spark.sparkContext.broadcast(tree)
-    grams = stored(_gram_counts(source, sent, depth), "grams")
-    ratios, retained = _levels(grams, tree, depth, p_context * total, min_gain)
-    dropped(spark, grams)
-
-    scored = T.StructType([source.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("n_rare", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("word", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("doc", scored)])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
+    rare = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())]))
+    fields = {"row": T.LongType(), "doc_id": source.schema["doc_id"].dataType, "train": T.BooleanType(), "n_tokens": T.LongType(), "n_rare": T.LongType(), "base": T.DoubleType(), "score": T.DoubleType(), "ids": T.BinaryType(), "rare": rare}
+    numbered = source.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), (~held_out("doc_id")).alias("train"))
+    encoded = stored(_encoded(numbered, sent, T.StructType([T.StructField(c, t) for c, t in fields.items()])), "symbols")
 
-        arrow, model = to_arrow_schema(schema), sent.value
-        base_log = np.log10(model.root)
-        base_log[0] = 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            texts, rows = _texts(b), b.column("row").to_pylist()
-            ids, starts = model.read(texts)
-            by_text = lambda x: np.add.reduceat(x, starts)
-            rare = ids == 0
-            n_rare = by_text(rare.astype(np.int64))
-            score = by_text(np.log10(model.root)[ids]) - n_rare * np.log10(model.rare_whole)
-            docs_of = {"doc_id": b.column("doc_id"), "n_tokens": [len(ws) + 1 for ws in texts], "n_rare": n_rare, "base": by_text(base_log[ids]) - n_rare * np.log10(model.whole), "score": score}
-            one = pa.StructArray.from_arrays([pa.array(docs_of[f.name]) if not isinstance(docs_of[f.name], pa.Array) else docs_of[f.name] for f in scored], fields=list(arrow.field("doc").type))
-            # A text's own row gets a key that is no word, so that these rows are dealt evenly too.
-            none = pa.array(np.full(len(rows), -1))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), none, none, pa.array([b" %d" % x for x in rows], pa.binary()), pa.nulls(len(rows), pa.int32()), one], schema=arrow)
-            text = np.repeat(np.arange(len(rows)), np.diff([*starts, len(ids)]))
-            m, text, hi, lo = _added(np.ones(len(ids), np.int64), text, *_packed(ids, starts, depth))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(rows, np.int64)[text]), pa.array(hi), pa.array(lo), pa.array([b""] * len(m), pa.binary()), pa.array(m.astype(np.int32)), pa.nulls(len(m), arrow.field("doc").type)], schema=arrow)
-            at, word, n = [], [], []
-            for row, few, ws in zip(rows, n_rare, texts, strict=True):
-                if few:
-                    found = Counter(w for w in (*ws, END) if w not in model.symbols)
-                    at += [row] * len(found)
-                    word += found
-                    n += found.values()
-            if at:
-                none = pa.array(np.full(len(at), -1))
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), none, none, pa.array(word, pa.binary()), pa.array(n, pa.int32()), pa.nulls(len(at), arrow.field("doc").type)], schema=arrow)
-
-    found = source.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, schema)
-    rare = (F.col("n") < p_symbol * total) | (F.octet_length("word") > SYMBOL_BYTES)
-    no = F.lit(-1).cast("long")
-    # A rare word's (hi, lo) is (-1, -1), a run's word is empty: one join serves both.
-    rare_counts = counts.filter(rare).select(no.alias("hi"), no.alias("lo"), "word", F.log10(F.col("n") + ADDED).alias("share"), F.lit(True).alias("word_known"))
-    better = ratios.select("hi", "lo", F.lit(END).alias("word"), F.log10(F.col("p") / F.col("root")).alias("share"), F.lit(False).alias("word_known"))
-    is_word = F.col("hi") == -1
-    share = F.coalesce("share", F.when(is_word, F.lit(float(np.log10(ADDED)))).otherwise(0.0)) * F.col("n")
-    joined = found.join(rare_counts.unionByName(better), ["lo", "hi", "word"], "left").groupBy("row").agg(
-        F.max("doc").alias("doc"), F.sum(F.when(is_word, share)).alias("share"), F.sum(F.when(~is_word, share)).alias("runs"), F.sum(F.when(F.col("word_known"), F.col("n"))).alias("known")
-    )
-    extra = F.coalesce(F.col("share"), F.lit(0.0))
-    return joined.select(
-        F.col("doc.doc_id").alias("doc_id"), held_out("doc.doc_id").alias("held_out"), F.col("doc.n_tokens").alias("n_tokens"),
-        (F.col("doc.n_tokens") - F.col("doc.n_rare") + F.coalesce(F.col("known"), F.lit(0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("doc.base") + extra).alias("base_score"), (F.col("doc.score") + extra + F.coalesce("runs", F.lit(0.0))).alias("score"),
-        F.lit(retained).cast("long").alias("n_contexts"),
+    lower = spark.createDataFrame(pa.table({"ctx": pa.array(np.zeros(len(each), np.int64)), "x": pa.array(np.arange(len(each)), pa.int32()), "lower": pa.array(tree.root)}))
+    levels, retained = [], 0
+    for k in range(1, depth + 1):
+        parts = PASSES if k == DEEPEST else 1
+        runs = [stored(_transitions(encoded, k, i, parts, p_context * total), f"runs_{k}") for i in range(parts)]
+        level = stored(_level(reduce(DataFrame.unionByName, runs), lower, k, min_gain), f"level_{k}")
+        dropped(spark, *runs)
+        retained += level.filter("kept and first").count()
+        levels.append(level)
+        lower = level.select("ctx", "x", F.col("p").alias("lower"))
+
+    lanes = spark.sparkContext.broadcast(Lanes.over(each, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = [level.filter("kept").select("ctx", "x", "p", "spread").mapInArrow(_tree_rows(k, lanes), LANED) for k, level in enumerate(levels, 1)]
+    rows.append(encoded.select("row", "ids").mapInArrow(_token_rows(depth, lanes), LANED))
+    found = reduce(DataFrame.unionByName, rows).repartition(lanes.value.n, "lane").sortWithinPartitions("lane", "kind")
+    added = stored(found.mapInArrow(_looked_up(depth, sent), "row long, add double").groupBy("row").agg(F.sum("add").alias("add")), "added")
+    dropped(spark, *levels)
+
+    # A rare word's share of its class; a word that was not learnt from counts as seen ADDED times.
+    words_ = encoded.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("m"))
+    shares = counts.filter(~common).select("word", F.log10(F.col("n") + ADDED).alias("share"))
+    by_row = words_.join(shares, "word", "left").groupBy("row").agg(F.sum(F.col("m") * F.coalesce("share", F.lit(float(np.log10(ADDED))))).alias("rare_add"), F.sum(F.when(F.col("share").isNotNull(), F.col("m"))).alias("known"))
+    out = encoded.drop("ids", "rare").join(added, "row", "left").join(by_row, "row", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return out.select(
+        "doc_id", held_out("doc_id").alias("held_out"), "n_tokens", (F.col("n_tokens") - F.col("n_rare") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + zero("rare_add")).alias("base_score"), (F.col("score") + zero("rare_add") + zero("add")).alias("score"), F.lit(retained).cast("long").alias("n_contexts"),
     )

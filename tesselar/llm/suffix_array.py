@@ -216,11 +216,13 @@ def anchors(data: bytes, ends: np.ndarray, size: int, length: int) -> tuple[np.n
     return at, h[at]
 
 
-#: An anchor's hash, the two halves of its surroundings' hash, and where they lie.
-ROWS = "h long, s long, t long, doc_id long, a long, b long"
-NAMES = ["h", "s", "t", "doc_id", "a", "b"]
-#: The end of an anchor's surroundings and the anchor's place in them travel as one number.
+#: An anchor's hash, the two halves of its surroundings' hash, short hashes of the surroundings' sides, and where they lie.
+#: Rows without ``s`` are spans that are repeats for certain; they end at ``t``.
+ROWS = "h long, s long, t long, f long, doc_id long, at long"
+NAMES = ["h", "s", "t", "f", "doc_id", "at"]
+#: Where surroundings begin, how long they are and the anchor's place in them travel as one number.
 PLACE = 16
+LOW = (1 << PLACE) - 1
 Rows = tuple[np.ndarray, ...]
 
 
@@ -236,24 +238,46 @@ def _hashed(data: bytes, cuts: Iterable[tuple[int, int, int]]) -> tuple[np.ndarr
     return out[:, 0].astype(np.uint64), out[:, 1].astype(np.uint64)
 
 
+def _half(length: int) -> int:
+    """Bytes on one side of an anchor that are part of a key: of every string around it the half of what is left for sides."""
+    return (length - ANCHOR) // 2
+
+
+def _sides(p: int, a: int, e: int, length: int) -> tuple[tuple[int, int, int, int], tuple[int, int, int, int]]:
+    """For the keys before and behind the anchor at p, in surroundings a to e: the key's bytes, and those to be compared."""
+    half = _half(length)
+    lo, hi = max(a, p - half), min(e, p + ANCHOR + half)
+    return (lo, p + ANCHOR, a, hi), (p, hi, lo, e)
+
+
+def _whole(side: tuple[int, int, int, int], length: int) -> bool:
+    """Whether a string of ``length`` bytes can be found under the key."""
+    return side[1] - side[0] == _half(length) + ANCHOR and side[3] - side[2] >= length
+
+
 def _handed_on(rows: list[Rows]) -> Iterator[pa.RecordBatch]:
-    """A task's rows (see ``ROWS``): the earliest of each anchor and surroundings, and, without hashes, the spans of the
-    others, which are repeats for certain."""
-    h, s, t, doc, a, b = (np.concatenate([x[i] for x in rows]) for i in range(6))
-    by = np.lexsort((a, doc, t, s, h))
-    h, s, t, doc, a, b = h[by], s[by], t[by], doc[by], a[by], b[by]  # b with the place
+    """A task's rows (see ``ROWS``): the earliest of each anchor and surroundings, and the spans of the others, which are
+    repeats for certain."""
+    h, s, t, f, doc, at = (np.concatenate([x[i] for x in rows]) for i in range(6))
+    by = np.lexsort((at, doc, t, s, h))
+    h, s, t, f, doc, at = h[by], s[by], t[by], f[by], doc[by], at[by]
     new = first_of(h) | first_of(s) | first_of(t)
     firsts = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    later = (doc != doc[firsts]) | (a != a[firsts])
+    later = (doc != doc[firsts]) | (at != at[firsts])
     for i in range(0, int(new.sum()), 50_000):
-        yield _arrow([x[new][i : i + 50_000] for x in (h, s, t, doc, a, b)], NAMES)
-    doc, a, b = merged(doc[later], a[later], b[later] >> PLACE)
+        yield _arrow([x[new][i : i + 50_000] for x in (h, s, t, f, doc, at)], NAMES)
+    doc, a, e = merged(doc[later], *_span(at[later]))
     if len(doc):
-        yield _arrow([doc ^ a, None, None, doc, a, b << PLACE], NAMES)
+        yield _arrow([doc ^ a, None, e, None, doc, a], NAMES)
+
+
+def _span(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a = at >> 2 * PLACE
+    return a, a + (at >> PLACE & LOW)
 
 
 def _surroundings(size: int, length: int) -> Callable:
-    """Anchors with the hash and place of their surroundings; rows without ``s`` are spans that are repeats for certain."""
+    """Anchors with the hash and place of their surroundings."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Rows] = []
@@ -265,8 +289,13 @@ def _surroundings(size: int, length: int) -> Callable:
             owner = np.searchsorted(ends, at, "right")
             lo, hi = np.maximum(at - (length - size), (ends - sizes)[owner]), np.minimum(at + length, ends[owner])
             s, t = _hashed(data, zip(lo.tolist(), hi.tolist(), (at - lo).tolist(), strict=True))
+            short = np.zeros((2, len(at)), np.uint64)
+            half = _half(length)
+            for k, (x, y, room) in enumerate(((at - half, at + size, np.minimum(at + size + half, hi) - lo), (at, at + size + half, hi - np.maximum(at - half, lo)))):
+                ok = np.flatnonzero((x >= lo) & (y <= hi) & (room >= length))
+                short[k, ok] = [xxhash.xxh32_intdigest(data[i:j], k) | 1 for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True)]
             begin = (ends - sizes)[owner]
-            held.append((h, s, t, np.array([x[0] for x in part], np.int64)[owner], lo - begin, (hi - begin << PLACE) + at - lo))
+            held.append((h, s, t, short[0] << np.uint64(32) | short[1], np.array([x[0] for x in part], np.int64)[owner], (lo - begin << 2 * PLACE) | (hi - lo << PLACE) | at - lo))
 
         for batch in batches:
             part, size_ = [], 0
@@ -289,77 +318,96 @@ def _surroundings(size: int, length: int) -> Callable:
     return run
 
 
-#: What ``_settled`` gives: spans that are repeats (0), surroundings to be sorted (1), surroundings of an anchor that has MANY (2).
+#: What ``_settled`` gives: spans that are repeats (kind 0), surroundings to be sorted under the key before the anchor (1),
+#: behind it (2) or both (3), and surroundings of an anchor that has too many (4).
 SETTLED = "kind long, doc_id long, a long, b long"
-SURE, SORT, HOT = 0, 1, 2
+SURE, BEFORE, BEHIND, HOT = 0, 1, 2, 4
+
+
+def _shared(group: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Which of its sides (see ``SETTLED``) each of the surroundings has in common with another of its group."""
+    out = np.zeros(len(f), np.int64)
+    for kind, short in ((BEFORE, f >> np.uint64(32)), (BEHIND, f & np.uint64(0xFFFFFFFF))):
+        by = np.lexsort((short, group))
+        same = (group[by][1:] == group[by][:-1]) & (short[by][1:] == short[by][:-1])
+        twice = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(f) else np.zeros(0, bool)
+        out[by[twice & (short[by] != 0)]] |= kind
+    return out
 
 
-def _settled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by h, s, t, doc_id, a: the spans that are repeats, and the earliest of each surroundings where an
-    anchor has several. Holds the MANY first surroundings of one anchor."""
+def _settled(many: int) -> Callable:
+    """From rows sorted by h, s, t, doc_id, at: the spans that are repeats, and of anchors with several surroundings the
+    earliest of each that has a side in common with another. Holds the ``many`` first surroundings of one anchor."""
     names = ["kind", "doc_id", "a", "b"]
-    last = None  # h, s, t, doc, a of the first row with the surroundings met last
-    held: list[Rows] = []  # doc, a, b of the first surroundings of the anchor met last
-    many = False  # that anchor is known to have MANY
 
-    def kinds(kind: int, rows: Rows) -> pa.RecordBatch:
-        return _arrow([np.full(len(rows[0]), kind), *rows], names)
+    def sure(doc: np.ndarray, a: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+        return _arrow([np.zeros(len(doc), np.int64), doc, a, e], names)
 
-    def ended() -> Iterator[pa.RecordBatch]:
-        nonlocal many
-        if sum(len(x[0]) for x in held) > 1 and not many:
-            yield kinds(SORT, tuple(np.concatenate(x) for x in zip(*held, strict=True)))
-        held.clear()
-        many = False
+    def rest(kind: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        a, e = _span(at[kind > 0])
+        return _arrow([kind[kind > 0], doc[kind > 0], a, e << PLACE | at[kind > 0] & LOW], names)
 
-    for b in batches:
-        sure = b.filter(pc.is_null(b.column("s")))
-        if sure.num_rows:
-            yield kinds(SURE, tuple(sure.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "a", "b")))
-        b = b.filter(pc.is_valid(b.column("s")))
-        n = b.num_rows
-        if not n:
-            continue
-        h, s, t, doc, a, e = (b.column(c).to_numpy(zero_copy_only=False) for c in NAMES)
-        new_h = first_of(h)
-        new_h[0] = last is None or h[0] != last[0]
-        new_s = new_h | first_of(s) | first_of(t)
-        new_s[0] = new_h[0] or s[0] != last[1] or t[0] != last[2]
-        at = np.maximum.accumulate(np.where(new_s, np.arange(n), -1))
-        first_doc = np.where(at >= 0, doc[at], last[3] if last else 0)
-        first_a = np.where(at >= 0, a[at], last[4] if last else 0)
-        later = ~new_s & ((doc != first_doc) | (a != first_a))
-        spans = merged(doc[later], a[later], e[later] >> PLACE)
-        if len(spans[0]):
-            yield kinds(SURE, (*spans[:2], spans[2] << PLACE))
-        tops = np.flatnonzero(new_s)
-        if not len(tops):
-            continue
-        i = tops[-1]
-        last = (h[i], s[i], t[i], doc[i], a[i])
-        # The tops by anchor: the first part goes on with the anchor met last, the last part may go on in the next batch.
-        cuts = np.flatnonzero(new_h[tops])
-        rows = doc[tops], a[tops], e[tops]
-        bounds = np.concatenate([[0], cuts, [len(tops)]]) if not len(cuts) or cuts[0] else np.concatenate([cuts, [len(tops)]])
-        whole = np.diff(bounds) > 1  # anchors that begin and end in this batch, all handed on at once
-        whole[[0, -1]] = False
-        whole &= np.diff(bounds) <= MANY
-        inside = np.repeat(whole, np.diff(bounds))
-        if inside.any():
-            yield kinds(SORT, tuple(x[bounds[0] :][inside] for x in rows))
-        for k in sorted({0, len(bounds) - 2} | set(np.flatnonzero(np.diff(bounds) > MANY).tolist())):
-            part = tuple(x[bounds[k] : bounds[k + 1]] for x in rows)
-            if new_h[tops[bounds[k]]]:
-                yield from ended()
-            if not many:
-                held.append(part)
-                if sum(len(x[0]) for x in held) > MANY:
-                    many = True
-                    yield kinds(HOT, tuple(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held[:] = [tuple(x[:1] for x in part)]
-            else:
-                yield kinds(HOT, part)
-    yield from ended()
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # h, s, t, doc, at of the first row with the surroundings met last
+        held: list[Rows] = []  # f, doc, at of the first surroundings of the anchor met last
+        hot = False  # that anchor is known to have too many
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            nonlocal hot
+            if sum(len(x[0]) for x in held) > 1 and not hot:
+                f, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
+                yield rest(_shared(np.zeros(len(f), np.int64), f), doc, at)
+            held.clear()
+            hot = False
+
+        for b in batches:
+            known = b.filter(pc.is_null(b.column("s")))
+            if known.num_rows:
+                yield sure(*(known.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "at", "t")))
+            b = b.filter(pc.is_valid(b.column("s")))
+            n = b.num_rows
+            if not n:
+                continue
+            h, s, t, f, doc, at = (b.column(c).to_numpy(zero_copy_only=False) for c in NAMES)
+            new_h = first_of(h)
+            new_h[0] = last is None or h[0] != last[0]
+            new_s = new_h | first_of(s) | first_of(t)
+            new_s[0] = new_h[0] or s[0] != last[1] or t[0] != last[2]
+            top = np.maximum.accumulate(np.where(new_s, np.arange(n), -1))
+            first_doc = np.where(top >= 0, doc[top], last[3] if last else 0)
+            first_at = np.where(top >= 0, at[top], last[4] if last else 0)
+            later = ~new_s & ((doc != first_doc) | (at != first_at))
+            spans = merged(doc[later], *_span(at[later]))
+            if len(spans[0]):
+                yield sure(*spans)
+            tops = np.flatnonzero(new_s)
+            if not len(tops):
+                continue
+            i = tops[-1]
+            last = (h[i], s[i], t[i], doc[i], at[i])
+            # By anchor: the first part may go on with the anchor met last, the last part may go on in the next batch.
+            cuts = np.flatnonzero(new_h[tops])
+            bounds = np.concatenate([[0], cuts[cuts > 0], [len(tops)]])
+            sizes = np.diff(bounds)
+            rows = f[tops].view(np.uint64), doc[tops], at[tops]
+            one_by_one = sizes > many
+            one_by_one[[0, -1]] = True
+            inside = np.repeat(~one_by_one & (sizes > 1), sizes)
+            if inside.any():
+                yield rest(_shared(np.repeat(np.arange(len(sizes)), sizes)[inside], rows[0][inside]), rows[1][inside], rows[2][inside])
+            for k in np.flatnonzero(one_by_one).tolist():
+                part = tuple(x[bounds[k] : bounds[k + 1]] for x in rows)
+                if new_h[tops[bounds[k]]]:
+                    yield from ended()
+                if not hot:
+                    held.append(part)
+                    if sum(len(x[0]) for x in held) > many:
+                        hot, part = True, tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                if hot:
+                    yield rest(np.full(len(part[0]), HOT), *part[1:])
+        yield from ended()
+
+    return run
 
 
 def _windows(length: int) -> Callable:
@@ -378,7 +426,7 @@ def _windows(length: int) -> Callable:
                 if starts:
                     at = np.array(sorted(starts), np.int64)
                     s, t = _hashed(raw, ((i, i + length, 0) for i in at.tolist()))
-                    held.append((s, s, t, np.full(len(at), doc), at, at + length << PLACE))
+                    held.append((s, s, t, np.zeros(len(at), np.uint64), np.full(len(at), doc), (at << 2 * PLACE) | length << PLACE))
             if sum(len(x[0]) for x in held) > HELD:
                 yield from _handed_on(held)
                 held.clear()
@@ -389,7 +437,7 @@ def _windows(length: int) -> Callable:
 
 
 def _cut_out(length: int) -> Callable:
-    """Surroundings, each twice: keyed by what lies before its middle and by what lies behind it.
+    """Surroundings, keyed by what lies before their middle, by what lies behind it, or both.
 
     A string of ``length`` bytes around an anchor has half of what is left for its sides before the anchor, or behind it;
     so two equal ones meet under one of the keys, and a frequent anchor's rows do not all come together.
@@ -402,15 +450,12 @@ def _cut_out(length: int) -> Callable:
                 raw = (text or "").encode()
                 for x in spans:
                     a, e = x["a"], x["b"] >> PLACE
-                    p = a + x["b"] % (1 << PLACE)
-                    half = (length - ANCHOR) // 2
-                    left, right = (max(a, p - half), p + ANCHOR), (p, min(e, p + ANCHOR + half))
-                    for side, (lo, hi), (x0, x1) in ((0, left, (a, min(e, p + ANCHOR + half))), (1, right, (max(a, p - half), e))):
-                        if hi - lo == half + ANCHOR and x1 - x0 >= length:
-                            key.append(xxhash.xxh3_64_intdigest(raw[lo:hi], side) - 2**63)
+                    for kind, side in zip((BEFORE, BEHIND), _sides(a + (x["b"] & LOW), a, e, length), strict=True):
+                        if x["kind"] & kind and _whole(side, length):
+                            key.append(xxhash.xxh3_64_intdigest(raw[side[0] : side[1]], kind) - 2**63)
                             docs.append(doc)
-                            places.append(x0)
-                            parts.append(raw[x0:x1])
+                            places.append(side[2])
+                            parts.append(raw[side[2] : side[3]])
                 if len(key) > 20_000:
                     yield pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "doc_id": pa.array(docs, pa.int64()), "a": pa.array(places, pa.int64()), "part": pa.array(parts, pa.binary())})
                     key, docs, places, parts = [], [], [], []
@@ -486,28 +531,27 @@ def _columns(spans: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.zeros(len(a), np.int64), a, np.array([x["b"] for x in spans], np.int64)
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, many: int = MANY, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept`` (the bytes that stay; perhaps no valid UTF-8).
 
     A byte goes when a string of ``length`` bytes that covers it also starts earlier: in a document with a smaller id, or
     before it in the same. Matches lie within one document; what is removed elsewhere plays no part. Null text counts as
     empty. Rows that share an id are one document and lose the same spans; a row without id is not compared and keeps all
-    its bytes. Ids are whole numbers. An empty table gives an empty result; other columns are not read.
+    its bytes. An anchor with more than ``many`` different surroundings is settled string by string. Ids are whole numbers. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    if not ANCHOR < length < (1 << PLACE):
-        raise ValueError(f"length must be between {ANCHOR} and {1 << PLACE}")
+    if not ANCHOR < length < (1 << PLACE - 1):
+        raise ValueError(f"length must be between {ANCHOR} and {1 << PLACE - 1}")
     for_python(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    of_kind = lambda rows, kind: rows.filter(F.col("kind") == kind)
-    sure = lambda rows: of_kind(rows, SURE).select("doc_id", "a", F.expr(f"shiftright(b, {PLACE})").alias("b"))
-    by_doc = lambda rows: rows.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    settled = lambda rows, what: stored(rows.repartition("h").sortWithinPartitions("h", "s", "t", "doc_id", "a").mapInArrow(_settled, SETTLED), what)
+    sure = lambda rows: rows.filter(F.col("kind") == SURE).select("doc_id", "a", "b")
+    by_doc = lambda rows: rows.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", *(["kind"] if "kind" in rows.columns else []))).alias("spans"))
+    settled = lambda rows, what: stored(rows.repartition("h").sortWithinPartitions("h", "s", "t", "doc_id", "at").mapInArrow(_settled(many), SETTLED), what)
     found = settled(docs.mapInArrow(_surroundings(ANCHOR, length), ROWS), "anchors")
-    spans = sure(found)
-    if not of_kind(found, HOT).isEmpty():
-        spans = spans.unionByName(sure(settled(docs.join(by_doc(of_kind(found, HOT)), "doc_id").mapInArrow(_windows(length), ROWS), "strings")))
-    parts = docs.join(by_doc(of_kind(found, SORT)), "doc_id").mapInArrow(_cut_out(length), "key long, doc_id long, a long, part binary")
+    spans, hot = sure(found), found.filter(F.col("kind") == HOT)
+    if not hot.isEmpty():
+        spans = spans.unionByName(sure(settled(docs.join(by_doc(hot), "doc_id").mapInArrow(_windows(length), ROWS), "strings")))
+    parts = docs.join(by_doc(found.filter(F.col("kind").between(BEFORE, BEFORE | BEHIND))), "doc_id").mapInArrow(_cut_out(length), "key long, doc_id long, a long, part binary")
     more = stored(parts.repartition("key").sortWithinPartitions("key", "doc_id", "a").mapInArrow(_compared(length), "doc_id long, a long, b long"), "repeats")
     spans = by_doc(spans.unionByName(more))
     return docs.join(spans, "doc_id", "left").mapInArrow(_without, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

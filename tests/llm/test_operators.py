@@ -246,6 +246,29 @@ def test_top_k(spark):
     assert [(r.query_id, r.vec_id) for r in top_k(rows.filter("vec_id = 1"), rows.filter("vec_id < 3 and vec_id > 0"), 5).collect()] == [(1, 2)]
 
 
+def test_top_k_over_many_super_blocks(spark):
+    """Vectors in clusters by id, with clashing columns and copies: bounds rule out most super-blocks, and no answer."""
+    from tesselar.llm.topk import surviving
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8)) * 4
+    vecs = [(i, list(map(float, centres[i // 100] + rng.normal(size=8) * 0.1))) for i in range(1200)] + [(77, [4.0] * 8)] * 60 + [(5000 + i, [0.5] * 3) for i in range(3)]
+    rows = spark.createDataFrame([(i, v, "x", 1, 2.0) for i, v in vecs], "vec_id long, embedding array<double>, vec string, _s int, score double").repartition(4)
+    asked = rows.filter("vec_id % 50 = 0")
+    got = {}
+    for r in top_k(asked, rows, 5, super_rows=50).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    q = [(i, [math.floor(256 * x) for x in v]) for i, v in vecs]
+    want = {}
+    for i, v in q:
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in q if j != i)[:5]
+            want[i] = [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert {i: sorted(rs) for i, rs in got.items()} == want
+    _, held, _, left = surviving(asked, rows, 5, super_rows=50)
+    assert held.select("_s").distinct().count() > 10 and left.count() < 0.3 * len(want) * 25
+
+
 def test_suffix_tree_base_and_mass(spark):
     random.seed(2)
     texts = [None, "", "  ", "A a É"] + [" ".join(random.choice("the cat sat on a mat and then some more".split()) for _ in range(random.randrange(0, 30))) for _ in range(60)] + ["w" * 70 + " rare"]
@@ -419,48 +442,53 @@ print("REMOVED", [(r.doc_id, r.n_removed) for r in remove_repeats(s.createDataFr
     assert f"REMOVED [(1, 0), (2, {n}), (3, 0)]" in out
 
 
-@pytest.mark.parametrize("many", [3, 40])
-def test_remove_repeats_around_a_hot_anchor(spark, monkeypatch, many):
+@pytest.mark.parametrize("many", [3, 40, 20_000])
+def test_remove_repeats_around_a_hot_anchor(spark, many):
     """One passage among ever different neighbours, and equal ones: by strings where it has too many surroundings to sort."""
     random.seed(8)
-    from tesselar.llm import suffix_array as S
-
     passage = "the passage that all of them share, be it long or short, between two others"
     some = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
     sides = [some(60) for _ in range(7)]
     texts = [random.choice([some(70), random.choice(sides)]) + passage + random.choice([some(70), random.choice(sides), ""]) for _ in range(150)]
-    monkeypatch.setattr(S, "MANY", many)
-    rows = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(table(spark, texts)).collect()}
+    rows = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(table(spark, texts), many=many).collect()}
     assert [rows[i] for i in range(len(texts))] == brute_repeats(texts)
 
 
-def test_settled_by_batches_of_any_size(monkeypatch):
+def test_settled_by_batches_of_any_size():
     import pyarrow as pa
     from tesselar.llm import suffix_array as S
 
     random.seed(9)
-    monkeypatch.setattr(S, "MANY", 4)
     rows = sorted((random.randrange(12), random.randrange(6), random.randrange(2), random.randrange(30), random.randrange(9)) for _ in range(400))
-    cols = [pa.array(c, pa.int64()) for c in (*zip(*rows), [(r[4] + 100) << S.PLACE for r in rows])]
+    short = lambda h, s, t: (s % 3 << 32 | (s + t) % 4) + h * 0
+    cols = [pa.array(c, pa.int64()) for c in zip(*((h, s, t, short(h, s, t), doc, a << 2 * S.PLACE | 100 << S.PLACE) for h, s, t, doc, a in rows))]
     whole, firsts, want = pa.RecordBatch.from_arrays(cols, names=S.NAMES), {}, set()
     for h, s, t, doc, a in rows:
         first = firsts.setdefault((h, s, t), (doc, a))
         if first != (doc, a):
             want |= {(doc, x) for x in range(a, a + 100)}
     by_h = {}
-    for (h, _, _), (doc, a) in firsts.items():
-        by_h.setdefault(h, []).append((doc, a))
+    for (h, s, t), (doc, a) in firsts.items():
+        by_h.setdefault(h, []).append((short(h, s, t), doc, a))
+    sort, hot = [], []
+    for v in by_h.values():
+        left, right = Counter(f >> 32 for f, _, _ in v), Counter(f & 0xFFFFFFFF for f, _, _ in v)
+        for f, doc, a in v:
+            kind = S.BEFORE * (f >> 32 > 0 and left[f >> 32] > 1) + S.BEHIND * (f & 0xFFFFFFFF > 0 and right[f & 0xFFFFFFFF] > 1)
+            if len(v) > 9:
+                hot.append((S.HOT, doc, a))
+            elif kind:
+                sort.append((kind, doc, a))
+    assert sort and hot
     for size in (1, 3, 50, 400):
-        got = {S.SURE: set(), S.SORT: [], S.HOT: []}
-        for b in S._settled(whole.slice(i, min(size, 400 - i)) for i in range(0, 400, size)):
+        sure, got = set(), []
+        for b in S._settled(9)(whole.slice(i, min(size, 400 - i)) for i in range(0, 400, size)):
             for kind, doc, a, e in zip(*(c.to_pylist() for c in b.columns)):
                 if kind == S.SURE:
-                    got[kind] |= {(doc, x) for x in range(a, e >> S.PLACE)}
+                    sure |= {(doc, x) for x in range(a, e)}
                 else:
-                    got[kind].append((doc, a))
-        assert got[S.SURE] == want
-        assert sorted(got[S.SORT]) == sorted(x for v in by_h.values() if 1 < len(v) <= 4 for x in v)
-        assert sorted(got[S.HOT]) == sorted(x for v in by_h.values() if len(v) > 4 for x in v)
+                    got.append((kind, doc, a))
+        assert sure == want and sorted(got) == sorted(sort + hot)
 
 
 def test_remove_repeats(spark):

@@ -5,27 +5,72 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Other names of tasks (fixed values); names that are not listed pass as they are.
-TASK_ALIASES = {"domains": "domain_detection", "spatial_domains": "domain_detection", "svg": "spatially_variable_genes", "deconv": "deconvolution", "annotate": "annotation"}
-#: Parts of names by platform, the first that fits (fixed values).
-PLATFORMS = (("visium", "visium"), ("xenium", "xenium"), ("merfish", "merfish"), ("merscope", "merfish"), ("slide", "slideseq"), ("stereo", "stereoseq"), ("cosmx", "cosmx"))
-#: Parts of keys that name people or raw data (fixed values).
-PRIVATE = ("patient", "donor_name", "birth", "email", "address", "barcode", "sequence")
-#: Longest list of numbers that a public record may hold.
+#: Tasks, and other names of them (fixed values); names that are not listed pass as they are.
+TASKS = ("spatial_domain", "spatial_protein_domain", "spatial_chromatin_domain", "cell_type", "svg", "deconvolution", "virtual_st")
+DOMAIN_TASKS = ("spatial_domain", "spatial_protein_domain", "spatial_chromatin_domain")
+TASK_ALIASES = {
+    "domain_detection": "spatial_domain", "domain": "spatial_domain", "protein_domain": "spatial_protein_domain", "chromatin_domain": "spatial_chromatin_domain",
+    "virtual_stain": "virtual_st", "he2st": "virtual_st", "h&e2st": "virtual_st",
+}
+#: Names of platforms without case, hyphens and underscores (fixed values); others pass as they are.
+PLATFORMS = {
+    "visium": "visium", "10xvisium": "visium", "visiumhd": "visium_hd", "xenium": "xenium", "10xxenium": "xenium", "merfish": "merfish", "vizgen": "merfish", "merscope": "merscope", "cosmx": "cosmx",
+    "slideseqv2": "slideseq", "slideseq": "slideseq", "stereoseq": "stereoseq", "he": "histology", "hne": "histology", "histology": "histology", "codex": "codex", "mibi": "mibi", "imc": "imc",
+    "cutntag": "chromatin", "scatac": "chromatin", "spatialatac": "chromatin",
+}
+#: Parts of keys that stand for data of single observations (fixed values).
+PRIVATE = ("counts", "coords", "coordinate", "spatial", "expression", "matrix", "adata", "obsm", "layers", "barcode", "cell_id", "spot_id", "raw_x")
+#: Longest list of numbers that a shared record may hold (fixed value).
 LONGEST_NUMBERS = 8
+#: Ground truths that are made from the data themselves (fixed values), and those that a task cannot borrow.
+CIRCULAR = ("self_supervised", "leiden", "louvain")
+NOT_FOR_VIRTUAL = ("spatial_domain", "spatial_protein_domain", "spatial_chromatin_domain", "cluster_proxy", "cell_type")
+#: K policies that do not know the true number of domains, and those that do (fixed values).
+HONEST_K, ORACLE_K = ("estimate", "estimated", "non_oracle"), ("oracle", "dual", "fixed_oracle")
+#: A JSON string, and with a colon behind it a key; a list of numbers once strings are emptied.
+_STRING = r'"(?:[^"\\]|\\.)*"'
+_NUMBER = r"(?:-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|NaN|-?Infinity)"
+
+
+def _looked_up(name: Column, known: dict[str, str]) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.coalesce(table[name], F.when(name != "", name))
 
 
 def normalized_task(task: Column) -> Column:
-    low = F.lower(F.trim(task))
-    known = F.create_map(*[F.lit(x) for pair in TASK_ALIASES.items() for x in pair])
-    return F.coalesce(known[low], low)
+    """The task's own name; what is empty becomes null."""
+    return _looked_up(F.lower(F.trim(task)), TASK_ALIASES)
 
 
 def platform(name: Column) -> Column:
-    low, out = F.lower(name), F.lit("other")
-    for part, kind in reversed(PLATFORMS):
-        out = F.when(low.contains(part), kind).otherwise(out)
-    return F.when(name.isNotNull(), out)
+    return _looked_up(F.translate(F.lower(F.trim(name)), "-_", ""), PLATFORMS)
+
+
+def is_domain_task(task: Column) -> Column:
+    return F.coalesce(normalized_task(task).isin(*DOMAIN_TASKS), F.lit(False))
+
+
+def task_relation(query: Column, reference: Column) -> Column:
+    """``same``, ``same_family`` (two kinds of domains, whose evidence is never mixed) or ``incompatible``."""
+    q, r = normalized_task(query), normalized_task(reference)
+    return F.when(q == r, "same").when(is_domain_task(query) & is_domain_task(reference), "same_family").otherwise("incompatible")
+
+
+def evidence_reasons(query: Column, reference: Column, truth: Column, k_policy: Column, oracle_k: Column) -> Column:
+    """Why evidence of a reference may not count for a query; none, if it may.
+
+    The task has to be the same, the ground truth must not be made from the data (or, for domains, stand for them only,
+    or, for virtual stains, be labels), and evidence on domains has to say that it did not know their number.
+    """
+    kind, policy = F.lower(F.coalesce(truth, F.lit(""))), F.lower(F.trim(F.coalesce(k_policy, F.lit(""))))
+    domain = is_domain_task(query)
+    bad_truth = kind.isin(*CIRCULAR) | (domain & (kind == "cluster_proxy")) | ((normalized_task(query) == "virtual_st") & kind.isin(*NOT_FOR_VIRTUAL))
+    oracle = policy.isin(*ORACLE_K) | F.coalesce(oracle_k, F.lit(False))
+    reasons = F.array(
+        F.when(task_relation(query, reference) != "same", "task_mismatch"), F.when(bad_truth, "ground_truth_forbidden"), F.when(domain & oracle, "oracle_k_forbidden"),
+        F.when(domain & ~oracle & (policy == ""), "k_policy_undeclared"), F.when(domain & ~oracle & (policy != "") & ~policy.isin(*HONEST_K), "k_policy_not_honest"),
+    )
+    return F.array_compact(reasons)
 
 
 def method_of(name: Column) -> Column:
@@ -37,9 +82,22 @@ def policy_of(name: Column) -> Column:
     return F.when(F.instr(name, "@") > 0, F.substring_index(name, "@", -1))
 
 
-def private_keys(keys: Column) -> Column:
-    """The keys of a record that may not be shared."""
-    return F.filter(keys, lambda k: F.lower(k).rlike("|".join(PRIVATE)))
+def private_keys(json: Column) -> Column:
+    """The keys of a JSON record, at any depth, that stand for data of single observations; they may not be shared.
+
+    Strings are read as wholes, so what looks like a key inside one is none. Of a key with dots the last part counts.
+    """
+    keys = F.transform(F.filter(F.regexp_extract_all(json, F.lit(_STRING + r"\s*:?"), F.lit(0)), lambda x: x.endswith(":")), lambda x: F.regexp_extract(x, r'^"(.*)"\s*:$', 1))
+    return F.filter(keys, lambda k: F.regexp_replace(F.element_at(F.split(F.lower(k), r"\."), -1), r"\[.*$", "").rlike("|".join(PRIVATE)))
+
+
+def long_numbers(json: Column) -> Column:
+    """Whether a JSON record holds a list of more than ``LONGEST_NUMBERS`` numbers, at any depth."""
+    return F.regexp_replace(json, _STRING, '""').rlike(rf"\[\s*{_NUMBER}(?:\s*,\s*{_NUMBER}){{{LONGEST_NUMBERS},}}\s*\]")
+
+
+def shareable(json: Column) -> Column:
+    return (F.size(private_keys(json)) == 0) & ~long_numbers(json)
 
 
 def sanitized(key: Column) -> Column:

@@ -32,7 +32,13 @@ def long(vecs: DataFrame) -> DataFrame:
 def standardized(v: DataFrame) -> DataFrame:
     from .svg import standardized as z
 
-    return z(v)
+    return z(v, logged=False)
+
+
+def expression_embedding(v: DataFrame, n_pcs: int = 8) -> DataFrame:
+    """``i, vec``: scores on the first components of standardised log1p values; all of them where there are fewer genes."""
+    genes = v.select("gene").distinct().count()
+    return saved(pca(v.select("i", "gene", F.log1p("v").alias("v")), max(1, min(n_pcs, genes))), "expression_embedding")
 
 
 def pca(v: DataFrame, n: int) -> DataFrame:
@@ -206,51 +212,74 @@ def birch(k: int, threshold: float = 0.5) -> Callable[[np.ndarray], np.ndarray]:
 
 
 def multiscale_consensus(v: DataFrame, edges: DataFrame, base_k: int, k: int = 3) -> DataFrame:
-    """Standardised values smoothed at k, 2k and 4k neighbours (``edges`` ranked by r), side by side; then k-means."""
-    z = standardized(v)
-    p = edges.join(z.select(F.col("i").alias("j"), "gene", F.col("v").alias("vj")), "j")
+    """The expression embedding smoothed at k, 2k and 4k neighbours (``edges`` ranked by r), standardised, side by side; then
+    k-means."""
+    x = long(expression_embedding(v))
+    p = edges.join(x.select(F.col("i").alias("j"), "gene", F.col("v").alias("vj")), "j")
     m = p.groupBy("i", "gene").agg(*[F.avg(F.when(F.col("r") <= base_k * s, F.col("vj"))).alias(f"s{s}") for s in (1, 2, 4)])
-    vec = m.groupBy("i").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("gene", "s1", "s2", "s4"))), lambda x: F.array(x["s1"], x["s2"], x["s4"]))).alias("vec"))
-    return kmeans(saved(vec, "multiscale"), k)
+    each = m.select("i", F.explode(F.array(*[F.struct((F.col("gene") * 3 + n).alias("gene"), F.col(f"s{s}").alias("v")) for n, s in enumerate((1, 2, 4))])).alias("e"))
+    return kmeans(saved(wide(standardized(each.select("i", "e.gene", "e.v"))), "multiscale"), k)
 
 
 def boundary_aware(v: DataFrame, edges: DataFrame, k: int = 3, weight: float = 0.5) -> DataFrame:
-    """Neighbour means weighted by distance and likeness, blended less where neighbours differ; domain and boundary score."""
-    z = saved(standardized(v), "z")
-    p = edges.select("i", "j", F.sqrt("d2").alias("d")).join(z, "i").join(z.select(F.col("i").alias("j"), "gene", F.col("v").alias("vj")), ["j", "gene"])
+    """Neighbour means weighted by distance and likeness, blended less where neighbours differ; domain and boundary score,
+    which is the mean jump to the neighbours as a share of the largest."""
+    x = long(expression_embedding(v))
+    p = edges.select("i", "j", F.sqrt("d2").alias("d")).join(x, "i").join(x.select(F.col("i").alias("j"), "gene", F.col("v").alias("vj")), ["j", "gene"])
     e = p.groupBy("i", "j", "d").agg(F.sqrt(F.sum((F.col("v") - F.col("vj")) * (F.col("v") - F.col("vj")))).alias("e"))
+    e = saved(e, "jumps")
     scales = e.agg(F.greatest(F.median("d"), F.lit(1e-12)).alias("sd"), F.greatest(F.median("e"), F.lit(1e-12)).alias("se"))
-    w = e.crossJoin(F.broadcast(scales)).select("i", "j", F.exp(-F.col("d") / F.col("sd") - F.col("e") / F.col("se")).alias("w"), (F.col("e") / F.col("se")).alias("jump"))
-    score = w.groupBy("i").agg((1 - 1 / (1 + F.avg("jump"))).alias("boundary"))
-    near = w.join(z.select(F.col("i").alias("j"), "gene", F.col("v").alias("vj")), "j").groupBy("i", "gene").agg((F.sum(F.col("w") * F.col("vj")) / F.sum("w")).alias("m"))
-    blend = z.join(near, ["i", "gene"]).join(score, "i").withColumn("b", weight * (1 - F.col("boundary"))).select("i", "gene", ((1 - F.col("b")) * F.col("v") + F.col("b") * F.col("m")).alias("v"))
-    return kmeans(saved(wide(blend), "blend"), k).join(score, "i")
+    w = e.crossJoin(F.broadcast(scales)).select("i", "j", F.exp(-F.col("d") / F.col("sd") - F.col("e") / F.col("se")).alias("w"))  # one row of scales
+    mean = saved(e.groupBy("i").agg(F.avg("e").alias("jump")), "mean_jumps")
+    score = mean.crossJoin(F.broadcast(mean.agg(F.greatest(F.max("jump"), F.lit(1e-12)).alias("most")))).select("i", (F.col("jump") / F.col("most")).alias("boundary"))
+    near = w.join(x.select(F.col("i").alias("j"), "gene", F.col("v").alias("vj")), "j").groupBy("i", "gene").agg((F.sum(F.col("w") * F.col("vj")) / F.greatest(F.sum("w"), F.lit(1e-12))).alias("m"))
+    blend = x.join(near, ["i", "gene"]).join(score, "i").withColumn("b", weight * (1 - F.col("boundary"))).select("i", "gene", ((1 - F.col("b")) * F.col("v") + F.col("b") * F.col("m")).alias("v"))
+    return kmeans(saved(wide(standardized(blend)), "blend"), k).join(score, "i")
 
 
 def potts_refined(emb: DataFrame, domains: DataFrame, edges: DataFrame, weight: float = 0.35, rounds: int = 6) -> DataFrame:
-    """Labels that trade distance from their centre against agreement with the neighbours, for some rounds."""
-    x = long(emb)
-    lab = domains.select("i", "domain")
+    """Labels of least squared distance from their centre, in units of the median over all labels, plus ``weight`` times the
+    share of neighbours with another label; at most so many rounds, and none after one that changes nothing."""
+    x = saved(long(emb), "potts_rows")
+    lab = saved(domains.select("i", "domain"), "potts")
+    kinds = F.broadcast(lab.select("domain").distinct())
     for _ in range(rounds):
-        c = F.broadcast(x.join(lab, "i").groupBy("domain", "gene").agg(F.avg("v").alias("c")))
-        d = x.join(c, "gene").groupBy("i", "domain").agg(F.sum((F.col("v") - F.col("c")) * (F.col("v") - F.col("c"))).alias("d"))
-        d = d.withColumn("d", F.col("d") / F.greatest(F.avg("d").over(Window.partitionBy("i")), F.lit(1e-12)))
+        c = kinds.join(x.join(lab, "i").groupBy("domain", "gene").agg(F.avg("v").alias("c")), "domain")
+        d = x.join(F.broadcast(c), "gene").groupBy("i", "domain").agg(F.sum((F.col("v") - F.col("c")) * (F.col("v") - F.col("c"))).alias("d"))
+        d = saved(d, "potts_costs")
+        scale = max(d.agg(F.median("d")).first()[0] or 0.0, 1e-12)
         n = edges.join(lab.select(F.col("i").alias("j"), "domain"), "j").groupBy("i", "domain").agg(F.count("*").alias("n"))
         n = n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("i")))
-        cost = d.join(n, ["i", "domain"], "left").select("i", "domain", ((1 - weight) * F.col("d") + weight * (1 - F.coalesce("share", F.lit(0.0)))).alias("cost"))
-        lab = saved(cost.groupBy("i").agg(F.min(F.struct("cost", "domain")).alias("b")).select("i", F.col("b.domain").alias("domain")), "potts")
+        cost = d.join(n, ["i", "domain"], "left").select("i", "domain", (F.col("d") / scale + weight * (1 - F.coalesce("share", F.lit(0.0)))).alias("cost"))
+        new = saved(cost.groupBy("i").agg(F.min(F.struct("cost", "domain")).alias("b")).select("i", F.col("b.domain").alias("domain")), "potts")
+        same = new.join(lab.withColumnRenamed("domain", "was"), "i").filter("domain <> was").isEmpty()
+        lab = new
+        if same:
+            break
     same = edges.join(lab, "i").join(lab.toDF("j", "dj"), "j").groupBy("i").agg(F.avg(F.when(F.col("domain") == F.col("dj"), 1.0).otherwise(0.0)).alias("coherence"))
     return lab.join(same, "i", "left")
 
 
+def joint_embedding(v: DataFrame, edges: DataFrame, n_pcs: int = 8) -> DataFrame:
+    """The expression embedding and its neighbours' mean, standardised, side by side."""
+    x = long(expression_embedding(v, n_pcs))
+    m = edges.join(x.select(F.col("i").alias("j"), "gene", F.col("v").alias("vj")), "j").groupBy("i", "gene").agg(F.avg("vj").alias("v"))
+    both = x.select("i", (F.col("gene") * 2).alias("gene"), "v").unionByName(m.select("i", (F.col("gene") * 2 + 1).alias("gene"), "v"))
+    return saved(wide(standardized(both)), "joint")
+
+
 def uncertainty(emb: DataFrame, k: int = 3, runs: int = 7) -> DataFrame:
-    """Vote share against the chosen domain over restarts; labels are matched to the first run's by largest overlap."""
+    """Vote share against the chosen domain over restarts; a run's labels are matched to the first run's by the least sum of
+    squared distances between centres."""
+    x = long(emb)
+    centres = lambda lab: x.join(lab, "i").groupBy("domain", "gene").agg(F.avg("v").alias("c"))
     base = saved(kmeans(emb, k, 0), "base")
+    held = saved(centres(base), "base_centres")
     votes = base
     for s in range(1, runs):
-        other = kmeans(emb, k, s)
-        both = base.join(other.withColumnRenamed("domain", "o"), "i").groupBy("domain", "o").agg(F.count("*").alias("n"))
-        match = _assigned([(r["domain"], r["o"], r["n"]) for r in both.collect()], k)  # k by k counts
+        other = saved(kmeans(emb, k, s), "run")
+        apart = held.join(centres(other).toDF("o", "gene", "c2"), "gene").groupBy("domain", "o").agg(F.sum((F.col("c") - F.col("c2")) * (F.col("c") - F.col("c2"))).alias("d"))
+        match = _assigned([(r["domain"], r["o"], -r["d"]) for r in apart.collect()], k)  # k by k distances
         m = F.create_map(*[F.lit(x) for pair in match.items() for x in pair])
         votes = votes.unionByName(other.select("i", m[F.col("domain")].alias("domain")))
     share = votes.groupBy("i", "domain").agg((F.count("*") / runs).alias("p"))

@@ -6,8 +6,10 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,42 +26,56 @@ def _around(df: DataFrame, rings: int) -> DataFrame:
     return df.withColumn("cx", F.explode(F.transform(steps, lambda s: F.col("cx") + s))).withColumn("cy", F.explode(F.transform(steps, lambda s: F.col("cy") + s)))
 
 
+#: Wider grids that are tried, each four times as wide, before what is left is compared with all points.
+WIDER = 12
+
+
+def _grid(points: DataFrame, per_cell: float, groups: int) -> tuple[int, float, float]:
+    """Number of points, width of cells that hold ``per_cell`` of them on average, and the extent of all.
+
+    The average is over the middle nine tenths of both axes: a few far points change no cell of the others.
+    """
+    q = points.agg(F.count("*"), *[F.percentile_approx(c, [0.0, 0.05, 0.95, 1.0], 1000) for c in ("x", "y")]).first()
+    n, spans = q[0], [x for x in q[1:] if x]
+    extent = max([x[3] - x[0] for x in spans] or [0.0]) or 1e-12
+    sides = [max((x[2] - x[1]) / 0.9, extent * 1e-9) for x in spans] or [extent, extent]
+    cells = max(1.0, n / (per_cell * groups))
+    return n, math.sqrt(sides[0] * sides[1] / cells) or extent, extent
+
+
 def knn(points: DataFrame, k: int, within: str | None = None) -> DataFrame:
     """Exact k nearest neighbours, by squared distance and then id; ``within``: only among equal values of that column.
 
-    Cells hold about k points on average. A point is settled when its k-th neighbour is no farther than the ring of cells
-    that was searched is wide; the others search rings thrice as wide, until the whole extent is covered.
+    A point looks into its own cell and those around it, and is settled when its k-th neighbour is no farther than a cell is
+    wide; the others look again on a grid four times as wide. Points at one and the same place share a cell on every grid.
     """
     cols = ["i", "x", "y", *([within] if within else [])]
     p = points.select(*cols)
-    lo = p.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count("*").alias("n")).first()
-    if not lo["n"]:
-        return p.sparkSession.createDataFrame([], "i long, j long, d2 double, r int")
-    extent = max(lo["x1"] - lo["x0"], lo["y1"] - lo["y0"], 1e-12)
     groups = p.select(within).distinct().count() if within else 1
-    width = extent / max(1.0, math.sqrt(lo["n"] / (2.0 * k * groups)))
-    cells = p.select("*", *_cell(width))
-    right = cells.select(F.col("i").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), "cx", "cy", *([within] if within else []))
+    n, width, extent = _grid(p, 3.0 * k, groups)
+    if not n:
+        return p.sparkSession.createDataFrame([], "i long, j long, d2 double, r int")
     near = Window.partitionBy("i").orderBy("d2", "j")
     d2 = (F.col("x") - F.col("xj")) * (F.col("x") - F.col("xj")) + (F.col("y") - F.col("yj")) * (F.col("y") - F.col("yj"))
-    todo, rings, done = cells, 1, []
-    while True:
-        found = _around(todo, rings).join(right, ["cx", "cy", *([within] if within else [])]).filter("i <> j").select("i", "j", d2.alias("d2"))
+    todo, done = p, []
+    for step in range(WIDER + 1):
+        last = step == WIDER or width > extent
+        cell = [F.lit(0).alias("cx"), F.lit(0).alias("cy")] if last else _cell(width)
+        right = p.select(F.col("i").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), *cell, *([within] if within else []))
+        left = todo.select("*", *cell)
+        found = (left if last else _around(left, 1)).join(right, ["cx", "cy", *([within] if within else [])]).filter("i <> j").select("i", "j", d2.alias("d2"))
         found = found.withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k)
-        if rings * width > extent:
+        if last:
             done.append(found)
             break
         found = saved(found, "knn")
-        sure = found.filter((F.col("r") == k) & (F.col("d2") <= (rings * width) ** 2)).select("i")
+        sure = found.filter((F.col("r") == k) & (F.col("d2") <= width**2)).select("i")
         done.append(found.join(sure, "i", "left_semi"))
-        todo = todo.join(sure, "i", "left_anti")
+        todo = saved(todo.join(sure, "i", "left_anti"), "unsettled")
         if todo.isEmpty():
             break
-        rings *= 3
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return saved(out, "edges")  # nearly all that takes edges reads them more than once
+        width *= 4
+    return saved(reduce(DataFrame.unionByName, done), "edges")  # nearly all that takes edges reads them more than once
 
 
 def radius_graph(points: DataFrame, radius: float) -> DataFrame:
@@ -88,16 +104,82 @@ def mutual(edges: DataFrame) -> DataFrame:
 
 
 def adaptive_radius(points: DataFrame, k: int = 6, scale: float = 1.25) -> DataFrame:
-    """Each point reaches ``scale`` times its k-th distance; weight exp(-(d / radius)^2 / 2), the larger of both directions."""
-    reach = knn(points, k).filter(F.col("r") == k).select("i", (F.sqrt("d2") * scale).alias("radius"))
-    reach = saved(points.select("i", "x", "y").join(reach, "i"), "reach")
-    most = reach.agg(F.max("radius")).first()[0] or 0.0
-    pairs = radius_graph(points, max(most, 1e-12))
-    both = pairs.select("i", "j", "d2").union(pairs.select("j", "i", "d2")).join(reach.select("i", "radius"), "i")
-    kept = both.filter(F.sqrt("d2") <= F.col("radius")).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.exp(-0.5 * F.col("d2") / F.greatest(F.col("radius") * F.col("radius"), F.lit(1e-24))).alias("weight"))
+    """Each point reaches ``scale`` times its k-th distance; weight exp(-d^2 / (2 s^2)), s the mean of both radii.
+
+    Points are searched on grids by the power of two that bounds their radius, so one that is far from all others makes
+    only its own cells large.
+    """
+    least = 2.220446049250313e-16
+    reach = knn(points, k).filter(F.col("r") == k).select("i", F.greatest(F.sqrt("d2") * scale, F.lit(least)).alias("radius"))
+    reach = saved(points.select("i", "x", "y").join(reach, "i").withColumn("level", F.ceil(F.log2("radius")).cast("int")), "reach")
+    levels = F.broadcast(reach.select("level").distinct())  # some dozens: exponents of doubles
+    width = F.pow(F.lit(2.0), F.col("level"))
+    cell = [F.floor(F.col(c) / width).alias(f"c{c}") for c in ("x", "y")]
+    right = reach.select(F.col("i").alias("j"), F.col("x"), F.col("y"), F.col("radius").alias("rj")).join(levels).select("j", F.col("x").alias("xj"), F.col("y").alias("yj"), "rj", "level", *cell)
+    d2 = (F.col("x") - F.col("xj")) * (F.col("x") - F.col("xj")) + (F.col("y") - F.col("yj")) * (F.col("y") - F.col("yj"))
+    pairs = _around(reach.select("i", "x", "y", "radius", "level", *cell), 1).join(right, ["level", "cx", "cy"]).filter("i <> j").withColumn("d2", d2).filter(F.sqrt("d2") <= F.col("radius"))
+    sigma = (F.col("radius") + F.col("rj")) / 2
+    kept = pairs.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.exp(-F.col("d2") / (2 * sigma * sigma)).alias("weight"))
     return kept.groupBy("i", "j").agg(F.max("weight").alias("weight"))
 
 
+#: Rows of ``fused_knn`` that are compared with all others at once, as blocks.
+BLOCK = 2048
+
+
+def _blocks(points: DataFrame, n: int) -> DataFrame:
+    return points.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(n)).cast("int"))
+
+
+def fused_pairs(left: DataFrame, right: DataFrame, k: int, spatial: float, expression: float, excluded: bool = True) -> DataFrame:
+    """``i, j, d, r``: for each row of ``left(i, x, y, vec)`` the k rows of ``right`` least far in the fused distance, that is
+    ``spatial`` times the distance in place plus ``expression`` times that of the vectors; ties go to the smaller id.
+
+    The distance has no grid, so all pairs count; they are compared by blocks, and only k of each block leave it.
+    """
+    n_left, n_right = (max(1, -(-x.count() // BLOCK)) for x in (left, right))
+    each = lambda df, name, n: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    a = each(_blocks(left.select("i", "x", "y", "vec"), n_left), "c", n_right).groupBy("b", "c")
+    b = each(_blocks(right.select("i", "x", "y", "vec"), n_right).withColumnRenamed("b", "c"), "b", n_left).groupBy("b", "c")
+
+    def cell(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if not len(one) or not len(two):
+            return pd.DataFrame({"i": [], "j": [], "d": []}).astype({"i": "int64", "j": "int64", "d": "float64"})
+        two = two.sort_values("i")
+        at = [np.stack([x["x"], x["y"]], 1).astype(float) for x in (one, two)]
+        vec = [np.stack(x["vec"].to_numpy()).astype(float) for x in (one, two)]
+        far = np.sqrt(((at[0][:, None] - at[1][None]) ** 2).sum(2)) * spatial
+        for lo in range(0, len(one), 64):
+            far[lo : lo + 64] += np.sqrt(((vec[0][lo : lo + 64, None] - vec[1][None]) ** 2).sum(2)) * expression
+        ids = two["i"].to_numpy()
+        if excluded:
+            far[one["i"].to_numpy()[:, None] == ids[None]] = np.inf
+        best = np.argsort(far, axis=1, kind="stable")[:, :k]
+        d = np.take_along_axis(far, best, 1)
+        out = pd.DataFrame({"i": np.repeat(one["i"].to_numpy(), best.shape[1]), "j": ids[best].ravel(), "d": d.ravel()})
+        return out[np.isfinite(out["d"])]
+
+    order = Window.partitionBy("i").orderBy("d", "j")
+    found = a.cogroup(b).applyInPandas(cell, "i long, j long, d double")
+    return found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
+
+
+def positive_scale(distances: DataFrame, column: str) -> float:
+    """The median of the positive distances; 1 without any."""
+    found = distances.filter(F.col(column) > 0).agg(F.median(column)).first()[0]
+    return float(found) if found else 1.0
+
+
+def fused_graph(points: DataFrame, vectors: DataFrame, k: int = 6, spatial_weight: float = 0.5) -> DataFrame:
+    """``i < j, weight``: the k nearest in a mean of scaled distances in place and between ``vectors(i, vec)``; exp(-d), the
+    larger of both directions."""
+    p = saved(points.select("i", "x", "y").join(vectors, "i"), "fused_points")
+    in_place = positive_scale(knn(p, k).select(F.sqrt("d2").alias("d")), "d")
+    between = positive_scale(fused_pairs(p, p, k, 0.0, 1.0), "d")
+    near = fused_pairs(p, p, k, spatial_weight / in_place, (1 - spatial_weight) / between)
+    return near.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.exp(-F.min("d")).alias("weight"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     return symmetric(edges).groupBy("i").agg(F.count("*").alias("degree"))
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import choose2, ratio
 from ..plans.tables import saved
+from .graph import positive_scale
 
 
 def contingency(df: DataFrame, truth: str = "label", pred: str = "pred") -> DataFrame:
@@ -166,28 +167,53 @@ def proportions(scores: DataFrame) -> DataFrame:
     return scores.withColumn("e", e).select("i", "label", (F.col("e") / F.sum("e").over(w)).alias("p"))
 
 
+def marker_evidence(v: DataFrame, markers: DataFrame) -> DataFrame:
+    """``i, label, p``: mean of log1p over the label's genes as a share of the observation's; equal shares without any."""
+    e = v.join(F.broadcast(markers.select("label", "gene")), "gene").groupBy("i", "label").agg(F.avg(F.log1p("v")).alias("e"))
+    w = Window.partitionBy("i")
+    return e.select("i", "label", F.when(F.sum("e").over(w) > 0, F.col("e") / F.sum("e").over(w)).otherwise(1.0 / F.count("*").over(w)).alias("p"))
+
+
+def on_simplex(x: Column) -> Column:
+    """The nearest array of shares that are not negative and sum to one: all less one amount, cut off at zero."""
+    high = F.sort_array(x, asc=False)
+    sums = F.transform(high, lambda _, i: F.aggregate(F.slice(high, 1, i + 1), F.lit(0.0), lambda s, y: s + y))
+    amounts = F.zip_with(high, F.zip_with(sums, F.sequence(F.lit(1), F.size(x)), lambda s, n: (s - 1.0) / n), lambda h, a: F.when(h - a > 0, a))
+    amount = F.element_at(F.filter(amounts, lambda a: a.isNotNull()), -1)
+    return F.transform(x, lambda y: F.greatest(y - amount, F.lit(0.0)))
+
+
 #: Change of a proportion below which a further round changes nothing.
 SETTLED = 1e-12
 
 
-def simplex_deconv(scores: DataFrame, edges: DataFrame, strength: float = 0.5, rounds: int = 100) -> DataFrame:
-    """Softmax evidence drawn towards the neighbours' proportions for some rounds; every row stays on the simplex.
+def simplex_deconv(evidence: DataFrame, edges: DataFrame, strength: float = 0.5, rounds: int = 100) -> DataFrame:
+    """``evidence(i, label, p)`` drawn towards the neighbours' proportions: projected gradient steps on the squared distance
+    to the evidence plus ``strength`` times the graph's Laplacian form.
 
-    Each step is a convex mean of the evidence and the neighbours, so no projection is needed. A step shrinks the distance
-    to the fixed point by strength / (1 + strength) at least; rounds end early when nothing moves by more than ``SETTLED``.
+    Edges weigh exp(-d / median d), the larger of both directions. Rounds end early when nothing moves by more than
+    ``SETTLED``.
     """
-    evidence = saved(proportions(scores), "evidence")
-    edges = saved(edges.select("i", "j"), "simplex_edges")
-    p = evidence
+    scale = positive_scale(edges.select(F.sqrt("d2").alias("d")), "d")
+    weight = F.exp(-F.sqrt("d2") / scale)
+    one = edges.groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.max(weight).alias("w"))
+    both = saved(one.unionByName(one.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")), "laplacian")
+    degree = both.groupBy("i").agg(F.sum("w").alias("degree"))
+    most = degree.agg(F.max("degree")).first()[0] or 0.0
+    step = 1.0 / (1.0 + 2.0 * strength * max(most, 0.0))
+    rows = evidence.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("label", "p"))).alias("e"))
+    state = saved(rows.join(degree, "i", "left").select("i", F.col("e.label").alias("labels"), F.col("e.p").alias("target"), F.coalesce("degree", F.lit(0.0)).alias("degree"), F.col("e.p").alias("p")), "simplex")
     for _ in range(rounds):
-        near = edges.join(p.select(F.col("i").alias("j"), "label", F.col("p").alias("q")), "j").groupBy("i", "label").agg(F.avg("q").alias("m"))
-        step = evidence.join(near, ["i", "label"], "left").join(p.select("i", "label", F.col("p").alias("was")), ["i", "label"])
-        new = saved(step.select("i", "label", ((F.col("p") + strength * F.coalesce("m", F.col("p"))) / (1 + strength)).alias("p"), "was"), "simplex")
-        moved = new.agg(F.max(F.abs(F.col("p") - F.col("was")))).first()[0]
-        p = new.drop("was")
-        if moved is None or moved <= SETTLED:
+        near = both.join(state.select(F.col("i").alias("j"), F.posexplode("p").alias("at", "q")), "j").groupBy("i", "at").agg(F.sum(F.col("w") * F.col("q")).alias("s"))
+        pulled = near.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("s")).select("i", F.col("s.s").alias("pull"))
+        moved = F.zip_with(F.zip_with("p", "target", lambda p, t: F.struct(p.alias("p"), (p - t).alias("off"))), F.coalesce("pull", F.transform("p", lambda p: p * 0.0)), lambda x, s: x["p"] - step * (x["off"] + strength * (F.col("degree") * x["p"] - s)))
+        new = state.join(pulled, "i", "left").select("i", "labels", "target", "degree", F.col("p").alias("was"), on_simplex(moved).alias("p"))
+        new = saved(new, "simplex")
+        change = new.agg(F.max(F.array_max(F.zip_with("p", "was", lambda a, b: F.abs(a - b))))).first()[0]
+        state = new.drop("was")
+        if change is None or change <= SETTLED:
             break
-    return p
+    return state.select("i", F.explode(F.arrays_zip("labels", "p")).alias("e")).select("i", F.col("e.labels").alias("label"), F.col("e.p").alias("p"))
 
 
 def stratified_sample(df: DataFrame, label: str, key: str, limit: int) -> DataFrame:

@@ -14,24 +14,39 @@ from ..plans.tables import saved
 
 
 def _pairs(v: DataFrame, edges: DataFrame) -> DataFrame:
-    return edges.join(v, "i").join(v.select(F.col("i").alias("j"), "gene", F.col("v").alias("vj")), ["j", "gene"])
+    """Edges with the values of both ends, a row for each gene. Rows are joined whole, as arrays, and then taken apart."""
+    row = v.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("gene", "v"))).alias("a"))
+    both = edges.join(row, "i").join(row.select(F.col("i").alias("j"), F.col("a").alias("b")), "j")
+    cols = [c for c in edges.columns if c not in ("i", "j")]
+    out = both.select("i", "j", *cols, F.explode(F.zip_with("a", "b", lambda x, y: F.struct(x["gene"].alias("gene"), x["v"].alias("v"), y["v"].alias("vj")))).alias("e"))
+    return out.select("i", "j", *cols, "e.gene", "e.v", "e.vj")
 
 
-def standardized(v: DataFrame) -> DataFrame:
-    """Genes with mean 0 and population deviation 1; constant genes are 0."""
-    w = Window.partitionBy("gene")
-    sd = F.stddev_pop("v").over(w)
-    return v.select("i", "gene", F.when(sd > 0, (F.col("v") - F.avg("v").over(w)) / sd).otherwise(0.0).alias("v"))
+def moments(v: DataFrame) -> DataFrame:
+    """``gene, n, m, sd``, a row for each gene; partially aggregated, so a gene's values are never in one place."""
+    return v.groupBy("gene").agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))
+
+
+def standardized(v: DataFrame, logged: bool = True) -> DataFrame:
+    """Genes (of ``log1p`` of the values, as a default) with mean 0 and population deviation 1; constant genes are 0."""
+    v = v.select("i", "gene", F.log1p("v").alias("v")) if logged else v.select("i", "gene", "v")
+    return v.join(moments(v), "gene").select("i", "gene", F.when(F.col("sd") > 0, (F.col("v") - F.col("m")) / F.col("sd")).otherwise(0.0).alias("v"))
+
+
+def top_genes(scores: DataFrame, n_top: int = 50, column: str = "score") -> DataFrame:
+    """The ``n_top`` best genes by score, ties by gene, and their rank."""
+    order = Window.orderBy(F.desc(F.round(column, 9)), "gene")
+    return scores.orderBy(F.desc(F.round(column, 9)), "gene").limit(n_top).withColumn("rank", F.row_number().over(order))
 
 
 def morans_i(v: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     """Moran's I over the symmetric graph, with normal-null z, two-sided p and Benjamini-Hochberg q."""
     sym = symmetric(edges)
-    moments = v.groupBy("gene").agg(F.avg("v").alias("m"), F.count("*").alias("n"), (F.var_pop("v") * F.count("*")).alias("ss"))
-    c = v.join(F.broadcast(moments), "gene").select("i", "gene", (F.col("v") - F.col("m")).alias("v"))
+    sums = v.groupBy("gene").agg(F.avg("v").alias("m"), F.count("*").alias("n"), (F.var_pop("v") * F.count("*")).alias("ss"))
+    c = v.join(sums, "gene").select("i", "gene", (F.col("v") - F.col("m")).alias("v"))
     num = _pairs(c, sym).groupBy("gene").agg(F.sum(F.col("v") * F.col("vj")).alias("num"))
     w = sym.agg(F.count("*").alias("w"))
-    out = num.join(moments, "gene").crossJoin(F.broadcast(w)).select("gene", "n", (F.col("n") / F.col("w") * F.col("num") / (F.col("ss") + 1e-12)).alias("morans_i"))
+    out = num.join(sums, "gene").crossJoin(F.broadcast(w)).select("gene", "n", (F.col("n") / F.col("w") * F.col("num") / (F.col("ss") + 1e-12)).alias("morans_i"))
     se = F.sqrt(F.greatest(F.lit(1e-12), 2.0 / (F.col("n") * k)))
     out = out.withColumn("z", (F.col("morans_i") + 1.0 / (F.col("n") - 1)) / se).drop("n").withColumn("p", erfc(F.abs("z") / math.sqrt(2.0)))
     return step_up(out, "p", "q", "gene")

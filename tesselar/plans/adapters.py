@@ -25,12 +25,17 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), e[0].cast("double").alias("x"), e[1].cast("double").alias("y"), F.col("label").cast("int").alias("label"), F.when(e[2] > 0, 2).otherwise(0).alias("_a"), F.when(e[3] > 0, 1).otherwise(0).alias("_b")).select("i", "x", "y", "label", (F.col("_a") + F.col("_b")).alias("pred"))
 
 
-def values(spark: SparkSession, sf_dir: str, first: int = 3, last: int = 8) -> DataFrame:
-    """Dense values of a few genes: dimensions first to last (counted from 1) of an embedding."""
+def values(spark: SparkSession, sf_dir: str, first: int = 3, last: int = 64) -> DataFrame:
+    """Dense values of genes: dimensions first to last (counted from 1) of an embedding, all that are not coordinates."""
     picked = F.slice("embedding", first, last - first + 1)
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode(picked).alias("g", "v")).select("i", (F.col("g") + first).alias("gene"), F.col("v").cast("double").alias("v"))
 
 
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``values`` without their signs, for methods on expression, which is not negative."""
+    return values(spark, sf_dir).withColumn("v", F.abs("v"))
+
+
 def perf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long benchmark table: nation is the data set, brand the configuration, line number the seed."""
     t = lambda n: table(spark, sf_dir, n)
@@ -50,7 +55,8 @@ SQL = {
     "expr": "expr AS (SELECT l_orderkey AS obs_id, l_partkey AS gene_id, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2)",
     "var": "var AS (SELECT p_partkey AS gene_id, p_name AS feature_name, starts_with(p_brand, 'Brand#1') AS mito, p_brand AS grp FROM part)",
     "pts": "pts AS (SELECT vec_id AS i, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(label AS INTEGER) AS label, CASE WHEN embedding[3] > 0 THEN 2 ELSE 0 END + CASE WHEN embedding[4] > 0 THEN 1 ELSE 0 END AS pred FROM embeddings)",
-    "val": "val AS (SELECT vec_id AS i, g AS gene, CAST(embedding[g] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(3, 9)) AS g))",
+    "val": "val AS (SELECT vec_id AS i, g AS gene, CAST(embedding[g] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(3, 65)) AS g))",
+    "cnt": "cnt AS (SELECT i, gene, abs(v) AS v FROM val)",
     "perf": "perf AS (SELECT n_name AS dataset, p_brand AS config, l_linenumber AS seed, l_discount AS score, l_quantity AS secs, l_returnflag AS status FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey)",
     "evid": "evid AS (SELECT event_id AS line_no, user_id % 7 AS node, event_type AS dataset, user_id % 11 AS method, CAST(json_extract_string(props, '$.k') AS INTEGER) AS seed, value / 100.0 AS score, ts AS ingested_at FROM events)",
 }

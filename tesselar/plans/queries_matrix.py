@@ -155,11 +155,26 @@ def mutual_knn_graph(s, d):
     return rounded(graph.mutual(graph.knn(A.points(s, d), 6)), "weight")
 
 
-@entry("adaptive_radius_graph", with_("pts", knn_sql(6), "rr AS (SELECT i, sqrt(d2) * 1.25 AS radius FROM knn WHERE r = 6)", "b AS (SELECT a.i, c.i AS j, (a.x-c.x)*(a.x-c.x)+(a.y-c.y)*(a.y-c.y) AS d2, radius FROM pts a JOIN rr USING (i) JOIN pts c ON a.i <> c.i)") + "SELECT least(i, j) AS i, greatest(i, j) AS j, round(max(exp(-0.5 * d2 / (radius * radius))), 6) AS weight FROM b WHERE sqrt(d2) <= radius GROUP BY 1, 2")
+@entry("adaptive_radius_graph", with_("pts", knn_sql(6), "rr AS (SELECT i, sqrt(d2) * 1.25 AS radius FROM knn WHERE r = 6)", "b AS (SELECT a.i, c.i AS j, (a.x-c.x)*(a.x-c.x)+(a.y-c.y)*(a.y-c.y) AS d2, p.radius, (p.radius + q.radius) / 2 AS sigma FROM pts a JOIN rr p ON a.i = p.i JOIN pts c ON a.i <> c.i JOIN rr q ON c.i = q.i)") + "SELECT least(i, j) AS i, greatest(i, j) AS j, round(max(exp(-d2 / (2 * sigma * sigma))), 6) AS weight FROM b WHERE sqrt(d2) <= radius GROUP BY 1, 2")
 def adaptive_radius_graph(s, d):
     return rounded(graph.adaptive_radius(A.points(s, d), 6), "weight")
 
 
+VEC = "vec AS (SELECT i, x, y, list_transform(range(3, 11), lambda g: CAST(embedding[g] AS DOUBLE)) AS v FROM pts JOIN embeddings ON i = vec_id)"
+PAIRS = "pd AS (SELECT a.i, b.i AS j, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS ds, list_distance(a.v, b.v) AS de FROM vec a JOIN vec b ON a.i <> b.i)"
+
+
+def vectors(s, d) -> DataFrame:
+    """Eight components of an embedding, in the place of principal components."""
+    return A.table(s, d, "embeddings").select(F.col("vec_id").alias("i"), F.transform(F.slice("embedding", 3, 8), lambda x: x.cast("double")).alias("vec"))
+
+
+@entry("expression_spatial_graph", with_("pts", VEC, PAIRS, knn_sql(6), "ks AS (SELECT median(sqrt(d2)) AS s FROM knn WHERE d2 > 0)", "ke AS (SELECT median(de) AS e FROM (SELECT de FROM pd QUALIFY row_number() OVER (PARTITION BY i ORDER BY de, j) <= 6) WHERE de > 0)",
+"f AS (SELECT i, j, 0.5 * ds / s + 0.5 * de / e AS d FROM pd, ks, ke)", "n AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 6)") + "SELECT least(i, j) AS i, greatest(i, j) AS j, round(max(exp(-d)), 6) AS weight FROM n GROUP BY 1, 2")
+def expression_spatial_graph(s, d):
+    return rounded(graph.fused_graph(A.points(s, d), vectors(s, d)), "weight")
+
+
 SYM = "sym AS (SELECT i, j FROM knn UNION SELECT j, i FROM knn)"
 
 
@@ -207,7 +222,7 @@ def nearest_centre(s, d):
 
 
 PAIR = "pr AS (SELECT k.i, k.j, k.r, a.gene, a.v, b.v AS vj FROM knn k JOIN val a ON k.i = a.i JOIN val b ON k.j = b.i AND a.gene = b.gene)"
-Z = "z AS (SELECT i, gene, (v - avg(v) OVER (PARTITION BY gene)) / stddev_pop(v) OVER (PARTITION BY gene) AS v FROM val)"
+Z = "z AS (SELECT i, gene, (ln(1 + v) - avg(ln(1 + v)) OVER (PARTITION BY gene)) / stddev_pop(ln(1 + v)) OVER (PARTITION BY gene) AS v FROM cnt)"
 ZP = "zp AS (SELECT k.i, k.j, k.r, a.gene, a.v, b.v AS vj FROM knn k JOIN z a ON k.i = a.i JOIN z b ON k.j = b.i AND a.gene = b.gene)"
 
 
@@ -231,33 +246,33 @@ def spatial_variance_ratio(s, d):
     return rounded(svg.variance_ratio(A.values(s, d), graph.knn(A.points(s, d), 6)), "score")
 
 
-@entry("multiscale_svg", with_("pts", "val", knn_sql(18), Z, ZP, "lm AS (SELECT i, gene, any_value(v) AS v, avg(vj) FILTER (WHERE r <= 6) AS m1, avg(vj) FILTER (WHERE r <= 12) AS m2, avg(vj) AS m3 FROM zp GROUP BY 1, 2)") + "SELECT gene, round(greatest((avg(v * m1) + avg(v * m2) + avg(v * m3)) / 3, 0), 6) AS score FROM lm GROUP BY 1")
+@entry("multiscale_svg", with_("pts", "val", "cnt", knn_sql(18), Z, ZP, "lm AS (SELECT i, gene, any_value(v) AS v, avg(vj) FILTER (WHERE r <= 6) AS m1, avg(vj) FILTER (WHERE r <= 12) AS m2, avg(vj) AS m3 FROM zp GROUP BY 1, 2)") + "SELECT gene, round(greatest((avg(v * m1) + avg(v * m2) + avg(v * m3)) / 3, 0), 6) AS score FROM lm GROUP BY 1")
 def multiscale_svg(s, d):
-    return rounded(svg.multiscale(A.values(s, d), graph.knn(A.points(s, d), 18), 6), "score")
+    return rounded(svg.multiscale(A.counts(s, d), graph.knn(A.points(s, d), 18), 6), "score")
 
 
-@entry("boundary_svg", with_("pts", "val", knn_sql(6), Z, ZP, "j AS (SELECT i, gene, avg((v - vj) * (v - vj)) AS jump FROM zp GROUP BY 1, 2)", "a AS (SELECT *, avg(jump) OVER (PARTITION BY i) AS al FROM j)") + "SELECT gene, round(greatest(covar_pop(jump, al) / (stddev_pop(jump) * stddev_pop(al)), 0), 6) AS score FROM a GROUP BY 1")
+@entry("boundary_svg", with_("pts", "val", "cnt", knn_sql(6), Z, ZP, "j AS (SELECT i, gene, avg((v - vj) * (v - vj)) AS jump FROM zp GROUP BY 1, 2)", "a AS (SELECT *, avg(jump) OVER (PARTITION BY i) AS al FROM j)") + "SELECT gene, round(greatest(covar_pop(jump, al) / (stddev_pop(jump) * stddev_pop(al)), 0), 6) AS score FROM a GROUP BY 1")
 def boundary_svg(s, d):
-    return rounded(svg.boundary(A.values(s, d), graph.knn(A.points(s, d), 6)), "score")
+    return rounded(svg.boundary(A.counts(s, d), graph.knn(A.points(s, d), 6)), "score")
 
 
-@entry("hotspot_svg", with_("pts", "val", knn_sql(6), Z, ZP, "l AS (SELECT i, gene, (any_value(v) + sum(vj)) / 7 AS l FROM zp GROUP BY 1, 2)") + "SELECT gene, round(avg(l * l), 6) AS score FROM l GROUP BY 1")
+@entry("hotspot_svg", with_("pts", "val", "cnt", knn_sql(6), Z, ZP, "l AS (SELECT i, gene, (any_value(v) + sum(vj)) / 7 AS l FROM zp GROUP BY 1, 2)") + "SELECT gene, round(avg(l * l), 6) AS score FROM l GROUP BY 1")
 def hotspot_svg(s, d):
-    return rounded(svg.hotspot(A.values(s, d), graph.knn(A.points(s, d), 6)), "score")
+    return rounded(svg.hotspot(A.counts(s, d), graph.knn(A.points(s, d), 6)), "score")
 
 
-@entry("anisotropy_svg", with_("pts", "val", knn_sql(6), Z, ZP, "sec AS (SELECT zp.*, least(floor((atan2(b.y - a.y, b.x - a.x) + CASE WHEN atan2(b.y - a.y, b.x - a.x) < 0 THEN pi() ELSE 0 END) / (pi() / 4)), 3) AS sector FROM zp JOIN pts a ON zp.i = a.i JOIN pts b ON zp.j = b.i)",
+@entry("anisotropy_svg", with_("pts", "val", "cnt", knn_sql(6), Z, ZP, "sec AS (SELECT zp.*, least(floor((atan2(b.y - a.y, b.x - a.x) + CASE WHEN atan2(b.y - a.y, b.x - a.x) < 0 THEN pi() ELSE 0 END) / (pi() / 4)), 3) AS sector FROM zp JOIN pts a ON zp.i = a.i JOIN pts b ON zp.j = b.i)",
 "per AS (SELECT i, gene, sector, avg(v * vj) AS m FROM sec GROUP BY 1, 2, 3)", "dir AS (SELECT gene, sector, sum(m) / (SELECT count(*) FROM pts) AS s FROM per GROUP BY 1, 2)") + "SELECT gene, round(max(s) - min(s), 6) AS score FROM dir GROUP BY 1")
 def anisotropy_svg(s, d):
     p = A.points(s, d)
-    return rounded(svg.anisotropy(A.values(s, d), graph.knn(p, 6), p), "score")
+    return rounded(svg.anisotropy(A.counts(s, d), graph.knn(p, 6), p), "score")
 
 
 @entry("bootstrap_robust_svg")
 def bootstrap_robust_svg(s, d):
-    """Samples are drawn by hash; checked for shape."""
+    """Samples are drawn by CRC, which the SQL lacks; in the tests against a loop."""
     p = A.points(s, d)
-    return rounded(svg.bootstrap_robust(A.values(s, d), lambda q: graph.knn(q, 6), p), "score")
+    return rounded(svg.bootstrap_robust(A.counts(s, d), lambda q: graph.knn(q, 6), p), "score")
 
 
 CT = "ct AS (SELECT label AS truth, pred, count(*) AS n FROM pts GROUP BY 1, 2)"
@@ -384,14 +399,22 @@ def marker_deconv(s, d):
     return rounded(labels.proportions(labels.marker_scores(A.values(s, d), markers(s))), "p")
 
 
+EVID = """ev AS (SELECT i, label, CASE WHEN sum(e) OVER (PARTITION BY i) > 0 THEN e / sum(e) OVER (PARTITION BY i) ELSE 0.5 END AS p FROM (SELECT i, label, avg(ln(1 + v)) AS e FROM cnt JOIN mk USING (gene) GROUP BY 1, 2)),
+w1 AS (SELECT least(i, j) AS i, greatest(i, j) AS j, max(exp(-sqrt(d2) / (SELECT median(sqrt(d2)) FROM knn WHERE d2 > 0))) AS w FROM knn GROUP BY 1, 2),
+ww AS (SELECT i, j, w FROM w1 UNION ALL SELECT j, i, w FROM w1), dg AS (SELECT i, sum(w) AS g FROM ww GROUP BY 1), sz AS (SELECT 1.0 / (1 + max(g)) AS h FROM dg)"""
+
+
 def _step(src: str, out: str) -> str:
-    return f"{out} AS (SELECT a.i, a.label, (any_value(a.p) + 0.5 * avg(b.p)) / 1.5 AS p FROM pp a JOIN knn k ON a.i = k.i JOIN {src} b ON k.j = b.i AND a.label = b.label GROUP BY 1, 2)"
+    """One projected step; of two shares the nearest point with sum one moves both by half of what is missing."""
+    free = f"SELECT a.i, a.label, a.p - h * (a.p - ev.p + 0.5 * (g * a.p - n.s)) AS q FROM {src} a JOIN ev USING (i, label) JOIN dg USING (i) JOIN (SELECT ww.i, b.label, sum(w * b.p) AS s FROM ww JOIN {src} b ON ww.j = b.i GROUP BY 1, 2) n ON a.i = n.i AND a.label = n.label, sz"
+    return f"{out} AS (SELECT i, label, least(greatest(q + (1 - sum(q) OVER (PARTITION BY i)) / 2, 0), 1) AS p FROM ({free}))"
 
 
-@entry("spatial_simplex_deconv", with_("pts", "val", MK, MS, PROP, knn_sql(6), _step("pp", "p1"), _step("p1", "p2"), _step("p2", "p3")) + "SELECT i, label, round(p, 6) AS p FROM p3")
+@entry("spatial_simplex_deconv", with_("pts", "val", "cnt", MK, knn_sql(6), EVID, _step("ev", "p1"), _step("p1", "p2"), _step("p2", "p3")) + "SELECT i, label, round(p, 6) AS p FROM p3")
 def spatial_simplex_deconv(s, d):
-    sc = labels.marker_scores(A.values(s, d), markers(s))
-    return rounded(labels.simplex_deconv(sc, graph.knn(A.points(s, d), 6), rounds=3), "p")  # as its SQL
+    """Three rounds, as its SQL; all of them in ``spatial_simplex_deconv_all``."""
+    e = labels.marker_evidence(A.counts(s, d), markers(s))
+    return rounded(labels.simplex_deconv(e, graph.knn(A.points(s, d), 6), rounds=3), "p")
 
 
 def batches(s, d) -> DataFrame:
@@ -407,10 +430,20 @@ def combat(s, d):
     return rounded(integrate.combat(A.values(s, d), batches(s, d)), "v")
 
 
-@entry("quantile_integrate", with_("val", BV, "gr AS (SELECT batch, gene, unnest(range(0, 21)) AS pos, unnest(quantile_cont(v, [" + ", ".join(f"{q / 20!r}" for q in range(21)) + "])) AS q FROM bv GROUP BY 1, 2)", "cm AS (SELECT gene, pos, avg(q) AS q FROM gr GROUP BY 1, 2)",
-"u AS (SELECT i, gene, (rank() OVER (PARTITION BY batch, gene ORDER BY v) + (count(*) OVER (PARTITION BY batch, gene, v) - 1) / 2.0 - 1) / (count(*) OVER (PARTITION BY batch, gene) - 1) * 20 AS u FROM bv)", "l AS (SELECT *, least(CAST(floor(u) AS INTEGER), 19) AS lo FROM u)") + "SELECT l.i, l.gene, round(a.q + (u - lo) * (b.q - a.q), 6) AS v FROM l JOIN cm a ON l.gene = a.gene AND l.lo = a.pos JOIN cm b ON l.gene = b.gene AND l.lo + 1 = b.pos")
+@entry("quantile_integrate", with_("pts", "val", BV, "rk AS (SELECT i, batch, gene, v, row_number() OVER (PARTITION BY batch, gene ORDER BY v, i) AS pos, (rank() OVER (PARTITION BY batch, gene ORDER BY v) + (count(*) OVER (PARTITION BY batch, gene, v) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY batch, gene) AS u FROM bv)",
+"sz AS (SELECT batch, gene, count(*) AS m FROM bv GROUP BY 1, 2)", "aq AS (SELECT a.i, a.batch, a.gene, avg(lo.v + (a.u * (m - 1) - floor(a.u * (m - 1))) * (hi.v - lo.v)) AS v FROM rk a JOIN sz ON a.gene = sz.gene JOIN rk lo ON lo.gene = a.gene AND lo.batch = sz.batch AND lo.pos = floor(a.u * (m - 1)) + 1 JOIN rk hi ON hi.gene = a.gene AND hi.batch = sz.batch AND hi.pos = least(floor(a.u * (m - 1)) + 2, m) GROUP BY 1, 2, 3)",
+"bp AS (SELECT i, x, y, CAST(i % 3 AS INTEGER) AS batch FROM pts)", knn_sql(6, src="bp", part="batch"), "lm AS (SELECT knn.i, gene, avg(v) AS m FROM knn JOIN aq ON knn.j = aq.i GROUP BY 1, 2)") + "SELECT aq.i, aq.gene, round(0.8 * v + 0.2 * coalesce(m, v), 6) AS v FROM aq LEFT JOIN lm ON aq.i = lm.i AND aq.gene = lm.gene")
 def quantile_integrate(s, d):
-    return rounded(integrate.quantile_align(A.values(s, d), batches(s, d)), "v")
+    return rounded(integrate.quantile_align(A.values(s, d), batches(s, d), A.points(s, d)), "v")
+
+
+@entry("anchor_residual_integrate", with_("pts", "val", BV, VEC, "rf AS (SELECT batch FROM (SELECT CAST(i % 3 AS INTEGER) AS batch FROM pts) GROUP BY 1 ORDER BY count(*) DESC, batch LIMIT 1)", "bt AS (SELECT *, CAST(i % 3 AS INTEGER) AS batch, row_number() OVER (PARTITION BY i % 3 ORDER BY i) - 1 AS pos, count(*) OVER (PARTITION BY i % 3) AS n FROM vec)",
+"sm AS (SELECT * FROM bt WHERE n <= 256 OR pos IN (SELECT CAST(floor(k * (n - 1) / 255.0 + 1e-9) AS BIGINT) FROM (SELECT unnest(range(0, 256)) AS k)))", "sc AS (SELECT a.batch, median(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) AS s, median(list_distance(a.v, b.v)) AS e FROM sm a JOIN sm b ON a.batch <> b.batch AND b.batch = (SELECT batch FROM rf) GROUP BY 1)",
+"f AS (SELECT a.batch, a.i, b.i AS j, list_distance(a.v, b.v) / e + sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) / s AS d FROM bt a JOIN sc ON a.batch = sc.batch JOIN bt b ON b.batch = (SELECT batch FROM rf))",
+"an AS (SELECT o.batch, o.i, o.j FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) = 1) o JOIN (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY batch, j ORDER BY d, i) = 1) t ON o.i = t.i AND o.j = t.j)",
+"sh AS (SELECT an.batch, a.gene, median(a.v - b.v) AS shift FROM an JOIN bv a ON an.i = a.i JOIN bv b ON an.j = b.i AND a.gene = b.gene GROUP BY 1, 2)") + "SELECT bv.i, bv.gene, round(v - coalesce(shift, 0), 6) AS v FROM bv LEFT JOIN sh ON bv.batch = sh.batch AND bv.gene = sh.gene")
+def anchor_residual_integrate(s, d):
+    return rounded(integrate.anchor_residuals(A.values(s, d), batches(s, d), A.points(s, d), vectors(s, d)), "v")
 
 
 @entry("median_shift_integrate", with_("val", BV, "rf AS (SELECT batch FROM bv GROUP BY 1 ORDER BY count(DISTINCT i) DESC, batch LIMIT 1)", "md AS (SELECT batch, gene, median(v) AS med FROM bv GROUP BY 1, 2)", "sh AS (SELECT a.batch, a.gene, a.med - b.med AS shift FROM md a JOIN md b ON a.gene = b.gene AND b.batch = (SELECT batch FROM rf))") + "SELECT i, gene, round(v - shift, 6) AS v FROM bv JOIN sh USING (batch, gene)")

@@ -27,25 +27,39 @@ def entry(name: str, sql: str | None = None):
     return add
 
 
-def _case(column: str) -> str:
-    return "CASE " + " ".join(f"WHEN contains(lower({column}), '{p}') THEN '{k}'" for p, k in N.PLATFORMS) + " ELSE 'other' END"
+#: Names as they are written, with the task and the platform that the definition gives them.
+KINDS = (
+    ("Domain_Detection", "spatial_domain", "domaindetection"), (" domain ", "spatial_domain", "domain"), ("H&E2ST", "virtual_st", "h&e2st"), ("virtual_stain", "virtual_st", "virtualstain"), ("SVG", "svg", "svg"),
+    ("Visium-HD", "visium-hd", "visium_hd"), ("10x_Visium", "10x_visium", "visium"), ("MERSCOPE", "merscope", "merscope"), ("Vizgen", "vizgen", "merfish"), ("Slide-seqV2", "slide-seqv2", "slideseq"),
+    ("scATAC", "scatac", "chromatin"), ("", None, None), ("unheard of", "unheard of", "unheard of"),
+)
 
 
-NAMES = "nm AS (SELECT p_partkey AS k, p_name || '@' || p_type AS name, CASE p_partkey % 5 WHEN 0 THEN ' SVG ' WHEN 1 THEN 'domains' WHEN 2 THEN 'Xenium slide' WHEN 3 THEN 'deconv' ELSE 'Visium HD' END AS kind FROM part)"
+def _of_kind(column: str, at: int) -> str:
+    quoted = lambda x: "NULL" if x is None else f"'{x}'"
+    return f"CASE {column} % {len(KINDS)} " + " ".join(f"WHEN {n} THEN {quoted(k[at])}" for n, k in enumerate(KINDS)) + " END"
 
 
-@entry("name_rules", f"WITH {NAMES} SELECT k, split_part(name, '@', 1) AS method, split_part(name, '@', 2) AS policy, CASE lower(trim(kind)) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in N.TASK_ALIASES.items()) + f" ELSE lower(trim(kind)) END AS task, {_case('kind')} AS platform, regexp_replace(name, '[^A-Za-z0-9_.-]', '_', 'g') AS key FROM nm")
+@entry("name_rules", f"SELECT p_partkey AS k, p_name AS method, p_type AS policy, {_of_kind('p_partkey', 1)} AS task, {_of_kind('p_partkey', 2)} AS platform, regexp_replace(p_name || '@' || p_type, '[^A-Za-z0-9_.-]', '_', 'g') AS key FROM part")
 def name_rules(s, d):
-    k = F.col("p_partkey")
-    kind = F.when(k % 5 == 0, " SVG ").when(k % 5 == 1, "domains").when(k % 5 == 2, "Xenium slide").when(k % 5 == 3, "deconv").otherwise("Visium HD")
-    p = A.table(s, d, "part").select(k.alias("k"), F.concat_ws("@", "p_name", "p_type").alias("name"), kind.alias("kind"))
+    p = A.table(s, d, "part").select(F.col("p_partkey").alias("k"), F.concat_ws("@", "p_name", "p_type").alias("name"), F.expr(_of_kind("p_partkey", 0)).alias("kind"))
     return p.select("k", N.method_of(F.col("name")).alias("method"), N.policy_of(F.col("name")).alias("policy"), N.normalized_task(F.col("kind")).alias("task"), N.platform(F.col("kind")).alias("platform"), N.sanitized(F.col("name")).alias("key"))
 
 
-@entry("privacy_gate", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'patient_id' ELSE '' END AS private FROM events WHERE event_id % 7 < 3")
+#: Records, and the keys and long lists that the definition refuses in them.
+RECORDS = (
+    ('{"score": 0.5, "meta": {"platform": "visium", "tissue": "brain"}}', "", False), ('{"records": [{"score": 1, "extra": {"Cell_ID": 7}}]}', "Cell_ID", False),
+    ('{"a": {"b": [1, 2, 3, 4, 5, 6, 7, 8, 9]}}', "", True), ('{"a": [1, 2, 3, 4, 5, 6, 7, 8]}', "", False), ('{"X_spatial": [[0, 1]], "obsm.raw": 1, "n": "counts"}', "X_spatial", False),
+    ('{"note": "the \\"matrix\\": [1,2,3,4,5,6,7,8,9,10]", "layers[0]": null}', "layers[0]", False), ('{"study.counts_total": 3, "counts.study": 4}', "study.counts_total", False),
+    ('{"rows": [true, 1, 2.5, -3e2, 0, 0, 0, 0, false]}', "", True), ('{"rows": ["1", 2, 3, 4, 5, 6, 7, 8, 9]}', "", False), ("{}", "", False),
+)
+
+
+@entry("privacy_gate", f"SELECT event_id, CASE event_id % {len(RECORDS)} " + " ".join(f"WHEN {n} THEN '{r[1]}'" for n, r in enumerate(RECORDS)) + " END AS private, " + f"event_id % {len(RECORDS)} IN (" + ", ".join(str(n) for n, r in enumerate(RECORDS) if r[2]) + ") AS long_numbers FROM events")
 def privacy_gate(s, d):
-    keys = F.array(F.lit("score"), F.when(F.col("event_id") % 7 == 0, "patient_id").otherwise("dataset"))
-    return A.table(s, d, "events").filter(F.col("event_id") % 7 < 3).select("event_id", F.array_join(N.private_keys(keys), ",").alias("private"))
+    """Records of several kinds, one for each event, under the gate."""
+    record = F.element_at(F.array(*[F.lit(r[0]) for r in RECORDS]), (F.col("event_id") % len(RECORDS) + 1).cast("int"))
+    return A.table(s, d, "events").withColumn("record", record).select("event_id", F.array_join(N.private_keys(F.col("record")), ",").alias("private"), N.long_numbers(F.col("record")).alias("long_numbers"))
 
 
 ACQ = """few AS (SELECT dataset, config, avg(score) AS score FROM perf WHERE seed = 7 GROUP BY 1, 2),

@@ -39,14 +39,6 @@ def _without(sql: str, *cuts: tuple[str, str]) -> str:
     return sql
 
 
-@entry("privacy_gate_all", _without(queries_studies.ORACLES["privacy_gate"], (" WHERE event_id % 7 < 3", "")))
-def privacy_gate_all(s, d):
-    from ..functions import text as N
-
-    keys = F.array(F.lit("score"), F.when(F.col("event_id") % 7 == 0, "patient_id").otherwise("dataset"))
-    return A.table(s, d, "events").select("event_id", F.array_join(N.private_keys(keys), ",").alias("private"))
-
-
 @entry("resolve_markers_all", _without(queries_matrix.ORACLES["resolve_markers"], (" WHERE p_size <= 3", "")))
 def resolve_markers_all(s, d):
     name = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
@@ -111,5 +103,5 @@ def decision_card_all(s, d):
 @entry("spatial_simplex_deconv_all")
 def spatial_simplex_deconv_all(s, d):
     """The reference's 100 rounds; in the tests against a loop."""
-    sc = labels.marker_scores(A.values(s, d), markers(s))
-    return rounded(labels.simplex_deconv(sc, graph.knn(A.points(s, d), 6)), "p")
+    e = labels.marker_evidence(A.counts(s, d), markers(s))
+    return rounded(labels.simplex_deconv(e, graph.knn(A.points(s, d), 6)), "p")

@@ -22,9 +22,6 @@ PLATFORMS = {
 PRIVATE = ("counts", "coords", "coordinate", "spatial", "expression", "matrix", "adata", "obsm", "layers", "barcode", "cell_id", "spot_id", "raw_x")
 #: Longest list of numbers that a shared record may hold (fixed value).
 LONGEST_NUMBERS = 8
-#: Ground truths that are made from the data themselves (fixed values), and those that a task cannot borrow.
-CIRCULAR = ("self_supervised", "leiden", "louvain")
-NOT_FOR_VIRTUAL = ("spatial_domain", "spatial_protein_domain", "spatial_chromatin_domain", "cluster_proxy", "cell_type")
 #: K policies that do not know the true number of domains, and those that do (fixed values).
 HONEST_K, ORACLE_K = ("estimate", "estimated", "non_oracle"), ("oracle", "dual", "fixed_oracle")
 #: A JSON string, and with a colon behind it a key; a list of numbers once strings are emptied.
@@ -56,23 +53,6 @@ def task_relation(query: Column, reference: Column) -> Column:
     return F.when(q == r, "same").when(is_domain_task(query) & is_domain_task(reference), "same_family").otherwise("incompatible")
 
 
-def evidence_reasons(query: Column, reference: Column, truth: Column, k_policy: Column, oracle_k: Column) -> Column:
-    """Why evidence of a reference may not count for a query; none, if it may.
-
-    The task has to be the same, the ground truth must not be made from the data (or, for domains, stand for them only,
-    or, for virtual stains, be labels), and evidence on domains has to say that it did not know their number.
-    """
-    kind, policy = F.lower(F.coalesce(truth, F.lit(""))), F.lower(F.trim(F.coalesce(k_policy, F.lit(""))))
-    domain = is_domain_task(query)
-    bad_truth = kind.isin(*CIRCULAR) | (domain & (kind == "cluster_proxy")) | ((normalized_task(query) == "virtual_st") & kind.isin(*NOT_FOR_VIRTUAL))
-    oracle = policy.isin(*ORACLE_K) | F.coalesce(oracle_k, F.lit(False))
-    reasons = F.array(
-        F.when(task_relation(query, reference) != "same", "task_mismatch"), F.when(bad_truth, "ground_truth_forbidden"), F.when(domain & oracle, "oracle_k_forbidden"),
-        F.when(domain & ~oracle & (policy == ""), "k_policy_undeclared"), F.when(domain & ~oracle & (policy != "") & ~policy.isin(*HONEST_K), "k_policy_not_honest"),
-    )
-    return F.array_compact(reasons)
-
-
 def method_of(name: Column) -> Column:
     """What stands before the policy in ``method@policy``."""
     return F.substring_index(name, "@", 1)

@@ -206,38 +206,6 @@ def new_records(store: DataFrame, incoming: DataFrame, keys: list[str]) -> DataF
     return first.join(store.select(*keys).distinct(), keys, "left_anti")
 
 
-def neighbours(features: DataFrame, query: DataFrame, top: int = 5, platform: float = 1.35, task: float = 1.5) -> DataFrame:
-    """Reference data sets most alike: cosine mapped to [0, 1], lifted for equal platform and task, capped at 1.
-
-    features, query: ``dataset, vec, platform, task``. Ties go to the later reference, as in a reversed stable sort.
-    """
-    from ..functions.scalars import cosine
-
-    q = F.broadcast(query.select(F.col("dataset").alias("q"), F.col("vec").alias("qv"), F.col("platform").alias("qp"), F.col("task").alias("qt")))
-    j = features.crossJoin(q).filter(F.col("dataset") != F.col("q"))  # few query rows, each a request
-    sim = clip((F.coalesce(cosine(F.col("vec"), F.col("qv")), F.lit(0.0)) + 1) / 2, 0, 1)
-    lifted = sim * F.when(F.col("platform") == F.col("qp"), platform).otherwise(1.0) * F.when(F.col("task") == F.col("qt"), task).otherwise(1.0)
-    s = j.select("q", "dataset", F.round(F.least(lifted, F.lit(1.0)), 9).alias("similarity"))
-    w = Window.partitionBy("q").orderBy(F.desc("similarity"), F.desc("dataset"))
-    return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
-
-
-def rank_methods(near: DataFrame, means: DataFrame, top: int = 3) -> DataFrame:
-    """Weighted mean score of each configuration over a query's neighbours; rounded to 4 places before it is ranked."""
-    j = near.join(means.select("dataset", "config", "score"), "dataset")
-    w = F.col("similarity")
-    s = j.groupBy("q", "config").agg((F.sum(w * F.col("score")) / F.sum(w)).alias("score"), (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("support"), F.count("*").alias("n"))
-    order = Window.partitionBy("q").orderBy(F.desc(F.round("score", 4)), "config")
-    return s.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-
-
-def decision(ranked: DataFrame, min_support: int = 2, min_support_score: float = 0.25, gap: float = 0.0) -> DataFrame:
-    """One action per query, the first that applies: abstain, evidence_required, global_default, personalised_set."""
-    s = ranked.groupBy("q").agg(F.max("n").alias("n"), F.max("support").alias("support"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("first"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"))
-    act = F.when(F.col("n") < min_support, "abstain").when(F.col("support") < min_support_score, "evidence_required").when(F.coalesce(F.round(F.col("first") - F.col("second"), 9) <= gap, F.lit(True)), "global_default").otherwise("personalised_set")
-    return s.withColumn("action", act)
-
-
 def missing_cells(means: DataFrame, datasets: DataFrame, configs: DataFrame) -> DataFrame:
     """Pairs of a data set and a configuration that have no score; both lists are dimension tables."""
     return datasets.crossJoin(F.broadcast(configs)).join(means.select("dataset", "config"), ["dataset", "config"], "left_anti")

@@ -9,18 +9,6 @@ from ..functions.scalars import ratio
 from .evidence import pareto_frontier
 
 
-def acquisition(missing: DataFrame, means: DataFrame, similarity: DataFrame, limit: int) -> DataFrame:
-    """Missing cells by expected gain: the data set's similarity times how much the configuration's scores vary.
-
-    ``similarity(dataset, similarity)``; a cell of a data set that is not in it gains nothing and is left out.
-    """
-    spread = means.groupBy("config").agg(F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("spread"), F.count("*").alias("known"))
-    g = missing.join(F.broadcast(similarity), "dataset").join(spread, "config", "left")
-    gain = F.col("similarity") * (1 + F.coalesce("spread", F.lit(0.0)) * 10) / (1 + F.coalesce("known", F.lit(0)))
-    top = g.withColumn("gain", gain).orderBy(F.desc(F.round("gain", 9)), "dataset", "config").limit(limit)
-    return top.withColumn("priority", F.row_number().over(Window.orderBy(F.desc(F.round("gain", 9)), "dataset", "config"))).select("priority", "dataset", "config", "gain")
-
-
 def oracle_leakage(perf: DataFrame) -> DataFrame:
     """``config, mode, score`` with modes oracle and estimate: mean of each, the drop, and the share that is recovered."""
     p = perf.groupBy("config").pivot("mode", ["oracle", "estimate"]).agg(F.avg("score"))

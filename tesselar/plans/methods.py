@@ -187,7 +187,7 @@ register(Method("qc", "adaptive_saturation_qc", lambda x, flag_fraction: {"qc":
 for _name, _f in {"spatial_entropy_qc": qc.spatial_entropy_qc, "neighbor_discordance_qc": qc.neighbor_discordance_qc}.items():
     register(Method("qc", _name, lambda x, flag_fraction, f=_f: {"qc": f(x["v"], x["edges"], flag_fraction)}, ("v", "edges"), (Param("flag_fraction", "float", 0.05, 0, 1),)))
 for _name, _f, _p in (
-    ("library_size_scale", normalize.library_size_scale, (Param("target_sum", "float", 1e4, 1e-12),)), ("log1p_cp10k", normalize.log1p_cp10k, (Param("target_sum", "float", 1e4, 1e-12),)),
+    ("library_size_scale", normalize.library_size_scale, (Param("target_sum", "float", 1e4, 1e-12),)), ("log1p_cp10k", normalize.log1p_cp10k, (Param("target_sum", "float", 1e4, 1e-12),)), ("r_lognorm", normalize.log1p_cp10k, (Param("target_sum", "float", 1e4, 1e-12),)),
     ("sqrt_transform", normalize.sqrt_transform, ()), ("arcsinh_transform", normalize.arcsinh_transform, (Param("cofactor", "float", 5.0, 1e-12),)),
     ("tfidf_l2", normalize.tfidf_l2, ()), ("rank_stabilize", normalize.rank_stabilize, (Param("scale", "float", 1.0, 1e-12),)),
 ):
@@ -207,7 +207,7 @@ register(Method("domain_detection", "mean_shift", lambda x: {"domains": domains.
 register(Method("domain_detection", "optics", lambda x, min_samples: {"domains": domains.per_sample(_embedded(x), domains.optics(min_samples))}, ("v", "edges"), (Param("min_samples", "int", 5, 1),)))
 register(Method("domain_detection", "dbscan", lambda x, eps, min_samples: {"domains": domains.dbscan(x["points"], eps, min_samples)}, ("points",), (Param("eps", "float", 0.5, 1e-12), Param("min_samples", "int", 5, 1))))
 register(Method("domain_detection", "spectral", lambda x, n_domains: {"domains": domains.spectral(x["edges"], n_domains)}, ("edges",), (_DOMAINS,)))
-register(Method("domain_detection", "topology_regularized_domains", lambda x, n_domains: {"domains": domains.potts_refined(e := _embedded(x), domains.kmeans(e, n_domains), x["edges"])}, ("v", "edges"), (_DOMAINS,)))
+register(Method("domain_detection", "topology_regularized_domains", lambda x, n_domains: {"domains": domains.potts_refined(e := domains.expression_embedding(x["v"]), domains.kmeans(e, n_domains), x["edges"])}, ("v", "edges"), (_DOMAINS,)))
 register(Method("domain_detection", "boundary_aware_domains", lambda x, n_domains: {"domains": domains.boundary_aware(x["v"], x["edges"], n_domains)}, ("v", "edges"), (_DOMAINS,)))
 for _name, _f in {"gearys_c": svg.gearys_c, "spatial_variance_ratio": svg.variance_ratio, "boundary_svg": svg.boundary, "hotspot_svg": svg.hotspot}.items():
     register(Method("spatially_variable_genes", _name, lambda x, f=_f: {"svg": f(x["v"], x["edges"])}, ("v", "edges")))
@@ -216,6 +216,14 @@ register(Method("spatially_variable_genes", "anisotropy_svg", lambda x: {"svg":
 register(Method("annotation", "marker_score", lambda x: {"annotation": labels.annotate(labels.marker_scores(x["v"], x["markers"]))}, ("v", "markers")))
 register(Method("annotation", "neighbor_marker_annotate", lambda x, neighbor_weight: {"annotation": labels.annotate(labels.smoothed_scores(labels.marker_scores(x["v"], x["markers"]), x["edges"], neighbor_weight))}, ("v", "markers", "edges"), (Param("neighbor_weight", "float", 0.35, 0, 1),)))
 register(Method("deconvolution", "marker_deconv", lambda x: {"proportions": labels.proportions(labels.marker_scores(x["v"], x["markers"]))}, ("v", "markers")))
-register(Method("deconvolution", "spatial_simplex_deconv", lambda x, strength: {"proportions": labels.simplex_deconv(labels.marker_scores(x["v"], x["markers"]), x["edges"], strength)}, ("v", "markers", "edges"), (Param("strength", "float", 0.5, 0),)))
-for _name, _f in {"combat": integrate.combat, "quantile_integrate": integrate.quantile_align, "median_shift_integrate": integrate.centre_batches}.items():
+register(Method("deconvolution", "spatial_simplex_deconv", lambda x, strength, n_iter: {"proportions": labels.simplex_deconv(labels.marker_evidence(x["v"], x["markers"]), x["edges"], strength, n_iter)}, ("v", "markers", "edges"), (Param("strength", "float", 0.5, 0), Param("n_iter", "int", 100, 1))))
+for _name, _f in {"combat": integrate.combat, "median_shift_integrate": integrate.centre_batches}.items():
     register(Method("integration", _name, lambda x, f=_f: {"v": f(x["v"], x["batch"])}, ("v", "batch")))
+register(Method("integration", "quantile_integrate", lambda x, k, spatial_blend: {"v": integrate.quantile_align(x["v"], x["batch"], x["points"], k, spatial_blend)}, ("v", "batch", "points"), (_K, Param("spatial_blend", "float", 0.2, 0, 1))))
+_COMPONENTS = Param("n_components", "int", 8, 1)
+register(Method("integration", "anchor_residual_integrate", lambda x, spatial_weight, n_components: {"v": integrate.anchor_residuals(x["v"], x["batch"], x["points"], domains.pca(x["v"], n_components), spatial_weight)}, ("v", "batch", "points"), (Param("spatial_weight", "float", 1.0, 0), _COMPONENTS)))
+register(Method("neighborhood", "expression_spatial_graph", lambda x, k, spatial_weight, n_components: {"edges": graph.fused_graph(x["points"], domains.pca(x["v"], n_components), k, spatial_weight)}, ("v", "points"), (_K, Param("spatial_weight", "float", 0.5, 0, 1), _COMPONENTS)))
+register(Method("domain_detection", "uncertainty_domains", lambda x, n_domains: {"domains": domains.uncertainty(domains.joint_embedding(x["v"], x["edges"]), n_domains)}, ("v", "edges"), (_DOMAINS,)))
+register(Method("domain_detection", "multiscale_consensus_domains", lambda x, n_domains, base_k: {"domains": domains.multiscale_consensus(x["v"], graph.knn(x["points"], 4 * base_k), base_k, n_domains)}, ("v", "points"), (_DOMAINS, Param("base_k", "int", 4, 1))))
+register(Method("spatially_variable_genes", "multiscale_svg", lambda x, k, n_scales: {"svg": svg.multiscale(x["v"], graph.knn(x["points"], k * n_scales), k, n_scales)}, ("v", "points"), (_K, Param("n_scales", "int", 3, 1))))
+register(Method("spatially_variable_genes", "bootstrap_robust_svg", lambda x, k: {"svg": svg.bootstrap_robust(x["v"], lambda p: graph.knn(p, k), x["points"])}, ("v", "points"), (_K,)))

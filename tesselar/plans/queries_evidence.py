@@ -223,31 +223,6 @@ def features(s, d):
     return f.withColumn("platform", k % 3).withColumn("task", k % 2)
 
 
-NB = "nb AS (SELECT q, dataset, similarity, row_number() OVER (PARTITION BY q ORDER BY similarity DESC, dataset DESC) AS rank FROM (SELECT b.dataset AS q, a.dataset, round(least(least(greatest((list_cosine_similarity(a.vec, b.vec) + 1) / 2, 0), 1) * CASE WHEN a.platform = b.platform THEN 1.35 ELSE 1.0 END * CASE WHEN a.task = b.task THEN 1.5 ELSE 1.0 END, 1.0), 9) AS similarity FROM ft a JOIN ft b ON a.dataset <> b.dataset AND b.dataset IN ('NATION_1', 'NATION_2', 'NATION_3')) QUALIFY row_number() OVER (PARTITION BY q ORDER BY similarity DESC, dataset DESC) <= 5)"
-RM = "rm AS (SELECT q, config, sum(similarity * score) / sum(similarity) AS score, sum(similarity) * sum(similarity) / sum(similarity * similarity) AS support, count(*) AS n FROM nb JOIN means USING (dataset) GROUP BY 1, 2)"
-RK = "rk AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 4) DESC, config) AS rank FROM rm QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(score, 4) DESC, config) <= 3)"
-
-
-def near(s, d):
-    f = features(s, d)
-    return E.neighbours(f, f.filter(F.col("dataset").isin("NATION_1", "NATION_2", "NATION_3")))
-
-
-@entry("recommend_neighbours", with_("perf", FT, NB) + "SELECT q, dataset, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM nb")
-def recommend_neighbours(s, d):
-    return rounded(near(s, d), "similarity")
-
-
-@entry("recommend_methods", with_("perf", MEANS, FT, NB, RM, RK) + "SELECT q, config, round(score, 6) AS score, round(support, 6) AS support, n, CAST(rank AS INTEGER) AS rank FROM rk")
-def recommend_methods(s, d):
-    return rounded(E.rank_methods(near(s, d), means(s, d)), "score", "support")
-
-
-@entry("decision_card", with_("perf", MEANS, FT, NB, RM, RK, "x AS (SELECT q, max(n) AS n, max(support) AS support, max(CASE WHEN rank = 1 THEN score END) AS first, max(CASE WHEN rank = 2 THEN score END) AS second FROM rk GROUP BY 1)") + "SELECT q, n, round(support, 6) AS support, round(first, 6) AS first, round(second, 6) AS second, CASE WHEN n < 2 THEN 'abstain' WHEN support < 0.25 THEN 'evidence_required' WHEN coalesce(round(first - second, 9) <= 0, true) THEN 'global_default' ELSE 'personalised_set' END AS action FROM x")
-def decision_card(s, d):
-    return rounded(E.decision(E.rank_methods(near(s, d), means(s, d))), "support", "first", "second")
-
-
 @entry("missing_cells", with_("perf", "few AS (SELECT * FROM perf WHERE seed = 7)", "m AS (SELECT DISTINCT dataset, config FROM few)") + "SELECT n_name AS dataset, config FROM nation, (SELECT DISTINCT p_brand AS config FROM part) WHERE (n_name, config) NOT IN (SELECT (dataset, config) FROM m)")
 def missing_cells(s, d):
     m = E.mean_scores(A.perf(s, d).filter("seed = 7"))

@@ -12,6 +12,7 @@ from ..operators import graph, qc
 from ..sources import bundle, longtable, synthetic
 from . import adapters as A
 from .adapters import with_
+from .tables import shared_dir
 from .queries_matrix import rounded
 
 QUERIES: dict = {}
@@ -39,7 +40,6 @@ def _emb(s, d):
 for _name, _f in {
     "kmeans_domains": D.kmeans, "minibatch_kmeans_domains": D.minibatch_kmeans, "bisecting_kmeans_domains": D.bisecting_kmeans, "gaussian_mixture_domains": D.gaussian_mixture,
     "agglomerative_domains": lambda e: D.per_sample(e, D.ward(3)), "birch_domains": lambda e: D.per_sample(e, D.birch(3)), "mean_shift_domains": lambda e: D.per_sample(e, D.mean_shift()), "optics_domains": lambda e: D.per_sample(e, D.optics()),
-    "uncertainty_domains": D.uncertainty,
 }.items():
     entry(_name)(lambda s, d, f=_f: f(_emb(s, d)))
 
@@ -60,18 +60,23 @@ def dbscan_domains(s, d):
 
 @entry("multiscale_consensus_domains")
 def multiscale_consensus_domains(s, d):
-    return D.multiscale_consensus(A.values(s, d), _edges(s, d, 16), 4)
+    return D.multiscale_consensus(A.counts(s, d), _edges(s, d, 16), 4)
 
 
 @entry("boundary_aware_domains")
 def boundary_aware_domains(s, d):
-    return rounded(D.boundary_aware(A.values(s, d), _edges(s, d)), "boundary")
+    return rounded(D.boundary_aware(A.counts(s, d), _edges(s, d, 8)), "boundary")
+
+
+@entry("uncertainty_domains")
+def uncertainty_domains(s, d):
+    return D.uncertainty(D.joint_embedding(A.counts(s, d), _edges(s, d, 8)))
 
 
 @entry("topology_regularized_domains")
 def topology_regularized_domains(s, d):
-    e = _edges(s, d)
-    emb = D.embedding(A.values(s, d), e)
+    e = _edges(s, d, 8)
+    emb = D.expression_embedding(A.counts(s, d))
     return rounded(D.potts_refined(emb, D.kmeans(emb), e), "coherence")
 
 
@@ -144,7 +149,7 @@ def synthetic_mixture(s, d):
 
 @entry("bundle_roundtrip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def bundle_roundtrip(s, d):
-    base = s.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    base = shared_dir(s)
     path = f"{base}/tesselar/bundle-{uuid.uuid4().hex}"
     bundle.write_bundle({"nation": A.table(s, d, "nation")}, path)
     return bundle.read_bundle(s, path)["nation"].select("n_nationkey", "n_name", "n_regionkey")
@@ -153,7 +158,7 @@ def bundle_roundtrip(s, d):
 @entry("long_csv_landscape", with_("perf") + "SELECT dataset, config, round(avg(score), 6) AS score, count(*) AS n FROM perf WHERE seed = 1 AND status <> 'R' GROUP BY 1, 2")
 def long_csv_landscape(s, d):
     """The long table through a CSV folder and back, rows that failed left out."""
-    base = s.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    base = shared_dir(s)
     path = f"{base}/tesselar/csv-{uuid.uuid4().hex}"
     A.perf(s, d).filter("seed = 1").withColumn("status", F.when(F.col("status") == "R", "timeout").otherwise("ok")).write.option("header", True).csv(path)
     out = longtable.read_long_csv(s, path).groupBy("dataset", "config").agg(F.avg("score").alias("score"), F.count("*").alias("n"))
@@ -162,7 +167,7 @@ def long_csv_landscape(s, d):
 
 @entry("knowledge_base_roundtrip", with_("perf") + "SELECT dataset, config, round(avg(score), 9) AS score FROM perf GROUP BY 1, 2")
 def knowledge_base_roundtrip(s, d):
-    base = s.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    base = shared_dir(s)
     path = f"{base}/tesselar/kb-{uuid.uuid4().hex}"
     means = A.perf(s, d).groupBy("dataset", "config").agg(F.round(F.avg("score"), 9).alias("score"))
     longtable.write_knowledge_base(means, path)

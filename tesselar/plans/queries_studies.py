@@ -62,23 +62,6 @@ def privacy_gate(s, d):
     return A.table(s, d, "events").withColumn("record", record).select("event_id", F.array_join(N.private_keys(F.col("record")), ",").alias("private"), N.long_numbers(F.col("record")).alias("long_numbers"))
 
 
-ACQ = """few AS (SELECT dataset, config, avg(score) AS score FROM perf WHERE seed = 7 GROUP BY 1, 2),
-ms AS (SELECT n_name AS dataset, b.config FROM nation, (SELECT DISTINCT p_brand AS config FROM part) b WHERE (n_name, b.config) NOT IN (SELECT (dataset, config) FROM few)),
-sp AS (SELECT config, stddev_pop(score) AS spread, count(*) AS known FROM few GROUP BY 1),
-si AS (SELECT n_name AS dataset, 1.0 / (1 + n_nationkey) AS similarity FROM nation),
-g AS (SELECT dataset, config, CAST(similarity AS DOUBLE) * (1 + coalesce(spread, 0) * 10) / (1 + coalesce(known, 0)) AS gain FROM ms JOIN si USING (dataset) LEFT JOIN sp USING (config))"""
-
-
-@entry("evidence_acquisition", with_("perf", ACQ.replace("1.0 / (1 + n_nationkey)", "CAST(1 AS DOUBLE) / (1 + n_nationkey)")) + "SELECT CAST(row_number() OVER (ORDER BY round(gain, 9) DESC, dataset, config) AS INTEGER) AS priority, dataset, config, round(gain, 6) AS gain FROM g ORDER BY round(gain, 9) DESC, dataset, config LIMIT 10")
-def evidence_acquisition(s, d):
-    from ..operators import evidence as E
-
-    few = E.mean_scores(A.perf(s, d).filter("seed = 7"))
-    n = A.table(s, d, "nation")
-    missing = E.missing_cells(few, n.select(F.col("n_name").alias("dataset")), A.table(s, d, "part").select(F.col("p_brand").alias("config")).distinct())
-    return rounded(S.acquisition(missing, few, n.select(F.col("n_name").alias("dataset"), (1.0 / (1 + F.col("n_nationkey"))).alias("similarity")), 10), "gain")
-
-
 @entry("oracle_leakage", with_("perf", "p AS (SELECT config, avg(score) FILTER (WHERE status = 'N') AS oracle, avg(score) FILTER (WHERE status <> 'N') AS estimate FROM perf GROUP BY 1)") + "SELECT config, round(oracle, 6) AS oracle, round(estimate, 6) AS estimate, round(oracle - estimate, 6) AS drop, round(CASE WHEN oracle > 0 THEN estimate / oracle END, 6) AS recovery FROM p")
 def oracle_leakage(s, d):
     p = A.perf(s, d).withColumn("mode", F.when(F.col("status") == "N", "oracle").otherwise("estimate"))

@@ -13,7 +13,8 @@ from ..sources import longtable
 from . import adapters as A
 from . import queries_evidence, queries_matrix, queries_models, queries_studies
 from .adapters import with_
-from .queries_evidence import MEANS, features, means
+from .tables import shared_dir
+from .queries_evidence import MEANS, means
 from .queries_matrix import batches, markers, rounded
 
 QUERIES: dict = {}
@@ -51,7 +52,7 @@ def long_csv_landscape_all(s, d):
     """The long table of all seeds through a CSV folder and back, rows that failed left out."""
     import uuid
 
-    base = s.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    base = shared_dir(s)
     path = f"{base}/tesselar/csv-{uuid.uuid4().hex}"
     A.perf(s, d).withColumn("status", F.when(F.col("status") == "R", "timeout").otherwise("ok")).write.option("header", True).csv(path)
     out = longtable.read_long_csv(s, path).groupBy("dataset", "config").agg(F.avg("score").alias("score"), F.count("*").alias("n"))
@@ -77,29 +78,6 @@ def sign_flip_permutation_all(s, d):
     return rounded(E.sign_flip_p(pairs.select("a", "b", "dataset", F.round(F.col("sa") - F.col("sb"), 9).alias("d"))), "p")
 
 
-FEW = (" AND b.dataset IN ('NATION_1', 'NATION_2', 'NATION_3')", "")
-
-
-def near(s, d):
-    f = features(s, d)
-    return E.neighbours(f, f)
-
-
-@entry("recommend_neighbours_all", _without(queries_evidence.ORACLES["recommend_neighbours"], FEW))
-def recommend_neighbours_all(s, d):
-    return rounded(near(s, d), "similarity")
-
-
-@entry("recommend_methods_all", _without(queries_evidence.ORACLES["recommend_methods"], FEW))
-def recommend_methods_all(s, d):
-    return rounded(E.rank_methods(near(s, d), means(s, d)), "score", "support")
-
-
-@entry("decision_card_all", _without(queries_evidence.ORACLES["decision_card"], FEW))
-def decision_card_all(s, d):
-    return rounded(E.decision(E.rank_methods(near(s, d), means(s, d))), "support", "first", "second")
-
-
 @entry("spatial_simplex_deconv_all")
 def spatial_simplex_deconv_all(s, d):
     """The reference's 100 rounds; in the tests against a loop."""

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import shared_dir
+
 from ..operators.evidence import consensus, latest, new_records
 
 
@@ -16,7 +18,7 @@ def hourly(events: DataFrame) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/tesselar/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/tesselar/stream-{uuid.uuid4().hex}"
 
 
 def run_hourly(spark: SparkSession, path: str, late: str = "1 day") -> DataFrame:

@@ -176,13 +176,22 @@ def test_rounds_reach_their_end(spark):
     want = np.abs(np.linalg.eigh(adj)[1][:, -1])
     got = {r.i: r.centrality for r in graph.eigenvector_centrality(both).collect()}
     assert [got[i] for i in range(n)] == pytest.approx(list(want), abs=1e-6)
-    scores = spark.createDataFrame([(i, g, float((i * 7 + g * 3) % 5)) for i in range(n) for g in range(2)], "i long, label long, s double")
-    p = {(r.i, r.label): r.p for r in labels.simplex_deconv(scores, both).collect()}
-    e = np.exp(np.array([[(i * 7 + g * 3) % 5 for g in range(2)] for i in range(n)], float))
+    rows = [(i, g, float((i * 7 + g * 3) % 5 + 1)) for i in range(n) for g in range(3)]
+    e = np.array([r[2] for r in rows]).reshape(n, 3)
     e /= e.sum(1, keepdims=True)
-    q = e.copy()
+    evidence = spark.createDataFrame([(i, g, float(e[i, g])) for i in range(n) for g in range(3)], "i long, label long, p double")
+    p = {(r.i, r.label): r.p for r in labels.simplex_deconv(evidence, both, strength=2.0).collect()}
+    w, q = adj * np.exp(-1.0), e.copy()
+    degree = w.sum(1, keepdims=True)
+    step = 1 / (1 + 4.0 * degree.max())
     for _ in range(100):
-        q = (e + 0.5 * (adj @ q) / adj.sum(1, keepdims=True)) / 1.5
-    assert [p[i, g] for i in range(n) for g in range(2)] == pytest.approx(list(q.ravel()), abs=1e-9)
+        q = q - step * (q - e + 2.0 * (degree * q - w @ q))
+        for i in range(n):  # the nearest point of the simplex, by bisection on the amount taken off
+            lo, hi = q[i].min() - 1, q[i].max()
+            for _ in range(80):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if np.maximum(q[i] - mid, 0).sum() > 1 else (lo, mid)
+            q[i] = np.maximum(q[i] - lo, 0)
+    assert [p[i, g] for i in range(n) for g in range(3)] == pytest.approx(list(q.ravel()), abs=1e-9)
     default = lambda f, name: inspect.signature(f).parameters[name].default
     assert (default(domains.potts_refined, "rounds"), default(domains.uncertainty, "runs"), default(svg.bootstrap_robust, "n_bootstraps")) == (6, 7, 12)

@@ -37,6 +37,8 @@ RADIUS = CHUNKS * (ERRORS + 1) - 1
 ACCEPT = 16
 #: Classes whose keys a task holds at once, and members of a key that a task looks at again at once.
 WINDOW, BLOCK = 60_000, 1500
+#: Members of a key up to which all that are alike enough are candidates of each other at once.
+SMALL = 16
 #: Ids of candidates that are broadcast at most (8 bytes each); more are met by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: The choices of symbols of a chunk that a key leaves out.
@@ -137,18 +139,22 @@ def _keys(sig: np.ndarray) -> np.ndarray:
     return np.stack(out) if out else np.zeros((0, 0), np.int64)
 
 
-def _follow(n: np.ndarray, sig: np.ndarray, key: int, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of the members of a key each leader, its followers, and those it is a candidate with."""
-    rest = np.arange(len(n))
+def _follow(n: np.ndarray, sig: np.ndarray, key: int, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+    """Of the members of a key each leader, its followers, its candidates, and whether it has to be looked at again.
+
+    Candidates are the followers that first meet it here, and in small groups others that are alike enough; in large groups
+    these are left to the second look, which compares them only if their components still differ.
+    """
+    rest, small = np.arange(len(n)), len(n) <= SMALL
     while len(rest):
         lead, rest = rest[0], rest[1:]
         apart = (sig[rest] != sig[lead]).sum(1)
         alike = (apart <= ACCEPT) & _sized(n[rest], n[lead], percent)
-        some = rest[alike]
+        near = alike & (apart <= RADIUS)
+        some = rest[alike if small else near]
         if len(some):
             some = some[_first_met(sig[some], sig[lead], key)]
-        near = alike & (apart <= RADIUS)
-        yield int(lead), rest[near], some
+        yield int(lead), rest[near], some, not small and bool((alike & ~near).any())
         rest = rest[~near]
 
 
@@ -178,12 +184,12 @@ def _keyed(percent: int) -> Callable:
                 for x, y in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
                     at = by[x:y]
                     key = int(keys[at[0]])
-                    for lead, followers, some in _follow(n[at], sig[at], key, percent):
+                    for lead, followers, some, again in _follow(n[at], sig[at], key, percent):
                         leads.append(at[[lead]])
-                        led.append(np.array([len(followers) > 0]))
+                        led.append(np.array([len(followers) > 0 or again]))
                         met = np.isin(followers, some)
                         # A follower that was met under another key first is no candidate here, but a member all the same.
-                        for who, to, when in ((followers[met], lead, key), (followers[~met], None, key), (np.setdiff1d(some, followers), lead, None), (np.array([lead] if len(followers) else [], int), None, key)):
+                        for who, to, when in ((followers[met], lead, key), (followers[~met], None, key), (np.setdiff1d(some, followers), lead, None), (np.array([lead] if len(followers) or again else [], int), None, key)):
                             b += ids[at[who]].tolist()
                             of += [None if to is None else int(ids[at[to]])] * len(who)
                             under += [when] * len(who)
@@ -264,10 +270,10 @@ def _led(percent: int) -> Callable:
 
         for key, ids, n, sig, lead in _groups(leaders(), "lead"):
             led = bool((~np.isnan(lead.astype(float))).any())
-            for i, followers, some in _follow(n, sig, key, percent):
+            for i, followers, some, again in _follow(n, sig, key, percent):
                 if len(some):
                     rows.append((np.full(len(some), ids[i]), ids[some], False))
-                led |= len(followers) > 0 and len(ids) > 2
+                led |= again or len(followers) > 0 and len(ids) > 2
             if led:
                 rows.append((np.full(len(ids), key), ids, True))
             if len(rows) > 2000:

@@ -34,8 +34,8 @@ WIDTH = 1 << 18
 #: Standard errors by which a feature must tell the classes apart in the labelled rows to take part: a text has many
 #: features, so some differ by chance; metadata have few.
 TELLING = (4.0, 1.5)
-#: Features of a view that take part at most, those that tell most.
-FEATURES = 20_000
+#: Features of a view that take part at most, those that tell most; a document's are kept as 16-bit places.
+FEATURES = 1000
 KEEP_FROM = 0.5
 HELD_WORDS = 100_000
 CONTENT, METADATA = 0, 1
@@ -116,17 +116,17 @@ class Logistic:
         """rows: places in ``used``."""
         if not rows:
             return np.zeros(0)
-        total = np.concatenate([[0.0], np.cumsum(self.weights[np.concatenate(rows)])])
-        ends = np.cumsum(list(map(len, rows)))
-        return self.offset + total[ends] - total[ends - list(map(len, rows))]
+        # Summed up row by row, so that equal rows have equal sums wherever they stand.
+        owner = np.repeat(np.arange(len(rows)), list(map(len, rows)))
+        return self.offset + np.bincount(owner, self.weights[np.concatenate(rows)], len(rows))
 
 
 def placed(used: np.ndarray, slots: np.ndarray) -> np.ndarray:
     """The places in ``used`` of those slots that are there."""
     if not len(used):
-        return np.zeros(0, np.int32)
+        return np.zeros(0, np.uint16)
     at = np.minimum(np.searchsorted(used, slots), len(used) - 1)
-    return at[used[at] == slots].astype(np.int32)
+    return at[used[at] == slots].astype(np.uint16)
 
 
 def telling(rows: list[np.ndarray], y: np.ndarray, least: float) -> np.ndarray:
@@ -147,7 +147,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit(used: np.ndarray, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, steps: int = 150, ridge: float = 1e-3) -> Logistic:
     """A ridge logistic model over ``used`` from rows of places, classes weighted alike."""
-    at, owner = np.concatenate([np.zeros(0, np.int32), *rows]), np.repeat(np.arange(len(rows)), list(map(len, rows)))
+    at, owner = np.concatenate([np.zeros(0, np.uint16), *rows]), np.repeat(np.arange(len(rows)), list(map(len, rows)))
     n1, n0 = max((weight * y).sum(), 1e-9), max((weight * (1 - y)).sum(), 1e-9)
     weight = weight * np.where(y > 0.5, 0.5 / n1, 0.5 / n0)
     w, squares = np.zeros(len(used) + 1), np.full(len(used) + 1, 1e-8)
@@ -260,7 +260,7 @@ def _featured(text: str, meta: list[str]) -> Callable:
 
 
 def _places(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.int32) for x in column.to_pylist()]
+    return [np.frombuffer(x, np.uint16) for x in column.to_pylist()]
 
 
 def _reduced(text: str, meta: list[str], used: tuple[np.ndarray, np.ndarray]) -> Callable:
@@ -291,12 +291,14 @@ def _surest(model: CoTrained, learner_share: float, taken: set[tuple[int, int]],
                 least = min((x[0] for x in held.values()), default=0.0) if len(held) >= quotas[label] else 0.0
                 over = over[p[over] >= least]
                 # Ties go by the features, so that the choice doesn't depend on how rows are dealt.
-                over = over[np.argsort(-p[over], kind="stable")]
-                n_over = np.searchsorted(-p[over], -p[over][4 * quotas[label]], "right") if len(over) > 4 * quotas[label] else len(over)
-                for i in over[:n_over].tolist():
+                added, last = 0, 0.0
+                for i in over[np.argsort(-p[over], kind="stable")].tolist():
+                    if added >= quotas[label] and p[i] < last:
+                        break
                     key = xxhash.xxh3_64_intdigest(content[i] + b"|" + metadata[i]) - 2**63
-                    if (v, key) not in taken:
-                        held.setdefault(key, (float(p[i]), content[i], metadata[i]))
+                    if (v, key) not in taken and key not in held:
+                        held[key] = (float(p[i]), content[i], metadata[i])
+                        added, last = added + 1, p[i]
                 if len(held) > quotas[label]:
                     top = sorted(held, key=lambda k: (-held[k][0], k))[: quotas[label]]  # noqa: B023
                     best[v, label] = {k: held[k] for k in top}
@@ -346,7 +348,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, ro
 
     reduced = rows.mapInArrow(_reduced(text_col, meta, used), T.StructType([T.StructField("doc_id", rows.schema["__id"].dataType), T.StructField("content", T.BinaryType()), T.StructField("metadata", T.BinaryType())]))
     pool = stored(reduced, "features")
-    free = pool.join(known.select(F.col("__id").alias("doc_id")), "doc_id", "left_anti").select("content", "metadata")
+    free = stored(pool.join(known.select(F.col("__id").alias("doc_id")), "doc_id", "left_anti").select("content", "metadata"), "unlabelled")
     quotas = learner.quota(0, quota), learner.quota(1, quota)
     handed, taken, done = [0, 0], set(), 0
     for _ in range(rounds):
@@ -356,11 +358,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, ro
         chosen = sorted(best.collect(), key=lambda r: (r.view, r.label, r.n))  # a quota at most of each view and class
         done += 1
         for r in chosen:
-            learner.given.append(Handed(r.view, float(r.label), learner.weight(r.label, r.p), (np.frombuffer(r.content, np.int32), np.frombuffer(r.metadata, np.int32))))
+            learner.given.append(Handed(r.view, float(r.label), learner.weight(r.label, r.p), (np.frombuffer(r.content, np.uint16), np.frombuffer(r.metadata, np.uint16))))
             taken.add((r.view, r.key))
             handed[r.view] += 1
         if not chosen:
             break
+    dropped(spark, free)
     model = learner.fitted()
     model.rounds, model.handed = done, tuple(handed)
     return Trained(model, used, pool)

@@ -126,13 +126,50 @@ def spatial_information_ratio(s, d):
     return rounded(rounded(X.spatial_information_ratio(A.points(s, d)), "mi", "null_mi"), "ratio", dp=5)
 
 
-@entry("patch_ridge_regression")
-def patch_ridge_regression(s, d):
-    """Image patches to expression: pixels stand on the points' plane."""
+def _patches(s, d):
+    """Image patches of the points: pixels stand on their plane."""
     p = A.points(s, d)
-    px = s.range(120).select((F.col("id") * 0.005 - 0.3).alias("px")).crossJoin(F.broadcast(s.range(120).select((F.col("id") * 0.005 - 0.3).alias("py")))).withColumn("band", F.sin(20 * F.col("px")) + F.cos(20 * F.col("py")))
-    f = X.patch_features(px, p, 0.05).select("i", F.array("mean", "sd").alias("vec"))
-    return rounded(X.ridge(f, A.values(s, d)), "v")
+    at = lambda c: s.range(120).select((F.col("id") * 0.005 - 0.3).alias(c))
+    px = at("px").crossJoin(F.broadcast(at("py"))).withColumn("band", F.sin(20 * F.col("px")) + F.cos(20 * F.col("py")))  # a picture of fixed size
+    return X.patch_features(px, p, 0.05).select("i", F.array(F.coalesce("mean", F.lit(0.0)), F.coalesce("sd", F.lit(0.0))).alias("vec")), p
+
+
+for _family in ("morphology", "scellst", "storm"):
+
+    def _virtual(s, d, family=_family):
+        """Image patches to expression; systems are solved on the driver, and in the tests against a loop."""
+        f, p = _patches(s, d)
+        return rounded(X.virtual_expression(f, p, A.counts(s, d), family), "v")
+
+    entry(f"virtual_{_family}")(_virtual)
+
+
+FEATURES = """t AS (SELECT obs_id, sum(value) AS t, count(*) FILTER (WHERE value > 0) AS g FROM expr GROUP BY 1), g AS (SELECT sum(value) AS s FROM expr GROUP BY gene_id), e AS (SELECT -sum(s / tot * log2(s / tot)) AS h FROM g, (SELECT sum(s) AS tot FROM g)),
+lb AS (SELECT label, count(*) / (SELECT count(*) FROM pts)::DOUBLE AS p FROM pts GROUP BY 1), ones AS (SELECT i, lb.label AS gene, CASE WHEN pts.label = lb.label THEN 1.0 ELSE 0.0 END AS v FROM pts, lb),
+tg AS (SELECT gene FROM cnt GROUP BY 1 ORDER BY round(var_pop(v), 9) DESC, gene LIMIT 10), mo AS (SELECT gene, avg(v) AS m, var_pop(v) * count(*) AS ss, count(*) AS n FROM cnt JOIN tg USING (gene) GROUP BY 1),
+mi AS (SELECT avg(n / (SELECT count(*) FROM sym)::DOUBLE * num / (ss + 1e-12)) AS m FROM mo JOIN (SELECT a.gene, sum((a.v - m) * (b.v - m)) AS num FROM sym JOIN cnt a ON sym.i = a.i JOIN cnt b ON sym.j = b.i AND a.gene = b.gene JOIN mo ON a.gene = mo.gene GROUP BY 1) USING (gene)),
+om AS (SELECT gene, avg(v) AS m, var_pop(v) * count(*) AS ss, count(*) AS n FROM ones GROUP BY 1),
+co AS (SELECT avg(n / (SELECT count(*) FROM sym)::DOUBLE * num / (ss + 1e-12)) AS m FROM om JOIN (SELECT a.gene, sum((a.v - m) * (b.v - m)) AS num FROM sym JOIN ones a ON sym.i = a.i JOIN ones b ON sym.j = b.i AND a.gene = b.gene JOIN om ON a.gene = om.gene GROUP BY 1) USING (gene)),
+bb AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts), gr AS (SELECT least(floor((x - x0) / (x1 - x0) * 10), 9) AS cx, least(floor((y - y0) / (y1 - y0) * 10), 9) AS cy, count(*) AS n FROM pts, bb GROUP BY 1, 2)"""
+
+
+@entry("dataset_features_plain", with_("expr", "var", "pts", "val", "cnt", A.knn_sql(6), "sym AS (SELECT i, j FROM knn UNION SELECT j, i FROM knn)", FEATURES) + """SELECT CAST(count(*) AS DOUBLE) AS n_obs, CAST((SELECT count(*) FROM var) AS DOUBLE) AS n_vars, round((SELECT count(*) FROM var) / count(*)::DOUBLE, 6) AS aspect_ratio, round(1 - sum(g) / (count(*) * (SELECT count(*) FROM var))::DOUBLE, 9) AS sparsity,
+round(sum(t) / sum(g)::DOUBLE, 6) AS mean_nonzero, round(avg(t), 6) AS library_mean, round(stddev_pop(t) / (avg(t) + 1e-8), 6) AS library_cv, (SELECT round(h, 6) FROM e) AS expression_entropy, (SELECT round(m, 6) FROM mi) AS spatial_autocorrelation,
+(SELECT round((SELECT avg(sqrt(d2)) FROM knn) / (sqrt((x1 - x0) * (y1 - y0)) + 1e-12), 6) FROM bb) AS mean_nn_distance, (SELECT round(stddev_pop(n) / avg(n), 6) FROM gr) AS spatial_density_cv, (SELECT round(-sum(n / c::DOUBLE * log2(n / c::DOUBLE)), 6) FROM gr, (SELECT count(*) AS c FROM pts)) AS spatial_entropy,
+(SELECT CAST(count(*) AS DOUBLE) FROM lb) AS n_domains, (SELECT round(-sum(p * ln(p)) / ln(count(*)), 6) FROM lb) AS domain_balance, (SELECT round(m, 6) FROM co) AS domain_spatial_coherence FROM t""")
+def dataset_features_plain(s, d):
+    """The features that SQL can follow."""
+    p = A.points(s, d)
+    out = X.dataset_features(A.expr(s, d), A.var(s, d), p, A.counts(s, d), p.select("i", "label"), geometry=False)
+    return rounded(rounded(out, *[c for c in out.columns if c not in ("n_obs", "n_vars", "sparsity", "n_domains")]), "sparsity", dp=9)
+
+
+@entry("dataset_features")
+def dataset_features(s, d):
+    """All of them, with those that need a decomposition or draws; in the tests against a loop."""
+    p = A.points(s, d)
+    out = X.dataset_features(A.expr(s, d), A.var(s, d), p, A.counts(s, d), p.select("i", "label"))
+    return rounded(out, *out.columns)
 
 
 @entry("synthetic_tissue_qc")

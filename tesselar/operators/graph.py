@@ -139,6 +139,7 @@ def fused_pairs(left: DataFrame, right: DataFrame, k: int, spatial: float, expre
     """
     n_left, n_right = (max(1, -(-x.count() // BLOCK)) for x in (left, right))
     each = lambda df, name, n: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    right = right.select(*[F.col(c).alias(c) for c in ("i", "x", "y", "vec")])  # columns of its own, where both are one table
     a = each(_blocks(left.select("i", "x", "y", "vec"), n_left), "c", n_right).groupBy("b", "c")
     b = each(_blocks(right.select("i", "x", "y", "vec"), n_right).withColumnRenamed("b", "c"), "b", n_left).groupBy("b", "c")
 

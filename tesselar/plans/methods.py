@@ -199,7 +199,7 @@ register(Method("normalization", "graph_diffusion_normalize", lambda x, steps: {
 register(Method("neighborhood", "spatial_graph", lambda x, k, mode, radius: {"edges": graph.knn(x["points"], k) if mode == "knn" else graph.radius_graph(x["points"], radius)}, ("points",), (Param("k", "int", 8, 1, 200), Param("mode", "str", "knn", choices=("knn", "radius")), Param("radius", "float", 15.0, 1e-12))))
 register(Method("neighborhood", "mutual_knn_graph", lambda x, k: {"edges": graph.mutual(graph.knn(x["points"], k))}, ("points",), (_K,)))
 register(Method("neighborhood", "adaptive_radius_graph", lambda x, k, radius_scale: {"edges": graph.adaptive_radius(x["points"], k, radius_scale)}, ("points",), (_K, Param("radius_scale", "float", 1.25, 1e-12))))
-for _name, _f in {"kmeans": domains.kmeans, "minibatch_kmeans": domains.minibatch_kmeans, "bisecting_kmeans": domains.bisecting_kmeans, "gaussian_mixture": domains.gaussian_mixture, "uncertainty_domains": domains.uncertainty}.items():
+for _name, _f in {"kmeans": domains.kmeans, "minibatch_kmeans": domains.minibatch_kmeans, "bisecting_kmeans": domains.bisecting_kmeans, "gaussian_mixture": domains.gaussian_mixture}.items():
     register(Method("domain_detection", _name, lambda x, n_domains, f=_f: {"domains": f(_embedded(x), n_domains)}, ("v", "edges"), (_DOMAINS,)))
 for _name, _k in {"agglomerative": domains.ward, "birch": domains.birch}.items():
     register(Method("domain_detection", _name, lambda x, n_domains, f=_k: {"domains": domains.per_sample(_embedded(x), f(n_domains))}, ("v", "edges"), (_DOMAINS,)))

@@ -47,8 +47,8 @@ MASK = (1 << BITS) - 1
 HELD = 1_500_000
 #: Passes over the symbols in which contexts of the greatest length are counted, each a part of them.
 PASSES = 2
-#: Tokens of a lane, as a goal.
-LANE = 4_000_000
+#: Tokens of a lane, as a goal, and passes in which lanes are filled, each a part of them, so that less lies on disk at once.
+LANE, LANE_PASSES = 4_000_000, 3
 
 
 @dataclass
@@ -246,6 +246,15 @@ def _contexts(ids: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _turned(ctx: np.ndarray, k: int) -> np.ndarray:
+    """Packed contexts of k symbols with the last symbol in the highest bits: in their order, those with a common end lie
+    together, whatever their length."""
+    out = np.zeros(len(ctx), np.int64)
+    for back in range(k):
+        out |= (ctx >> BITS * back & MASK) << BITS * (k - 1 - back)
+    return out
+
+
 def _hash(x: np.ndarray) -> np.ndarray:
     """Spreads packed symbols; the same in every task."""
     x = (x.astype(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -288,13 +297,46 @@ def _transitions(encoded: DataFrame, k: int, part: int, parts: int, least: float
         if size:
             yield out(merged())
 
-    runs = encoded.filter("train").select("ids").mapInArrow(run, "ctx long, x int, n long").repartition("ctx").groupBy("ctx", "x").agg(F.sum("n").alias("n"))
-    runs = runs.withColumn("whole", F.sum("n").over(Window.partitionBy("ctx")))  # dealt by context already
-    return runs.filter((F.col("n") >= MIN_COUNT) & (F.col("whole") >= least))
+    dealt = encoded.filter("train").select("ids").mapInArrow(run, "ctx long, x int, n long").repartition("ctx").sortWithinPartitions("ctx", "x")
+    return dealt.mapInArrow(_summed(least), "ctx long, x int, n long, whole long")
+
+
+def _summed(least: float) -> Callable:
+    """From rows sorted by context and symbol: transitions seen often enough of contexts seen often enough, counts added up.
+
+    Holds the transitions of one context, which are no more than there are symbols.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: tuple[np.ndarray, ...] | None = None
+
+        def out(ctx: np.ndarray, x: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            whole_at = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+            whole = np.repeat(np.add.reduceat(n, whole_at), np.diff([*whole_at, len(ctx)]))
+            ok = (n >= MIN_COUNT) & (whole >= least)
+            return pa.RecordBatch.from_arrays([pa.array(ctx[ok]), pa.array(x[ok], pa.int32()), pa.array(n[ok]), pa.array(whole[ok])], names=["ctx", "x", "n", "whole"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = tuple(b.column(c).to_numpy() for c in ("ctx", "x", "n"))
+            if rest is not None:
+                cols = tuple(np.concatenate(c) for c in zip(rest, cols, strict=True))
+            ctx, x, n = cols
+            first = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (x[1:] != x[:-1])]))
+            ctx, x, n = ctx[first], x[first], np.add.reduceat(n, first)
+            cut = np.searchsorted(ctx, ctx[-1])  # the last context may go on in the next batch
+            rest = ctx[cut:], x[cut:], n[cut:]
+            if cut:
+                yield out(ctx[:cut], x[:cut], n[:cut])
+        if rest is not None:
+            yield out(*rest)
+
+    return run
 
 
 def _level(runs: DataFrame, lower: DataFrame, k: int, min_gain: float) -> DataFrame:
-    """(ctx, x, p, spread, kept, first): of every transition its probability after its context, or after the context's longest
+    """(ctx, x, n, whole, p, kept, first): of every transition its probability after its context, or after the context's longest
     retained suffix where the context is not kept. ``lower``: (ctx, x, lower) of the level below."""
     suffix = F.col("ctx").bitwiseAND((1 << (BITS * (k - 1))) - 1)
     met = runs.withColumn("suffix", suffix).join(lower.withColumnRenamed("ctx", "suffix"), ["suffix", "x"]).select("ctx", "x", "n", "whole", "lower")
@@ -303,7 +345,7 @@ def _level(runs: DataFrame, lower: DataFrame, k: int, min_gain: float) -> DataFr
     seen = seen.withColumn("own", (F.col("n") - DISCOUNT) / F.col("whole") + F.col("spread") * F.col("lower"))
     gain = F.sum(F.col("n") * F.log(F.col("own") / F.col("lower"))).over(same) + (F.col("whole") - F.sum("n").over(same)) * F.log("spread")
     kept = seen.withColumn("kept", gain >= min_gain)
-    return kept.select("ctx", "x", F.when(F.col("kept"), F.col("own")).otherwise(F.col("lower")).alias("p"), "spread", "kept", (F.row_number().over(same.orderBy("x")) == 1).alias("first"))
+    return kept.select("ctx", "x", "n", "whole", F.when(F.col("kept"), F.col("own")).otherwise(F.col("lower")).alias("p"), "kept", (F.row_number().over(same.orderBy("x")) == 1).alias("first"))
 
 
 @dataclass
@@ -332,26 +374,56 @@ class Lanes:
         return at, (_hash(last)[at] + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)) % self.n
 
 
-LANED = "lane int, kind int, level int, ctx long, x int, p double, spread double, rows binary, tokens binary"
+LANED = "lane int, kind int, level int, rows binary, tokens binary"
 
 
-def _laned(columns: dict[str, pa.Array | list], n: int) -> pa.RecordBatch:
-    types = {"lane": pa.int32(), "kind": pa.int32(), "level": pa.int32(), "ctx": pa.int64(), "x": pa.int32(), "p": pa.float64(), "spread": pa.float64(), "rows": pa.binary(), "tokens": pa.binary()}
+def _laned(columns: dict[str, list], n: int) -> pa.RecordBatch:
+    types = {"lane": pa.int32(), "kind": pa.int32(), "level": pa.int32(), "rows": pa.binary(), "tokens": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items()], names=list(types))
 
 
-def _tree_rows(level: int, lanes: Broadcast) -> Callable:
+def _planes(*columns: np.ndarray) -> bytes:
+    """Whole numbers below 2^32, all first bytes before all second ones, compressed."""
+    return zlib.compress(b"".join(c.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns), 1)
+
+
+def _columns(packed: bytes, n: int) -> list[np.ndarray]:
+    raw = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(n, 4, -1)
+    return [np.ascontiguousarray(p.T).view(np.uint32).ravel().astype(np.int64) for p in raw]
+
+
+def _tree_rows(level: int, lanes: Broadcast, part: int, parts: int) -> Callable:
+    """Kept transitions by lane, many to a row: contexts turned, symbols, counts."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            lane, ctx, x, n, whole = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((x, ctx, lane))
+            lane, ctx, x, n, whole = lane[order], ctx[order], x[order], n[order], whole[order]
+            starts = np.flatnonzero(np.concatenate([[True], lane[1:] != lane[:-1]]))
+            words_ = [ctx >> BITS * k & MASK for k in reversed(range(level))]
+            rows = [_planes(*(c[i:j] for c in (*words_, x, n >> 32, n & 0xFFFFFFFF, whole >> 32, whole & 0xFFFFFFFF))) for i, j in zip(starts, [*starts[1:], len(lane)], strict=True)]
+            return _laned({"lane": lane[starts], "kind": np.zeros(len(starts), np.int32), "level": np.full(len(starts), level), "tokens": rows}, len(starts))
+
         for b in batches:
             ctx = b.column("ctx").to_numpy()
             at, lane = lanes.value.tree_lanes(ctx, level)
-            take = lambda c: b.column(c).to_numpy()[at]  # noqa: B023, E731
-            yield _laned({"lane": lane, "kind": np.zeros(len(at), np.int32), "level": np.full(len(at), level), "ctx": ctx[at], "x": take("x"), "p": take("p"), "spread": take("spread")}, len(at))
+            at, lane = at[lane % parts == part], lane[lane % parts == part]
+            held.append((lane, _turned(ctx[at], level), *(b.column(c).to_numpy()[at].astype(np.int64) for c in ("x", "n", "whole"))))
+            size += len(at)
+            if size > HELD:
+                yield out()
+                size = 0
+        if size:
+            yield out()
 
     return run
 
 
-def _token_rows(depth: int, lanes: Broadcast) -> Callable:
+def _token_rows(depth: int, lanes: Broadcast, part: int, parts: int) -> Callable:
     """A task's tokens by lane, many to a row: a token is its text's row, the packed context and the symbol, by columns; equal
     ones of a text are one with a count."""
 
@@ -359,17 +431,23 @@ def _token_rows(depth: int, lanes: Broadcast) -> Callable:
         held, size = [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            row, ctx, x, n, lane = (np.concatenate(c) for c in zip(*held, strict=True))
+            row, ctx, x, place, lane = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            order = np.lexsort((x, ctx, lane))
-            row, ctx, x, n, lane = row[order], ctx[order], x[order], n[order], lane[order]
+            turned, x = _turned(ctx, DEEPEST), x << 2 | place
+            order = np.lexsort((row, x, turned, lane))
+            row, x, turned, lane = row[order], x[order], turned[order], lane[order]
+            new = (row[1:] != row[:-1]) | (x[1:] != x[:-1]) | (turned[1:] != turned[:-1]) | (lane[1:] != lane[:-1])
+            first = np.flatnonzero(np.concatenate([[True], new]))
+            n = np.diff([*first, len(row)])
+            row, x, turned, lane = row[first], x[first], turned[first], lane[first]
+            x, place = x >> 2, x & 3
             starts = np.flatnonzero(np.concatenate([[True], lane[1:] != lane[:-1]]))
             rows, tokens = [], []
             for i, j in zip(starts, [*starts[1:], len(lane)], strict=True):
-                own, place = np.unique(row[i:j], return_inverse=True)
+                own, at = np.unique(row[i:j], return_inverse=True)
                 rows.append(own.tobytes())
-                planes = [place.astype(np.uint32), x[i:j].astype(np.uint32), n[i:j].astype(np.uint32), *((ctx[i:j] >> BITS * k & MASK).astype(np.uint32) for k in range(DEEPEST))]
-                tokens.append(zlib.compress(b"".join(p.view(np.uint8).reshape(-1, 4).T.tobytes() for p in planes), 1))
+                # The count and the number of known context words share a number; the last context word comes first.
+                tokens.append(_planes(at, x[i:j], n[i:j] << 2 | place[i:j], *(turned[i:j] >> BITS * k & MASK for k in reversed(range(DEEPEST)))))
             yield _laned({"lane": lane[starts], "kind": np.ones(len(starts), np.int32), "rows": rows, "tokens": tokens}, len(starts))
 
         for b in batches:
@@ -381,17 +459,12 @@ def _token_rows(depth: int, lanes: Broadcast) -> Callable:
                 early = place == k
                 ctx[early] &= (1 << (BITS * k)) - 1
             ok = place > 0
-            ctx, ids, text, place = ctx[ok], ids[ok], text[ok], np.minimum(place[ok], DEEPEST)
-            order = np.lexsort((place, ids, ctx, text))
-            ctx, ids, text, place = ctx[order], ids[order], text[order], place[order]
-            if not len(ctx):
+            if not ok.any():
                 continue
-            first = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (ids[1:] != ids[:-1]) | (text[1:] != text[:-1]) | (place[1:] != place[:-1])]))
-            n = np.diff([*first, len(ctx)])
-            ctx, ids, text, place = ctx[first], ids[first], text[first], place[first]
-            row = b.column("row").to_numpy()[text]
-            # The count and the number of known context words share a number.
-            held.append((row, ctx, ids, n << 2 | place, lanes.value.lane(ctx & MASK, ctx)))
+            lane = lanes.value.lane(ctx & MASK, ctx)
+            ok &= lane % parts == part
+            ctx, ids, text, place, lane = ctx[ok], ids[ok], text[ok], np.minimum(place[ok], DEEPEST), lane[ok]
+            held.append((b.column("row").to_numpy()[text], ctx, ids, place, lane))
             size += len(ctx)
             if size > HELD:
                 yield from out()
@@ -410,15 +483,31 @@ def _looked_up(depth: int, sent: Broadcast) -> Callable:
         lane, tree, ready = None, [], None
 
         def built() -> list[tuple[np.ndarray, ...]]:
-            """Of each level the contexts and what they spread, and their transitions as context number * symbols + symbol."""
-            cols = [np.concatenate(c) for c in zip(*tree, strict=True)] if tree else [np.zeros(0, np.int64)] * 5
-            out = []
+            """Of each level the contexts and what they spread, and their transitions as context number * symbols + symbol
+            with their probabilities, made from those of the longest retained suffix as the levels were."""
+            out: list[tuple[np.ndarray, ...]] = []
             for k in range(1, depth + 1):
-                ctx, x, p, spread = (c[cols[0] == k] for c in cols[1:])
-                known, first, at = np.unique(ctx, return_index=True, return_inverse=True)
-                codes = at * model.n + x
-                order = np.argsort(codes, kind="stable")
-                out.append((known, spread[first], codes[order], p[order]))
+                parts = [_columns(packed, k + 5) for level, packed in tree if level == k]
+                if not parts:
+                    out.append((np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0)))
+                    continue
+                *words_, x, n1, n0, w1, w0 = (np.concatenate(c) for c in zip(*parts, strict=True))
+                n, whole = (n1 << 32 | n0).astype(float), (w1 << 32 | w0).astype(float)
+                ctx = np.zeros(len(x), np.int64)
+                for w in words_:
+                    ctx = ctx << BITS | w
+                order = np.lexsort((x, ctx))
+                ctx, x, n, whole = ctx[order], x[order], n[order], whole[order]
+                first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+                at = np.cumsum(np.concatenate([[0], ctx[1:] != ctx[:-1]]))
+                spread = 1 - np.add.reduceat(n - DISCOUNT, first) / whole[first]
+                lower, todo = model.root[x], np.arange(len(x))
+                for j in range(k - 1, 0, -1):
+                    known, _, codes, p = out[j - 1]
+                    which = _find(known, ctx[todo] >> BITS * (k - j))
+                    has, todo = todo[which >= 0], todo[which < 0]
+                    lower[has] = p[_find(codes, which[which >= 0] * model.n + x[has])]
+                out.append((ctx[first], spread, at * model.n + x, (n - DISCOUNT) / whole + spread[at] * lower))
             return out
 
         for b in batches:
@@ -430,13 +519,11 @@ def _looked_up(depth: int, sent: Broadcast) -> Callable:
                 part = b.slice(i, j - i)
                 is_tree = part.column("kind").to_numpy() == 0
                 own = part.filter(pa.array(is_tree))
-                if own.num_rows:
-                    tree.append(tuple(own.column(c).to_numpy(zero_copy_only=False) for c in ("level", "ctx", "x", "p", "spread")))
+                tree += zip(own.column("level").to_pylist(), own.column("tokens").to_pylist(), strict=True)
                 rest = part.filter(pa.array(~is_tree))
                 for rows, tokens in zip(rest.column("rows").to_pylist(), rest.column("tokens").to_pylist(), strict=True):
                     ready = ready or built()
-                    raw = np.frombuffer(zlib.decompress(tokens), np.uint8).reshape(3 + DEEPEST, 4, -1)
-                    place, x, n, *words_ = (np.ascontiguousarray(p.T).view(np.uint32).ravel().astype(np.int64) for p in raw)
+                    place, x, n, *words_ = _columns(tokens, 3 + DEEPEST)
                     known, n = n & 3, n >> 2
                     times, p = np.ones(len(x)), np.full(len(x), -1.0)
                     todo = np.arange(len(x))
@@ -444,7 +531,7 @@ def _looked_up(depth: int, sent: Broadcast) -> Callable:
                         at = todo[known[todo] >= k]
                         ctx = np.zeros(len(at), np.int64)
                         for w in range(k):
-                            ctx |= words_[w][at] << (BITS * w)
+                            ctx |= words_[w][at] << (BITS * (k - 1 - w))
                         which = _find(ready[k - 1][0], ctx)
                         at, which = at[which >= 0], which[which >= 0]
                         entry = _find(ready[k - 1][2], which * model.n + x[at])
@@ -508,10 +595,13 @@ def fit_and_score(docs: DataFrame, p_symbol: float = 1e-6, p_context: float = 0.
         lower = level.select("ctx", "x", F.col("p").alias("lower"))
 
     lanes = spark.sparkContext.broadcast(Lanes.over(each, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    rows = [level.filter("kept").select("ctx", "x", "p", "spread").mapInArrow(_tree_rows(k, lanes), LANED) for k, level in enumerate(levels, 1)]
-    rows.append(encoded.select("row", "ids").mapInArrow(_token_rows(depth, lanes), LANED))
-    found = reduce(DataFrame.unionByName, rows).repartition(lanes.value.n, "lane").sortWithinPartitions("lane", "kind")
-    added = stored(found.mapInArrow(_looked_up(depth, sent), "row long, add double").groupBy("row").agg(F.sum("add").alias("add")), "added")
+    added = []
+    for i in range(LANE_PASSES):
+        rows = [level.filter("kept").select("ctx", "x", "n", "whole").mapInArrow(_tree_rows(k, lanes, i, LANE_PASSES), LANED) for k, level in enumerate(levels, 1)]
+        rows.append(encoded.select("row", "ids").mapInArrow(_token_rows(depth, lanes, i, LANE_PASSES), LANED))
+        found = reduce(DataFrame.unionByName, rows).repartition(lanes.value.n, "lane").sortWithinPartitions("lane", "kind")
+        added.append(stored(found.mapInArrow(_looked_up(depth, sent), "row long, add double").groupBy("row").agg(F.sum("add").alias("add")), "added"))
+    added = reduce(DataFrame.unionByName, added).groupBy("row").agg(F.sum("add").alias("add"))
     dropped(spark, *levels)
 
     # A rare word's share of its class; a word that was not learnt from counts as seen ADDED times.

@@ -18,7 +18,7 @@ from tesselar.llm.components import components
 from tesselar.llm.exact import exact_dedup
 from tesselar.llm.lines import LineRuns, drop_repeated_lines
 from tesselar.llm.neardup import near_duplicates
-from tesselar.llm.packing import Limits, Packer, Piece
+from tesselar.llm.packing import Limits, Packer, Piece, pack
 from tesselar.llm.pieces import encode_pieces
 from tesselar.llm.pii import find_pii, mask_pii
 from tesselar.llm import quality as K
@@ -598,3 +598,28 @@ def test_pipeline(spark):
     assert docs.filter(docs.text.rlike(r"[a-z0-9]@[a-z0-9]+\.")).count() == 0
     tokens = {r.doc_id: r.n for r in new.groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()}
     assert set(tokens) == {r.doc_id for r in docs.collect()}
+
+
+def test_packing_where_all_limits_bind(spark):
+    """Conversations by turn: prompts bear no loss, and each of the three limits fills some sequences."""
+    import tiktoken  # noqa: F401  the tables need it
+
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").collect()
+    pairs = {}
+    for r in sorted(turns, key=lambda r: (r.conv_id, r.turn)):
+        if r.role == "assistant":
+            pairs[f"{r.conv_id}:{r.turn}"] = (pairs.pop(r.conv_id, ""), r.text or "")
+        else:
+            pairs[r.conv_id] = pairs.get(r.conv_id, "") + (r.text or "") + "\n"
+    rows = [(k, p + a, len(p)) for k, (p, a) in ((k, v) for k, v in pairs.items() if isinstance(v, tuple))]
+    rows += [(f"short {i}", f"q{i} a", 3) for i in range(400)] + [(f"prompt {i}", "ask " * 150 + "yes", 599) for i in range(40)] + [("none", None, None)]
+    limits = Limits(tokens=600, segments=24, loss_tokens=300)
+    out = pack(spark.createDataFrame(rows, "id string, text string, prompt int").coalesce(1), Q.vocabulary("byte_bpe_50k.json"), limits, cut=True, prompt_col="prompt", id_col="id").collect()
+    seqs, got = {}, Counter()
+    for r in out:
+        seqs.setdefault(r.sequence_id, []).append(r)
+        got[r.doc_id] += r.length
+    sums = [(sum(r.length for r in s), len(s), sum(r.loss_tokens for r in s)) for s in seqs.values()]
+    assert all(t <= 600 and n <= 24 and loss <= 300 for t, n, loss in sums)
+    assert any(t == 600 and n < 24 and loss < 300 for t, n, loss in sums) and any(n == 24 and t < 600 and loss < 300 for t, n, loss in sums) and any(loss == 300 and t < 600 for t, n, loss in sums)
+    assert set(got) == {k for k, _, _ in rows} and all(got[r.doc_id] == r.doc_tokens for r in out)

@@ -431,7 +431,8 @@ def combat(s, d):
 
 
 @entry("quantile_integrate", with_("pts", "val", BV, "rk AS (SELECT i, batch, gene, v, row_number() OVER (PARTITION BY batch, gene ORDER BY v, i) AS pos, (rank() OVER (PARTITION BY batch, gene ORDER BY v) + (count(*) OVER (PARTITION BY batch, gene, v) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY batch, gene) AS u FROM bv)",
-"sz AS (SELECT batch, gene, count(*) AS m FROM bv GROUP BY 1, 2)", "aq AS (SELECT a.i, a.batch, a.gene, avg(lo.v + (a.u * (m - 1) - floor(a.u * (m - 1))) * (hi.v - lo.v)) AS v FROM rk a JOIN sz ON a.gene = sz.gene JOIN rk lo ON lo.gene = a.gene AND lo.batch = sz.batch AND lo.pos = floor(a.u * (m - 1)) + 1 JOIN rk hi ON hi.gene = a.gene AND hi.batch = sz.batch AND hi.pos = least(floor(a.u * (m - 1)) + 2, m) GROUP BY 1, 2, 3)",
+"sz AS (SELECT batch AS other, gene, count(*) AS m FROM bv GROUP BY 1, 2)", "ak AS (SELECT i, batch, gene, other, u * (m - 1) AS place, CAST(floor(u * (m - 1)) AS BIGINT) + 1 AS lo, least(CAST(floor(u * (m - 1)) AS BIGINT) + 2, m) AS hi FROM rk JOIN sz USING (gene))",
+"vl AS MATERIALIZED (SELECT gene, batch AS other, pos, v FROM rk)", "a1 AS (SELECT ak.*, vl.v AS va FROM ak JOIN vl ON vl.gene = ak.gene AND vl.other = ak.other AND vl.pos = ak.lo)", "aq AS (SELECT a1.i, a1.batch, a1.gene, avg(va + (place - floor(place)) * (vl.v - va)) AS v FROM a1 JOIN vl ON vl.gene = a1.gene AND vl.other = a1.other AND vl.pos = a1.hi GROUP BY 1, 2, 3)",
 "bp AS (SELECT i, x, y, CAST(i % 3 AS INTEGER) AS batch FROM pts)", knn_sql(6, src="bp", part="batch"), "lm AS (SELECT knn.i, gene, avg(v) AS m FROM knn JOIN aq ON knn.j = aq.i GROUP BY 1, 2)") + "SELECT aq.i, aq.gene, round(0.8 * v + 0.2 * coalesce(m, v), 6) AS v FROM aq LEFT JOIN lm ON aq.i = lm.i AND aq.gene = lm.gene")
 def quantile_integrate(s, d):
     return rounded(integrate.quantile_align(A.values(s, d), batches(s, d), A.points(s, d)), "v")

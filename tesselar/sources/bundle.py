@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,15 +32,28 @@ def _digest(spark: SparkSession, path: str) -> str:
 
 
 def write_bundle(tables: dict[str, DataFrame], path: str, meta: dict | None = None) -> dict:
-    """Write every table, then the manifest. Nothing that exists is overwritten."""
+    """Write every table, then the manifest, beside the bundle's place, and move the whole there: a reader finds all or nothing.
+
+    Nothing that exists is overwritten.
+    """
     spark = next(iter(tables.values())).sparkSession
-    found = {}
-    for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{path}/{safe_name(name)}")
-        back = spark.read.parquet(f"{path}/{name}")
-        found[name] = {"sha256": _digest(spark, f"{path}/{name}"), "rows": back.count(), "schema": back.schema.jsonValue()}
-    manifest = {"version": 1, "tables": found, "meta": meta or {}}
-    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/{MANIFEST}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    there, made = hadoop.Path(path), f"{path.rstrip('/')}.{uuid.uuid4().hex}.writing"
+    fs = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(there):
+        raise FileExistsError(path)
+    try:
+        found = {}
+        for name, df in tables.items():
+            df.write.parquet(f"{made}/{safe_name(name)}")
+            back = spark.read.parquet(f"{made}/{name}")
+            found[name] = {"sha256": _digest(spark, f"{made}/{name}"), "rows": back.count(), "schema": back.schema.jsonValue()}
+        manifest = {"version": 1, "tables": found, "meta": meta or {}}
+        spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.text(f"{made}/{MANIFEST}")
+        if fs.exists(there) or not fs.rename(hadoop.Path(made), there):
+            raise FileExistsError(path)
+    finally:
+        fs.delete(hadoop.Path(made), True)
     return manifest
 
 

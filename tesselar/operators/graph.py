@@ -28,6 +28,8 @@ def _around(df: DataFrame, rings: int) -> DataFrame:
 
 #: Wider grids that are tried, each four times as wide, before what is left is compared with all points.
 WIDER = 12
+#: Pairs of points that are not settled and all points up to which they are compared at once.
+FEW_PAIRS = 5_000_000
 
 
 def _grid(points: DataFrame, per_cell: float, groups: int) -> tuple[int, float, float]:
@@ -72,9 +74,9 @@ def knn(points: DataFrame, k: int, within: str | None = None) -> DataFrame:
         sure = found.filter((F.col("r") == k) & (F.col("d2") <= width**2)).select("i")
         done.append(found.join(sure, "i", "left_semi"))
         todo = saved(todo.join(sure, "i", "left_anti"), "unsettled")
-        if todo.isEmpty():
+        if not (open_ := todo.count()):
             break
-        width *= 4
+        width = width * 4 if open_ * n > FEW_PAIRS else 2 * extent + width
     return saved(reduce(DataFrame.unionByName, done), "edges")  # nearly all that takes edges reads them more than once
 
 

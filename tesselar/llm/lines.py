@@ -88,12 +88,10 @@ class LineRuns:
             self.levels.append([])
         if parts:
             self.compactions += 1
-            run = self._write(self._merged(parts))
-            ready = self._write(self.spark.table(run).filter(F.col("docs") >= self.min_docs))
-            rest = self._write(self.spark.table(run).filter(F.col("docs") < self.min_docs))
-            self.levels[level + 1].append(rest)
-            self.settled.append(ready)
-            self.drop([*parts, run])
+            run = self._merged(parts)  # merged twice, which costs less than a third table
+            self.settled.append(self._write(run.filter(F.col("docs") >= self.min_docs)))
+            self.levels[level + 1].append(self._write(run.filter(F.col("docs") < self.min_docs)))
+            self.drop(parts)
         for x in range(0 if upto else level, level + 1):
             self.levels[x] = []
 

@@ -23,7 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -374,11 +374,11 @@ class Lanes:
         return at, (_hash(last)[at] + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)) % self.n
 
 
-LANED = "lane int, kind int, level int, rows binary, tokens binary"
+LANED = "lane int, kind int, level int, chunk long, rows binary, tokens binary"
 
 
 def _laned(columns: dict[str, list], n: int) -> pa.RecordBatch:
-    types = {"lane": pa.int32(), "kind": pa.int32(), "level": pa.int32(), "rows": pa.binary(), "tokens": pa.binary()}
+    types = {"lane": pa.int32(), "kind": pa.int32(), "level": pa.int32(), "chunk": pa.int64(), "rows": pa.binary(), "tokens": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items()], names=list(types))
 
 
@@ -428,9 +428,11 @@ def _token_rows(depth: int, lanes: Broadcast, part: int, parts: int) -> Callable
     ones of a text are one with a count."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, chunk = [], 0, TaskContext.get().partitionId() << 32
 
         def out() -> Iterator[pa.RecordBatch]:
+            nonlocal chunk
+            chunk += 1
             row, ctx, x, place, lane = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
             turned, x = _turned(ctx, DEEPEST), x << 2 | place
@@ -448,7 +450,7 @@ def _token_rows(depth: int, lanes: Broadcast, part: int, parts: int) -> Callable
                 rows.append(own.tobytes())
                 # The count and the number of known context words share a number; the last context word comes first.
                 tokens.append(_planes(at, x[i:j], n[i:j] << 2 | place[i:j], *(turned[i:j] >> BITS * k & MASK for k in reversed(range(DEEPEST)))))
-            yield _laned({"lane": lane[starts], "kind": np.ones(len(starts), np.int32), "rows": rows, "tokens": tokens}, len(starts))
+            yield _laned({"lane": lane[starts], "kind": np.ones(len(starts), np.int32), "chunk": np.full(len(starts), chunk), "rows": rows, "tokens": tokens}, len(starts))
 
         for b in batches:
             if not b.num_rows:
@@ -476,7 +478,8 @@ def _token_rows(depth: int, lanes: Broadcast, part: int, parts: int) -> Callable
 
 
 def _looked_up(depth: int, sent: Broadcast) -> Callable:
-    """(row, add): what the tree adds to the log10 probability of a text's words, from rows of ``LANED`` sorted by lane and kind."""
+    """(chunk, rows, adds): what the tree adds to the log10 probabilities of a chunk's texts, many to a row, from rows of
+    ``LANED`` sorted by lane and kind."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -521,7 +524,7 @@ def _looked_up(depth: int, sent: Broadcast) -> Callable:
                 own = part.filter(pa.array(is_tree))
                 tree += zip(own.column("level").to_pylist(), own.column("tokens").to_pylist(), strict=True)
                 rest = part.filter(pa.array(~is_tree))
-                for rows, tokens in zip(rest.column("rows").to_pylist(), rest.column("tokens").to_pylist(), strict=True):
+                for chunk, rows, tokens in zip(*(rest.column(c).to_pylist() for c in ("chunk", "rows", "tokens")), strict=True):
                     ready = ready or built()
                     place, x, n, *words_ = _columns(tokens, 3 + DEEPEST)
                     known, n = n & 3, n >> 2
@@ -543,11 +546,31 @@ def _looked_up(depth: int, sent: Broadcast) -> Callable:
                     add = np.bincount(place, n * np.log10(p / model.root[x]))
                     some = np.flatnonzero(add)
                     if len(some):
-                        yield pa.RecordBatch.from_pydict({"row": pa.array(np.frombuffer(rows, np.int64)[some]), "add": pa.array(add[some])})
+                        yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "rows": pa.array([np.frombuffer(rows, np.int64)[some].tobytes()], pa.binary()), "adds": pa.array([add[some].tobytes()], pa.binary())})
 
     return run
 
 
+def _by_text(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, add) from rows of ``_looked_up`` sorted by chunk: one for each text. Holds one chunk, whose texts a task had at once."""
+    last, held = None, []
+
+    def out() -> pa.RecordBatch:
+        rows, at = np.unique(np.concatenate([np.frombuffer(r, np.int64) for r, _ in held]), return_inverse=True)
+        added = np.bincount(at, np.concatenate([np.frombuffer(a, np.float64) for _, a in held]))
+        return pa.RecordBatch.from_pydict({"row": pa.array(rows), "add": pa.array(added)})
+
+    for b in batches:
+        for chunk, rows, adds in zip(*(b.column(c).to_pylist() for c in ("chunk", "rows", "adds")), strict=True):
+            if held and chunk != last:
+                yield out()
+                held.clear()
+            last = chunk
+            held.append((rows, adds))
+    if held:
+        yield out()
+
+
 def fit_and_score(docs: DataFrame, p_symbol: float = 1e-6, p_context: float = 0.0, depth: int = DEEPEST, min_gain: float = 6.0, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Learn from the documents that are not held out, score all: ``doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score, n_contexts``; scores are sums of log10 probabilities over a text's words and its end.
@@ -600,7 +623,7 @@ def fit_and_score(docs: DataFrame, p_symbol: float = 1e-6, p_context: float = 0.
         rows = [level.filter("kept").select("ctx", "x", "n", "whole").mapInArrow(_tree_rows(k, lanes, i, LANE_PASSES), LANED) for k, level in enumerate(levels, 1)]
         rows.append(encoded.select("row", "ids").mapInArrow(_token_rows(depth, lanes, i, LANE_PASSES), LANED))
         found = reduce(DataFrame.unionByName, rows).repartition(lanes.value.n, "lane").sortWithinPartitions("lane", "kind")
-        added.append(stored(found.mapInArrow(_looked_up(depth, sent), "row long, add double").groupBy("row").agg(F.sum("add").alias("add")), "added"))
+        added.append(stored(found.mapInArrow(_looked_up(depth, sent), "chunk long, rows binary, adds binary").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_by_text, "row long, add double"), "added"))
     added = reduce(DataFrame.unionByName, added).groupBy("row").agg(F.sum("add").alias("add"))
     dropped(spark, *levels)
 

@@ -14,9 +14,11 @@ from .packing import Limits, pack
 from .pieces import encode_pieces
 from .pii import KINDS, find_pii
 from .quality import fit_quality, score_fitted
+from .repair import repair
 from .suffix_array import remove_repeats
 from .suffix_tree import fit_and_score
 from .topk import top_k
+from .trie import prefix_trie
 
 
 def vocabulary(name: str) -> str:
@@ -86,6 +88,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cotraining": op1_cotraining,
     "op2_vector_packing": op2_vector_packing,
@@ -97,6 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_block_topk": op9_block_topk,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_structure_repair": op12_structure_repair,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {

@@ -19,6 +19,7 @@ from .suffix_array import remove_repeats
 from .suffix_tree import fit_and_score
 from .topk import top_k
 from .trie import prefix_trie
+from .wrappers import extract
 
 
 def vocabulary(name: str) -> str:
@@ -88,6 +89,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op11_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_block_topk": op9_block_topk,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_wrapper_extraction": op11_wrapper_extraction,
     "op12_structure_repair": op12_structure_repair,
     "op13_prefix_trie": op13_prefix_trie,
 }

@@ -88,6 +88,24 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()  # bytes.lower() and bytes.split() know ASCII only
 
 
+def told_apart(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """``docs`` with a whole number ``name`` for each id and text, in order of the ids; null where the id is.
+
+    It is the id where no two rows share one. Otherwise ids and hashes of texts are sorted by ranges and numbered in that
+    order, and the numbers are joined back: rows of one id and one text share a number, no others do.
+    """
+    id_ = F.col(id_col).cast("long")
+    if docs.groupBy(id_.alias("id")).count().filter("id is not null and count > 1").isEmpty():
+        return docs.withColumn(name, id_)
+    key, text = fresh("__key", docs), fresh("__hash", docs)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = docs.filter(id_.isNotNull()).select(id_.alias(key), F.xxhash64(text_col).alias(text)).distinct()
+    numbers = stored(keys.repartitionByRange(parts, key, text).sortWithinPartitions(key, text).withColumn(name, F.monotonically_increasing_id()), "row_numbers")
+    rows = docs.withColumns({key + "_": id_, text + "_": F.xxhash64(text_col)})
+    met = rows.join(numbers, (rows[key + "_"] == numbers[key]) & (rows[text + "_"] == numbers[text]), "left")
+    return met.select(*[docs[c] for c in docs.columns], numbers[name])
+
+
 def met_by_weight(rows: DataFrame, keyed: DataFrame, on: str, weight: str, total: int, heavy: int = 2000, how: str = "left") -> DataFrame:
     """``rows`` joined with ``keyed``, which has one row for each key and in ``weight`` how many of the ``total`` rows have it.
 

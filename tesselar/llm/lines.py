@@ -118,10 +118,11 @@ class LineRuns:
 
 
 def _hashes(docs: DataFrame, text_col: str, id_col: str, min_chars: int, batches: int) -> DataFrame:
-    """``(doc_id, pos, h1, h2, batch)`` of every line whose key has ``min_chars`` code points or more."""
+    """``(doc_id, own, pos, h1, h2, batch)`` of every line whose key has ``min_chars`` code points or more; ``own`` tells the
+    texts of an id apart."""
     at = F.posexplode(F.transform(_split(F.col(text_col)), line_key)).alias("pos", "_key")
-    lines = docs.select(F.col(id_col).alias("doc_id"), at).filter(F.char_length("_key") >= min_chars)
-    return lines.select("doc_id", "pos", F.xxhash64("_key").alias("h1"), F.xxhash64(F.lit(7), "_key").alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"))
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("own"), at).filter(F.char_length("_key") >= min_chars)
+    return lines.select("doc_id", "own", "pos", F.xxhash64("_key").alias("h1"), F.xxhash64(F.lit(7), "_key").alias("h2"), F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"))
 
 
 def _found(lines: DataFrame, common: DataFrame) -> DataFrame:
@@ -138,8 +139,8 @@ def drop_repeated_lines(
     """``docs`` with ``text`` replaced by the lines that stay, and the columns ``counts`` added: lines, and lines dropped.
 
     A line goes, in every document, when its key (see ``line_key``) has at least ``min_chars`` code points and occurs in
-    at least ``min_docs`` documents. Null or empty text is one empty line and comes back as ''. Repeated rows share an
-    id and so count as one document; a null id is one document too. All other columns of ``docs`` stay, whatever their
+    at least ``min_docs`` documents. Null or empty text is one empty line and comes back as ''. Rows that share an id
+    count as one document, as do all without one, but each loses only its own lines. All other columns of ``docs`` stay, whatever their
     names; columns named as ``counts`` are replaced. An empty table gives an empty result. ``runs`` is a store to use in
     place of a new one; it is closed.
     """
@@ -150,14 +151,14 @@ def drop_repeated_lines(
         runs.add(lines.filter(F.col("batch") == b))
     common = stored(runs.frequent(), "frequent_lines")
     runs.close()
-    doc, span, at, both = (fresh(x, docs) for x in ("__doc", "__span", "__at", "__both"))
-    gone = _found(lines, common).select(F.col("doc_id").alias(doc), "pos").distinct()
+    doc, own, span, at, both = (fresh(x, docs) for x in ("__doc", "__own", "__span", "__at", "__both"))
+    gone = _found(lines, common).select(F.col("doc_id").alias(doc), F.col("own").alias(own), "pos").distinct()
     # Positions are gathered by span first, so that a very long document is searched in short lists.
-    spans = gone.groupBy(doc, F.expr(f"pos div {SPAN}").cast("int").alias(span)).agg(F.collect_list("pos").alias(at))
+    spans = gone.groupBy(doc, own, F.expr(f"pos div {SPAN}").cast("int").alias(span)).agg(F.collect_list("pos").alias(at))
     held = fresh("__gone", docs)
-    spans = stored(spans.groupBy(doc).agg(F.collect_list(F.struct(span, at)).alias(held)), "dropped_lines")
+    spans = stored(spans.groupBy(doc, own).agg(F.collect_list(F.struct(span, at)).alias(held)), "dropped_lines")
     dropped(spark, lines, common)
-    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col(doc)), "left")
+    joined = docs.join(spans, docs[id_col].eqNullSafe(spans[doc]) & (F.xxhash64(docs[text_col]) == spans[own]), "left")
 
     none = F.array().cast("array<int>")
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import for_python, stored
+from .common import for_python, stored, told_apart
 
 #: Bytes of an anchor; at most the length of the strings looked for.
 ANCHOR = 24
@@ -523,7 +523,7 @@ def _without(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(raw))
             removed.append(gone)
             runs.append(n)
-        yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept": pa.array(texts, pa.binary())})
+        yield pa.RecordBatch.from_pydict({"doc_id": b.column("id"), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept": pa.array(texts, pa.binary())})
 
 
 def _columns(spans: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -536,14 +536,14 @@ def remove_repeats(docs: DataFrame, length: int = 100, many: int = MANY, text_co
 
     A byte goes when a string of ``length`` bytes that covers it also starts earlier: in a document with a smaller id, or
     before it in the same. Matches lie within one document; what is removed elsewhere plays no part. Null text counts as
-    empty. Rows that share an id are one document and lose the same spans; a row without id is not compared and keeps all
-    its bytes. An anchor with more than ``many`` different surroundings is settled string by string. Ids are whole numbers. An empty table gives an empty result; other columns are not read.
+    empty. Of rows that share an id those with equal texts are one document, the others follow each other in the order of a
+    hash; a row without id is not compared and keeps all its bytes. An anchor with more than ``many`` different surroundings is settled string by string. Ids are whole numbers. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     if not ANCHOR < length < (1 << PLACE - 1):
         raise ValueError(f"length must be between {ANCHOR} and {1 << PLACE - 1}")
     for_python(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = told_apart(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text", "doc_id")
     sure = lambda rows: rows.filter(F.col("kind") == SURE).select("doc_id", "a", "b")
     by_doc = lambda rows: rows.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", *(["kind"] if "kind" in rows.columns else []))).alias("spans"))
     settled = lambda rows, what: stored(rows.repartition("h").sortWithinPartitions("h", "s", "t", "doc_id", "at").mapInArrow(_settled(many), SETTLED), what)

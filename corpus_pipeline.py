@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import fresh, stored
+from tesselar.llm.common import fresh, stored, told_apart
 from tesselar.llm.lines import drop_repeated_lines, text_key
 from tesselar.llm.neardup import near_duplicates
 from tesselar.llm.packing import Limits, pack
@@ -33,7 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A text that ten documents or more hold as a whole, but for case and white space at the ends of its lines, would lose
     all its lines to its own copies: the document of the smallest id keeps it, all others lose it. A null text stays null;
-    rows that share an id are one document. All other columns stay, whatever their names.
+    rows that share an id count as one document and lose their own lines each. All other columns stay, whatever their names.
     """
     id_, h1, stays, was, lines, gone = (fresh(x, docs) for x in ("__id", "__h1", "__stays", "__was", "__lines", "__dropped"))
     key = F.xxhash64(text_key(docs["text"]))
@@ -53,12 +53,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by 80 % of their five-word shingles; documents without id all stay.
 
-    Texts without words are linked with nothing and stay; rows that share an id are one document. All columns stay.
+    Texts without words are linked with nothing and stay; of rows that share an id those with equal texts are one document,
+    the others are not. All columns stay.
     """
-    found = near_duplicates(docs, size=5, percent=80)
-    id_ = fresh("__gone", docs)
+    row, id_ = fresh("__row", docs), fresh("__gone", docs)
+    docs = told_apart(docs, "doc_id", "text", row)
+    found = near_duplicates(docs, size=5, percent=80, id_col=row)
     gone = stored(found.filter(~F.col("kept")).select(F.col("doc_id").alias(id_)).distinct(), "near_duplicates")
-    return docs.join(gone, docs["doc_id"] == gone[id_], "left_anti")
+    return docs.join(gone, docs[row] == gone[id_], "left_anti").drop(row)
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,7 +59,8 @@ def method_of(name: Column) -> Column:
 
 
 def policy_of(name: Column) -> Column:
-    return F.when(F.instr(name, "@") > 0, F.substring_index(name, "@", -1))
+    """All that stands behind the first ``@``."""
+    return F.when(F.instr(name, "@") > 0, F.substr(name, F.instr(name, "@") + 1))
 
 
 def private_keys(json: Column) -> Column:

@@ -6,6 +6,7 @@ shift, reachability order) run in one Arrow batch for each sample, as their defi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -286,8 +287,8 @@ def uncertainty(emb: DataFrame, k: int = 3, runs: int = 7) -> DataFrame:
     return share.groupBy("i").agg(F.max_by("domain", F.struct("p", -F.col("domain"))).alias("domain"), (1 - F.max("p")).alias("uncertainty"))
 
 
-def _assigned(counts: list[tuple[int, int, int]], k: int) -> dict[int, int]:
-    """Best one-to-one match of two labelings by total overlap (dynamic programming over subsets; k is small)."""
+def _assigned(counts: list[tuple[int, int, float]], k: int) -> dict[int, int]:
+    """Best one-to-one match of two labelings by the sum of what pairs are worth, which may be negative (dynamic programming over subsets; k is small)."""
     n = np.zeros((k, k))
     for a, b, c in counts:
         n[b, a] = c
@@ -296,7 +297,7 @@ def _assigned(counts: list[tuple[int, int, int]], k: int) -> dict[int, int]:
         new: dict[int, tuple[float, tuple[int, ...]]] = {}
         for used, (total, way) in best.items():
             for a in range(k):
-                if not used >> a & 1 and new.get(used | 1 << a, (-1.0, ()))[0] < total + n[b, a]:
+                if not used >> a & 1 and new.get(used | 1 << a, (-math.inf, ()))[0] < total + n[b, a]:
                     new[used | 1 << a] = (total + n[b, a], (*way, a))
         best = new
     return dict(enumerate(best[(1 << k) - 1][1]))

@@ -138,7 +138,7 @@ def acquisition_plan(meta: DataFrame, means: DataFrame, near: DataFrame, ranked:
     in_front = (F.coalesce(F.col("rank"), F.lit(frontier + 1)) <= frontier) | is_global | (F.col("config") == F.col("chosen"))
     importance = F.greatest(F.lit(0.05), F.coalesce("by_rank", F.lit(0.0)), F.when(in_front, 0.55).otherwise(0.0), F.when(is_global, 0.75).otherwise(0.0))
     relevance = F.when((F.col("config") == F.col("chosen")) | is_global, 0.5).otherwise(0.0) + F.when(F.col("other_known"), 0.5).otherwise(0.0)
-    gain = F.round(F.coalesce("similarity", F.lit(0.05)) * importance * (1 + relevance), 6)
+    gain = F.round(F.round(F.coalesce("similarity", F.lit(0.05)) * importance * (1 + relevance), 9), 6)
     best = cells.select("q", "dataset", "config", gain.alias("gain")).filter(F.col("gain") >= least)
     return best.withColumn("priority", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("gain"), "dataset", "config"))).filter(F.col("priority") <= top)
 

@@ -166,14 +166,6 @@ def paired_differences(s, d):
     return rounded(E.paired_differences(means(s, d)), "mean_diff", "wins")
 
 
-@entry("sign_flip_permutation", with_("perf", MEANS, "df AS (SELECT a.config AS a, b.config AS b, a.dataset, round(a.score - b.score, 9) AS d FROM means a JOIN means b ON a.dataset = b.dataset AND a.config = 'Brand#1' AND b.config <> 'Brand#1')", "fl AS (SELECT a, b, f, abs(avg(CASE WHEN left(md5(f || ':' || dataset), 1) < '8' THEN d ELSE -d END)) AS m, abs(avg(d)) AS o FROM df, (SELECT unnest(range(1, 65)) AS f) GROUP BY 1, 2, 3)") + "SELECT a, b, round((sum(CASE WHEN m >= o - 1e-12 THEN 1 ELSE 0 END) + 1.0) / 65, 6) AS p FROM fl GROUP BY 1, 2")
-def sign_flip_permutation(s, d):
-    m = means(s, d)
-    one = m.filter("config = 'Brand#1'").select("dataset", F.col("config").alias("a"), F.col("score").alias("sa"))
-    two = m.filter("config <> 'Brand#1'").select("dataset", F.col("config").alias("b"), F.col("score").alias("sb"))
-    return rounded(E.sign_flip_p(one.join(two, "dataset").select("a", "b", "dataset", F.round(F.col("sa") - F.col("sb"), 9).alias("d"))), "p")
-
-
 @entry("bootstrap_mean_interval", with_("perf", MEANS, "bt AS (SELECT config, b, sum((ascii(left(md5(b || ':' || dataset), 1)) % 4) * score) / sum(ascii(left(md5(b || ':' || dataset), 1)) % 4) AS m FROM means, (SELECT unnest(range(1, 33)) AS b) GROUP BY 1, 2)") + "SELECT config, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM bt GROUP BY 1")
 def bootstrap_mean_interval(s, d):
     return rounded(E.bootstrap_means(means(s, d)), "lo", "hi")

@@ -358,13 +358,6 @@ def cluster_markers(s, d):
     return rounded(labels.top_markers(A.values(s, d), A.points(s, d).select("i", F.col("label").alias("l"))), "diff")
 
 
-@entry("resolve_markers", with_("var") + ", m AS (SELECT p_brand AS label, p_partkey AS seq, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS alias FROM part WHERE p_size <= 3), ex AS (SELECT feature_name AS alias, min(gene_id) AS g FROM var GROUP BY 1), fo AS (SELECT lower(feature_name) AS low, min(gene_id) AS g2 FROM var GROUP BY 1 HAVING count(*) = 1) SELECT label, seq, m.alias, coalesce(g, g2) AS gene_id FROM m LEFT JOIN ex ON m.alias = ex.alias LEFT JOIN fo ON lower(m.alias) = fo.low")
-def resolve_markers(s, d):
-    p = A.table(s, d, "part").filter("p_size <= 3")
-    m = p.select(F.col("p_brand").alias("label"), F.col("p_partkey").alias("seq"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("alias"))
-    return labels.resolve_markers(m, A.var(s, d)).select("label", "seq", "alias", "gene_id")
-
-
 MK = "mk AS (SELECT gene // 5 AS label, gene FROM (SELECT unnest(range(3, 9)) AS gene))"
 MS = "ms AS (SELECT i, label, avg((v - m) / (sd + 1e-8)) AS s FROM val JOIN (SELECT gene, avg(v) AS m, stddev_pop(v) AS sd FROM val GROUP BY 1) USING (gene) JOIN mk USING (gene) GROUP BY 1, 2)"
 
@@ -410,13 +403,6 @@ def _step(src: str, out: str) -> str:
     return f"{out} AS (SELECT i, label, least(greatest(q + (1 - sum(q) OVER (PARTITION BY i)) / 2, 0), 1) AS p FROM ({free}))"
 
 
-@entry("spatial_simplex_deconv", with_("pts", "val", "cnt", MK, knn_sql(6), EVID, _step("ev", "p1"), _step("p1", "p2"), _step("p2", "p3")) + "SELECT i, label, round(p, 6) AS p FROM p3")
-def spatial_simplex_deconv(s, d):
-    """Three rounds, as its SQL; all of them in ``spatial_simplex_deconv_all``."""
-    e = labels.marker_evidence(A.counts(s, d), markers(s))
-    return rounded(labels.simplex_deconv(e, graph.knn(A.points(s, d), 6), rounds=3), "p")
-
-
 def batches(s, d) -> DataFrame:
     return A.points(s, d).select("i", (F.col("i") % 3).cast("int").alias("batch"))
 
@@ -452,11 +438,6 @@ def median_shift_integrate(s, d):
     return rounded(integrate.centre_batches(A.values(s, d), batches(s, d)), "v")
 
 
-@entry("mutual_nearest_anchors", with_("pts", "ab AS (SELECT a.i, b.i AS j, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) AS d2 FROM pts a JOIN pts b ON a.i % 3 = 0 AND b.i % 3 = 1)", "f AS (SELECT * FROM ab QUALIFY row_number() OVER (PARTITION BY i ORDER BY d2, j) = 1)", "g AS (SELECT * FROM ab QUALIFY row_number() OVER (PARTITION BY j ORDER BY d2, i) = 1)") + "SELECT f.i, f.j, round(f.d2, 9) AS d2 FROM f JOIN g ON f.i = g.i AND f.j = g.j")
-def mutual_nearest_anchors(s, d):
-    return rounded(integrate.mutual_anchors(A.points(s, d), batches(s, d), 0, 1), "d2", dp=9)
-
-
 @entry("stratified_sample", with_("pts", "q AS (SELECT label, greatest(1, round(count(*) / (SELECT count(*) FROM pts)::DOUBLE * 50)) AS quota FROM pts GROUP BY 1)") + "SELECT i, x, y, label, pred FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(i AS VARCHAR)), i) AS rk FROM pts) JOIN q USING (label) WHERE rk <= quota")
 def stratified_sample(s, d):
     return labels.stratified_sample(A.points(s, d), "label", "i", 50).select("i", "x", "y", "label", "pred")

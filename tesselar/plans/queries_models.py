@@ -192,16 +192,6 @@ def bundle_roundtrip(s, d):
     return bundle.read_bundle(s, path)["nation"].select("n_nationkey", "n_name", "n_regionkey")
 
 
-@entry("long_csv_landscape", with_("perf") + "SELECT dataset, config, round(avg(score), 6) AS score, count(*) AS n FROM perf WHERE seed = 1 AND status <> 'R' GROUP BY 1, 2")
-def long_csv_landscape(s, d):
-    """The long table through a CSV folder and back, rows that failed left out."""
-    base = shared_dir(s)
-    path = f"{base}/tesselar/csv-{uuid.uuid4().hex}"
-    A.perf(s, d).filter("seed = 1").withColumn("status", F.when(F.col("status") == "R", "timeout").otherwise("ok")).write.option("header", True).csv(path)
-    out = longtable.read_long_csv(s, path).groupBy("dataset", "config").agg(F.avg("score").alias("score"), F.count("*").alias("n"))
-    return rounded(out, "score")
-
-
 @entry("knowledge_base_roundtrip", with_("perf") + "SELECT dataset, config, round(avg(score), 9) AS score FROM perf GROUP BY 1, 2")
 def knowledge_base_roundtrip(s, d):
     base = shared_dir(s)

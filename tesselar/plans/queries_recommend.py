@@ -102,7 +102,7 @@ def baseline_diagnostics(s, d):
 im AS (SELECT ce.*, coalesce(similarity, 0.05) AS sim, greatest(0.05, coalesce(0.15 + 0.7 * (1 - (rk.rank - 1) / (count(*) OVER (PARTITION BY ce.q) * 0 + nn.n)) + 0.25 * uncertainty, 0), CASE WHEN coalesce(rk.rank, 6) <= 5 OR ce.config IN (chosen, gb) THEN 0.55 ELSE 0 END, CASE WHEN ce.config = gb THEN 0.75 ELSE 0 END) AS imp,
   CASE WHEN ce.config IN (chosen, gb) THEN 0.5 ELSE 0 END + CASE WHEN chosen <> gb AND ce.config IN (chosen, gb) AND EXISTS (SELECT 1 FROM kn WHERE kn.dataset = ce.dataset AND kn.config = CASE WHEN ce.config = chosen THEN gb ELSE chosen END) THEN 0.5 ELSE 0 END AS rel
   FROM ce JOIN (SELECT q, count(*) AS n FROM rk GROUP BY 1) nn ON nn.q = ce.q LEFT JOIN rk ON rk.q = ce.q AND rk.config = ce.config LEFT JOIN nr ON nr.q = ce.q AND nr.dataset = ce.dataset),
-ga AS (SELECT q, dataset, config, round(sim * imp * (1 + rel), 6) AS gain FROM im)""") + "SELECT q, dataset, config, gain, CAST(row_number() OVER (PARTITION BY q ORDER BY gain DESC, dataset, config) AS INTEGER) AS priority FROM ga WHERE gain >= 1e-6 QUALIFY row_number() OVER (PARTITION BY q ORDER BY gain DESC, dataset, config) <= 10")
+ga AS (SELECT q, dataset, config, CAST(round(CAST(sim * imp * (1 + rel) AS DECIMAL(20, 9)), 6) AS DOUBLE) AS gain FROM im)""") + "SELECT q, dataset, config, gain, CAST(row_number() OVER (PARTITION BY q ORDER BY gain DESC, dataset, config) AS INTEGER) AS priority FROM ga WHERE gain >= 1e-6 QUALIFY row_number() OVER (PARTITION BY q ORDER BY gain DESC, dataset, config) <= 10")
 def evidence_acquisition(s, d):
     """The gaps are made by the rule of ``known``."""
     m, k, n, r, b = _parts(s, d)

@@ -40,9 +40,9 @@ def _of_kind(column: str, at: int) -> str:
     return f"CASE {column} % {len(KINDS)} " + " ".join(f"WHEN {n} THEN {quoted(k[at])}" for n, k in enumerate(KINDS)) + " END"
 
 
-@entry("name_rules", f"SELECT p_partkey AS k, p_name AS method, p_type AS policy, {_of_kind('p_partkey', 1)} AS task, {_of_kind('p_partkey', 2)} AS platform, regexp_replace(p_name || '@' || p_type, '[^A-Za-z0-9_.-]', '_', 'g') AS key FROM part")
+@entry("name_rules", f"SELECT p_partkey AS k, p_name AS method, p_type || '@' || p_brand AS policy, {_of_kind('p_partkey', 1)} AS task, {_of_kind('p_partkey', 2)} AS platform, regexp_replace(p_name || '@' || p_type || '@' || p_brand, '[^A-Za-z0-9_.-]', '_', 'g') AS key FROM part")
 def name_rules(s, d):
-    p = A.table(s, d, "part").select(F.col("p_partkey").alias("k"), F.concat_ws("@", "p_name", "p_type").alias("name"), F.expr(_of_kind("p_partkey", 0)).alias("kind"))
+    p = A.table(s, d, "part").select(F.col("p_partkey").alias("k"), F.concat_ws("@", "p_name", "p_type", "p_brand").alias("name"), F.expr(_of_kind("p_partkey", 0)).alias("kind"))
     return p.select("k", N.method_of(F.col("name")).alias("method"), N.policy_of(F.col("name")).alias("policy"), N.normalized_task(F.col("kind")).alias("task"), N.platform(F.col("kind")).alias("platform"), N.sanitized(F.col("name")).alias("key"))
 
 

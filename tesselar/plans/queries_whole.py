@@ -1,7 +1,4 @@
-"""Queries whose registered form takes a part of its table, over the whole table, or some rounds, until they end.
-
-The partial queries stay beside them, because their SQL is fixed.
-"""
+"""Queries that compare all seeds, batches, parts and configurations of their tables, with their SQL."""
 
 from __future__ import annotations
 
@@ -11,7 +8,6 @@ from ..operators import evidence as E
 from ..operators import graph, integrate, labels
 from ..sources import longtable
 from . import adapters as A
-from . import queries_evidence, queries_matrix, queries_models, queries_studies
 from .adapters import with_
 from .tables import shared_dir
 from .queries_evidence import MEANS, means
@@ -31,24 +27,15 @@ def entry(name: str, sql: str | None = None):
     return add
 
 
-def _without(sql: str, *cuts: tuple[str, str]) -> str:
-    """A partial query's SQL with its filters, each of which it must hold, replaced."""
-    for cut, whole in cuts:
-        if cut not in sql:
-            raise ValueError(f"no {cut!r} in the SQL")
-        sql = sql.replace(cut, whole)
-    return sql
-
-
-@entry("resolve_markers_all", _without(queries_matrix.ORACLES["resolve_markers"], (" WHERE p_size <= 3", "")))
-def resolve_markers_all(s, d):
+@entry("resolve_markers", with_("var") + ", m AS (SELECT p_brand AS label, p_partkey AS seq, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS alias FROM part), ex AS (SELECT feature_name AS alias, min(gene_id) AS g FROM var GROUP BY 1), fo AS (SELECT lower(feature_name) AS low, min(gene_id) AS g2 FROM var GROUP BY 1 HAVING count(*) = 1) SELECT label, seq, m.alias, coalesce(g, g2) AS gene_id FROM m LEFT JOIN ex ON m.alias = ex.alias LEFT JOIN fo ON lower(m.alias) = fo.low")
+def resolve_markers(s, d):
     name = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
     m = A.table(s, d, "part").select(F.col("p_brand").alias("label"), F.col("p_partkey").alias("seq"), name.alias("alias"))
     return labels.resolve_markers(m, A.var(s, d)).select("label", "seq", "alias", "gene_id")
 
 
-@entry("long_csv_landscape_all", _without(queries_models.ORACLES["long_csv_landscape"], ("seed = 1 AND ", "")))
-def long_csv_landscape_all(s, d):
+@entry("long_csv_landscape", with_("perf") + "SELECT dataset, config, round(avg(score), 6) AS score, count(*) AS n FROM perf WHERE status <> 'R' GROUP BY 1, 2")
+def long_csv_landscape(s, d):
     """The long table of all seeds through a CSV folder and back, rows that failed left out."""
     import uuid
 
@@ -59,8 +46,8 @@ def long_csv_landscape_all(s, d):
     return rounded(out, "score")
 
 
-@entry("mutual_nearest_anchors_all", with_("pts", "ab AS (SELECT a.i, b.i AS j, CAST(a.i % 3 AS INTEGER) AS a, CAST(b.i % 3 AS INTEGER) AS b, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) AS d2 FROM pts a JOIN pts b ON a.i % 3 < b.i % 3)", "f AS (SELECT * FROM ab QUALIFY row_number() OVER (PARTITION BY i, b ORDER BY d2, j) = 1)", "g AS (SELECT * FROM ab QUALIFY row_number() OVER (PARTITION BY j, a ORDER BY d2, i) = 1)") + "SELECT f.a, f.b, f.i, f.j, round(f.d2, 9) AS d2 FROM f JOIN g ON f.i = g.i AND f.j = g.j")
-def mutual_nearest_anchors_all(s, d):
+@entry("mutual_nearest_anchors", with_("pts", "ab AS (SELECT a.i, b.i AS j, CAST(a.i % 3 AS INTEGER) AS a, CAST(b.i % 3 AS INTEGER) AS b, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) AS d2 FROM pts a JOIN pts b ON a.i % 3 < b.i % 3)", "f AS (SELECT * FROM ab QUALIFY row_number() OVER (PARTITION BY i, b ORDER BY d2, j) = 1)", "g AS (SELECT * FROM ab QUALIFY row_number() OVER (PARTITION BY j, a ORDER BY d2, i) = 1)") + "SELECT f.a, f.b, f.i, f.j, round(f.d2, 9) AS d2 FROM f JOIN g ON f.i = g.i AND f.j = g.j")
+def mutual_nearest_anchors(s, d):
     """Anchors of every pair of batches."""
     found = None
     for a, b in ((0, 1), (0, 2), (1, 2)):
@@ -69,8 +56,8 @@ def mutual_nearest_anchors_all(s, d):
     return rounded(found, "d2", dp=9)
 
 
-@entry("sign_flip_permutation_all", _without(queries_evidence.ORACLES["sign_flip_permutation"], ("a.config = 'Brand#1' AND b.config <> 'Brand#1'", "a.config < b.config")))
-def sign_flip_permutation_all(s, d):
+@entry("sign_flip_permutation", with_("perf", MEANS, "df AS (SELECT a.config AS a, b.config AS b, a.dataset, round(a.score - b.score, 9) AS d FROM means a JOIN means b ON a.dataset = b.dataset AND a.config < b.config)", "fl AS (SELECT a, b, f, abs(avg(CASE WHEN left(md5(f || ':' || dataset), 1) < '8' THEN d ELSE -d END)) AS m, abs(avg(d)) AS o FROM df, (SELECT unnest(range(1, 65)) AS f) GROUP BY 1, 2, 3)") + "SELECT a, b, round((sum(CASE WHEN m >= o - 1e-12 THEN 1 ELSE 0 END) + 1.0) / 65, 6) AS p FROM fl GROUP BY 1, 2")
+def sign_flip_permutation(s, d):
     m = means(s, d)
     one = m.select("dataset", F.col("config").alias("a"), F.col("score").alias("sa"))
     two = m.select("dataset", F.col("config").alias("b"), F.col("score").alias("sb"))
@@ -78,8 +65,8 @@ def sign_flip_permutation_all(s, d):
     return rounded(E.sign_flip_p(pairs.select("a", "b", "dataset", F.round(F.col("sa") - F.col("sb"), 9).alias("d"))), "p")
 
 
-@entry("spatial_simplex_deconv_all")
-def spatial_simplex_deconv_all(s, d):
+@entry("spatial_simplex_deconv")
+def spatial_simplex_deconv(s, d):
     """The reference's 100 rounds; in the tests against a loop."""
     e = labels.marker_evidence(A.counts(s, d), markers(s))
     return rounded(labels.simplex_deconv(e, graph.knn(A.points(s, d), 6)), "p")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_evidence, queries_matrix, queries_models, queries_recommend, queries_relational, queries_studies, queries_whole
+from . import queries_evidence, queries_matrix, queries_models, queries_recommend, queries_relational, queries_selection, queries_studies, queries_whole
 
-QUERIES = {**queries_matrix.QUERIES, **queries_evidence.QUERIES, **queries_models.QUERIES, **queries_studies.QUERIES, **queries_whole.QUERIES, **queries_recommend.QUERIES, **queries_relational.QUERIES}
-ORACLES = {**queries_matrix.ORACLES, **queries_evidence.ORACLES, **queries_models.ORACLES, **queries_studies.ORACLES, **queries_whole.ORACLES, **queries_recommend.ORACLES, **queries_relational.ORACLES}
+_PARTS = (queries_matrix, queries_evidence, queries_models, queries_studies, queries_whole, queries_recommend, queries_relational, queries_selection)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_evidence, queries_k, queries_matrix, queries_models, queries_recommend, queries_relational, queries_selection, queries_studies, queries_whole
+from . import queries_evidence, queries_information, queries_k, queries_matrix, queries_models, queries_recommend, queries_relational, queries_selection, queries_studies, queries_whole
 
-_PARTS = (queries_matrix, queries_evidence, queries_models, queries_studies, queries_whole, queries_recommend, queries_relational, queries_selection, queries_k)
+_PARTS = (queries_matrix, queries_evidence, queries_models, queries_studies, queries_whole, queries_recommend, queries_relational, queries_selection, queries_k, queries_information)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -130,3 +130,16 @@ class Aligned:
         if name is not None and found.isEmpty():
             raise KeyError(f"there is no layer {name!r}")
         return found
+
+
+def average_ranks(df: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """``by, value, name``: of every distinct value its rank in its group, ties averaged; equal values are counted first."""
+    n = df.groupBy(by, value).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    return n.select(by, value, (before + (F.col("_n") + 1) / 2.0).alias(name))
+
+
+def rank_correlation(df: DataFrame, by: str, a: str, b: str) -> DataFrame:
+    """``by, rho``: Spearman's correlation of two columns in each group, ties averaged; 0 where one is constant."""
+    d = df.select(by, a, b).join(average_ranks(df, by, a, "_ra"), [by, a]).join(average_ranks(df, by, b, "_rb"), [by, b])
+    return d.groupBy(by).agg(F.coalesce(F.try_divide(F.covar_pop("_ra", "_rb"), F.sqrt(F.var_pop("_ra") * F.var_pop("_rb"))), F.lit(0.0)).alias("rho"))

@@ -8,37 +8,51 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import saved
 from .graph import fused_pairs, knn
+from .relational import range_ranks
 from .svg import _pairs
 
 
-def combat(v: DataFrame, batch: DataFrame, rounds: int = 20) -> DataFrame:
-    """Location and scale of each batch, shrunk towards what the batch's genes have in common, and taken out.
+def combat(v: DataFrame, batch: DataFrame) -> DataFrame:
+    """Each batch's genes standardised by their own mean and variance, the variance of what is left drawn towards 1, then put on
+    the scale that the gene has over all batches.
 
-    Empirical-Bayes estimates iterate over (batch, gene) rows, which are summaries; observations are joined once.
+    All estimates are summaries of (batch, gene) or gene, partially aggregated; observations are joined with them once. The
+    mean of what is standardised by its own mean is 0, so its shrinkage adds nothing. One value alone has no variance.
     """
     d = v.join(batch, "i")
-    g = Window.partitionBy("gene")
-    cell = d.groupBy("batch", "gene").agg(F.count("*").alias("n"), F.avg("v").alias("mb"), F.var_pop("v").alias("vb"))
-    cell = cell.withColumn("grand", F.sum(F.col("n") * F.col("mb")).over(g) / F.sum("n").over(g))
-    cell = cell.withColumn("pooled", F.greatest(F.sum(F.col("n") * F.col("vb")).over(g) / F.sum("n").over(g), F.lit(1e-12)))
-    sd = F.sqrt("pooled")
-    cell = cell.withColumn("gamma", (F.col("mb") - F.col("grand")) / sd).withColumn("delta", F.greatest(F.col("vb") * F.col("n") / F.greatest(F.col("n") - 1, F.lit(1)) / F.col("pooled"), F.lit(1e-12)))
-    b = Window.partitionBy("batch")
-    cell = cell.withColumn("gbar", F.avg("gamma").over(b)).withColumn("t2", F.coalesce(F.var_samp("gamma").over(b), F.lit(0.0)))
-    m, s2 = F.avg("delta").over(b), F.coalesce(F.var_samp("delta").over(b), F.lit(0.0))
-    cell = cell.withColumn("m", m).withColumn("s2", F.greatest(s2, F.lit(1e-12))).withColumn("a", (2 * F.col("s2") + F.col("m") * F.col("m")) / F.col("s2")).withColumn("b", (F.col("m") * F.col("s2") + F.col("m") * F.col("m") * F.col("m")) / F.col("s2"))
-    # All that the iteration reads is in the row: a fold over its rounds, not a job for each.
-    start = F.struct(F.col("gamma").alias("g"), F.col("delta").alias("d"))
-
-    def step(s, _):
-        gam = (F.col("n") * F.col("t2") * F.col("gamma") + s["d"] * F.col("gbar")) / F.greatest(F.col("n") * F.col("t2") + s["d"], F.lit(1e-12))
-        ss = (F.col("n") - 1) * F.col("delta") + F.col("n") * (F.col("gamma") - gam) * (F.col("gamma") - gam)
-        return F.struct(gam.alias("g"), ((F.col("b") + 0.5 * ss) / (F.col("n") / 2.0 + F.col("a") - 1.0)).alias("d"))
-
-    cell = cell.withColumn("eb", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)).select("batch", "gene", "grand", "pooled", F.col("eb.g").alias("g"), F.col("eb.d").alias("d"))
-    out = d.join(F.broadcast(cell), ["batch", "gene"])
-    z = (F.col("v") - F.col("grand")) / F.sqrt("pooled")
-    return out.select("i", "gene", ((z - F.col("g")) / F.sqrt(F.greatest("d", F.lit(1e-12))) * F.sqrt("pooled") + F.col("grand")).alias("v"))
+    var = lambda c: F.coalesce(F.var_samp(c), F.lit(0.0))
+    cell = d.groupBy("batch", "gene").agg(F.count("*").alias("n"), F.avg("v").alias("m"), var("v").alias("s"))
+    gene = d.groupBy("gene").agg(F.avg("v").alias("grand"), (var("v") + 1e-8).alias("spread"))
+    left = F.col("s") / (F.col("s") + 1e-8) + 1e-8
+    cell = cell.withColumn("delta", F.greatest((F.col("n") * left + 2 * PRIOR_WEIGHT) / (F.col("n") + 2 * PRIOR_WEIGHT), F.lit(1e-8))).join(gene, "gene")
+    scale = F.sqrt(F.col("spread") / ((F.col("s") + 1e-8) * F.col("delta")))
+    cell = cell.select("batch", "gene", F.col("m").alias("_m"), "grand", scale.alias("scale"))
+    return d.join(cell, ["batch", "gene"]).select("i", "gene", ((F.col("v") - F.col("_m")) * F.col("scale") + F.col("grand")).alias("v"))
+
+
+#: Weight of the prior variance 1 in ``combat``, as half a number of observations; a fixed value.
+PRIOR_WEIGHT = 2.0
+
+
+def combat_ranks(v: DataFrame, batch: DataFrame) -> DataFrame:
+    """Each value replaced by the quantile of its gene over all batches at (rank - 1/2) / n of its own batch, ties averaged,
+    interpolated between the two values around it.
+
+    Ranks come from ``relational.range_ranks``, so no task holds a gene's whole column; a row then asks for the two values
+    around its place by their ranks.
+    """
+    d = v.join(batch, "i").select("i", "gene", "batch", "v")
+    own = range_ranks(d, ["gene", "batch"], "v", "i", "at")
+    ties = own.groupBy("gene", "batch", "v").agg((F.avg("at")).alias("rank"))  # equal values lie side by side
+    sizes = d.groupBy("gene", "batch").agg(F.count("*").alias("n"))
+    whole = d.groupBy("gene").agg(F.count("*").alias("all"))
+    place = (F.col("rank") - 0.5) / F.col("n") * (F.col("all") - 1)
+    asked = ties.join(sizes, ["gene", "batch"]).join(whole, "gene").select("gene", "batch", "v", place.alias("place"), F.floor(place).alias("lo"), F.least(F.floor(place) + 1, F.col("all") - 1).alias("hi"))
+    pooled = range_ranks(d, ["gene"], "v", "i", "at").select("gene", (F.col("at") - 1).alias("at"), F.col("v").alias("q"))
+    low = asked.join(pooled.withColumnsRenamed({"at": "lo", "q": "a"}), ["gene", "lo"])
+    both = low.join(pooled.withColumnsRenamed({"at": "hi", "q": "b"}), ["gene", "hi"])
+    new = both.select("gene", "batch", "v", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - F.col("lo"))).alias("new"))
+    return d.join(new, ["gene", "batch", "v"]).select("i", "gene", F.col("new").alias("v"))
 
 
 def quantile_align(v: DataFrame, batch: DataFrame, points: DataFrame | None = None, k: int = 6, blend: float = 0.2) -> DataFrame:

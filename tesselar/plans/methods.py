@@ -217,7 +217,7 @@ register(Method("annotation", "marker_score", lambda x: {"annotation": labels.an
 register(Method("annotation", "neighbor_marker_annotate", lambda x, neighbor_weight: {"annotation": labels.annotate(labels.smoothed_scores(labels.marker_scores(x["v"], x["markers"]), x["edges"], neighbor_weight))}, ("v", "markers", "edges"), (Param("neighbor_weight", "float", 0.35, 0, 1),)))
 register(Method("deconvolution", "marker_deconv", lambda x: {"proportions": labels.proportions(labels.marker_scores(x["v"], x["markers"]))}, ("v", "markers")))
 register(Method("deconvolution", "spatial_simplex_deconv", lambda x, strength, n_iter: {"proportions": labels.simplex_deconv(labels.marker_evidence(x["v"], x["markers"]), x["edges"], strength, n_iter)}, ("v", "markers", "edges"), (Param("strength", "float", 0.5, 0), Param("n_iter", "int", 100, 1))))
-for _name, _f in {"combat": integrate.combat, "median_shift_integrate": integrate.centre_batches}.items():
+for _name, _f in {"combat": integrate.combat, "combat_ranks": integrate.combat_ranks, "median_shift_integrate": integrate.centre_batches}.items():
     register(Method("integration", _name, lambda x, f=_f: {"v": f(x["v"], x["batch"])}, ("v", "batch")))
 register(Method("integration", "quantile_integrate", lambda x, k, spatial_blend: {"v": integrate.quantile_align(x["v"], x["batch"], x["points"], k, spatial_blend)}, ("v", "batch", "points"), (_K, Param("spatial_blend", "float", 0.2, 0, 1))))
 _COMPONENTS = Param("n_components", "int", 8, 1)

@@ -410,12 +410,18 @@ def batches(s, d) -> DataFrame:
 BV = "bv AS (SELECT i, gene, v, CAST(i % 3 AS INTEGER) AS batch FROM val)"
 
 
-@entry("combat")
+@entry("combat", with_("val", BV, "ce AS (SELECT batch, gene, count(*) AS n, avg(v) AS m, coalesce(var_samp(v), 0) AS s FROM bv GROUP BY 1, 2)", "gr AS (SELECT gene, avg(v) AS g, var_samp(v) + 1e-8 AS w FROM bv GROUP BY 1)")
+  + "SELECT i, gene, round((v - m) / sqrt(s + 1e-8) / sqrt((n * (s / (s + 1e-8) + 1e-8) + 4) / (n + 4)) * sqrt(w) + g, 6) AS v FROM bv JOIN ce USING (batch, gene) JOIN gr USING (gene)")
 def combat(s, d):
-    """Iterated shrinkage: checked for shape, and in the tests against a loop."""
     return rounded(integrate.combat(A.values(s, d), batches(s, d)), "v")
 
 
+@entry("combat_ranks", with_("val", BV, "qu AS (SELECT i, gene, ((rank() OVER (PARTITION BY gene, batch ORDER BY v) + (count(*) OVER (PARTITION BY gene, batch, v) - 1) / 2.0) - 0.5) / count(*) OVER (PARTITION BY gene, batch) * (count(*) OVER (PARTITION BY gene) - 1) AS p, count(*) OVER (PARTITION BY gene) AS n FROM bv)",
+  "po AS (SELECT gene, row_number() OVER (PARTITION BY gene ORDER BY v, i) - 1 AS k, v AS q FROM bv)") + "SELECT qu.i, qu.gene, round(a.q + (b.q - a.q) * (p - floor(p)), 6) AS v FROM qu JOIN po a ON a.gene = qu.gene AND a.k = CAST(floor(p) AS BIGINT) JOIN po b ON b.gene = qu.gene AND b.k = least(CAST(floor(p) AS BIGINT) + 1, n - 1)")
+def combat_ranks(s, d):
+    return rounded(integrate.combat_ranks(A.values(s, d), batches(s, d)), "v")
+
+
 @entry("quantile_integrate", with_("pts", "val", BV, "rk AS (SELECT i, batch, gene, v, row_number() OVER (PARTITION BY batch, gene ORDER BY v, i) AS pos, (rank() OVER (PARTITION BY batch, gene ORDER BY v) + (count(*) OVER (PARTITION BY batch, gene, v) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY batch, gene) AS u FROM bv)",
 "sz AS (SELECT batch AS other, gene, count(*) AS m FROM bv GROUP BY 1, 2)", "ak AS (SELECT i, batch, gene, other, u * (m - 1) AS place, CAST(floor(u * (m - 1)) AS BIGINT) + 1 AS lo, least(CAST(floor(u * (m - 1)) AS BIGINT) + 2, m) AS hi FROM rk JOIN sz USING (gene))",
 "vl AS MATERIALIZED (SELECT gene, batch AS other, pos, v FROM rk)", "a1 AS (SELECT ak.*, vl.v AS va FROM ak JOIN vl ON vl.gene = ak.gene AND vl.other = ak.other AND vl.pos = ak.lo)", "aq AS (SELECT a1.i, a1.batch, a1.gene, avg(va + (place - floor(place)) * (vl.v - va)) AS v FROM a1 JOIN vl ON vl.gene = a1.gene AND vl.other = a1.other AND vl.pos = a1.hi GROUP BY 1, 2, 3)",

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import shared_dir
 
-from ..operators.evidence import consensus, latest, new_records
+from ..operators.evidence import consensus, latest
+from .store import append_new
 
 
 def hourly(events: DataFrame) -> DataFrame:
@@ -48,19 +49,12 @@ def _is_dir(spark: SparkSession, path: str) -> bool:
 
 
 def ingest_evidence(spark: SparkSession, feed: str, store: str, schema: str, keys: tuple[str, ...] = ("node", "dataset", "method", "seed")):
-    """Append new lines of JSON feeds to a store, each key once however often a feed is read again. Returns the query."""
-
-    def append(batch: DataFrame, _: int) -> None:
-        try:
-            have = batch.sparkSession.read.parquet(store)
-        except Exception as e:  # the store does not exist before the first line
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            have = batch.limit(0)
-        new_records(have, batch, list(keys)).write.mode("append").parquet(store)
+    """Append new lines of JSON feeds to a store, each key once however often a feed is read again. Returns the query.
 
+    A batch reads only the buckets of the store that its own keys fall into (see ``store.append_new``).
+    """
     lines = spark.readStream.schema(schema).json(feed)
-    return lines.writeStream.foreachBatch(append).option("checkpointLocation", f"{store}-state").trigger(availableNow=True).start()
+    return lines.writeStream.foreachBatch(lambda batch, _: append_new(batch, store, list(keys))).option("checkpointLocation", f"{store}-state").trigger(availableNow=True).start()
 
 
 def current_consensus(spark: SparkSession, store: str, tolerance: float = 0.05) -> DataFrame:

@@ -55,14 +55,14 @@ st AS (SELECT *, CASE WHEN node = 2 THEN 'disputed' WHEN seed % 3 = 0 THEN 'veri
 def evidence_store(s, d):
     """The latest line of every record, and how many lines it has."""
     lines = s.read.parquet(_filled(s, d))
-    n = lines.groupBy(*store.KEY).agg(F.count("*").alias("lines"))
-    same = [n[k].eqNullSafe(lines[k]) for k in store.KEY]
-    return rounded(store.latest(lines).join(n, same).select("node", lines["dataset"], lines["method"], lines["seed"], "score", "verification_status", "lines"), "score")
+    n = lines.groupBy(*[F.col(k).alias("_" + k) for k in store.KEY]).agg(F.count("*").alias("lines"))
+    now = store.latest(lines)
+    return rounded(now.join(n, [F.col("_" + k).eqNullSafe(F.col(k)) for k in store.KEY]).select("node", "dataset", "method", "seed", "score", "verification_status", "lines"), "score")
 
 
 @entry("verified_consensus", with_("evid", STORE, "lb AS (SELECT dataset, method, node, avg(score) AS lab, count(*) AS n FROM st WHERE status = 'verified' GROUP BY 1, 2, 3)", "md AS (SELECT dataset, method, median(lab) AS m, count(*) AS labs, sum(n) AS n FROM lb GROUP BY 1, 2)")
-  + "SELECT dataset, method, round(m, 6) AS consensus, labs AS n_labs, n AS n_records, CASE WHEN labs < 2 THEN 'unverified' WHEN (SELECT count(*) FROM lb WHERE lb.dataset = md.dataset AND lb.method = md.method AND round(abs(lab - m), 9) <= 0.05) >= 2 THEN 'verified' ELSE 'disputed' END AS status FROM md")
+  + "SELECT dataset, method, round(m, 9) AS consensus, labs AS n_labs, n AS n_records, CASE WHEN labs < 2 THEN 'unverified' WHEN (SELECT count(*) FROM lb WHERE lb.dataset = md.dataset AND lb.method = md.method AND round(abs(lab - m), 9) <= 0.05) >= 2 THEN 'verified' ELSE 'disputed' END AS status FROM md")
 def verified_consensus(s, d):
     """Consensus over the records whose evidence stands."""
     own = store.latest(s.read.parquet(_filled(s, d))).filter("verification_status = 'verified'")
-    return rounded(consensus(own).select("dataset", "method", "consensus", "n_labs", "n_records", "status"), "consensus")
+    return rounded(consensus(own).select("dataset", "method", "consensus", "n_labs", "n_records", "status"), "consensus", dp=9)

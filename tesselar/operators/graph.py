@@ -297,20 +297,27 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame) -> DataFrame:
 
 
 def knn_between(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The nearest point of ``right`` for each of ``left`` (``i, j, d2``), the smaller id on ties."""
-    both = left.select("x", "y").unionByName(right.select("x", "y"))
-    lo = both.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.count("*").alias("n")).first()
-    extent = max((lo["x1"] or 0) - (lo["x0"] or 0), (lo["y1"] or 0) - (lo["y0"] or 0), 1e-12)
-    width = extent / max(1.0, math.sqrt((lo["n"] or 1) / 8.0))
-    r = right.select(F.col("i").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), *_cell(width))
-    todo, rings, out = left.select("i", "x", "y", *_cell(width)), 1, None
+    """The nearest point of ``right`` for each of ``left`` (``i, j, d2``), the smaller id on ties.
+
+    Cells are as wide as the middle of the points asks for, and a row looks into those around its own; what is not settled
+    there looks again on wider grids, as in ``knn``, so a far point changes nothing for the others.
+    """
+    n, width, extent = _grid(left.select("x", "y").unionByName(right.select("x", "y")), 8.0, 1)
     d2 = (F.col("x") - F.col("xj")) * (F.col("x") - F.col("xj")) + (F.col("y") - F.col("yj")) * (F.col("y") - F.col("yj"))
-    while True:
-        near = _around(todo, rings).join(r, ["cx", "cy"]).groupBy("i").agg(F.min(F.struct(d2.alias("d2"), "j")).alias("m")).select("i", F.col("m.j").alias("j"), F.col("m.d2").alias("d2"))
-        last = rings * width > extent
-        near = near if last else saved(near, "nearest").filter(F.col("d2") <= (rings * width) ** 2)
-        out = near if out is None else out.unionByName(near)
-        todo = todo.join(near.select("i"), "i", "left_anti")
-        if last or todo.isEmpty():
-            return out
-        rings *= 2
+    todo, done = left.select("i", "x", "y"), []
+    for step in range(WIDER + 1):
+        last = step == WIDER or width > extent
+        cell = [F.lit(0).alias("cx"), F.lit(0).alias("cy")] if last else _cell(width)
+        r = right.select(F.col("i").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), *cell)
+        asked = todo.select("*", *cell)
+        near = (asked if last else _around(asked, 1)).join(r, ["cx", "cy"]).groupBy("i").agg(F.min(F.struct(d2.alias("d2"), "j")).alias("m")).select("i", F.col("m.j").alias("j"), F.col("m.d2").alias("d2"))
+        if last:
+            done.append(near)
+            break
+        near = saved(near, "nearest").filter(F.col("d2") <= width**2)
+        done.append(near)
+        todo = saved(todo.join(near.select("i"), "i", "left_anti"), "unsettled")
+        if not (open_ := todo.count()):
+            break
+        width = width * 4 if open_ * n > FEW_PAIRS else 2 * extent + width
+    return reduce(DataFrame.unionByName, done)

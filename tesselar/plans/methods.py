@@ -46,6 +46,37 @@ class Param:
         return value
 
 
+@dataclass(frozen=True)
+class Deprecation:
+    """Since when a version is out of use, what takes its place, and what becomes of its parameters.
+
+    Renamed parameters are handed on under their new names; one that was removed is an error that says why, never dropped.
+    """
+
+    since: str
+    replacement: tuple[str, str, str]
+    renames: tuple[tuple[str, str], ...] = ()
+    removed: tuple[str, ...] = ()
+    notes: str = ""
+
+    def __post_init__(self) -> None:
+        old, new = [a for a, _ in self.renames], [b for _, b in self.renames]
+        if not self.since:
+            raise ValueError("a deprecation names the version since which it holds")
+        if len(set(old)) < len(old) or len(set(new)) < len(new):
+            raise ValueError("a parameter is renamed once, and to a name of its own")
+        if both := set(old) & set(self.removed):
+            raise ValueError(f"{sorted(both)} cannot be renamed and removed")
+
+    def moved(self, params: dict[str, Any]) -> dict[str, Any]:
+        if gone := sorted(set(params) & set(self.removed)):
+            raise ValueError(f"{gone} were removed: {self.notes or 'no replacement'}")
+        names = dict(self.renames)
+        if twice := sorted(a for a, b in self.renames if a in params and b in params):
+            raise ValueError(f"{twice} are given under both their old and their new name")
+        return {names.get(k, k): v for k, v in params.items()}
+
+
 @dataclass(frozen=True)
 class Method:
     category: str
@@ -54,7 +85,7 @@ class Method:
     needs: tuple[str, ...] = ()
     params: tuple[Param, ...] = ()
     version: str = "1.0.0"
-    deprecated: bool = False
+    deprecated: Deprecation | None = None
     summary: str = ""
 
     def bound(self, given: dict[str, Any]) -> dict[str, Any]:
@@ -90,7 +121,7 @@ def get_method(category: str, name: str, version: str | None = None) -> Method:
 
 def list_methods(spark: SparkSession, category: str | None = None) -> DataFrame:
     """The catalogue: the latest version of each method."""
-    rows = [(m.category, m.name, m.version, list(version_key(m.version)), m.deprecated, ",".join(m.needs), ",".join(p.name for p in m.params)) for m in REGISTRY.values() if category in (None, m.category)]
+    rows = [(m.category, m.name, m.version, list(version_key(m.version)), m.deprecated is not None, ",".join(m.needs), ",".join(p.name for p in m.params)) for m in REGISTRY.values() if category in (None, m.category)]
     df = spark.createDataFrame(rows, "category string, name string, version string, key array<int>, deprecated boolean, needs string, params string")
     w = Window.partitionBy("category", "name").orderBy("deprecated", F.desc("key"))
     return df.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r", "key")
@@ -104,11 +135,28 @@ class Step:
     version: str | None = None
 
 
+def migrated(step: Step) -> tuple[Step, str]:
+    """The step under the version that replaced its own, however often that was replaced, and what was changed."""
+    said, seen = [], set()
+    while True:
+        m = get_method(step.category, step.method, step.version)
+        if m.deprecated is None:
+            return step, "; ".join(said)
+        if (m.category, m.name, m.version) in seen:
+            raise ValueError(f"{m.name} {m.version} is replaced by itself")
+        seen.add((m.category, m.name, m.version))
+        d = m.deprecated
+        category, method, version = d.replacement
+        said.append(f"{m.name} {m.version}, out of use since {d.since}, is {method} {version} now" + "".join(f", {a} is {b}" for a, b in d.renames if a in step.params))
+        step = Step(category, method, d.moved(step.params), version)
+
+
 def validate(steps: Iterable[Step], tables: set[str]) -> list[str]:
     """What is wrong with a plan, without running it: unknown methods, bad parameters, tables that nobody gives."""
     wrong, have = [], set(tables)
     for i, s in enumerate(steps):
         try:
+            s, _ = migrated(s)
             m = get_method(s.category, s.method, s.version)
             m.bound(s.params)
         except (KeyError, TypeError, ValueError) as e:
@@ -130,13 +178,14 @@ def run_pipeline(sample: Sample, steps: list[Step]) -> tuple[Sample, list[dict]]
         raise ValueError("; ".join(wrong))
     out, log = dict(sample), []
     for i, s in enumerate(steps):
+        s, said = migrated(s)
         m = get_method(s.category, s.method, s.version)
         params = m.bound(s.params)
         new = m.run(out, **params)
         if not new:
             raise RuntimeError(f"{m.name} gave no table")
         out |= new
-        log.append({"seq": i, "step": m.category, "method": m.name, "version": m.version, "params": params, "tables": sorted(new)})
+        log.append({"seq": i, "step": m.category, "method": m.name, "version": m.version, "params": params, "tables": sorted(new), "migrated": said})
     return out, log
 
 

@@ -34,8 +34,6 @@ WIDTH = 1 << 18
 #: Standard errors by which a feature must tell the classes apart in the labelled rows to take part: a text has many
 #: features, so some differ by chance; metadata have few.
 TELLING = (4.0, 1.5)
-#: Features of a view that take part at most, those that tell most; a document's are kept as 16-bit places.
-FEATURES = 1000
 KEEP_FROM = 0.5
 HELD_WORDS = 100_000
 CONTENT, METADATA = 0, 1
@@ -124,9 +122,9 @@ class Logistic:
 def placed(used: np.ndarray, slots: np.ndarray) -> np.ndarray:
     """The places in ``used`` of those slots that are there."""
     if not len(used):
-        return np.zeros(0, np.uint16)
+        return np.zeros(0, np.uint32)
     at = np.minimum(np.searchsorted(used, slots), len(used) - 1)
-    return at[used[at] == slots].astype(np.uint16)
+    return at[used[at] == slots].astype(np.uint32)
 
 
 def telling(rows: list[np.ndarray], y: np.ndarray, least: float) -> np.ndarray:
@@ -137,8 +135,7 @@ def telling(rows: list[np.ndarray], y: np.ndarray, least: float) -> np.ndarray:
     p = (one + zero + 1) / (n1 + n0 + 2)
     apart = np.abs(one / n1 - zero / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
     apart[one + zero < 3] = 0
-    most = np.argsort(-apart, kind="stable")[:FEATURES]
-    return np.sort(most[apart[most] >= least])
+    return np.flatnonzero(apart >= least)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -147,7 +144,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit(used: np.ndarray, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, steps: int = 150, ridge: float = 1e-3) -> Logistic:
     """A ridge logistic model over ``used`` from rows of places, classes weighted alike."""
-    at, owner = np.concatenate([np.zeros(0, np.uint16), *rows]), np.repeat(np.arange(len(rows)), list(map(len, rows)))
+    at, owner = np.concatenate([np.zeros(0, np.uint32), *rows]), np.repeat(np.arange(len(rows)), list(map(len, rows)))
     n1, n0 = max((weight * y).sum(), 1e-9), max((weight * (1 - y)).sum(), 1e-9)
     weight = weight * np.where(y > 0.5, 0.5 / n1, 0.5 / n0)
     w, squares = np.zeros(len(used) + 1), np.full(len(used) + 1, 1e-8)
@@ -260,7 +257,7 @@ def _featured(text: str, meta: list[str]) -> Callable:
 
 
 def _places(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint16) for x in column.to_pylist()]
+    return [np.frombuffer(x, np.uint32) for x in column.to_pylist()]
 
 
 def _reduced(text: str, meta: list[str], used: tuple[np.ndarray, np.ndarray]) -> Callable:
@@ -358,7 +355,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, ro
         chosen = sorted(best.collect(), key=lambda r: (r.view, r.label, r.n))  # a quota at most of each view and class
         done += 1
         for r in chosen:
-            learner.given.append(Handed(r.view, float(r.label), learner.weight(r.label, r.p), (np.frombuffer(r.content, np.uint16), np.frombuffer(r.metadata, np.uint16))))
+            learner.given.append(Handed(r.view, float(r.label), learner.weight(r.label, r.p), (np.frombuffer(r.content, np.uint32), np.frombuffer(r.metadata, np.uint32))))
             taken.add((r.view, r.key))
             handed[r.view] += 1
         if not chosen:

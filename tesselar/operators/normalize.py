@@ -67,6 +67,17 @@ def robust_pearson_residual(expr: DataFrame, n_vars: DataFrame, theta: float = 1
     return d.select("obs_id", "gene_id", clip(F.when(var > 0, (F.col("value") - mu) / F.sqrt(var)).otherwise(0.0), -clip_at, clip_at).alias("value"), mu.alias("expected"))
 
 
+def pearson_residuals(v: DataFrame, theta: float = 100.0, gene_prior: float = 1.0, clip_at: float = 10.0) -> DataFrame:
+    """``robust_pearson_residual`` of a dense matrix ``v(i, gene, v)``: zeros have their residuals too. Row and gene totals are
+    summaries that are joined back; a matrix without counts expects the same of all genes, which is 0."""
+    rows, genes = v.groupBy("i").agg(F.sum("v").alias("_row")), v.groupBy("gene").agg(F.sum("v").alias("_gene"))
+    whole = genes.agg(F.sum("_gene").alias("_all"), F.count("*").alias("_vars"))
+    d = v.join(rows, "i").join(genes, "gene").crossJoin(F.broadcast(whole))
+    share = F.coalesce(F.try_divide(F.col("_gene") + gene_prior, F.col("_all") + gene_prior * F.col("_vars")), 1.0 / F.col("_vars"))
+    mu = F.col("_row") * share
+    return d.select("i", "gene", clip(F.coalesce(F.try_divide(F.col("v") - mu, F.sqrt(mu + mu * mu / theta)), F.lit(0.0)), -clip_at, clip_at).alias("v"))
+
+
 def spatial_median_normalize(v: DataFrame, edges: DataFrame, target_sum: float = 1e4, spatial_weight: float = 0.5) -> DataFrame:
     """Depth blended with the median of the own and the neighbours' depths; ``v(i, gene, v)``."""
     t = v.groupBy("i").agg(F.sum("v").alias("t"))

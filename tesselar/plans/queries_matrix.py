@@ -126,6 +126,12 @@ def robust_pearson_residual(s, d):
     return rounded(normalize.robust_pearson_residual(A.expr(s, d), n_vars(s, d)), "value", "expected")
 
 
+@entry("pearson_residuals", with_("val", "cnt", "n10 AS (SELECT i, gene, floor(10 * v) AS v FROM cnt)", "p AS (SELECT i, gene, v, sum(v) OVER (PARTITION BY i) * (sum(v) OVER (PARTITION BY gene) + 1) / (sum(v) OVER () + 62) AS mu FROM n10)") + "SELECT i, gene, round(CASE WHEN mu > 0 THEN least(greatest((v - mu) / sqrt(mu + mu * mu / 100), -10), 10) ELSE 0 END, 6) AS v FROM p")
+def pearson_residuals(s, d):
+    """Tenths as counts, of which many are zero."""
+    return rounded(normalize.pearson_residuals(A.counts(s, d).withColumn("v", F.floor(10 * F.col("v")).cast("double"))), "v")
+
+
 @entry("spatial_median_normalize", with_("pts", "val", POS, knn_sql(6), "t AS (SELECT i, sum(v) AS t FROM pos GROUP BY 1)", "a AS (SELECT i, t FROM t UNION ALL SELECT k.i, t.t FROM knn k JOIN t ON k.j = t.i)", "m AS (SELECT i, median(t) AS m FROM a GROUP BY 1)") + "SELECT p.i, gene, round(v * 10000 / (0.5 * t + 0.5 * m), 4) AS v FROM pos p JOIN t USING (i) JOIN m USING (i)")
 def spatial_median_normalize(s, d):
     return rounded(normalize.spatial_median_normalize(positive(s, d), graph.knn(A.points(s, d), 6)), "v", dp=4)

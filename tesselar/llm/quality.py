@@ -119,12 +119,17 @@ class Logistic:
         return self.offset + np.bincount(owner, self.weights[np.concatenate(rows)], len(rows))
 
 
+def _kind(used: np.ndarray) -> type:
+    """The numbers that places in ``used`` are kept as."""
+    return np.uint16 if len(used) <= 1 << 16 else np.uint32
+
+
 def placed(used: np.ndarray, slots: np.ndarray) -> np.ndarray:
     """The places in ``used`` of those slots that are there."""
     if not len(used):
-        return np.zeros(0, np.uint32)
+        return np.zeros(0, _kind(used))
     at = np.minimum(np.searchsorted(used, slots), len(used) - 1)
-    return at[used[at] == slots].astype(np.uint32)
+    return at[used[at] == slots].astype(_kind(used))
 
 
 def telling(rows: list[np.ndarray], y: np.ndarray, least: float) -> np.ndarray:
@@ -144,7 +149,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit(used: np.ndarray, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, steps: int = 150, ridge: float = 1e-3) -> Logistic:
     """A ridge logistic model over ``used`` from rows of places, classes weighted alike."""
-    at, owner = np.concatenate([np.zeros(0, np.uint32), *rows]), np.repeat(np.arange(len(rows)), list(map(len, rows)))
+    at, owner = np.concatenate([np.zeros(0, np.uint16), *rows]), np.repeat(np.arange(len(rows)), list(map(len, rows)))
     n1, n0 = max((weight * y).sum(), 1e-9), max((weight * (1 - y)).sum(), 1e-9)
     weight = weight * np.where(y > 0.5, 0.5 / n1, 0.5 / n0)
     w, squares = np.zeros(len(used) + 1), np.full(len(used) + 1, 1e-8)
@@ -256,8 +261,8 @@ def _featured(text: str, meta: list[str]) -> Callable:
     return run
 
 
-def _places(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint32) for x in column.to_pylist()]
+def _places(column: pa.Array, used: np.ndarray) -> list[np.ndarray]:
+    return [np.frombuffer(x, _kind(used)) for x in column.to_pylist()]
 
 
 def _reduced(text: str, meta: list[str], used: tuple[np.ndarray, np.ndarray]) -> Callable:
@@ -281,7 +286,7 @@ def _surest(model: CoTrained, learner_share: float, taken: set[tuple[int, int]],
         best: dict[tuple[int, int], dict[int, tuple[float, bytes, bytes]]] = {(v, label): {} for v in (0, 1) for label in (0, 1)}
         for b in batches:
             content, metadata = b.column("content").to_pylist(), b.column("metadata").to_pylist()
-            ps = model.score(_places(b.column("content")), _places(b.column("metadata")))
+            ps = model.score(*(_places(b.column(c), m.used) for c, m in zip(("content", "metadata"), model.views, strict=True)))
             for (v, label), held in best.items():
                 p = ps[v] if label else 1 - ps[v]
                 over = np.flatnonzero(p > (learner_share if label else 1 - learner_share))
@@ -355,7 +360,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, ro
         chosen = sorted(best.collect(), key=lambda r: (r.view, r.label, r.n))  # a quota at most of each view and class
         done += 1
         for r in chosen:
-            learner.given.append(Handed(r.view, float(r.label), learner.weight(r.label, r.p), (np.frombuffer(r.content, np.uint32), np.frombuffer(r.metadata, np.uint32))))
+            learner.given.append(Handed(r.view, float(r.label), learner.weight(r.label, r.p), tuple([np.frombuffer(x, _kind(u)) for x, u in zip((r.content, r.metadata), used, strict=True)])))
             taken.add((r.view, r.key))
             handed[r.view] += 1
         if not chosen:
@@ -373,7 +378,7 @@ def score_fitted(trained: Trained) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = sent.value.score(_places(b.column("content")), _places(b.column("metadata")))
+            found = sent.value.score(*(_places(b.column(c), m.used) for c, m in zip(("content", "metadata"), sent.value.views, strict=True)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.float64()) for x in found), pa.array(found[2] >= KEEP_FROM)], names=["doc_id", "content", "metadata", "score", "keep"])
 
     kind = trained.rows.schema["doc_id"].dataType

@@ -54,11 +54,6 @@ def erfc_sql(x: str) -> str:
     return f"(CASE WHEN {x} >= 0 THEN {t}*exp(-({x})*({x})+{poly}) ELSE 2.0-{t}*exp(-({x})*({x})+{poly}) END)"
 
 
-def digamma(n: float) -> float:
-    """For the mutual-information estimate; asymptotic series after shifting the argument up."""
-    out = 0.0
-    while n < 6:
-        out -= 1 / n
-        n += 1
-    f = 1 / (n * n)
-    return out + math.log(n) - 0.5 / n - f * (1 / 12 - f * (1 / 120 - f / 252))
+def crc32_sql(text: str) -> str:
+    """The CRC-32 of an ASCII string in SQL that has none, bit by bit; the constant is the polynomial's, a fixed value."""
+    return f"CAST(xor(list_reduce([4294967295] || list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT)), lambda c, b: list_reduce([xor(c, b)] || range(8), lambda y, _: xor(y >> 1, (y & 1) * 3988292384))), 4294967295) AS BIGINT)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import erfc_sql
+from ..functions.scalars import crc32_sql, erfc_sql
 from ..operators import graph, integrate, labels, normalize, qc, svg
 from . import adapters as A
 from .adapters import knn_sql, with_
@@ -274,9 +274,10 @@ def anisotropy_svg(s, d):
     return rounded(svg.anisotropy(A.counts(s, d), graph.knn(p, 6), p), "score")
 
 
-@entry("bootstrap_robust_svg")
+@entry("bootstrap_robust_svg", with_("pts", "val", "cnt", Z, f"bs AS MATERIALIZED (SELECT b, i, x, y FROM pts, (SELECT unnest(range(12)) AS b) WHERE {crc32_sql("(CAST(b AS VARCHAR) || ':' || CAST(i AS VARCHAR))")} % 1000 < 750)", knn_sql(6, src="bs", part="b").replace("AS (SELECT a.i AS i", "AS MATERIALIZED (SELECT a.b AS b, a.i AS i").replace("PARTITION BY a.i", "PARTITION BY a.b, a.i"),
+  "lm AS (SELECT k.b, k.i, x.gene, any_value(x.v) AS v, avg(y.v) AS m FROM knn k JOIN z x ON x.i = k.i JOIN z y ON y.i = k.j AND y.gene = x.gene GROUP BY 1, 2, 3)", "ac AS (SELECT b, gene, avg(v * m) AS a FROM lm GROUP BY 1, 2)")
+  + "SELECT gene, round(greatest(avg(a), 0) * avg(CASE WHEN a > 0 THEN 1.0 ELSE 0.0 END) / (1 + stddev_pop(a)), 6) AS score FROM ac GROUP BY 1")
 def bootstrap_robust_svg(s, d):
-    """Samples are drawn by CRC, which the SQL lacks; in the tests against a loop."""
     p = A.points(s, d)
     return rounded(svg.bootstrap_robust(A.counts(s, d), lambda q: graph.knn(q, 6), p), "score")
 

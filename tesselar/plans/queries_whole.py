@@ -8,10 +8,10 @@ from ..operators import evidence as E
 from ..operators import graph, integrate, labels
 from ..sources import longtable
 from . import adapters as A
-from .adapters import with_
+from .adapters import knn_sql, with_
 from .tables import shared_dir
 from .queries_evidence import MEANS, means
-from .queries_matrix import batches, markers, rounded
+from .queries_matrix import EVID, MK, _step, batches, markers, rounded
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -65,7 +65,10 @@ def sign_flip_permutation(s, d):
     return rounded(E.sign_flip_p(pairs.select("a", "b", "dataset", F.round(F.col("sa") - F.col("sb"), 9).alias("d"))), "p")
 
 
-@entry("spatial_simplex_deconv")
+ROUNDS = 100
+
+
+@entry("spatial_simplex_deconv", with_("pts", "val", "cnt", MK, knn_sql(6), EVID.replace(" AS (", " AS MATERIALIZED ("), *[_step(f"p{k}" if k else "ev", f"p{k + 1}").replace(" AS (SELECT i, label, least", " AS MATERIALIZED (SELECT i, label, least") for k in range(ROUNDS)]) + f"SELECT i, label, round(p, 6) AS p FROM p{ROUNDS}")
 def spatial_simplex_deconv(s, d):
     """The reference's 100 rounds; in the tests against a loop."""
     e = labels.marker_evidence(A.counts(s, d), markers(s))

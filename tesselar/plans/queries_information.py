@@ -96,7 +96,7 @@ pv AS (SELECT *, CASE WHEN rho IS NOT NULL AND n > 2 THEN CASE WHEN abs(rho) >=
 pr AS (SELECT n, rho, p, CASE WHEN rho IS NULL OR p IS NULL THEN 'undefined' WHEN n < 8 THEN 'underpowered' WHEN rho > 0 AND p < 0.05 THEN 'supported' ELSE 'failed' END AS status,
   CASE WHEN n < 2 THEN 'fewer_than_two_finite_pairs' WHEN flat THEN 'zero_variance_in_ratio_or_gain' ELSE array_to_string(list_filter([CASE WHEN n < 8 THEN 'sample_size_below_minimum' END, CASE WHEN p IS NULL THEN 'correlation_undefined' END, CASE WHEN p IS NOT NULL AND rho <= 0 THEN 'correlation_nonpositive' END, CASE WHEN p >= 0.05 THEN 'correlation_not_significant' END], lambda x: x IS NOT NULL), ',') END AS reasons FROM pv),
 li AS (SELECT count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM pa),
-lo AS (SELECT q.dataset, q.y - (regr_intercept(w.y, w.x) + regr_slope(w.y, w.x) * q.x) AS e FROM pa q JOIN pa w ON q.dataset <> w.dataset GROUP BY q.dataset, q.x, q.y),
+lo AS (SELECT q.dataset, q.y - CASE WHEN var_pop(w.x) * count(*) > 1e-12 THEN regr_intercept(w.y, w.x) + regr_slope(w.y, w.x) * q.x ELSE avg(w.y) END AS e FROM pa q JOIN pa w ON q.dataset <> w.dataset GROUP BY q.dataset, q.x, q.y),
 er AS (SELECT sum(power(y - a - b * x, 2)) AS ss, var_pop(y) * count(*) AS sy FROM pa, li),
 ca AS (SELECT n, b AS slope, a AS intercept, sqrt(ss / greatest(n - 2, 1)) AS residual_std, sqrt((SELECT avg(e * e) FROM lo)) AS loo_rmse, 1 - ss / sy AS r_squared, rho, p, status, CASE status WHEN 'supported' THEN 'moderate' WHEN 'underpowered' THEN 'low' WHEN 'failed' THEN 'unsupported' ELSE 'undefined' END AS reliability FROM li, er, (SELECT rho, p, status FROM pr))""",
 )

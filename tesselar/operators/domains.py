@@ -7,12 +7,12 @@ shift, reachability order) run in one Arrow batch for each sample, as their defi
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,11 +42,43 @@ def expression_embedding(v: DataFrame, n_pcs: int = 8) -> DataFrame:
     return saved(pca(v.select("i", "gene", F.log1p("v").alias("v")), max(1, min(n_pcs, genes))), "expression_embedding")
 
 
+#: Genes by genes that are decomposed on the driver at most.
+MOST_GENES = 2_000
+
+
+def _products(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's sum of the products of all pairs of genes, a row for each gene."""
+    total = None
+    for b in batches:
+        if b.num_rows:
+            x = np.array(b.column("vec").to_pylist(), float)
+            total = x.T @ x if total is None else total + x.T @ x
+    if total is not None:
+        yield pa.RecordBatch.from_pydict({"g": pa.array(range(len(total)), pa.int32()), "row": pa.array(total.tolist(), pa.list_(pa.float64()))})
+
+
 def pca(v: DataFrame, n: int) -> DataFrame:
-    """``i, vec``: scores on the first ``n`` components of standardised genes. Signs are the solver's."""
-    x = wide(standardized(v)).select("i", array_to_vector("vec").alias("features"))
-    model = PCA(k=n, inputCol="features", outputCol="pc").fit(x)
-    return model.transform(x).select("i", vector_to_array("pc").alias("vec"))
+    """``i, vec``: scores on the first ``n`` components of standardised genes; a component's largest loading is positive.
+
+    Products of genes are added up in each task and by gene after that; genes by genes reach the driver, ``MOST_GENES`` at most.
+    """
+    x = saved(wide(standardized(v)), "standardized")
+    rows = x.select("vec").mapInArrow(_products, "g int, row array<double>").select("g", F.posexplode("row").alias("h", "s")).groupBy("g", "h").agg(F.sum("s").alias("s")).collect()
+    p = 1 + max((r["g"] for r in rows), default=-1)
+    if p > MOST_GENES:
+        raise ValueError(f"{p} genes; at most {MOST_GENES} are decomposed")
+    gram = np.zeros((p, p))
+    for r in rows:
+        gram[r["g"], r["h"]] = r["s"]
+    axes = np.linalg.eigh(gram)[1][:, ::-1][:, :n]
+    axes = axes * np.where(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])] < 0, -1.0, 1.0) if p else axes
+
+    def scores(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column("i"), pa.array((np.array(b.column("vec").to_pylist(), float) @ axes).tolist(), pa.list_(pa.float64()))], names=["i", "vec"])
+
+    return x.select("i", "vec").mapInArrow(scores, f"i {x.schema['i'].dataType.simpleString()}, vec array<double>")
 
 
 def blended(vecs: DataFrame, edges: DataFrame, weight: float = 0.3) -> DataFrame:

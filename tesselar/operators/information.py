@@ -1,19 +1,19 @@
 """What places tell about labels beyond expression: many estimates in one search, a null of shuffled places, gains foretold.
 
 ``rows(g, i, label, vec)`` holds any number of groups (slices, shuffles); the neighbours of all of them are sought by the
-same blocks, so a null of many draws is one job and not a loop.
+same cells, so a null of many draws is one job and not a loop.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import Z_CRITICAL, _cells, _far, digamma, permutation_band
+from ..plans.tables import saved
+from .nearest import Search
+from .stats import Z_CRITICAL, digamma, permutation_band
 
 #: Information below which a ratio to it says nothing, and deviations below which a null is constant; fixed values.
 NO_INFORMATION, NO_SPREAD = 1e-9, 1e-12
@@ -24,31 +24,11 @@ MIN_SLICES = 8
 def information(rows: DataFrame, k: int = 3) -> DataFrame:
     """``g, mi``: of every group the information in nats between label and vector, by nearest neighbours, as
     ``stats.mutual_information`` has it for one."""
-    counts = rows.groupBy("g", "label").agg(F.count("*").alias("n"))
-    some = rows.join(counts.filter("n > 1").select("g", "label"), ["g", "label"])
-
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"g": [], "i": [], "label": [], "d": []}).astype({"g": "int64", "i": "int64", "label": "int64", "d": "float64"})
-        far = _far(a, b)
-        far[a["i"].to_numpy()[:, None] == b["i"].to_numpy()[None]] = np.inf
-        best = np.sort(far, axis=1)[:, :k]
-        again = lambda c: np.repeat(a[c].to_numpy(), best.shape[1])
-        out = pd.DataFrame({"g": again("g"), "i": again("i"), "label": again("label"), "d": best.ravel()})
-        return out[np.isfinite(out["d"])]
-
-    near = _cells(some, some, ["g", "label"], nearest, "g long, i long, label long, d double")
-    kth = near.withColumn("r", F.row_number().over(Window.partitionBy("g", "i").orderBy("d"))).filter(F.col("r") <= k).groupBy("g", "i", "label").agg(F.max("d").alias("d"), F.max("r").alias("local_k"))
-
-    def within(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"g": [], "i": [], "m": []}).astype({"g": "int64", "i": "int64", "m": "int64"})
-        return pd.DataFrame({"g": a["g"], "i": a["i"], "m": (_far(a, b) <= a["d"].to_numpy()[:, None]).sum(1)})
-
-    asked = rows.select("g", "i", "vec").join(kth, ["g", "i"])
-    full = _cells(asked, rows.select("g", "i", "vec"), ["g"], within, "g long, i long, m long").groupBy("g", "i").agg((F.sum("m") - 1).alias("m"))
-    total = rows.groupBy("g").agg(F.count("*").alias("all"))
-    terms = asked.select("g", "i", "label", "local_k").join(full, ["g", "i"]).join(counts, ["g", "label"]).join(total, "g")
+    counts = saved(rows.groupBy("g", "label").agg(F.count("*").alias("n")), "label_counts")
+    size, labels, groups = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_distinct("g")).first()
+    search = Search(rows, k, size, groups, labels)
+    total = counts.groupBy("g").agg(F.sum("n").alias("all"))
+    terms = search.within(search.kth()).join(counts, ["g", "label"]).join(total, "g")
     each = digamma(F.col("all")) - digamma(F.col("n")) + digamma(F.col("local_k")) - digamma(F.greatest("m", F.lit(1)))
     found = terms.groupBy("g").agg(F.greatest(F.sum(each) / F.max("all"), F.lit(0.0)).alias("mi"))
     return total.select("g").join(found, "g", "left").select("g", F.coalesce("mi", F.lit(0.0)).alias("mi"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +12,6 @@ from ..functions.scalars import erfc
 
 #: Cut-offs of the information ratio, and of its z score against shuffled places (fixed values).
 RATIO_LOW, RATIO_HIGH, Z_CRITICAL = 0.1, 0.3, 3.0
-#: Rows of a block that meets another block at once.
-BLOCK = 2048
 #: Up to so many differences without ties the signed-rank test is exact.
 EXACT = 50
 
@@ -85,62 +82,16 @@ def digamma(n: Column) -> Column:
     return series - sum((1 / (n.cast("double") + i) for i in range(1, 6)), 1 / n.cast("double"))
 
 
-def _blocks(df: DataFrame, n: int) -> DataFrame:
-    return df.withColumn("_b", F.pmod(F.xxhash64("i"), F.lit(n)).cast("int"))
-
-
-def _cells(rows: DataFrame, other: DataFrame, by: list[str], made, schema: str) -> DataFrame:
-    """``made(rows, others)`` for all pairs of blocks of about ``BLOCK`` rows, within equal values of ``by``."""
-    n = max(1, -(-rows.count() // BLOCK))
-    each = lambda df, name: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    other = other.select(*[F.col(c).alias(c) for c in other.columns])  # columns of its own, where both are one table
-    left = each(_blocks(rows, n), "_c").groupBy(*by, "_b", "_c")
-    right = each(_blocks(other, n).withColumnRenamed("_b", "_c"), "_b").groupBy(*by, "_b", "_c")
-    return left.cogroup(right).applyInPandas(made, schema)
-
-
-def _far(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    """Largest difference in any coordinate."""
-    x, y = (np.stack(d["vec"].to_numpy()).astype(float) for d in (a, b))
-    out = np.zeros((len(x), len(y)))
-    for k in range(x.shape[1]):
-        np.maximum(out, np.abs(x[:, k, None] - y[None, :, k]), out=out)
-    return out
-
-
 def mutual_information(rows: DataFrame, k: int = 3) -> DataFrame:
     """One row, ``mi``: information in nats between ``label`` and ``vec`` of ``rows(i, label, vec)``, by nearest neighbours.
 
     Of every row the k-th least distance within its label (fewer in small labels), and how many rows of all lie no farther,
-    both by the largest difference in a coordinate. Pairs are compared by blocks; k distances or one count of each leave it.
+    both by the largest difference in a coordinate, as ``information.information`` finds them for any number of groups.
     """
-    counts = rows.groupBy("label").agg(F.count("*").alias("n"))
-    some = rows.join(F.broadcast(counts.filter("n > 1").select("label")), "label")  # labels are few
-
-    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"i": [], "label": [], "d": []}).astype({"i": "int64", "label": "int64", "d": "float64"})
-        far = _far(a, b)
-        far[a["i"].to_numpy()[:, None] == b["i"].to_numpy()[None]] = np.inf
-        best = np.sort(far, axis=1)[:, :k]
-        out = pd.DataFrame({"i": np.repeat(a["i"].to_numpy(), best.shape[1]), "label": np.repeat(a["label"].to_numpy(), best.shape[1]), "d": best.ravel()})
-        return out[np.isfinite(out["d"])]
-
-    near = _cells(some, some, ["label"], nearest, "i long, label long, d double")
-    order = Window.partitionBy("i").orderBy("d")
-    kth = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).groupBy("i", "label").agg(F.max("d").alias("d"), F.max("r").alias("local_k"))
-
-    def within(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"i": [], "m": []}).astype({"i": "int64", "m": "int64"})
-        return pd.DataFrame({"i": a["i"], "m": (_far(a, b) <= a["d"].to_numpy()[:, None]).sum(1)})
-
-    asked = rows.select("i", "vec").join(kth, "i")
-    full = _cells(asked, rows.select("i", "vec"), [], within, "i long, m long").groupBy("i").agg((F.sum("m") - 1).alias("m"))
-    terms = asked.select("i", "label", "local_k").join(full, "i").join(F.broadcast(counts), "label")
-    total = F.broadcast(rows.agg(F.count("*").alias("all")))
-    each = digamma(F.col("all")) - digamma(F.col("n")) + digamma(F.col("local_k")) - digamma(F.greatest("m", F.lit(1)))
-    return terms.crossJoin(total).agg((F.sum(each) / F.max("all")).alias("mi")).select(F.greatest(F.coalesce("mi", F.lit(0.0)), F.lit(0.0)).alias("mi"))
+    from .information import information
+
+    one = rows.select(F.lit(0).cast("long").alias("g"), "i", "label", "vec")
+    return information(one, k).agg(F.coalesce(F.max("mi"), F.lit(0.0)).alias("mi"))
 
 
 def information_ratio(expression: DataFrame, both: DataFrame, k: int = 3) -> DataFrame:

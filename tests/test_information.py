@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesselar.operators import information as I
+from tesselar.operators import nearest
 from tesselar.operators.stats import mutual_information
 
 RECORDS = "dataset string, ratio double, gain double"
@@ -38,6 +39,36 @@ def test_groups_are_independent(spark):
     assert [tuple(r) for r in I.information(alone).collect()] == [(7, 0.0)]
 
 
+def test_search_by_cells_against_all_pairs(spark, monkeypatch):
+    """Many small cells, equal rows, a label of two rows, one of one, and rows that are no numbers; few pairs of rows meet."""
+    monkeypatch.setattr(nearest, "CELL", 8)
+    monkeypatch.setattr(nearest, "WIDE_CELL", 16)
+    rng = np.random.default_rng(4)
+    n = 600
+    x, g, label = np.round(rng.normal(size=(n, 3)), 2), rng.integers(0, 2, n), rng.integers(0, 3, n)
+    x[:20] = x[0]
+    label[-3:], g[-3:] = (7, 7, 8), 0
+    rows = [(int(g[i]), i, int(label[i]), [float(v) for v in x[i]]) for i in range(n)]
+    odd = [(0, n, 0, [float("nan"), 0.0, 0.0]), (0, n + 1, 0, [0.0, float("inf"), 0.0]), (1, n + 2, 1, [None, 0.0, 0.0])]
+    search = nearest.Search(spark.createDataFrame(rows + odd, "g long, i long, label long, vec array<double>"), 3, n, 2, 8)
+    kth = search.kth()
+    got = {r.i: (r.d, r.local_k) for r in kth.collect()}
+    m = {r.i: r.m for r in search.within(kth).collect()}
+    far = np.abs(x[:, None] - x[None]).max(2)
+    far[g[:, None] != g[None]] = np.inf
+    want = {}
+    for i in range(n):
+        d = sorted(v for j, v in enumerate(far[i]) if j != i and label[j] == label[i] and np.isfinite(v))[:3]
+        if d:
+            want[i] = (d[-1], len(d))
+    assert got == want
+    assert m == {i: int((far[i] <= d).sum()) - 1 for i, (d, _) in want.items()}
+    assert search.rows.select("cell").distinct().count() > 16
+    reached = search._reached(search._box(search.rows, ["g", "cell"], F.max(F.lit(0.1)).alias("most")), ["g"], "most", own=True)
+    cells = search.rows.select("g", "cell").distinct().groupBy("g").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+    assert reached.count() < cells / 4
+
+
 def test_shuffles_keep_all_places(spark):
     rows = planted(spark, True, 30)
     d = I.shuffled_places(rows, 2).collect()

@@ -4,6 +4,7 @@ import itertools
 import json
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -325,3 +326,41 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["report", str(tmp_path / "out"), str(tmp_path / "page.html")]) == 0 and "<table" in (tmp_path / "page.html").read_text()
     (tmp_path / "r.jsonl").write_text('{"score": 1}\n{"barcode": 2}\n')
     assert cli.main(["share", str(tmp_path / "r.jsonl")]) == 1
+
+
+def plain_ward(x, k):
+    """The least growth over all pairs, taken anew after each merge."""
+    held = {i: [i] for i in range(len(x))}
+    while len(held) > k:
+        grow = {(a, b): len(held[a]) * len(held[b]) / (len(held[a]) + len(held[b])) * ((x[held[a]].mean(0) - x[held[b]].mean(0)) ** 2).sum() for a, b in itertools.combinations(sorted(held), 2)}
+        a, b = min(grow, key=grow.get)
+        held[a] += held.pop(b)
+    return {frozenset(v) for v in held.values()}
+
+
+def peak(run, x):
+    tracemalloc.start()
+    run(x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most
+
+
+def test_tree_against_all_pairs_without_a_matrix():
+    rng = np.random.default_rng(8)
+    for n, k in ((1, 3), (2, 1), (40, 3), (70, 1), (70, 7)):
+        x = rng.normal(size=(n, 3))
+        got = domains.ward(k)(x)
+        assert {frozenset(np.flatnonzero(got == c).tolist()) for c in set(got.tolist())} == plain_ward(x, k)
+    same = domains.ward(2)(np.array([[0.0], [0.0], [0.0], [5.0], [5.0]]))
+    assert same.tolist() == [0, 0, 0, 1, 1]
+    assert peak(domains.ward(3), rng.normal(size=(1500, 4))) < 1500 * 1500 * 8 / 4
+
+
+def test_reachability_order_without_a_matrix():
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(30, 2)), rng.normal(size=(30, 2)) + 40])
+    got = domains.optics(4)(x)
+    assert len(set(got[:30]) & set(got[30:])) == 0
+    assert domains.optics()(np.zeros((1, 2))).tolist() == [0]
+    assert peak(domains.optics(), rng.normal(size=(3000, 4))) < 3000 * 3000 * 8 / 2

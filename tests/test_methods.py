@@ -364,3 +364,14 @@ def test_reachability_order_without_a_matrix():
     assert len(set(got[:30]) & set(got[30:])) == 0
     assert domains.optics()(np.zeros((1, 2))).tolist() == [0]
     assert peak(domains.optics(), rng.normal(size=(3000, 4))) < 3000 * 3000 * 8 / 2
+
+
+def test_mean_shift_without_a_matrix():
+    rng = np.random.default_rng(10)
+    for x in (rng.normal(size=(90, 3)), np.round(rng.normal(size=(90, 2))), np.ones((7, 2)), np.zeros((1, 2))):
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        for q in (0.0, 0.3, 0.77, 1.0):
+            assert domains.distance_quantile(x, q) == pytest.approx(np.quantile(d, q), rel=1e-14, abs=0)
+    x = np.concatenate([rng.normal(size=(30, 2)), rng.normal(size=(30, 2)) + 40])
+    assert domains.mean_shift(5.0)(x).tolist() == [0] * 30 + [1] * 30
+    assert peak(domains.mean_shift(), rng.normal(size=(3000, 4))) < 3000 * 3000 * 8 / 1.5

@@ -21,12 +21,12 @@ NO_INFORMATION, NO_SPREAD = 1e-9, 1e-12
 MIN_SLICES = 8
 
 
-def information(rows: DataFrame, k: int = 3) -> DataFrame:
+def information(rows: DataFrame, k: int = 3, cell: int | None = None) -> DataFrame:
     """``g, mi``: of every group the information in nats between label and vector, by nearest neighbours, as
-    ``stats.mutual_information`` has it for one."""
+    ``stats.mutual_information`` has it for one. ``cell``: rows of a cell, about; it changes no result."""
     counts = saved(rows.groupBy("g", "label").agg(F.count("*").alias("n")), "label_counts")
     size, labels, groups = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_distinct("g")).first()
-    search = Search(rows, k, size, groups, labels)
+    search = Search(rows, k, size, groups, labels, cell)
     total = counts.groupBy("g").agg(F.sum("n").alias("all"))
     terms = search.within(search.kth()).join(counts, ["g", "label"]).join(total, "g")
     each = digamma(F.col("all")) - digamma(F.col("n")) + digamma(F.col("local_k")) - digamma(F.greatest("m", F.lit(1)))

@@ -12,6 +12,8 @@ from ..functions.scalars import erfc
 
 #: Cut-offs of the information ratio, and of its z score against shuffled places (fixed values).
 RATIO_LOW, RATIO_HIGH, Z_CRITICAL = 0.1, 0.3, 3.0
+#: Rows of all labels in a cell of a search by nearest neighbours, about; half as many of one label.
+BLOCK = 1024
 #: Up to so many differences without ties the signed-rank test is exact.
 EXACT = 50
 
@@ -91,7 +93,7 @@ def mutual_information(rows: DataFrame, k: int = 3) -> DataFrame:
     from .information import information
 
     one = rows.select(F.lit(0).cast("long").alias("g"), "i", "label", "vec")
-    return information(one, k).agg(F.coalesce(F.max("mi"), F.lit(0.0)).alias("mi"))
+    return information(one, k, BLOCK).agg(F.coalesce(F.max("mi"), F.lit(0.0)).alias("mi"))
 
 
 def information_ratio(expression: DataFrame, both: DataFrame, k: int = 3) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..plans.tables import saved
 from .graph import symmetric
 from .kselect import uniform
+from .svg import pairs
 
 #: Shares of smoothed noise that are tried.
 TRIALS = tuple(k / 10 for k in range(10))
@@ -27,18 +28,18 @@ def noise(seed: int, *key: str) -> Column:
 
 
 def standardized(d: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns with mean 0 and deviation 1 within each domain and gene; constant ones are 0."""
+    """Columns with mean 0 and deviation 1 within each domain and gene; constant ones are 0. Moments, a row for
+    each domain and gene, are broadcast."""
     m = d.groupBy("label", "gene").agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
     scaled = {c: F.when(F.round(f"s_{c}", 12) > 0, (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).otherwise(0.0) for c in columns}
-    return d.join(m, ["label", "gene"]).withColumns(scaled).select(*d.columns)
+    return d.join(F.broadcast(m), ["label", "gene"]).withColumns(scaled).select(*d.columns)
 
 
 def _sums(d: DataFrame, sym: DataFrame, columns: list[str]) -> DataFrame:
     """``gene, n, w`` and, for each pair of columns, the sums of products over neighbours (``e_``) and over points (``p_``)."""
-    pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k:]]
-    other = d.select(F.col("i").alias("j"), "gene", *[F.col(c).alias(c + "2") for c in columns])
-    e = sym.join(d, "i").join(other, ["j", "gene"]).groupBy("gene").agg(F.count("*").alias("w"), *[F.sum(F.col(a) * F.col(b + "2")).alias(f"e_{a}{b}") for a, b in pairs])
-    return d.groupBy("gene").agg(F.count("*").alias("n"), *[F.sum(F.col(a) * F.col(b)).alias(f"p_{a}{b}") for a, b in pairs]).join(e, "gene")
+    two = [(a, b) for k, a in enumerate(columns) for b in columns[k:]]
+    e = pairs(d, sym, *columns).groupBy("gene").agg(F.count("*").alias("w"), *[F.sum(F.col(a) * F.col(b + "j")).alias(f"e_{a}{b}") for a, b in two])
+    return d.groupBy("gene").agg(F.count("*").alias("n"), *[F.sum(F.col(a) * F.col(b)).alias(f"p_{a}{b}") for a, b in two]).join(e, "gene")
 
 
 def _autocorrelation(over_edges: Column, over_points: Column) -> Column:
@@ -50,8 +51,9 @@ def make_twin(v: DataFrame, labels: DataFrame, edges: DataFrame, seed: int = 0)
     sym = saved(symmetric(edges), "twin_edges")
     d = v.join(labels, "i").select("i", "gene", "label", "v", noise(seed, "i", "gene").alias("u"))
     d = saved(d, "twin_noise")
-    near = sym.unionByName(labels.select("i", F.col("i").alias("j"))).join(d.select(F.col("i").alias("j"), "gene", F.col("u").alias("uj")), "j").groupBy("i", "gene").agg(F.avg("uj").alias("s"))
-    field = saved(standardized(d.join(near, ["i", "gene"]).withColumn("r", F.col("v")).select("i", "gene", "label", "v", "r", "u", "s"), ["r", "u", "s"]), "twin_field")
+    near = pairs(d, sym.unionByName(labels.select("i", F.col("i").alias("j"))), "u", "v").groupBy("i", "gene").agg(F.avg("uj").alias("s"), F.first("u").alias("u"), F.first("v").alias("v"))
+    near = saved(near.join(labels, "i").select("i", "gene", "label", "v", F.col("v").alias("r"), "u", "s"), "twin_smoothed")
+    field = saved(standardized(near, ["r", "u", "s"]), "twin_field")
     found = _sums(field.select("i", "gene", "r", "u", "s"), sym, ["r", "u", "s"])
     apart = []
     for t in TRIALS:
@@ -59,16 +61,16 @@ def make_twin(v: DataFrame, labels: DataFrame, edges: DataFrame, seed: int = 0)
         mixed = _autocorrelation(a * a * F.col("e_uu") + 2 * a * b * F.col("e_us") + b * b * F.col("e_ss"), a * a * F.col("p_uu") + 2 * a * b * F.col("p_us") + b * b * F.col("p_ss"))
         apart.append(F.struct(F.round(F.abs(mixed - _autocorrelation(F.col("e_rr"), F.col("p_rr"))), 9).alias("gap"), F.lit(t).alias("share")))
     share = found.select("gene", F.array_min(F.array(*apart))["share"].alias("share"))
-    new = field.join(share, "gene").select("i", "gene", "label", "v", (F.sqrt(1 - F.col("share")) * F.col("u") + F.sqrt("share") * F.col("s")).alias("f"))
-    new = standardized(new, ["f"])
+    new = field.join(F.broadcast(saved(share, "shares")), "gene").select("i", "gene", "label", "v", (F.sqrt(1 - F.col("share")) * F.col("u") + F.sqrt("share") * F.col("s")).alias("f"))
+    new = standardized(saved(new, "twin_mixed"), ["f"])
     cell = v.join(labels, "i").groupBy("label", "gene").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))
-    return new.join(cell, ["label", "gene"]).select("i", "gene", (F.col("m") + F.col("sd") * F.col("f")).alias("v"))
+    return new.join(F.broadcast(cell), ["label", "gene"]).select("i", "gene", (F.col("m") + F.col("sd") * F.col("f")).alias("v"))
 
 
 def gene_features(v: DataFrame, edges: DataFrame) -> DataFrame:
     """``gene, mean, sd, autocorrelation``."""
     m = v.groupBy("gene").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
-    centred = v.join(m, "gene").select("i", "gene", (F.col("v") - F.col("mean")).alias("c"))
+    centred = v.join(F.broadcast(m), "gene").select("i", "gene", (F.col("v") - F.col("mean")).alias("c"))
     a = _sums(centred, symmetric(edges), ["c"]).select("gene", _autocorrelation(F.col("e_cc"), F.col("p_cc")).alias("autocorrelation"))
     return m.join(a, "gene")
 

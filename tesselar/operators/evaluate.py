@@ -16,6 +16,7 @@ from ..plans.tables import saved
 from . import labels
 from .graph import components, fused_pairs, undirected
 from .relational import rank_correlation
+from .svg import rows_of
 
 #: Share of false discoveries that is tolerated, and the overlap from which an instance is found; fixed values.
 ALPHA, FOUND = 0.05, 0.5
@@ -38,7 +39,9 @@ def fdr_control(false_share: Column, alpha: float = ALPHA) -> Column:
 
 def spatial_scores(v: DataFrame, edges: DataFrame) -> DataFrame:
     """``gene, score``: size of the rank correlation of a gene with its mean over each observation's neighbours."""
-    m = edges.select("i", "j").join(v.select(F.col("i").alias("j"), "gene", F.col("v").alias("vj")), "j").groupBy("i", "gene").agg(F.avg("vj").alias("m"))
+    row = rows_of(v, "v").withColumnRenamed("i", "j")  # whole rows go to their neighbours, and are taken apart where they lie by i
+    near = edges.select("i", "j").join(row, "j").repartition("i").select("i", F.explode(F.arrays_zip("genes", "v")).alias("e"))
+    m = near.groupBy("i", F.col("e.genes").alias("gene")).agg(F.avg("e.v").alias("m"))
     both = v.join(m, ["i", "gene"]).select(F.col("gene").alias("g"), F.col("v").alias("a"), F.col("m").alias("b"))
     return rank_correlation(both, "g", "a", "b").select(F.col("g").alias("gene"), F.abs("rho").alias("score"))
 

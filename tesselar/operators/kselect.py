@@ -11,6 +11,7 @@ Draws (first centres, reference points) come from hashes of set-free keys, so th
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterable, Iterator
 
@@ -40,26 +41,78 @@ def uniform(*parts: Column | str) -> Column:
     return (F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
 
 
+def _matrix(b: pa.RecordBatch) -> np.ndarray:
+    return b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+
+
+def _means(weight: float) -> Callable:
+    """Of rows sorted by i, the mean of each i's vectors, blended into its own."""
+
+    def blended(sums: np.ndarray, n: np.ndarray, of: np.ndarray, own: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        made = (1 - weight) * own + weight * (sums[of] / n[of, None])
+        return pa.RecordBatch.from_pydict({"i": pa.array(ids[of], pa.int64()), "vec": pa.array(list(made), pa.list_(pa.float64()))})
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # sum, count, own rows and id of the last i, which the next batch may go on with
+        for b in batches:
+            if not b.num_rows:
+                continue
+            i, x = b.column("i").to_numpy(), _matrix(b)
+            mine = np.flatnonzero(i == b.column("j").to_numpy())
+            starts = np.concatenate([[0], np.flatnonzero(i[1:] != i[:-1]) + 1])
+            sums, n, ids = np.add.reduceat(x, starts, axis=0), np.diff([*starts, len(i)]).astype(float), i[starts]
+            of, own = np.searchsorted(starts, mine, "right") - 1, x[mine]
+            if held is not None and held[3] == ids[0]:
+                sums[0] += held[0]
+                n[0] += held[1]
+                of, own = np.concatenate([np.zeros(len(held[2]), int), of]), np.concatenate([held[2], own])
+            elif held is not None and len(held[2]):
+                yield blended(held[0][None], np.array([held[1]]), np.zeros(len(held[2]), int), held[2], np.array([held[3]]))
+            last = of == len(ids) - 1
+            held = (sums[-1], n[-1], own[last], ids[-1])
+            if not last.all():
+                yield blended(sums, n, of[~last], own[~last], ids)
+        if held is not None and len(held[2]):
+            yield blended(held[0][None], np.array([held[1]]), np.zeros(len(held[2]), int), held[2], np.array([held[3]]))
+
+    return run
+
+
 def smoothed(vecs: DataFrame, edges: DataFrame, weight: float) -> DataFrame:
-    """(1 - w) of each point's vector and w of the mean over itself and its neighbours; whole vectors are joined and added up."""
-    near = edges.select("i", "j").join(vecs.withColumnsRenamed({"i": "j", "vec": "v"}), "j").select("i", "v").unionByName(vecs.select("i", F.col("vec").alias("v")))
-    g = near.select("i", F.posexplode("v").alias("g", "x")).groupBy("i", "g").agg(F.avg("x").alias("m")).groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "m"))), lambda s: s["m"]).alias("m"))
-    return vecs.join(g, "i").select("i", F.zip_with("vec", "m", lambda a, b: (1 - weight) * a + weight * b).alias("vec"))
+    """(1 - w) of each point's vector and w of the mean over itself and its neighbours; whole vectors are joined and added up
+    where their point lies."""
+    near = edges.select("i", "j").join(vecs.withColumnRenamed("i", "j"), "j").select("i", "j", "vec").unionByName(vecs.select("i", F.col("i").alias("j"), "vec"))
+    return near.repartition("i").sortWithinPartitions("i", "j").mapInArrow(_means(weight), "i long, vec array<double>")
+
+
+def _drawn(lo: np.ndarray, hi: np.ndarray, n: int) -> Callable:
+    """``uniform(r, i, g)`` for each set r, point i and dimension g, between ``lo`` and ``hi``."""
+    ends = [str(g).encode() for g in range(len(lo))]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("i").to_pylist()
+            for r in range(1, n + 1):
+                heads = (f"{r}:{i}:".encode() for i in ids)
+                found = b"".join([hashlib.md5(h + e, usedforsecurity=False).digest()[:4] for h in heads for e in ends])
+                u = (np.frombuffer(found, ">u4").astype(float) + 0.5) / 4294967296.0
+                vec = lo + (hi - lo) * u.reshape(len(ids), len(lo))
+                yield pa.RecordBatch.from_arrays([pa.array([f"reference{r}"] * len(ids), pa.string()), b.column("i"), pa.array(list(vec), pa.list_(pa.float64()))], names=["set", "i", "vec"])
+
+    return run
 
 
 def references(vecs: DataFrame, n: int = REFERENCES) -> DataFrame:
     """(set, i, vec): ``n`` sets of as many points, uniform between the least and the greatest value of each dimension."""
-    box = vecs.select(F.posexplode("vec").alias("g", "v")).groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    box = F.broadcast(box.agg(F.array_sort(F.collect_list(F.struct("g", "lo", "hi"))).alias("box")))  # one row of dimensions
-    d = vecs.crossJoin(box).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    draw = F.transform("box", lambda b: b["lo"] + (b["hi"] - b["lo"]) * uniform(F.col("r"), F.col("i"), b["g"]))
-    return d.select(F.concat(F.lit("reference"), F.col("r")).alias("set"), "i", draw.alias("vec"))
+    box = vecs.select(F.posexplode("vec").alias("g", "v")).groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("g").collect()  # one row for each dimension
+    lo, hi = (np.array([r[c] for r in box], float) for c in ("lo", "hi"))
+    return vecs.select(F.col("i").cast("long").alias("i")).mapInArrow(_drawn(lo, hi, n), "set string, i long, vec array<double>")
 
 
 def _rows(b: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """(set, places, matrix) of a batch's sets."""
     sets = np.array(b.column("set").to_pylist(), object)
-    flat = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+    flat = _matrix(b)
     for s in sorted(set(sets)):
         at = np.flatnonzero(sets == s)
         yield s, at, flat[at]
@@ -70,6 +123,42 @@ def _apart(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.stack([((x - y) ** 2).sum(1) for y in c], 1)
 
 
+#: Share of both squared lengths below which a squared distance that came from a product is summed up again.
+CLOSE = 1e-5
+
+
+def _products(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """``_apart`` by a product of matrices; what is small beside the lengths is summed up as there, so equal rows are 0 apart."""
+    x2, c2 = (x * x).sum(1), (c * c).sum(1)
+    d = np.concatenate([x, x2[:, None], np.ones((len(x), 1))], axis=1) @ np.concatenate([-2 * c, np.ones((len(c), 1)), c2[:, None]], axis=1).T
+    some = np.flatnonzero(~(d.min(1) > CLOSE * (x2 + c2.max(initial=0))))
+    r, q = np.nonzero(~(d[some] > CLOSE * (x2[some, None] + c2)))
+    r = some[r]
+    for lo in range(0, len(r), 65_536):
+        r1, q1 = r[lo : lo + 65_536], q[lo : lo + 65_536]
+        d[r1, q1] = ((x[r1] - c[q1]) ** 2).sum(1)
+    return d
+
+
+def _nearest(x: np.ndarray, centres: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each row the number of its nearest centre, for each table of centres. One product bounds all distances; rows of which
+    two centres are as near as that can tell are measured one by one."""
+    c = np.concatenate(centres)
+    c2 = (c * c).sum(1)
+    d = x @ (-2 * c.T) + c2
+    slack = 1e-12 * ((x * x).sum(1) + c2.max())
+    out, at = [], 0
+    for one in centres:
+        part = d[:, at : at + len(one)]
+        lab = part.argmin(1)
+        unsure = np.flatnonzero(~((part <= part.min(1)[:, None] + slack[:, None]).sum(1) == 1))
+        if len(unsure):
+            lab[unsure] = _apart(x[unsure], one).argmin(1)
+        out.append(lab)
+        at += len(one)
+    return out
+
+
 def _next_seed(seeds: dict[str, np.ndarray]) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[str, tuple[float, int, list[float]]] = {}
@@ -78,7 +167,7 @@ def _next_seed(seeds: dict[str, np.ndarray]) -> Callable:
                 continue
             ids, race = b.column("i").to_numpy(), -np.log(b.column("u").to_numpy())
             for s, at, x in _rows(b):
-                far = _apart(x, seeds[s]).min(1) if s in seeds else np.ones(len(at))
+                far = _products(x, seeds[s]).min(1) if s in seeds else np.ones(len(at))
                 ok = far > 0
                 if ok.any():
                     key = np.where(ok, race[at] / np.where(ok, far, 1), np.inf)
@@ -107,7 +196,8 @@ Centres = dict[tuple[str, int], np.ndarray]
 
 
 def _partial(centres: Centres, means: Centres | None = None) -> Callable:
-    """A task's sums by (set, k, cluster): points, values, squares, and with ``means`` the distances from a cluster's mean."""
+    """A task's sums by (set, k, cluster): points and values, and with ``means`` the squares and the distances from a cluster's
+    mean. Points are added up by a product with a table of who belongs where."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int, int], np.ndarray] = {}
@@ -115,15 +205,18 @@ def _partial(centres: Centres, means: Centres | None = None) -> Callable:
             if not b.num_rows:
                 continue
             for s, _, x in _rows(b):
-                for (t, k), c in centres.items():
-                    if t != s:
-                        continue
-                    lab = _apart(x, c).argmin(1)
-                    spread = np.zeros(len(x)) if means is None else np.sqrt(((x - means[s, k][lab]) ** 2).sum(1))
-                    whole = np.column_stack([np.ones(len(x)), spread, x, x * x])
-                    for q in np.unique(lab).tolist():
-                        add = whole[lab == q].sum(0)
-                        held[s, k, q] = held[s, k, q] + add if (s, k, q) in held else add
+                ks = [k for t, k in centres if t == s]
+                if not ks:
+                    continue
+                rows, values = np.arange(len(x)), np.column_stack([np.ones(len(x)), np.zeros(len(x)), x, *([] if means is None else [x * x])])
+                for k, lab in zip(ks, _nearest(x, [centres[s, k] for k in ks]), strict=True):
+                    if means is not None:
+                        values[:, 1] = np.sqrt(((x - means[s, k][lab]) ** 2).sum(1))
+                    belongs = np.zeros((len(x), len(centres[s, k])))
+                    belongs[rows, lab] = 1
+                    added = belongs.T @ values
+                    for q in np.flatnonzero(added[:, 0]).tolist():
+                        held[s, k, q] = held[s, k, q] + added[q] if (s, k, q) in held else added[q]
         if held:
             keys = list(held)
             yield pa.RecordBatch.from_pydict({"set": [x[0] for x in keys], "k": pa.array([x[1] for x in keys], pa.int32()), "c": pa.array([x[2] for x in keys], pa.int32()), "sums": pa.array([held[x].tolist() for x in keys], pa.list_(pa.float64()))})
@@ -149,7 +242,7 @@ def _added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sums(points: DataFrame, centres: Centres, means: Centres | None = None) -> dict[tuple[str, int], dict[int, np.ndarray]]:
     schema = "set string, k int, c int, sums array<double>"
-    rows = points.mapInArrow(_partial(centres, means), schema).repartition("set", "k", "c").sortWithinPartitions("set", "k", "c").mapInArrow(_added, schema)
+    rows = points.mapInArrow(_partial(centres, means), schema).repartition("set", "k", "c").sortWithinPartitions("set", "k", "c", "sums").mapInArrow(_added, schema)
     out: dict[tuple[str, int], dict[int, np.ndarray]] = {}
     for r in rows.collect():  # one row for each cluster
         out.setdefault((r["set"], r["k"]), {})[r["c"]] = np.array(r["sums"])
@@ -186,8 +279,8 @@ def _labels(centres: Centres, ks: list[int]) -> Callable:
                 continue
             out = np.zeros((b.num_rows, len(ks)), np.int32)
             for s, at, x in _rows(b):
-                for j, k in enumerate(ks):
-                    out[at, j] = _apart(x, centres[s, k]).argmin(1)
+                for j, lab in enumerate(_nearest(x, [centres[s, k] for k in ks])):
+                    out[at, j] = lab
             yield pa.RecordBatch.from_arrays([b.column("set"), b.column("i"), b.column("vec"), pa.array(out.tolist(), pa.list_(pa.int32()))], names=["set", "i", "vec", "labels"])
 
     return run
@@ -201,19 +294,20 @@ def labelled(points: DataFrame, centres: Centres, ks: list[int]) -> DataFrame:
 def _silhouettes(x0: np.ndarray, i0: np.ndarray, l0: np.ndarray, counts: list[np.ndarray]) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(l0.shape[1]), 0
+        ends = np.cumsum([0, *[len(c) for c in counts]])
+        belongs = np.concatenate([np.eye(len(c))[l0[:, j]] for j, c in enumerate(counts)], axis=1)
         for b in batches:
             if not b.num_rows:
                 continue
-            x = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            x = _matrix(b)
             lab = b.column("labels").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             ids = b.column("i").to_numpy()
             for lo in range(0, len(x), 256):
                 part, own, me = x[lo : lo + 256], lab[lo : lo + 256], ids[lo : lo + 256]
-                d = np.sqrt(np.stack([((part - y) ** 2).sum(1) for y in x0], 1))
-                seen = (me[:, None] == i0[None, :]).any(1)
+                every = np.sqrt(_products(part, x0)) @ belongs
+                seen = np.isin(me, i0)
                 for j in range(l0.shape[1]):
-                    m = len(counts[j])
-                    by = d @ np.eye(m)[l0[:, j]]
+                    by = every[:, ends[j] : ends[j + 1]]
                     size = np.tile(counts[j].astype(float), (len(part), 1))
                     rows = np.arange(len(part))
                     size[rows, own[:, j]] -= seen

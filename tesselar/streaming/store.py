@@ -3,7 +3,7 @@
 The store is a Parquet folder partitioned by the hash of a record's key, so a batch of records, or of corrections, reads
 only the buckets that it touches, whatever the store has grown to. A record is never changed: a correction is a new line
 with the same content hash, and the line ingested last stands for the record. What was written once is not written again,
-so a batch may be replayed, also one that was half written.
+so a batch may be replayed, also one that was half written. A batch leaves one file in a bucket, more only where it is large.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Buckets of a store; a batch's buckets are listed on the driver.
 BUCKETS = 64
+#: Hexadecimal digits by which the digests of a bundle's records are dealt.
+PREFIX = 3
 #: What a record's evidence may be; fixed values.
 STATES = ("verified", "unverified", "disputed")
 #: A logical record, and a line of its history.
@@ -37,33 +39,43 @@ def read(spark: SparkSession, path: str, like: DataFrame | None = None) -> DataF
         return like.limit(0)
 
 
-def append_new(batch: DataFrame, path: str, keys: list[str], order: str = "line_no") -> int:
-    """Append the rows whose key the store lacks, the first of each key by ``order``; how many. ``batch`` is read more than once."""
+def append_new(batch: DataFrame, path: str, keys: list[str], order: str = "line_no", states: bool = False) -> int:
+    """Append the rows whose key the store lacks, the first of each key by ``order``; how many. ``batch`` is read once. With
+    ``states``, a status that is none of ``STATES`` is an error, whichever row has it: such rows come first of their key."""
     spark = batch.sparkSession
     rows = batch.withColumn("bucket", _bucket(keys))
-    touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # BUCKETS numbers at most
-    have = read(spark, path, rows).filter(F.col("bucket").isin(touched)).select(*keys).distinct()
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("_n = 1").drop("_n")
-    same = None
-    for k in keys:
-        one = first[k].eqNullSafe(have[k])
-        same = one if same is None else same & one
-    new = first.join(have, same, "left_anti").persist()
+    by = [F.coalesce(F.col("verification_status").isin(*STATES), F.lit(False)), order] if states else [order]
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).filter("_n = 1").drop("_n").persist()
     try:
-        n = new.count()
-        if n:
-            new.write.mode("append").partitionBy("bucket").parquet(path)
-        return n
+        touched = [r[0] for r in first.select("bucket").distinct().collect()]  # BUCKETS numbers at most
+        if states:
+            checked(first)
+        have = read(spark, path, rows).filter(F.col("bucket").isin(touched)).select(*keys).distinct()
+        same = None
+        for k in keys:
+            one = first[k].eqNullSafe(have[k])
+            same = one if same is None else same & one
+        new = first.join(have, same, "left_anti").persist()
+        try:
+            n = new.count()
+            if n:
+                new.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(path)
+            return n
+        finally:
+            new.unpersist()
     finally:
-        new.unpersist()
+        first.unpersist()
 
 
 def with_content_hash(records: DataFrame, bundle: str = "bundle_id") -> DataFrame:
-    """Records with the SHA-256 of their bundle: of its records' own digests, in order. What is said of a record later (status,
-    provenance) is no part of it, and neither the order of columns nor that of rows matters."""
+    """Records with the SHA-256 of their bundle: of its records' own digests in order, those that begin alike (``PREFIX`` digits)
+    hashed first and their hashes then, so that no task holds a bundle. What is said of a record later (status, provenance)
+    is no part of it, and neither the order of columns nor that of rows matters."""
     names = sorted(c for c in records.columns if c not in UNSIGNED)
     own = F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
-    whole = records.select(bundle, own.alias("_d")).groupBy(bundle).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_d")), "\n"), 256).alias("content_hash"))  # 64 bytes for a record of one bundle
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    parts = records.select(bundle, own.alias("_d")).groupBy(bundle, F.substring("_d", 1, PREFIX).alias("_p")).agg(joined("_d").alias("_d"))
+    whole = parts.groupBy(bundle).agg(joined(F.concat("_p", F.lit(":"), "_d")).alias("content_hash"))  # 16 ** PREFIX parts at most
     return records.drop("content_hash").join(whole, bundle)
 
 
@@ -77,7 +89,7 @@ def checked(records: DataFrame) -> DataFrame:
 
 def append_bundles(records: DataFrame, path: str) -> int:
     """Append records with a content hash, each once: a bundle that comes again adds nothing, a reproduction by others is new."""
-    return append_new(checked(records), path, KEY)
+    return append_new(records, path, KEY, states=True)
 
 
 def append_corrections(spark: SparkSession, path: str, changes: DataFrame) -> int:
@@ -95,7 +107,7 @@ def append_corrections(spark: SparkSession, path: str, changes: DataFrame) -> in
     try:
         n = fresh.count()
         if n:
-            fresh.write.mode("append").partitionBy("bucket").parquet(path)
+            fresh.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(path)
         return n
     finally:
         fresh.unpersist()

@@ -69,3 +69,18 @@ def test_stream_and_half_written_batch(spark, tmp_path):
     b.write.json(str(tmp_path / "feed"))
     S.ingest_bundles(spark, str(tmp_path / "feed"), path, b._jdf.schema().toDDL()).awaitTermination()
     assert spark.read.parquet(path).count() == 4
+
+
+def test_bundles_are_hashed_by_parts_and_read_once(spark, tmp_path):
+    b = records(spark, [("d", "m", i, 0.1) for i in range(40)])
+    plan = S.with_content_hash(b)._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(" in plan  # a bundle's digests are dealt before they are gathered
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: read.add(1) or x, "string").asNondeterministic()
+    batch = S.with_content_hash(b).withColumn("method", seen("method"))
+    assert S.append_bundles(batch, str(tmp_path / "s")) == 40 and read.value == 40
+    files = [f.parent.name for f in (tmp_path / "s").rglob("*.parquet")]
+    assert len(files) == len(set(files))  # one in a bucket
+    late = S.with_content_hash(records(spark, ROWS[:1])).unionByName(S.with_content_hash(records(spark, ROWS[:1], status="rejected")).withColumn("line_no", F.lit(9).cast("long")))
+    with pytest.raises(ValueError, match="rejected"):
+        S.append_bundles(late, str(tmp_path / "s"))

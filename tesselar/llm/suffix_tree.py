@@ -6,25 +6,25 @@ with a transition is a candidate: the tree grows with the corpus. A context is r
 enough from what follows its longest retained proper suffix; its distribution is then its own discounted counts and, for
 what the discount frees, its suffix's, so it sums to one.
 
-Texts are turned into symbols once and kept as a table. Levels are counted from it one after the other, partly aggregated
-in each task, and joined by context to the level below. To be scored, tokens go to lanes by the last word of their context,
-packed many to a row, and meet there the part of the tree whose contexts end in those words; a frequent word has several
-lanes, and its longer contexts are dealt to them. No task and no worker holds the tree. ``SuffixTree`` is the same tree in
-memory, for small alphabets and for tests.
+Texts are turned into symbols once and kept as a table. Tokens go once to lanes by the last word of their context, packed many
+to a row; a lane has all that follows its contexts, so it counts them, tests them against their suffixes and scores its tokens,
+and gives back sums for each text. A word with more tokens than a lane should have, and so on for longer contexts, is counted
+beforehand, has several lanes, and each of them gets its counts. No task and no worker holds the tree. ``SuffixTree`` is the
+same tree in memory, for small alphabets and for tests.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,15 +40,13 @@ END = b""
 SYMBOL_BYTES = 64
 #: Transitions seen less often say nothing of their own.
 MIN_COUNT = 2
-#: Bits of a symbol in a packed context, of which the last symbol has the lowest bits; words of a context at most.
+#: Bits of a symbol in a packed context; words of a context at most.
 BITS, DEEPEST = 21, 3
 MASK = (1 << BITS) - 1
 #: Distinct counts, or tokens, that a task holds before it hands them on.
-HELD = 1_500_000
-#: Passes over the symbols in which contexts of the greatest length are counted, each a part of them.
-PASSES = 2
-#: Tokens of a lane, as a goal, and passes in which lanes are filled, each a part of them, so that less lies on disk at once.
-LANE, LANE_PASSES = 4_000_000, 3
+HELD = 1_000_000
+#: Tokens of a lane, as a goal, where there are many and where there are few.
+LANE, LEAST = 1_000_000, 100_000
 
 
 @dataclass
@@ -213,16 +211,25 @@ def _encoded(source: DataFrame, sent: Broadcast, schema: T.StructType) -> DataFr
         for b in batches:
             if not b.num_rows:
                 continue
-            texts = _texts(b)
-            ids, starts = model.read(texts)
+            flat: list[bytes] = []
+            starts = np.zeros(b.num_rows, np.int64)
+            for i, ws in enumerate(_texts(b)):
+                starts[i] = len(flat)
+                flat += ws
+                flat.append(END)
+            ids = np.fromiter(map(model.symbols.get, flat, repeat(0)), np.int64, len(flat))
             by_text = lambda x: np.add.reduceat(x, starts)
             n_rare = by_text((ids == 0).astype(np.int64))
-            few = [Counter(w for w in (*ws, END) if w not in model.symbols) if k else {} for k, ws in zip(n_rare, texts, strict=True)]
+            ends = np.cumsum(n_rare)
+            rare = [flat[i] for i in np.flatnonzero(ids == 0)]
+            few = [Counter(rare[i:j]) for i, j in zip(ends - n_rare, ends, strict=True)]
+            pairs = pa.StructArray.from_arrays([pa.array([w for x in few for w in x], pa.binary()), pa.array([n for x in few for n in x.values()], pa.int64())], fields=list(arrow.field("rare").type.value_type))
+            offsets = pa.array(np.cumsum([0, *map(len, few)]), pa.int32())
             cuts = np.split(ids.astype(np.uint32), starts[1:])
             made = {
-                "row": b.column("row"), "doc_id": b.column("doc_id"), "train": b.column("train"), "n_tokens": pa.array([len(ws) + 1 for ws in texts], pa.int64()), "n_rare": pa.array(n_rare),
+                "row": b.column("row"), "doc_id": b.column("doc_id"), "train": b.column("train"), "n_tokens": pa.array(np.diff([*starts, len(ids)])), "n_rare": pa.array(n_rare),
                 "base": pa.array(by_text(base_log[ids]) - n_rare * np.log10(model.whole)), "score": pa.array(by_text(root_log[ids]) - n_rare * np.log10(model.rare_whole)),
-                "ids": pa.array([x.tobytes() for x in cuts], pa.binary()), "rare": pa.array([[{"word": w, "n": n} for w, n in x.items()] for x in few], arrow.field("rare").type),
+                "ids": pa.array([x.tobytes() for x in cuts], pa.binary()), "rare": pa.ListArray.from_arrays(offsets, pairs, arrow.field("rare").type),
             }
             yield pa.RecordBatch.from_arrays([made[f.name] for f in arrow], schema=arrow)
 
@@ -238,21 +245,18 @@ def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, text, np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def _contexts(ids: np.ndarray, k: int) -> np.ndarray:
-    """The packed k symbols before each token; the first k tokens have some of those before them in the batch."""
+def _turned(ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The packed symbols before each token, the last one in the highest bits, zeros where its text has none: contexts with a
+    common end lie together, and a shorter context is what is left when the lowest symbols are shifted out."""
     out = np.zeros(len(ids), np.int64)
-    for back in range(1, k + 1):
-        out[back:] |= ids[:-back] << (BITS * (back - 1))
+    for back in range(1, DEEPEST + 1):
+        out[back:] |= np.where(place[back:] >= back, ids[:-back], 0) << BITS * (DEEPEST - back)
     return out
 
 
-def _turned(ctx: np.ndarray, k: int) -> np.ndarray:
-    """Packed contexts of k symbols with the last symbol in the highest bits: in their order, those with a common end lie
-    together, whatever their length."""
-    out = np.zeros(len(ctx), np.int64)
-    for back in range(k):
-        out |= (ctx >> BITS * back & MASK) << BITS * (k - 1 - back)
-    return out
+def _ends(turned: np.ndarray, k: int) -> np.ndarray:
+    """The last k symbols of contexts."""
+    return turned >> BITS * (DEEPEST - k)
 
 
 def _hash(x: np.ndarray) -> np.ndarray:
@@ -261,312 +265,349 @@ def _hash(x: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(8)).astype(np.int64)
 
 
-def _added(ctx: np.ndarray, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct transitions, and ``n`` added up for each."""
-    if not len(ctx):
-        return ctx, x, n
-    order = np.lexsort((x, ctx))
-    ctx, x, n = ctx[order], x[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (x[1:] != x[:-1])]))
-    return ctx[first], x[first], np.add.reduceat(n, first)
+def _packed(*columns: np.ndarray) -> bytes:
+    """Of each column all first bytes before all second ones, compressed."""
+    return pa.compress(b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns), "zstd", asbytes=True)
 
 
-def _transitions(encoded: DataFrame, k: int, part: int, parts: int, least: float) -> DataFrame:
-    """(ctx, x, n, whole) of the runs of k + 1 symbols seen ``MIN_COUNT`` times in the texts that are learnt from; ``whole`` is
-    how often the context was seen. One part of the contexts."""
+def _unpacked(packed: bytes, n: int, types: list) -> list[np.ndarray]:
+    widths = [np.dtype(t).itemsize for t in types]
+    raw = np.frombuffer(pa.decompress(packed, n * sum(widths), "zstd", asbytes=True), np.uint8)
+    cuts = np.split(raw, n * np.cumsum(widths)[:-1])
+    return [np.ascontiguousarray(c.reshape(w, n).T).view(t).ravel() for c, w, t in zip(cuts, widths, types, strict=True)]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        out = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1], pa.int32()), pa.array(x[2], pa.int64())], names=["ctx", "x", "n"])
-        merged = lambda: _added(*(np.concatenate(c) for c in zip(*held, strict=True)))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids, _, place = _symbols(b.column("ids"))
-            ctx, ok = _contexts(ids, k), place >= k
-            if parts > 1:
-                ok &= _hash(ctx) % parts == part
-            held.append(_added(ctx[ok], ids[ok], np.ones(int(ok.sum()), np.int64)))
-            size += len(held[-1][0])
-            if size > HELD:
-                held = [merged()]
-                size = len(held[0][0])
-                if 2 * size > HELD:
-                    yield out(held[0])
-                    held, size = [], 0
-        if size:
-            yield out(merged())
 
-    dealt = encoded.filter("train").select("ids").mapInArrow(run, "ctx long, x int, n long").repartition("ctx").sortWithinPartitions("ctx", "x")
-    return dealt.mapInArrow(_summed(least), "ctx long, x int, n long, whole long")
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
-def _summed(least: float) -> Callable:
-    """From rows sorted by context and symbol: transitions seen often enough of contexts seen often enough, counts added up.
+@dataclass
+class Lanes:
+    """How tokens are dealt: by the last word of their contexts, to about ``size`` tokens a lane.
 
-    Holds the transitions of one context, which are no more than there are symbols.
+    A word with more is a hot context. It has lanes of its own, from ``first`` on, ``many`` of them, to which its tokens go by
+    their shortest context that is not hot. ``hot`` has for each length the hot contexts, sorted, and ``whole`` how often each
+    was seen; what follows them is counted beforehand and sent to all lanes of their last word. All other contexts lie in one
+    lane with all that follows them.
     """
 
+    n: int
+    size: int
+    first: np.ndarray
+    many: np.ndarray
+    hot: list[np.ndarray]
+    whole: list[np.ndarray]
+
+    @classmethod
+    def over(cls, counts: np.ndarray, partitions: int) -> Lanes:
+        """From the counts of the symbols that can be in a context."""
+        size = max(min(int(counts.sum()) // partitions, LANE), min(LANE, LEAST)) + 1
+        many = np.where(counts > size, -(-counts // size), 0)
+        hot = np.flatnonzero(many)
+        own = int(many.sum())
+        lane = own + np.cumsum(np.where(many, 0, counts)) // size
+        lane[hot] = np.cumsum(many[hot]) - many[hot]
+        return cls(int(max(lane.max() + 1, own)), size, lane, many, [hot], [counts[hot]])
+
+    def lane(self, turned: np.ndarray, row: np.ndarray, depth: int) -> np.ndarray:
+        last = _ends(turned, 1)
+        out = self.first[last]
+        at = np.flatnonzero(self.many[last])
+        key = _hash(row[at])
+        for k in range(depth, 1, -1):
+            ctx = _ends(turned[at], k)
+            cold = _find(self.hot[k - 1], ctx) < 0 if k <= len(self.hot) else np.ones(len(at), bool)
+            key[cold] = _hash(ctx[cold])
+        out[at] += key % self.many[last[at]]
+        return out
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, sorted, and their counts added up."""
+    codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+    return codes, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+
+
+def _hot_runs(k: int, lanes: Broadcast) -> Callable:
+    """Of the texts that are learnt from, what follows hot contexts of k symbols, added up in part; a code is a context's number
+    and a symbol. Codes go to as many buckets as there are lanes, many to a row."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple[np.ndarray, ...] | None = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        hot, size = lanes.value.hot[k - 1], 0
 
-        def out(ctx: np.ndarray, x: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            whole_at = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
-            whole = np.repeat(np.add.reduceat(n, whole_at), np.diff([*whole_at, len(ctx)]))
-            ok = (n >= MIN_COUNT) & (whole >= least)
-            return pa.RecordBatch.from_arrays([pa.array(ctx[ok]), pa.array(x[ok], pa.int32()), pa.array(n[ok]), pa.array(whole[ok])], names=["ctx", "x", "n", "whole"])
+        def out() -> pa.RecordBatch:
+            codes, n = held[0]
+            bucket = _hash(codes) % lanes.value.n
+            order = np.argsort(bucket, kind="stable")
+            codes, n, bucket = codes[order], n[order], bucket[order]
+            cuts = _starts(bucket)
+            slices = [slice(i, j) for i, j in zip(cuts, [*cuts[1:], len(codes)], strict=True)]
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[cuts], pa.int32()), "n": pa.array([s.stop - s.start for s in slices], pa.int32()), "codes": pa.array([_packed(codes[s], n[s]) for s in slices], pa.binary())})
 
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = tuple(b.column(c).to_numpy() for c in ("ctx", "x", "n"))
-            if rest is not None:
-                cols = tuple(np.concatenate(c) for c in zip(rest, cols, strict=True))
-            ctx, x, n = cols
-            first = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (x[1:] != x[:-1])]))
-            ctx, x, n = ctx[first], x[first], np.add.reduceat(n, first)
-            cut = np.searchsorted(ctx, ctx[-1])  # the last context may go on in the next batch
-            rest = ctx[cut:], x[cut:], n[cut:]
-            if cut:
-                yield out(ctx[:cut], x[:cut], n[:cut])
-        if rest is not None:
-            yield out(*rest)
+            ids, _, place = _symbols(b.column("ids"))
+            which = _find(hot, _ends(_turned(ids, place), k))
+            ok = (which >= 0) & (place >= k)
+            held.append(np.unique(which[ok] << BITS | ids[ok], return_counts=True))
+            size += len(held[-1][0])
+            if size > HELD:
+                held[:] = [_merged(held)]
+                size = len(held[0][0])
+                if 2 * size > HELD:
+                    yield out()
+                    held.clear()
+                    size = 0
+        if size:
+            held[:] = [_merged(held)]
+            yield out()
 
     return run
 
 
-def _level(runs: DataFrame, lower: DataFrame, k: int, min_gain: float) -> DataFrame:
-    """(ctx, x, n, whole, p, kept, first): of every transition its probability after its context, or after the context's longest
-    retained suffix where the context is not kept. ``lower``: (ctx, x, lower) of the level below."""
-    suffix = F.col("ctx").bitwiseAND((1 << (BITS * (k - 1))) - 1)
-    met = runs.withColumn("suffix", suffix).join(lower.withColumnRenamed("ctx", "suffix"), ["suffix", "x"]).select("ctx", "x", "n", "whole", "lower")
-    same = Window.partitionBy("ctx")
-    seen = met.withColumn("spread", 1 - F.sum(F.col("n") - DISCOUNT).over(same) / F.col("whole"))
-    seen = seen.withColumn("own", (F.col("n") - DISCOUNT) / F.col("whole") + F.col("spread") * F.col("lower"))
-    gain = F.sum(F.col("n") * F.log(F.col("own") / F.col("lower"))).over(same) + (F.col("whole") - F.sum("n").over(same)) * F.log("spread")
-    kept = seen.withColumn("kept", gain >= min_gain)
-    return kept.select("ctx", "x", "n", "whole", F.when(F.col("kept"), F.col("own")).otherwise(F.col("lower")).alias("p"), "kept", (F.row_number().over(same.orderBy("x")) == 1).alias("first"))
-
+def _hot_sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(code, n) seen ``MIN_COUNT`` times, from rows of ``_hot_runs`` sorted by bucket. Holds the codes of one bucket."""
+    last, held, size = None, [], 0
 
-@dataclass
-class Lanes:
-    """How tokens and the tree are dealt: ``n`` lanes, and of each symbol how many it has."""
-
-    n: int
-    of: np.ndarray
-
-    @classmethod
-    def over(cls, counts: np.ndarray, least: int) -> Lanes:
-        n = max(least, int(counts.sum() // LANE) + 1)
-        return cls(n, np.minimum(np.ceil(counts * n / max(counts.sum(), 1)).astype(np.int64), n).clip(1))
-
-    def lane(self, last: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-        """Of contexts of the greatest length (shorter ones, at the start of texts, are packed with zeros)."""
-        return (_hash(last) + _hash(ctx) % self.of[last]) % self.n
+    def out() -> pa.RecordBatch:
+        codes, n = _merged(held)
+        return pa.RecordBatch.from_pydict({"code": pa.array(codes[n >= MIN_COUNT]), "n": pa.array(n[n >= MIN_COUNT])})
 
-    def tree_lanes(self, ctx: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where rows of the tree go: each row's number as often as it has lanes, and those lanes."""
-        last = ctx & MASK
-        if k == DEEPEST:
-            return np.arange(len(ctx)), self.lane(last, ctx)
-        many = self.of[last]
-        at = np.repeat(np.arange(len(ctx)), many)
-        return at, (_hash(last)[at] + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)) % self.n
+    for b in batches:
+        for bucket, m, codes in zip(*(b.column(c).to_pylist() for c in ("bucket", "n", "codes")), strict=True):
+            if held and bucket != last:
+                yield out()
+                held, size = [], 0
+            last = bucket
+            held.append(tuple(_unpacked(codes, m, [np.int64, np.int64])))
+            size += m
+            if size > HELD:
+                held = [_merged(held)]
+                size = 0
+    if held:
+        yield out()
 
 
-LANED = "lane int, kind int, level int, chunk long, rows binary, tokens binary"
+LANED = "lane int, level int, chunk long, n int, rows binary, tokens binary"
+#: What is packed of a token: the number of words before it in bits 0 and 1, whether it is learnt from in bit 2 and begins
+#: another text in bit 3; its symbol, and the symbols before it, the last one first. Of the tree: how often it was seen.
+TOKEN = [np.uint8, *[np.uint32] * (1 + DEEPEST)]
+NODE = [np.int64, *[np.uint32] * (1 + DEEPEST)]
 
 
 def _laned(columns: dict[str, list], n: int) -> pa.RecordBatch:
-    types = {"lane": pa.int32(), "kind": pa.int32(), "level": pa.int32(), "chunk": pa.int64(), "rows": pa.binary(), "tokens": pa.binary()}
+    types = {"lane": pa.int32(), "level": pa.int32(), "chunk": pa.int64(), "n": pa.int32(), "rows": pa.binary(), "tokens": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items()], names=list(types))
 
 
-def _planes(*columns: np.ndarray) -> bytes:
-    """Whole numbers below 2^32, all first bytes before all second ones, compressed."""
-    return zlib.compress(b"".join(c.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns), 1)
+def _words(turned: np.ndarray) -> list[np.ndarray]:
+    return [(turned >> BITS * k & MASK).astype(np.uint32) for k in reversed(range(DEEPEST))]
 
 
-def _columns(packed: bytes, n: int) -> list[np.ndarray]:
-    raw = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(n, 4, -1)
-    return [np.ascontiguousarray(p.T).view(np.uint32).ravel().astype(np.int64) for p in raw]
+def _packed_rows(rows: np.ndarray) -> bytes:
+    """Rising numbers, as differences."""
+    return _packed(np.diff(rows, prepend=0))
 
 
-def _tree_rows(level: int, lanes: Broadcast, part: int, parts: int) -> Callable:
-    """Kept transitions by lane, many to a row: contexts turned, symbols, counts."""
+def _tree_rows(k: int, lanes: Broadcast) -> Callable:
+    """What follows hot contexts of k symbols, for each lane of their last word, many to a row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            lane, ctx, x, n, whole = (np.concatenate(c) for c in zip(*held, strict=True))
-            held.clear()
-            order = np.lexsort((x, ctx, lane))
-            lane, ctx, x, n, whole = lane[order], ctx[order], x[order], n[order], whole[order]
-            starts = np.flatnonzero(np.concatenate([[True], lane[1:] != lane[:-1]]))
-            words_ = [ctx >> BITS * k & MASK for k in reversed(range(level))]
-            rows = [_planes(*(c[i:j] for c in (*words_, x, n >> 32, n & 0xFFFFFFFF, whole >> 32, whole & 0xFFFFFFFF))) for i, j in zip(starts, [*starts[1:], len(lane)], strict=True)]
-            return _laned({"lane": lane[starts], "kind": np.zeros(len(starts), np.int32), "level": np.full(len(starts), level), "tokens": rows}, len(starts))
-
+        deal = lanes.value
         for b in batches:
-            ctx = b.column("ctx").to_numpy()
-            at, lane = lanes.value.tree_lanes(ctx, level)
-            at, lane = at[lane % parts == part], lane[lane % parts == part]
-            held.append((lane, _turned(ctx[at], level), *(b.column(c).to_numpy()[at].astype(np.int64) for c in ("x", "n", "whole"))))
-            size += len(at)
-            if size > HELD:
-                yield out()
-                size = 0
-        if size:
-            yield out()
+            code, n = b.column("code").to_numpy(), b.column("n").to_numpy()
+            turned = deal.hot[k - 1][code >> BITS] << BITS * (DEEPEST - k)
+            last = _ends(turned, 1)
+            order = np.argsort(last, kind="stable")
+            cuts = _starts(last[order])
+            for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                at = order[i:j]
+                word, packed = last[at[0]], _packed(n[at], (code[at] & MASK).astype(np.uint32), *_words(turned[at]))
+                m = int(deal.many[word])
+                yield _laned({"lane": deal.first[word] + np.arange(m), "level": [k] * m, "n": [j - i] * m, "tokens": [packed] * m}, m)
 
     return run
 
 
-def _token_rows(depth: int, lanes: Broadcast, part: int, parts: int) -> Callable:
-    """A task's tokens by lane, many to a row: a token is its text's row, the packed context and the symbol, by columns; equal
-    ones of a text are one with a count."""
+def _token_rows(depth: int, lanes: Broadcast) -> Callable:
+    """A task's tokens by lane, many to a row, in the order of their texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, chunk = [], 0, TaskContext.get().partitionId() << 32
 
-        def out() -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
             nonlocal chunk
             chunk += 1
-            row, ctx, x, place, lane = (np.concatenate(c) for c in zip(*held, strict=True))
+            row, turned, x, flag = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            turned, x = _turned(ctx, DEEPEST), x << 2 | place
-            order = np.lexsort((row, x, turned, lane))
-            row, x, turned, lane = row[order], x[order], turned[order], lane[order]
-            new = (row[1:] != row[:-1]) | (x[1:] != x[:-1]) | (turned[1:] != turned[:-1]) | (lane[1:] != lane[:-1])
-            first = np.flatnonzero(np.concatenate([[True], new]))
-            n = np.diff([*first, len(row)])
-            row, x, turned, lane = row[first], x[first], turned[first], lane[first]
-            x, place = x >> 2, x & 3
-            starts = np.flatnonzero(np.concatenate([[True], lane[1:] != lane[:-1]]))
-            rows, tokens = [], []
-            for i, j in zip(starts, [*starts[1:], len(lane)], strict=True):
-                own, at = np.unique(row[i:j], return_inverse=True)
-                rows.append(own.tobytes())
-                # The count and the number of known context words share a number; the last context word comes first.
-                tokens.append(_planes(at, x[i:j], n[i:j] << 2 | place[i:j], *(turned[i:j] >> BITS * k & MASK for k in reversed(range(DEEPEST)))))
-            yield _laned({"lane": lane[starts], "kind": np.ones(len(starts), np.int32), "chunk": np.full(len(starts), chunk), "rows": rows, "tokens": tokens}, len(starts))
+            lane = lanes.value.lane(turned, row, depth)
+            order = np.argsort(lane.astype(np.uint16) if lanes.value.n < 1 << 16 else lane, kind="stable")
+            row, turned, x, flag, lane = row[order], turned[order], x[order], flag[order], lane[order]
+            cuts = _starts(lane)
+            new = np.concatenate([[True], row[1:] != row[:-1]])
+            new[cuts] = True
+            flag |= new.astype(np.uint8) << 3
+            columns = [flag, x, *_words(turned)]
+            slices = [slice(i, j) for i, j in zip(cuts, [*cuts[1:], len(lane)], strict=True)]
+            rows = [_packed_rows(row[s][new[s]]) for s in slices]
+            return _laned({"lane": lane[cuts], "level": [0] * len(cuts), "chunk": [chunk] * len(cuts), "n": [s.stop - s.start for s in slices], "rows": rows, "tokens": [_packed(*(c[s] for c in columns)) for s in slices]}, len(cuts))
 
         for b in batches:
             if not b.num_rows:
                 continue
             ids, text, place = _symbols(b.column("ids"))
-            ctx = _contexts(ids, DEEPEST)
-            for k in range(DEEPEST):  # short of symbols: what lies before belongs to another text
-                early = place == k
-                ctx[early] &= (1 << (BITS * k)) - 1
             ok = place > 0
             if not ok.any():
                 continue
-            lane = lanes.value.lane(ctx & MASK, ctx)
-            ok &= lane % parts == part
-            ctx, ids, text, place, lane = ctx[ok], ids[ok], text[ok], np.minimum(place[ok], DEEPEST), lane[ok]
-            held.append((b.column("row").to_numpy()[text], ctx, ids, place, lane))
-            size += len(ctx)
+            learnt = b.column("train").to_numpy(zero_copy_only=False)[text]
+            flag = np.minimum(place, DEEPEST).astype(np.uint8) | learnt.astype(np.uint8) << 2
+            held.append((b.column("row").to_numpy()[text[ok]], _turned(ids, place)[ok], ids[ok].astype(np.uint32), flag[ok]))
+            size += len(held[-1][0])
             if size > HELD:
-                yield from out()
+                yield out()
                 size = 0
         if size:
-            yield from out()
+            yield out()
 
     return run
 
 
-def _looked_up(depth: int, sent: Broadcast) -> Callable:
-    """(chunk, rows, adds): what the tree adds to the log10 probabilities of a chunk's texts, many to a row, from rows of
-    ``LANED`` sorted by lane and kind."""
+@dataclass
+class Judge:
+    """What a lane needs besides its rows: how contexts are dealt, the symbols' own probabilities, and what a context must have."""
+
+    lanes: Lanes
+    root: np.ndarray
+    depth: int
+    least: float
+    min_gain: float
+
+    def lane(self, lane: int, tree: list[tuple], blocks: list[tuple]) -> Iterator[dict]:
+        """(chunk, rows, adds, contexts): what the contexts of a lane add to the log10 probabilities of the texts of each block,
+        and how many contexts are retained."""
+        parts = [_unpacked(tokens, n, TOKEN) for _, n, _, tokens in blocks]
+        sizes = [len(c[0]) for c in parts]
+        flag, x, *before = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else [np.zeros(0, t) for t in TOKEN]
+        del parts
+        place, learnt, n_tokens = flag & 3, (flag & 4) > 0, len(flag)
+        turned = np.zeros(n_tokens, np.int64)
+        for c in before:
+            turned = turned << BITS | c
+        counts = [learnt & (place >= k) for k in range(1, self.depth + 1)]
+        del before
+        mine = self.lanes.hot if lane < self.lanes.many.sum() else []  # a lane of a hot word
+        if mine:
+            for k, hot in enumerate(mine, 1):
+                counts[k - 1] &= _find(hot, _ends(turned, k)) < 0
+            for level, n, tokens in tree:
+                seen, symbol, *ws = _unpacked(tokens, n, NODE)
+                ctx = np.zeros(n, np.int64)
+                for c in ws:
+                    ctx = ctx << BITS | c
+                turned, x = np.concatenate([turned, ctx]), np.concatenate([x, symbol])
+                counts = [np.concatenate([c, seen if k == level else np.zeros(n)]) for k, c in enumerate(counts, 1)]
+
+        # From the longest contexts to the shortest: distinct contexts, distinct transitions, and how often each was seen.
+        levels: list[tuple[np.ndarray, ...]] = []
+        keys, x = _ends(turned, self.depth), x.astype(np.int64)
+        del turned
+        for _ in range(self.depth):
+            ctxs, which = np.unique(keys, return_inverse=True)
+            codes, at = np.unique(which << BITS | x, return_inverse=True)
+            counts = [np.bincount(at, c, len(codes)) for c in counts]
+            which, x = codes >> BITS, codes & MASK
+            levels.append((ctxs, which, x, counts.pop(), at))
+            keys = ctxs[which] >> BITS
+        value, retained, logs = self.root[x], 0, []
+        for k, (ctxs, which, x, n, at) in enumerate(reversed(levels), 1):
+            lower = value if k == 1 else value[levels[self.depth - k + 1][4]]
+            whole, own_ = np.bincount(which, n, len(ctxs)), np.ones(len(ctxs), bool)
+            if k <= len(mine):
+                found = _find(ctxs, mine[k - 1])
+                whole[found[found >= 0]] = self.lanes.whole[k - 1][found >= 0]
+                own_[found[found >= 0]] = lane == self.lanes.first[mine[k - 1][found >= 0] >> BITS * (k - 1)]  # counted in one of its lanes
+            seen = (n >= MIN_COUNT) & (whole[which] >= self.least)
+            ctx, m, low = which[seen], n[seen], lower[seen]
+            add = lambda v: np.bincount(ctx, v, len(ctxs))  # noqa: B023, E731
+            spread = 1 - add(m - DISCOUNT) / np.maximum(whole, 1)
+            own = (m - DISCOUNT) / whole[ctx] + spread[ctx] * low
+            gain = add(m * np.log(own / low)) + (whole - add(m)) * np.log(spread)
+            kept = (gain >= self.min_gain) & (add(None) > 0)
+            retained += int((kept & own_).sum())
+            value = np.where(kept[which], spread[which], 1.0) * lower
+            value[seen] = np.where(kept[ctx], own, low)
+            logs.append(np.log10(value / self.root[x]))
+        yield {"chunk": -1 - lane, "rows": None, "adds": None, "contexts": retained}
+        if not n_tokens:
+            return
+        at = levels[0][4][:n_tokens]
+        added, short = logs[-1][at], np.flatnonzero(place < self.depth)
+        at = at[short]
+        for k in range(self.depth - 1, 0, -1):
+            at = levels[self.depth - k][4][at]
+            here = place[short] == k
+            added[short[here]] = logs[k - 1][at[here]]
+        starts = np.flatnonzero(flag & 8)
+        sums = np.add.reduceat(added, starts)
+        cuts = np.searchsorted(starts, np.cumsum([0, *sizes]))
+        for (chunk, _, rows, _), i, j in zip(blocks, cuts[:-1], cuts[1:], strict=True):
+            yield {"chunk": chunk, "rows": rows, "adds": sums[i:j].tobytes(), "contexts": 0}
+
+
+SUMS = pa.schema({"chunk": pa.int64(), "rows": pa.binary(), "adds": pa.binary(), "contexts": pa.int64()})
+
+
+def _judged(judge: Broadcast) -> Callable:
+    """Rows of ``Judge.lane`` from rows of ``LANED`` sorted by lane. Holds one lane."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        lane, tree, ready = None, [], None
-
-        def built() -> list[tuple[np.ndarray, ...]]:
-            """Of each level the contexts and what they spread, and their transitions as context number * symbols + symbol
-            with their probabilities, made from those of the longest retained suffix as the levels were."""
-            out: list[tuple[np.ndarray, ...]] = []
-            for k in range(1, depth + 1):
-                parts = [_columns(packed, k + 5) for level, packed in tree if level == k]
-                if not parts:
-                    out.append((np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0)))
-                    continue
-                *words_, x, n1, n0, w1, w0 = (np.concatenate(c) for c in zip(*parts, strict=True))
-                n, whole = (n1 << 32 | n0).astype(float), (w1 << 32 | w0).astype(float)
-                ctx = np.zeros(len(x), np.int64)
-                for w in words_:
-                    ctx = ctx << BITS | w
-                order = np.lexsort((x, ctx))
-                ctx, x, n, whole = ctx[order], x[order], n[order], whole[order]
-                first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
-                at = np.cumsum(np.concatenate([[0], ctx[1:] != ctx[:-1]]))
-                spread = 1 - np.add.reduceat(n - DISCOUNT, first) / whole[first]
-                lower, todo = model.root[x], np.arange(len(x))
-                for j in range(k - 1, 0, -1):
-                    known, _, codes, p = out[j - 1]
-                    which = _find(known, ctx[todo] >> BITS * (k - j))
-                    has, todo = todo[which >= 0], todo[which < 0]
-                    lower[has] = p[_find(codes, which[which >= 0] * model.n + x[has])]
-                out.append((ctx[first], spread, at * model.n + x, (n - DISCOUNT) / whole + spread[at] * lower))
-            return out
+        lane, tree, blocks = None, [], []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for found in judge.value.lane(lane, tree, blocks):
+                yield pa.RecordBatch.from_pylist([found], SUMS)
+            tree.clear()
+            blocks.clear()
 
         for b in batches:
-            lanes = b.column("lane").to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], lanes[1:] != lanes[:-1]])) if b.num_rows else []
-            for i, j in zip(cuts, [*cuts[1:], b.num_rows], strict=True):
-                if lanes[i] != lane:
-                    lane, tree, ready = lanes[i], [], None
-                part = b.slice(i, j - i)
-                is_tree = part.column("kind").to_numpy() == 0
-                own = part.filter(pa.array(is_tree))
-                tree += zip(own.column("level").to_pylist(), own.column("tokens").to_pylist(), strict=True)
-                rest = part.filter(pa.array(~is_tree))
-                for chunk, rows, tokens in zip(*(rest.column(c).to_pylist() for c in ("chunk", "rows", "tokens")), strict=True):
-                    ready = ready or built()
-                    place, x, n, *words_ = _columns(tokens, 3 + DEEPEST)
-                    known, n = n & 3, n >> 2
-                    times, p = np.ones(len(x)), np.full(len(x), -1.0)
-                    todo = np.arange(len(x))
-                    for k in range(depth, 0, -1):
-                        at = todo[known[todo] >= k]
-                        ctx = np.zeros(len(at), np.int64)
-                        for w in range(k):
-                            ctx |= words_[w][at] << (BITS * (k - 1 - w))
-                        which = _find(ready[k - 1][0], ctx)
-                        at, which = at[which >= 0], which[which >= 0]
-                        entry = _find(ready[k - 1][2], which * model.n + x[at])
-                        seen = entry >= 0
-                        p[at[seen]] = times[at[seen]] * ready[k - 1][3][entry[seen]]
-                        times[at[~seen]] *= ready[k - 1][1][which[~seen]]
-                        todo = todo[p[todo] < 0]
-                    p[todo] = times[todo] * model.root[x[todo]]
-                    add = np.bincount(place, n * np.log10(p / model.root[x]))
-                    some = np.flatnonzero(add)
-                    if len(some):
-                        yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "rows": pa.array([np.frombuffer(rows, np.int64)[some].tobytes()], pa.binary()), "adds": pa.array([add[some].tobytes()], pa.binary())})
+            for at, level, chunk, n, rows, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if at != lane and lane is not None:
+                    yield from out()
+                lane = at
+                if level:
+                    tree.append((level, n, tokens))
+                else:
+                    blocks.append((chunk, n, rows, tokens))
+        if lane is not None:
+            yield from out()
 
     return run
 
 
 def _by_text(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, add) from rows of ``_looked_up`` sorted by chunk: one for each text. Holds one chunk, whose texts a task had at once."""
+    """(row, add, contexts) from rows of ``_judged`` sorted by chunk: one for each text, and one for each lane's contexts. Holds
+    one chunk, whose texts a task had at once."""
     last, held = None, []
 
     def out() -> pa.RecordBatch:
-        rows, at = np.unique(np.concatenate([np.frombuffer(r, np.int64) for r, _ in held]), return_inverse=True)
+        rows = np.concatenate([np.cumsum(_unpacked(r, len(a) // 8, [np.int64])[0]) for r, a in held])
+        rows, at = np.unique(rows, return_inverse=True)
         added = np.bincount(at, np.concatenate([np.frombuffer(a, np.float64) for _, a in held]))
-        return pa.RecordBatch.from_pydict({"row": pa.array(rows), "add": pa.array(added)})
+        held.clear()
+        return pa.RecordBatch.from_pydict({"row": pa.array(rows), "add": pa.array(added), "contexts": pa.array(np.zeros(len(rows), np.int64))})
 
     for b in batches:
-        for chunk, rows, adds in zip(*(b.column(c).to_pylist() for c in ("chunk", "rows", "adds")), strict=True):
+        for chunk, rows, adds, contexts in zip(*(b.column(c).to_pylist() for c in SUMS.names), strict=True):
             if held and chunk != last:
                 yield out()
-                held.clear()
             last = chunk
-            held.append((rows, adds))
+            if rows is None:
+                yield pa.RecordBatch.from_pydict({"row": pa.array([None], pa.int64()), "add": pa.array([None], pa.float64()), "contexts": pa.array([contexts], pa.int64())})
+            else:
+                held.append((rows, adds))
     if held:
         yield out()
 
@@ -606,26 +647,33 @@ def fit_and_score(docs: DataFrame, p_symbol: float = 1e-6, p_context: float = 0.
     numbered = source.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), (~held_out("doc_id")).alias("train"))
     encoded = stored(_encoded(numbered, sent, T.StructType([T.StructField(c, t) for c, t in fields.items()])), "symbols")
 
-    lower = spark.createDataFrame(pa.table({"ctx": pa.array(np.zeros(len(each), np.int64)), "x": pa.array(np.arange(len(each)), pa.int32()), "lower": pa.array(tree.root)}))
-    levels, retained = [], 0
+    # What follows contexts with more tokens than a lane should have is counted beforehand, one length after the other.
+    end = symbols.get(END, -1)  # which nothing follows
+    deal = Lanes.over(np.where(np.arange(len(each)) == end, 0, each), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tables: list[DataFrame] = []
     for k in range(1, depth + 1):
-        parts = PASSES if k == DEEPEST else 1
-        runs = [stored(_transitions(encoded, k, i, parts, p_context * total), f"runs_{k}") for i in range(parts)]
-        level = stored(_level(reduce(DataFrame.unionByName, runs), lower, k, min_gain), f"level_{k}")
-        dropped(spark, *runs)
-        retained += level.filter("kept and first").count()
-        levels.append(level)
-        lower = level.select("ctx", "x", F.col("p").alias("lower"))
-
-    lanes = spark.sparkContext.broadcast(Lanes.over(each, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    added = []
-    for i in range(LANE_PASSES):
-        rows = [level.filter("kept").select("ctx", "x", "n", "whole").mapInArrow(_tree_rows(k, lanes, i, LANE_PASSES), LANED) for k, level in enumerate(levels, 1)]
-        rows.append(encoded.select("row", "ids").mapInArrow(_token_rows(depth, lanes, i, LANE_PASSES), LANED))
-        found = reduce(DataFrame.unionByName, rows).repartition(lanes.value.n, "lane").sortWithinPartitions("lane", "kind")
-        added.append(stored(found.mapInArrow(_looked_up(depth, sent), "chunk long, rows binary, adds binary").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_by_text, "row long, add double"), "added"))
-    added = reduce(DataFrame.unionByName, added).groupBy("row").agg(F.sum("add").alias("add"))
-    dropped(spark, *levels)
+        if not len(deal.hot[-1]):
+            break
+        runs = encoded.filter("train").select("ids").mapInArrow(_hot_runs(k, spark.sparkContext.broadcast(deal)), "bucket int, n int, codes binary")
+        tables.append(stored(runs.repartition(deal.n, "bucket").sortWithinPartitions("bucket").mapInArrow(_hot_sums, "code long, n long"), f"runs_{k}"))
+        if k < depth:  # at most as many as lanes
+            more = tables[-1].filter((F.col("n") > deal.size) & (F.col("code").bitwiseAND(MASK) != end)).toArrow()
+            code, n = more.column("code").to_numpy(), more.column("n").to_numpy()
+            ctx = (code & MASK) << BITS * k | deal.hot[-1][code >> BITS]
+            order = np.argsort(ctx)
+            deal.hot.append(ctx[order])
+            deal.whole.append(n[order])
+
+    lanes = spark.sparkContext.broadcast(deal)
+    judge = spark.sparkContext.broadcast(Judge(deal, tree.root, depth, p_context * total, min_gain))
+    rows = [t.mapInArrow(_tree_rows(k, lanes), LANED) for k, t in enumerate(tables, 1)]
+    rows.append(encoded.select("row", "ids", "train").mapInArrow(_token_rows(depth, lanes), LANED))
+    found = reduce(DataFrame.unionByName, rows).repartition(deal.n, "lane").sortWithinPartitions("lane")
+    sums = found.mapInArrow(_judged(judge), "chunk long, rows binary, adds binary, contexts long").repartition("chunk").sortWithinPartitions("chunk")
+    added = stored(sums.mapInArrow(_by_text, "row long, add double, contexts long"), "added")
+    dropped(spark, *tables)
+    retained = added.agg(F.coalesce(F.sum("contexts"), F.lit(0))).first()[0]
+    added = added.filter("row is not null").select("row", "add")
 
     # A rare word's share of its class; a word that was not learnt from counts as seen ADDED times.
     words_ = encoded.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("m"))

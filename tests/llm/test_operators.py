@@ -24,6 +24,7 @@ from tesselar.llm.pii import find_pii, mask_pii
 from tesselar.llm import quality as K
 from tesselar.llm.quality import fit_quality, score_fitted, score_quality
 from tesselar.llm.suffix_array import common_prefixes, remove_repeats, suffix_array
+from tesselar.llm import suffix_tree
 from tesselar.llm.suffix_tree import SuffixTree, fit_and_score
 from tesselar.llm.topk import top_k
 from tests.parity import connect, same
@@ -325,6 +326,28 @@ def test_suffix_tree_keeps_rare_contexts(spark):
     assert runs[0].score > runs[0].base_score + 5  # 6 of 300,000 tokens are no share of the corpus
 
 
+def test_suffix_tree_hot_contexts_have_lanes(spark, monkeypatch):
+    """Words, pairs and triples with more tokens than a lane: the same scores, and transitions do not cross the shuffle as rows."""
+    random.seed(8)
+    texts = [" ".join(random.choice(["a b c", "a b", "a", f"w{random.randrange(400)}"]) for _ in range(random.randrange(0, 200))) for _ in range(300)]
+    docs = table(spark, texts)
+    plain = {r.doc_id: r for r in fit_and_score(docs).collect()}
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    begun = {stages().apply(i).stageId() for i in range(stages().size())}
+    for lane in (200, 3000):
+        monkeypatch.setattr(suffix_tree, "LANE", lane)
+        rows = fit_and_score(docs).collect()
+        for r in rows:
+            assert r.score == pytest.approx(plain[r.doc_id].score, rel=1e-9)
+            assert (r.n_contexts, r.n_tokens) == (plain[r.doc_id].n_contexts, plain[r.doc_id].n_tokens)
+    assert len(rows) == len(texts) and plain[0].n_contexts > 50
+    found = stages()
+    made = [found.apply(i) for i in range(found.size())]
+    most = max(x.shuffleWriteRecords() for x in made if x.stageId() not in begun)
+    assert most < 0.5 * sum(r.n_tokens for r in rows)
+
+
 def brute_near(texts, size, percent):
     sets = {}
     for i, t in enumerate(texts):

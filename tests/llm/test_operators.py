@@ -14,6 +14,7 @@ import numpy as np
 import pytest
 
 from tesselar.llm import queries as Q
+from tesselar.llm import suffix_tree
 from tesselar.llm.components import components
 from tesselar.llm.exact import exact_dedup
 from tesselar.llm.lines import LineRuns, drop_repeated_lines
@@ -24,7 +25,6 @@ from tesselar.llm.pii import find_pii, mask_pii
 from tesselar.llm import quality as K
 from tesselar.llm.quality import fit_quality, score_fitted, score_quality
 from tesselar.llm.suffix_array import common_prefixes, remove_repeats, suffix_array
-from tesselar.llm import suffix_tree
 from tesselar.llm.suffix_tree import SuffixTree, fit_and_score
 from tesselar.llm.topk import top_k
 from tests.parity import connect, same
@@ -335,17 +335,15 @@ def test_suffix_tree_hot_contexts_have_lanes(spark, monkeypatch):
     store = spark.sparkContext._jsc.sc().statusStore()
     stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
     begun = {stages().apply(i).stageId() for i in range(stages().size())}
-    for lane in (200, 3000):
-        monkeypatch.setattr(suffix_tree, "LANE", lane)
-        rows = fit_and_score(docs).collect()
-        for r in rows:
-            assert r.score == pytest.approx(plain[r.doc_id].score, rel=1e-9)
-            assert (r.n_contexts, r.n_tokens) == (plain[r.doc_id].n_contexts, plain[r.doc_id].n_tokens)
+    monkeypatch.setattr(suffix_tree, "LANE", 600)
+    rows = fit_and_score(docs).collect()
+    for r in rows:
+        assert r.score == pytest.approx(plain[r.doc_id].score, rel=1e-9)
+        assert (r.n_contexts, r.n_tokens) == (plain[r.doc_id].n_contexts, plain[r.doc_id].n_tokens)
     assert len(rows) == len(texts) and plain[0].n_contexts > 50
     found = stages()
     made = [found.apply(i) for i in range(found.size())]
-    most = max(x.shuffleWriteRecords() for x in made if x.stageId() not in begun)
-    assert most < 0.5 * sum(r.n_tokens for r in rows)
+    assert sum(x.shuffleWriteRecords() for x in made if x.stageId() not in begun) < sum(r.n_tokens for r in rows) / 3
 
 
 def brute_near(texts, size, percent):

@@ -17,17 +17,21 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import saved
+from .graph import _block_count, _blocks
 
 #: Passes that move the centres, as far as they move.
 ROUNDS = 15
 #: Reference sets of the gap statistic.
 REFERENCES = 5
-#: Points that every point's silhouette is taken against; where there are more, these are drawn by hash.
+#: Points that every task holds for the silhouettes; where there are more, blocks of points meet, so many columns at once.
 SILHOUETTE_POINTS = 4_000
+#: Points whose sums of distances are one row.
+SUMMED = 4_096
 MOST_NUMBERS = 20_000_000
 #: What members of the ensemble count; fixed values.
 WEIGHTS = {"silhouette": 0.35, "bic_gmm": 1.6, "calinski_harabasz": 0.8, "davies_bouldin": 0.8, "spatial_silhouette": 1.8, "spatial_coherence": 2.0}
@@ -291,53 +295,117 @@ def labelled(points: DataFrame, centres: Centres, ks: list[int]) -> DataFrame:
     return points.mapInArrow(_labels(centres, ks), "set string, i long, vec array<double>, labels array<int>")
 
 
+def _belongs(labels: np.ndarray, counts: list[np.ndarray]) -> np.ndarray:
+    """Who belongs where: a column of ones and zeros for each cluster of each k."""
+    return np.concatenate([np.eye(len(c))[labels[:, j]] for j, c in enumerate(counts)], axis=1)
+
+
+def _widths(every: np.ndarray, own: np.ndarray, seen: np.ndarray | bool, counts: list[np.ndarray]) -> list[float]:
+    """For each k the sum of the rows' silhouettes, from their sums of distances to each cluster; ``seen`` of them are in it."""
+    ends, rows, out = np.cumsum([0, *[len(c) for c in counts]]), np.arange(len(every)), []
+    for j, c in enumerate(counts):
+        by = every[:, ends[j] : ends[j + 1]]
+        size = np.tile(c.astype(float), (len(every), 1))
+        size[rows, own[:, j]] -= seen
+        mean = np.divide(by, size, out=np.full_like(by, np.inf), where=size > 0)
+        a = mean[rows, own[:, j]]
+        mean[rows, own[:, j]] = np.inf
+        b = mean.min(1)
+        top = np.maximum(a, b)
+        ok = np.isfinite(top) & (top > 0)
+        out.append(float(((b - a)[ok] / top[ok]).sum()))
+    return out
+
+
 def _silhouettes(x0: np.ndarray, i0: np.ndarray, l0: np.ndarray, counts: list[np.ndarray]) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(l0.shape[1]), 0
-        ends = np.cumsum([0, *[len(c) for c in counts]])
-        belongs = np.concatenate([np.eye(len(c))[l0[:, j]] for j, c in enumerate(counts)], axis=1)
+        belongs = _belongs(l0, counts)
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _matrix(b)
-            lab = b.column("labels").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            ids = b.column("i").to_numpy()
+            x, lab, ids = _matrix(b), _label_matrix(b), b.column("i").to_numpy()
             for lo in range(0, len(x), 256):
                 part, own, me = x[lo : lo + 256], lab[lo : lo + 256], ids[lo : lo + 256]
-                every = np.sqrt(_products(part, x0)) @ belongs
-                seen = np.isin(me, i0)
-                for j in range(l0.shape[1]):
-                    by = every[:, ends[j] : ends[j + 1]]
-                    size = np.tile(counts[j].astype(float), (len(part), 1))
-                    rows = np.arange(len(part))
-                    size[rows, own[:, j]] -= seen
-                    mean = np.divide(by, size, out=np.full_like(by, np.inf), where=size > 0)
-                    a = mean[rows, own[:, j]]
-                    mean[rows, own[:, j]] = np.inf
-                    b_ = mean.min(1)
-                    top = np.maximum(a, b_)
-                    ok = np.isfinite(top) & (top > 0)
-                    total[j] += ((b_ - a)[ok] / top[ok]).sum()
+                total += _widths(np.sqrt(_products(part, x0)) @ belongs, own, np.isin(me, i0), counts)
             n += len(x)
         yield pa.RecordBatch.from_pydict({"j": pa.array(range(len(total)), pa.int32()), "s": pa.array(total, pa.float64()), "n": pa.array([n] * len(total), pa.int64())})
 
     return run
 
 
+def _label_matrix(b: pa.RecordBatch) -> np.ndarray:
+    return b.column("labels").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+
+
+def _block_sums(counts: list[np.ndarray]) -> Callable:
+    """Of two blocks' points (of one, where ``p`` is ``q``) the sums of distances to the other block's clusters."""
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        p, q = (k.as_py() for k in key)
+        held = []
+        for at in dict.fromkeys((p, q)):
+            t = group.filter(pa.compute.equal(group["b"], at)).sort_by("i").combine_chunks().to_batches(max_chunksize=None)
+            held.append((at, _matrix(t[0]), _label_matrix(t[0])) if t else (at, None, None))
+        made: list[tuple[int, int, int, bytes | None, bytes]] = []
+        if all(x is not None for _, x, _ in held):
+            (_, x, lx), (_, y, ly) = held[0], held[-1]
+            bx, by = _belongs(lx, counts), _belongs(ly, counts)
+            to_y, to_x = np.zeros((len(x), bx.shape[1])), np.zeros((len(y), bx.shape[1]))
+            for lo in range(0, len(x), 256):
+                for at in range(0, len(y), SILHOUETTE_POINTS):
+                    d = np.sqrt(_products(x[lo : lo + 256], y[at : at + SILHOUETTE_POINTS]))
+                    to_y[lo : lo + 256] += d @ by[at : at + SILHOUETTE_POINTS]
+                    if p != q:
+                        to_x[at : at + SILHOUETTE_POINTS] += d.T @ bx[lo : lo + 256]
+            for (b, _, own), sums, other in zip(held, (to_y, to_x), (q, p), strict=False):
+                for c, lo in enumerate(range(0, len(sums), SUMMED)):
+                    made.append((b, c, other, own[lo : lo + SUMMED].astype(np.int32).tobytes() if p == q else None, sums[lo : lo + SUMMED].tobytes()))
+        columns = list(zip(*made, strict=True)) or [()] * 5
+        return pa.table([pa.array(v, t) for v, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["b", "part", "other", "own", "sums"])
+
+    return run
+
+
+def _part_widths(counts: list[np.ndarray]) -> Callable:
+    """What the blocks add to the sums of a part of a block, added up, and its silhouettes."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.sort_by("other")
+        own = np.frombuffer(next(v for v in rows["own"].to_pylist() if v is not None), np.int32).reshape(-1, len(counts))
+        every = np.zeros((len(own), sum(len(c) for c in counts)))
+        for v in rows["sums"]:
+            every += np.frombuffer(v.as_buffer(), float).reshape(every.shape)
+        return pa.table({"j": pa.array(range(len(counts)), pa.int32()), "s": pa.array(_widths(every, own, True, counts), pa.float64()), "n": pa.array([len(own)] * len(counts), pa.int64())})
+
+    return run
+
+
 def silhouettes(points: DataFrame, ks: list[int]) -> dict[int, float]:
     """The mean silhouette for each k; -1 where there are fewer than two clusters, or as many as points.
 
-    Every point counts. Its distances are those to all other points, or, where there are more than ``SILHOUETTE_POINTS``, to
-    as many drawn by hash, which every task holds.
+    All distances count. Up to ``SILHOUETTE_POINTS`` points are held by every task. Where there are more, each two blocks meet
+    once, and what leaves them are sums by cluster; a point is sent as often as there are blocks, 16 up to a million points.
     """
-    drawn = points.select("i", "vec", "labels").withColumn("h", F.md5(F.col("i").cast("string"))).orderBy("h", "i").limit(SILHOUETTE_POINTS).toPandas()
-    if not len(drawn):
+    rows = points.select("i", "vec", "labels")
+    sizes = rows.select(F.posexplode("labels").alias("j", "c")).groupBy("j", "c").agg(F.count("*").alias("n")).collect()  # one row for each cluster
+    counts = [np.zeros(k, int) for k in ks]
+    for r in sizes:
+        counts[r["j"]][r["c"]] = r["n"]
+    n = int(counts[0].sum()) if ks else 0
+    if not n:
         return {k: -1.0 for k in ks}
-    x0, i0, l0 = np.array(drawn["vec"].tolist(), float), drawn["i"].to_numpy(), np.array(drawn["labels"].tolist(), int)
-    counts = [np.bincount(l0[:, j], minlength=k) for j, k in enumerate(ks)]
-    rows = points.select("i", "vec", "labels").mapInArrow(_silhouettes(x0, i0, l0, counts), "j int, s double, n long").groupBy("j").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
-    out = {ks[r["j"]]: r["s"] / r["n"] for r in rows}
-    return {k: -1.0 if (counts[j] > 0).sum() < 2 or (counts[j] > 0).sum() >= len(x0) else out[k] for j, k in enumerate(ks)}
+    if n <= SILHOUETTE_POINTS:
+        held = rows.orderBy("i").toPandas()
+        found = rows.mapInArrow(_silhouettes(np.array(held["vec"].tolist(), float), held["i"].to_numpy(), np.array(held["labels"].tolist(), int), counts), "j int, s double, n long")
+    else:
+        blocks = _block_count(n)
+        meet = _blocks(rows, blocks).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        pairs = meet.select(F.least("b", "c").alias("p"), F.greatest("b", "c").alias("q"), "b", "i", "vec", "labels").repartition(blocks * (blocks + 1) // 2, "p", "q")
+        sums = pairs.groupBy("p", "q").applyInArrow(_block_sums(counts), "b int, part int, other int, own binary, sums binary")
+        found = sums.groupBy("b", "part").applyInArrow(_part_widths(counts), "j int, s double, n long")
+    out = {ks[r["j"]]: r["s"] / r["n"] for r in found.groupBy("j").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()}
+    return {k: -1.0 if (counts[j] > 0).sum() < 2 or (counts[j] > 0).sum() >= n else out[k] for j, k in enumerate(ks)}
 
 
 def coherences(labels: DataFrame, edges: DataFrame, ks: list[int]) -> dict[int, float]:

@@ -55,6 +55,29 @@ def test_indices_against_loops(spark, blobs, monkeypatch):
     assert all(abs(K.silhouettes(rows, [2, 4])[k] - whole[k]) < 0.1 for k in (2, 4))
 
 
+def test_silhouettes_are_of_all_points(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    n, ks = 300, [2, 3]
+    x, lab = np.concatenate([rng.normal(size=(n - 2, 3)), np.ones((2, 3))]), np.stack([rng.integers(0, k, n) for k in ks], 1)
+    lab[:, 1] = np.where(np.arange(n) == 7, 2, lab[:, 1] % 2)  # a cluster of one
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = {}
+    for j, k in enumerate(ks):
+        every = np.stack([d[:, lab[:, j] == c].sum(1) for c in range(k)], 1)
+        size = np.array([(lab[:, j] == c).sum() for c in range(k)])
+        s = []
+        for i, own in enumerate(lab[:, j]):
+            a, b = every[i, own] / max(size[own] - 1, 1), min(every[i, c] / size[c] for c in range(k) if c != own)
+            s.append((b - a) / max(a, b) if size[own] > 1 else 0.0)
+        want[k] = np.mean(s)
+    rows = spark.createDataFrame([(i, r.tolist(), v.tolist()) for i, (r, v) in enumerate(zip(x, lab, strict=True))], "i long, vec array<double>, labels array<int>").repartition(3)
+    monkeypatch.setattr(K, "SILHOUETTE_POINTS", 50)
+    assert K.silhouettes(rows, ks) == pytest.approx(want, abs=1e-12)
+    monkeypatch.setattr(K, "_block_count", lambda n: 4)
+    monkeypatch.setattr(K, "SUMMED", 32)
+    assert K.silhouettes(rows, ks) == pytest.approx(want, abs=1e-12)
+
+
 def test_rules():
     assert K.by_gap({2: 0.1, 3: 0.5, 4: 0.45, 5: 0.9}, {2: 0, 3: 0, 4: 0.01, 5: 0.01}) == 3
     assert K.by_gap({2: 0.1, 3: 0.2}, {2: 0, 3: 0}) == 3

@@ -375,3 +375,37 @@ def test_mean_shift_without_a_matrix():
     x = np.concatenate([rng.normal(size=(30, 2)), rng.normal(size=(30, 2)) + 40])
     assert domains.mean_shift(5.0)(x).tolist() == [0] * 30 + [1] * 30
     assert peak(domains.mean_shift(), rng.normal(size=(3000, 4))) < 3000 * 3000 * 8 / 1.5
+
+
+def plain_shift(x, h, rounds=30):
+    """All distances in every round."""
+    y = x.copy()
+    for _ in range(rounds):
+        w = (((y[:, None] - x[None]) ** 2).sum(2) <= h * h).astype(float)
+        new = (w @ x) / np.maximum(w.sum(1, keepdims=True), 1)
+        if np.abs(new - y).max() < 1e-6 * h:
+            break
+        y = new
+    modes, out = [], []
+    for p in y:
+        j = next((j for j, m in enumerate(modes) if ((p - m) ** 2).sum() <= h * h), len(modes))
+        modes += [p] if j == len(modes) else []
+        out.append(j)
+    return out
+
+
+def test_mean_shift_climbs_in_parts_and_over_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(400, 3)), rng.normal(size=(200, 3)) + 3, np.ones((20, 3))])
+    measured, squares = [], domains._squares
+    monkeypatch.setattr(domains, "_squares", lambda axes, rows: measured.append(axes.shape[1] * len(rows)) or squares(axes, rows))
+    for h in (0.7, 1.5):
+        assert domains.mean_shift(h)(x).tolist() == plain_shift(x, h)
+    assert sum(measured) < 2 * 620 * 620
+    monkeypatch.undo()
+    monkeypatch.setattr(domains, "DEALT", 100)
+    emb = spark.createDataFrame([(900 - i, r.tolist()) for i, r in enumerate(x)], "i long, vec array<double>").repartition(3)
+    h = float(np.quantile(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 0.3))
+    for width, rounds in ((None, 30), (1.5, 30), (0.7, 2)):
+        found = {r.i: r.domain for r in domains.mean_shifted(emb, width, rounds).collect()}
+        assert [found[i] for i in sorted(found)] == plain_shift(x[::-1], width or h, rounds)

@@ -39,7 +39,7 @@ def _emb(s, d):
 
 for _name, _f in {
     "kmeans_domains": D.kmeans, "minibatch_kmeans_domains": D.minibatch_kmeans, "bisecting_kmeans_domains": D.bisecting_kmeans, "gaussian_mixture_domains": D.gaussian_mixture,
-    "agglomerative_domains": lambda e: D.per_sample(e, D.ward(3)), "birch_domains": lambda e: D.per_sample(e, D.birch(3)), "mean_shift_domains": D.mean_shifted, "optics_domains": lambda e: D.per_sample(e, D.optics()),
+    "agglomerative_domains": lambda e: D.warded(e, 3), "birch_domains": lambda e: D.per_sample(e, D.birch(3)), "mean_shift_domains": D.mean_shifted, "optics_domains": lambda e: D.per_sample(e, D.optics()),
 }.items():
     entry(_name)(lambda s, d, f=_f: f(_emb(s, d)))
 

@@ -409,3 +409,21 @@ def test_mean_shift_climbs_in_parts_and_over_tasks(spark, monkeypatch):
     for width, rounds in ((None, 30), (1.5, 30), (0.7, 2)):
         found = {r.i: r.domain for r in domains.mean_shifted(emb, width, rounds).collect()}
         assert [found[i] for i in sorted(found)] == plain_shift(x[::-1], width or h, rounds)
+
+
+def test_tree_looks_in_parts_and_over_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=(60, 3)), rng.normal(size=(20, 3)) * 9, rng.normal(size=(5, 3)).repeat(4, 0)])
+    monkeypatch.setattr(domains, "LEAF", 4)
+    for k in (1, 3, 20):
+        got = domains.ward(k)(x)
+        assert {frozenset(np.flatnonzero(got == c).tolist()) for c in set(got.tolist())} == plain_ward(x, k)
+    many, looked = rng.normal(size=(4000, 3)), []
+    domains.ward(3, lambda stale, *rest: looked.append(len(stale)) or domains._nearest_clusters(stale, *rest))(many)
+    assert len(looked) < 200 and sum(looked) < 5 * len(many)  # a round for many joins, not each by itself
+    monkeypatch.setattr(domains, "DEALT", 20)
+    monkeypatch.setattr(domains, "DEALT_FROM", 30)
+    emb = spark.createDataFrame([(500 - i, r.tolist()) for i, r in enumerate(x)], "i long, vec array<double>").repartition(3)
+    found = {r.i: r.domain for r in domains.warded(emb, 3).collect()}
+    assert [found[i] for i in sorted(found)] == domains.ward(3)(x[::-1]).tolist()
+    assert domains.ward(2)(np.zeros((5, 2))).tolist() == [0, 0, 0, 0, 1] and domains.ward(9)(np.zeros((2, 2))).tolist() == [0, 1]

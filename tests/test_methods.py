@@ -427,3 +427,30 @@ def test_tree_looks_in_parts_and_over_tasks(spark, monkeypatch):
     found = {r.i: r.domain for r in domains.warded(emb, 3).collect()}
     assert [found[i] for i in sorted(found)] == domains.ward(3)(x[::-1]).tolist()
     assert domains.ward(2)(np.zeros((5, 2))).tolist() == [0, 0, 0, 0, 1] and domains.ward(9)(np.zeros((2, 2))).tolist() == [0, 1]
+
+
+def plain_order(x, min_samples, cut):
+    """All distances of every point."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    core = np.sort(d, axis=1)[:, min_samples - 1]
+    reach, open_, order, at = np.full(len(x), np.inf), np.ones(len(x), bool), [], 0
+    for _ in range(len(x)):
+        order.append(at)
+        open_[at] = False
+        reach = np.where(open_, np.minimum(reach, np.maximum(core[at], d[at])), reach)
+        at = int(np.argmin(np.where(open_, reach, np.inf)))
+    seen, out = reach[order], np.zeros(len(x), int)
+    out[order] = np.cumsum(seen > 2 * np.quantile(seen[np.isfinite(seen)], cut))
+    return out.tolist()
+
+
+def test_reachability_order_looks_in_parts(monkeypatch):
+    rng = np.random.default_rng(13)
+    x = np.concatenate([rng.normal(size=(150, 3)), rng.normal(size=(60, 3)) * 8, np.ones((40, 3))])
+    for rows in (x, np.round(x), x[:2]):  # ties, too, go to the first
+        for min_samples, cut in ((1, 0.3), (2, 0.5), (2 if len(rows) < 9 else 40, 0.2)):
+            assert domains.optics(min_samples, cut)(rows).tolist() == plain_order(rows, min_samples, cut)
+    measured, squares = [], domains._squares
+    monkeypatch.setattr(domains, "_squares", lambda axes, rows: measured.append(axes.shape[1] * len(rows)) or squares(axes, rows))
+    domains.optics()(rng.normal(size=(4000, 3)))
+    assert sum(measured) < 4000 * 4000
